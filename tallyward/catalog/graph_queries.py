@@ -1 +1,173 @@
-QUERIES = {}
+"""Property graph tables, retention and pattern counts."""
+
+from __future__ import annotations
+
+from datetime import timedelta
+
+from pyspark.sql import functions as F
+
+from tallyward.catalog import inputs
+from tallyward.catalog.oracle_blocks import LAST_DAY, with_silver
+from tallyward.operators import graph as g
+
+RETENTION = 1500
+TREND_START = "1997-03-01"
+VIOLENT_RANGE = ("1998-01-01", "1999-12-31")
+AREA_TEXT, OFFENSE = "nation_1", "Theft"
+
+
+def build(spark, sf):
+    return g.build_graph(inputs.silver(spark, sf, located=True), "md5")
+
+
+def crime_nodes(spark, sf):
+    return build(spark, sf)["Crime"]
+
+
+def date_nodes(spark, sf):
+    return build(spark, sf)["Date"]
+
+
+def location_nodes(spark, sf):
+    return build(spark, sf)["Location"]
+
+
+def crime_type_nodes(spark, sf):
+    return build(spark, sf)["CrimeType"]
+
+
+def edges(spark, sf):
+    return build(spark, sf)["edges"]
+
+
+_TEXT_KEY = ("concat_ws('|', coalesce(trim(community_area_name), 'Unknown'), coalesce(trim(district_name), 'Unknown'), "
+             "coalesce(trim(block), 'Unknown'), coalesce(trim(location_description), 'Unknown'))")
+GRAPH_CTES = [
+    f"""src AS (SELECT *, {_TEXT_KEY} AS location_text_key, strftime("date", '%Y-%m-%d') AS date_label FROM silver)""",
+    """crime AS (SELECT case_number, primary_type, description, crime_category, crime_offense_group, crime_offense_subtype,
+  arrest, domestic, beat AS beat_id, district AS district_id, ward AS ward_id, community_area AS community_area_id,
+  district_name, community_area_name FROM src)""",
+    """dates AS (SELECT DISTINCT date_label, strftime("date", '%Y%m%d') AS yyyymmdd_key, CAST("date" AS DATE) AS full_date,
+  CAST(isodow("date") - 1 AS INTEGER) AS day_of_week, CAST(month("date") AS INTEGER) AS "month",
+  CAST(year("date") AS INTEGER) AS "year" FROM src)""",
+    """places AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY location_text_key ORDER BY
+    latitude NULLS LAST, longitude NULLS LAST, location_description NULLS LAST, block NULLS LAST, beat_id NULLS LAST,
+    district_id NULLS LAST, ward_id NULLS LAST, community_area_id NULLS LAST, district_name NULLS LAST,
+    community_area_name NULLS LAST) AS rn FROM (
+  SELECT location_text_key, latitude, longitude, location_description, block, beat AS beat_id, district AS district_id,
+    ward AS ward_id, community_area AS community_area_id, district_name, community_area_name FROM src)) WHERE rn = 1)""",
+    """types AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY crime_type_key ORDER BY
+    crime_offense_label, crime_category, crime_offense_group) AS rn FROM (
+  SELECT crime_type_key, crime_offense_label, crime_category, crime_offense_group, crime_offense_subtype,
+    violent_crime_flag, property_crime_flag, drug_crime_flag, weapon_crime_flag FROM src)) WHERE rn = 1)""",
+    """edges AS (SELECT case_number AS src, 'OCCURRED_ON' AS "type", date_label AS dst FROM src
+  UNION ALL SELECT case_number, 'OCCURRED_AT', location_text_key FROM src
+  UNION ALL SELECT case_number, 'IS_OF_TYPE', CAST(crime_type_key AS VARCHAR) FROM src)""",
+]
+
+
+def with_graph(body: str, extra: list[str] | None = None) -> str:
+    return with_silver(body, located=True, extra=[*GRAPH_CTES, *(extra or [])])
+
+
+def _today(spark, sf):
+    return inputs.first_last_day(spark, sf)[1]
+
+
+def pruned(spark, sf):
+    """Prune, then drop what dangles; rows left per table plus what was deleted."""
+    before = build(spark, sf)
+    after = g.prune(before, _today(spark, sf), RETENTION)
+    cleaned, deleted = g.drop_dangling(after)
+
+    def size(kind, name, df):
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), "n")
+
+    parts = [size("left", name, cleaned[name]) for name in ("Crime", "Date", "Location", "CrimeType", "edges")]
+    parts.append(deleted.select(F.lit("deleted").alias("kind"), F.col("label").alias("name"), F.col("deleted_nodes").alias("n")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def pruned_edges(spark, sf):
+    """The edges that survive, as rows."""
+    return g.prune(build(spark, sf), _today(spark, sf), RETENTION)["edges"]
+
+
+def dangling_nodes(spark, sf):
+    """C19 after a prune, as rows."""
+    return g.dangling(g.prune(build(spark, sf), _today(spark, sf), RETENTION))
+
+
+_PRUNE_CTES = [
+    f"cutoff AS (SELECT strftime({LAST_DAY} - {RETENTION}, '%Y-%m-%d') AS c)",
+    """gone AS (SELECT src FROM edges WHERE "type" = 'OCCURRED_ON' AND dst < (SELECT c FROM cutoff))""",
+    "kept AS (SELECT * FROM edges WHERE src NOT IN (SELECT src FROM gone))",
+    """lost AS (SELECT 'Location' AS label, location_text_key AS key FROM places
+    WHERE location_text_key NOT IN (SELECT dst FROM kept WHERE "type" = 'OCCURRED_AT')
+  UNION ALL SELECT 'CrimeType', CAST(crime_type_key AS VARCHAR) FROM types
+    WHERE CAST(crime_type_key AS VARCHAR) NOT IN (SELECT dst FROM kept WHERE "type" = 'IS_OF_TYPE'))""",
+]
+PRUNED = with_graph("""SELECT 'left' AS kind, 'Crime' AS name, count(*) AS n FROM crime WHERE case_number NOT IN (SELECT src FROM gone)
+UNION ALL SELECT 'left', 'Date', count(*) FROM dates WHERE date_label >= (SELECT c FROM cutoff)
+UNION ALL SELECT 'left', 'Location', (SELECT count(*) FROM places) - count(*) FROM lost WHERE label = 'Location'
+UNION ALL SELECT 'left', 'CrimeType', (SELECT count(*) FROM types) - count(*) FROM lost WHERE label = 'CrimeType'
+UNION ALL SELECT 'left', 'edges', count(*) FROM kept
+UNION ALL SELECT 'deleted', label, count(*) FROM lost GROUP BY label""", _PRUNE_CTES)
+
+
+def violent_count(spark, sf):
+    return g.violent_between(build(spark, sf), *VIOLENT_RANGE)
+
+
+def area_group_count(spark, sf):
+    return g.group_in_area(build(spark, sf), AREA_TEXT, OFFENSE)
+
+
+def month_trend(spark, sf):
+    return g.month_trend(build(spark, sf), TREND_START)
+
+
+def coverage(spark, sf):
+    """Incidents per day inside the span that may be asked for."""
+    silver = inputs.silver(spark, sf).withColumn("day", F.to_date("date"))
+    last = _today(spark, sf)
+    rows = g.clamp_coverage(silver, "day", last, last - timedelta(days=700))
+    return rows.groupBy("day").agg(F.count(F.lit(1)).alias("incidents"))
+
+
+def edge_upsert(spark, sf):
+    """Loading the same batch twice leaves nodes and edges as they were."""
+    from tallyward.sources.tables import upsert, upsert_edges
+
+    graph = build(spark, sf)
+    twice = upsert_edges(graph["edges"], graph["edges"])
+    nodes = upsert(graph["CrimeType"], graph["CrimeType"], ["crime_type_key"])
+    return twice.groupBy("type").agg(F.count(F.lit(1)).alias("rows")).unionByName(
+        nodes.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("CrimeType").alias("type"), "rows"))
+
+
+QUERIES = {
+    "graph_crime_nodes": (crime_nodes, with_graph("SELECT * FROM crime")),
+    "graph_date_nodes": (date_nodes, with_graph("SELECT * FROM dates")),
+    "graph_location_nodes": (location_nodes, with_graph("SELECT * FROM places")),
+    "graph_type_nodes": (crime_type_nodes, with_graph("SELECT * FROM types")),
+    "graph_edges": (edges, with_graph("SELECT * FROM edges")),
+    "graph_prune": (pruned, PRUNED),
+    "graph_pruned_edges": (pruned_edges, with_graph("SELECT * FROM kept", _PRUNE_CTES)),
+    "graph_dangling": (dangling_nodes, with_graph("SELECT * FROM lost", _PRUNE_CTES)),
+    "graph_violent_count": (violent_count, with_graph(f"""SELECT count(*) AS n FROM edges o
+  JOIN edges t ON o.src = t.src AND t."type" = 'IS_OF_TYPE' JOIN types y ON CAST(y.crime_type_key AS VARCHAR) = t.dst
+  WHERE o."type" = 'OCCURRED_ON' AND o.dst BETWEEN '{VIOLENT_RANGE[0]}' AND '{VIOLENT_RANGE[1]}' AND y.violent_crime_flag = 1""")),
+    "graph_area_count": (area_group_count, with_graph(f"""SELECT count(*) AS n FROM crime
+  WHERE lower(community_area_name) LIKE '%' || replace('{AREA_TEXT}', '_', '\\_') || '%' ESCAPE '\\'
+  AND crime_offense_group = '{OFFENSE}'""")),
+    "graph_month_trend": (month_trend, with_graph(f"""SELECT CAST(year("date") AS INTEGER) AS "year",
+  CAST(month("date") AS INTEGER) AS "month", count(*) AS incidents FROM src WHERE date_label >= '{TREND_START}' GROUP BY 1, 2""")),
+    "graph_upsert": (edge_upsert, with_graph("""SELECT "type", count(*) AS "rows" FROM edges GROUP BY 1
+  UNION ALL SELECT 'CrimeType', count(*) FROM types""")),
+    "coverage_clamp": (coverage, with_silver(f"""SELECT CAST("date" AS DATE) AS day, count(*) AS incidents FROM silver
+  WHERE CAST("date" AS DATE) BETWEEN {LAST_DAY} - 700 AND {LAST_DAY} - 10 GROUP BY 1""")),
+}

@@ -1 +1,167 @@
-QUERIES = {}
+"""Serving snapshot and its read queries."""
+
+from __future__ import annotations
+
+from datetime import timedelta
+
+from pyspark.sql import functions as F
+
+from tallyward.catalog import inputs
+from tallyward.catalog.area_queries import RUN, run_date, stand_in_predictions, with_predictions
+from tallyward.catalog.oracle_blocks import with_silver
+from tallyward.operators import serving
+from tallyward.operators.features import area_features
+
+BATCHES = 3
+
+
+def ml_features(spark, sf):
+    """Incident-level rows the snapshot counts categories from."""
+    return inputs.silver(spark, sf).select(
+        F.to_date("process_date").alias("process_date"), F.col("community_area").try_cast("int").alias("community_area"),
+        "crime_category")
+
+
+def names(spark, sf):
+    """An area name table whose columns have to be found."""
+    return inputs.table(spark, sf, "nation").select(
+        (F.col("n_nationkey") + 1).cast("string").alias("area_numbe"), F.col("n_name").alias("community"))
+
+
+def snapshot_table(spark, sf):
+    """The snapshot after three consecutive batches."""
+    run = run_date(spark, sf)
+    features = area_features(inputs.silver(spark, sf), run - timedelta(days=BATCHES - 1), run)
+    predictions = stand_in_predictions(features)
+    incidents = ml_features(spark, sf)
+    out = None
+    for back in range(BATCHES):
+        part = serving.build_snapshot(predictions, incidents, features, run - timedelta(days=back), names(spark, sf))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def snapshot(spark, sf):
+    return snapshot_table(spark, sf).drop("source_prediction_ts")
+
+
+_BATCH_LIST = f"(SELECT CAST({RUN} - CAST(k AS INTEGER) AS DATE) AS pd FROM range({BATCHES}) t(k))"
+SNAPSHOT_CTES = [
+    f"""counted AS (SELECT b.pd, TRY_CAST(community_area AS INTEGER) AS area_id, crime_category, count(*) AS cnt
+  FROM silver s JOIN {_BATCH_LIST} b ON CAST(s.process_date AS DATE) BETWEEN b.pd - 90 AND b.pd
+  WHERE TRY_CAST(community_area AS INTEGER) > 0 GROUP BY 1, 2, 3)""",
+    """ranked AS (SELECT *, row_number() OVER (PARTITION BY pd, area_id ORDER BY cnt DESC, crime_category NULLS LAST) AS rn FROM counted)""",
+    """tops AS (SELECT pd, area_id, max(CASE WHEN rn = 1 THEN crime_category END) AS top_crime_1,
+  max(CASE WHEN rn = 2 THEN crime_category END) AS top_crime_2, max(CASE WHEN rn = 3 THEN crime_category END) AS top_crime_3
+  FROM ranked WHERE rn <= 3 GROUP BY 1, 2)""",
+    f"""snapshot AS (SELECT p.area_type, p.area_id, n.n_name AS area_name, p.predicted_count, p.predicted_count_low,
+  p.predicted_count_high, p.safety_score, t.top_crime_1, t.top_crime_2, t.top_crime_3, f.count_7d, f.violent_count_7d,
+  p.prediction_date, p.target_date, p.process_date, p.model_name, p.model_version, p.run_id
+  FROM scored_1 p JOIN {_BATCH_LIST} b ON p.process_date = b.pd
+  LEFT JOIN tops t ON t.pd = p.process_date AND t.area_id = p.area_id
+  LEFT JOIN features f ON f.process_date = p.process_date AND f.area_id = p.area_id
+  LEFT JOIN nation n ON n.n_nationkey + 1 = p.area_id)""",
+]
+
+
+def with_snapshot(body: str, extra: list[str] | None = None) -> str:
+    return with_predictions(body, [*SNAPSHOT_CTES, *(extra or [])])
+
+
+def top3_categories(spark, sf):
+    """D6, D7, E7 over the whole history."""
+    first, last = inputs.first_last_day(spark, sf)
+    return serving.top_categories(ml_features(spark, sf), first, last)
+
+
+TOP3 = with_silver("""SELECT area_id, max(CASE WHEN rn = 1 THEN c END) AS top_crime_1, max(CASE WHEN rn = 2 THEN c END) AS top_crime_2,
+  max(CASE WHEN rn = 3 THEN c END) AS top_crime_3 FROM (
+  SELECT area_id, c, row_number() OVER (PARTITION BY area_id ORDER BY n DESC, c) AS rn FROM (
+    SELECT TRY_CAST(community_area AS INTEGER) AS area_id, crime_category AS c, count(*) AS n FROM silver
+    WHERE TRY_CAST(community_area AS INTEGER) > 0 GROUP BY 1, 2)) WHERE rn <= 3 GROUP BY 1""")
+
+
+def _flat(areas):
+    """Category lists as text, so that both engines print them alike."""
+    text = F.array_join(F.transform("top_categories", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["label"])), "|")
+    return areas.withColumn("top_categories", text)
+
+
+def _fallback(spark, sf):
+    """Names for areas the snapshot could not name."""
+    return inputs.table(spark, sf, "supplier").filter(F.col("s_suppkey") > 0).select(
+        F.col("s_suppkey").cast("int").alias("area_id"), F.col("s_name").alias("area_name"))
+
+
+def areas_latest(spark, sf):
+    return _flat(serving.list_areas(snapshot_table(spark, sf), names=_fallback(spark, sf)))
+
+
+def areas_on_date(spark, sf):
+    run = run_date(spark, sf)
+    older = run - timedelta(days=1)
+    return _flat(serving.list_areas(snapshot_table(spark, sf), older, older + timedelta(days=4)))
+
+
+def _areas_sql(rows: str, name: str, join: str = "") -> str:
+    tops = " || ".join(f"CASE WHEN s.top_crime_{k} IS NULL THEN '' ELSE '|{k}:' || s.top_crime_{k} END" for k in (1, 2, 3))
+    return with_snapshot(f"""SELECT s.area_id, {name} AS name, s.safety_score,
+  CASE WHEN s.safety_score >= 70 THEN 'high' WHEN s.safety_score >= 40 THEN 'medium' ELSE 'low' END AS safety_band,
+  s.predicted_count, ltrim({tops}, '|') AS top_categories, s.predicted_count_low, s.predicted_count_high,
+  s.prediction_date, s.target_date, s.process_date, s.model_name, s.model_version FROM {rows} {join}""")
+
+
+AREAS_LATEST = _areas_sql(
+    """(SELECT s.* FROM snapshot s JOIN (SELECT area_id, max(prediction_date) AS pd FROM snapshot
+    WHERE process_date = (SELECT max(process_date) FROM snapshot) GROUP BY 1) l ON s.area_id = l.area_id AND s.prediction_date = l.pd
+    WHERE s.process_date = (SELECT max(process_date) FROM snapshot)) s""",
+    "coalesce(nullif(s.area_name, ''), r.s_name)", "LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey > 0) r ON r.s_suppkey = s.area_id")
+AREAS_ON_DATE = _areas_sql(f"""(SELECT * FROM snapshot WHERE process_date = {RUN} - 1 AND prediction_date = {RUN} + 3) s""",
+                           "nullif(s.area_name, '')")
+
+
+def city_summary(spark, sf):
+    return serving.city_summary(snapshot_table(spark, sf)).withColumn("average_safety", F.round("average_safety", 6))
+
+
+_CITY = """SELECT s.process_date, avg(safety_score) AS a, count(*) AS n FROM snapshot s
+  JOIN (SELECT process_date, area_id, max(prediction_date) AS pd FROM snapshot GROUP BY 1, 2) l
+  ON s.process_date = l.process_date AND s.area_id = l.area_id AND s.prediction_date = l.pd GROUP BY 1"""
+CITY_SUMMARY = with_snapshot(f"""SELECT process_date, round(a, 6) AS average_safety, n AS total_areas FROM ({_CITY})
+  ORDER BY process_date DESC LIMIT 1""")
+
+
+def city_compare(spark, sf):
+    rows = serving.city_compare(snapshot_table(spark, sf), strict=False)
+    return rows.withColumns({c: F.round(c, 6) for c in (
+        "average_safety_current", "average_safety_previous", "delta_average_safety")})
+
+
+CITY_COMPARE = with_snapshot(f"""SELECT c.process_date AS process_date_current, p.process_date AS process_date_previous,
+  round(c.a, 6) AS average_safety_current, round(p.a, 6) AS average_safety_previous, round(c.a - p.a, 6) AS delta_average_safety,
+  CASE WHEN c.a - p.a > 1e-6 THEN 'up' WHEN c.a - p.a < -1e-6 THEN 'down' ELSE 'flat' END AS direction,
+  c.n AS total_areas_current, p.n AS total_areas_previous
+FROM city c JOIN city p ON p.process_date = (SELECT max(process_date) FROM city WHERE process_date < c.process_date)
+WHERE c.process_date = (SELECT max(process_date) FROM city)""", [f"city AS ({_CITY})"])
+
+
+def recent_batches(spark, sf):
+    """the two newest distinct incident days, each with its incident count."""
+    silver = inputs.silver(spark, sf)
+    newest = serving.recent_batches(silver.select(F.to_date("process_date").alias("process_date")))
+    counts = silver.groupBy(F.to_date("process_date").alias("process_date")).agg(F.count(F.lit(1)).alias("incidents"))
+    return counts.join(newest, "process_date")
+
+
+RECENT_BATCHES = with_silver("""SELECT CAST(process_date AS DATE) AS process_date, count(*) AS incidents FROM silver
+GROUP BY 1 ORDER BY 1 DESC LIMIT 2""")
+
+QUERIES = {
+    "top3_categories": (top3_categories, TOP3),
+    "snapshot": (snapshot, with_snapshot("SELECT * FROM snapshot")),
+    "areas_latest": (areas_latest, AREAS_LATEST),
+    "areas_on_date": (areas_on_date, AREAS_ON_DATE),
+    "city_summary": (city_summary, CITY_SUMMARY),
+    "city_compare": (city_compare, CITY_COMPARE),
+    "recent_batches": (recent_batches, RECENT_BATCHES),
+}

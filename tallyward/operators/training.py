@@ -106,10 +106,10 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def model_complete(spark: SparkSession, path: str) -> bool:
-    """The pipeline's metadata was fully written."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/metadata/part-00000")
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    """The pipeline's metadata was fully written (its first part exists)."""
+    sentinel = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/metadata/part-00000*")
+    found = sentinel.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(sentinel)
+    return found is not None and len(found) > 0
 
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel:
