@@ -145,3 +145,33 @@ def naive_times(df: DataFrame) -> DataFrame:
     """Timestamps without time zone, so that a comparison does not depend on the session's zone."""
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c)
                        for c, t in df.dtypes])
+
+
+def event_landing(spark: SparkSession, sf_dir: str, delivery: int = 1) -> DataFrame:
+    """Landing records from every event. The second delivery repeats the even ids with a later
+    ``updated_on`` and another type."""
+    from tallyward.schema import LANDING_COLUMNS, evolve
+
+    ts = F.col("ts").cast("string")
+    day = F.substring(ts, 1, 10)
+    kinds = F.create_map(*[F.lit(v) for v in ("click", "THEFT", "error", "BATTERY", "purchase", "NARCOTICS",
+                                              "signup", "WEAPONS VIOLATION", "view", "GAMBLING")])
+    rows = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("event_id").cast("string").alias("id"),
+        F.concat(F.lit("EV"), F.col("event_id").cast("string")).alias("case_number"),
+        F.concat(day, F.lit("T"), F.substring(ts, 12, 8)).alias("date"),
+        kinds[F.col("event_type")].alias("primary_type"),
+        F.get_json_object("props", "$.k").alias("description"),
+        F.lit("STREET").alias("location_description"),
+        F.when(F.col("value") > 50, "true").otherwise("false").alias("arrest"),
+        (F.col("user_id") % 25).cast("string").alias("district"),
+        (F.col("user_id") % 77 + 1).cast("string").alias("community_area"),
+        F.concat(day, F.lit("T23:00:00")).alias("updated_on"),
+    )
+    if delivery == 2:
+        rows = rows.filter(F.col("event_id") % 2 == 0).withColumns({
+            "updated_on": F.concat(F.lit("2025-01-01T00:00:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0")),
+            "primary_type": F.lit("ARSON"),
+        })
+    return evolve(rows, ", ".join(f"{c} string" for c in LANDING_COLUMNS)).select(*LANDING_COLUMNS)

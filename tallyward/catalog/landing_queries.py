@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyward.catalog import inputs
-from tallyward.catalog.oracle_blocks import classified, hits_cte, layer_ctes, with_landing, with_silver
+from tallyward.catalog.oracle_blocks import EVENT_KIND, classified, hits_cte, layer_ctes, with_landing, with_silver
 from tallyward.functions.taxonomy import FLAG_CATEGORY, TAXONOMY_COLUMNS, ensure_taxonomy
 from tallyward.operators.dedupe import dedupe_landing, full_order, keep_latest
 from tallyward.operators.spatial import locate
@@ -40,16 +40,7 @@ LANDING_DEDUPE = with_landing("""SELECT * EXCLUDE (rn) FROM (SELECT *, row_numbe
 
 def landing_days(spark, sf):
     """A2, A3: the events of every day through the landing folder, written twice, read back whole."""
-    ts = F.col("ts").cast("string")
-    events = inputs.table(spark, sf, "events").select(
-        F.col("event_id").cast("string").alias("id"),
-        F.concat(F.lit("CN"), F.col("event_id").cast("string")).alias("case_number"),
-        F.concat(F.substring(ts, 1, 10), F.lit("T"), F.substring(ts, 12, 8)).alias("date"),
-        F.upper("event_type").alias("primary_type"),
-        F.col("user_id").cast("string").alias("community_area"),
-    )
-    from tallyward.schema import LANDING_COLUMNS, evolve
-    full = evolve(events, ", ".join(f"{c} string" for c in LANDING_COLUMNS)).select(*LANDING_COLUMNS)
+    full = inputs.event_landing(spark, sf)
     path = scratch_path(spark, "landing")
     write_landing(full, path)
     write_landing(full, path)
@@ -58,8 +49,8 @@ def landing_days(spark, sf):
         F.countDistinct("community_area").alias("areas"))
 
 
-LANDING_DAYS = """SELECT strftime(ts, '%Y-%m-%d') AS day, upper(event_type) AS primary_type, count(*) AS records,
-  count(DISTINCT event_id) AS ids, count(DISTINCT user_id) AS areas FROM events GROUP BY 1, 2"""
+LANDING_DAYS = f"""SELECT strftime(ts, '%Y-%m-%d') AS day, {EVENT_KIND} AS primary_type, count(*) AS records,
+  count(DISTINCT event_id) AS ids, count(DISTINCT user_id % 77) AS areas FROM events GROUP BY 1, 2"""
 
 
 def silver_incidents(spark, sf):

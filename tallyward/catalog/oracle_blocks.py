@@ -178,3 +178,5 @@ RISK_LEVEL = """CASE WHEN location_type = 'Public/Street' THEN 'High'
     WHEN location_type IN ('Residential','Educational','Medical','Religious') THEN 'Low' ELSE 'Medium' END"""
 TIME_PERIOD = """CASE WHEN {h} BETWEEN 5 AND 11 THEN 'Morning' WHEN {h} BETWEEN 12 AND 17 THEN 'Afternoon'
     WHEN {h} BETWEEN 18 AND 22 THEN 'Evening' ELSE 'Night' END"""
+EVENT_KIND = """CASE event_type WHEN 'click' THEN 'THEFT' WHEN 'error' THEN 'BATTERY' WHEN 'purchase' THEN 'NARCOTICS'
+    WHEN 'signup' THEN 'WEAPONS VIOLATION' WHEN 'view' THEN 'GAMBLING' END"""

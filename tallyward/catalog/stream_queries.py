@@ -1 +1,78 @@
-QUERIES = {}
+"""Structured Streaming jobs run to completion over the whole events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyward.catalog import inputs
+from tallyward.catalog.oracle_blocks import EVENT_KIND
+from tallyward.plans.fanout import ml_feature_writer
+from tallyward.session import scratch_path
+from tallyward.streaming.arrivals import landing_stream, run_arrivals
+from tallyward.streaming.daily_counts import read_counts, windowed_counts, write_updates
+
+
+def stream_daily(spark, sf):
+    """Tumbling day counts per user with a ten-day watermark; equals the batch result."""
+    schema = inputs.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    counts = windowed_counts(events, "ts", "user_id", {
+        "count_1d": F.count(F.lit(1)),
+        "errors": F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)),
+        "purchases": F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)),
+    })
+    path = scratch_path(spark, "stream-daily")
+    write_updates(counts, path, scratch_path(spark, "stream-daily-state")).awaitTermination()
+    return read_counts(spark, path)
+
+
+STREAM_DAILY = """SELECT user_id AS area_id, CAST(ts AS DATE) AS event_date, count(*) AS count_1d,
+  CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors,
+  CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS purchases FROM events GROUP BY 1, 2"""
+
+
+def _run_stream(spark, sf):
+    """Two deliveries as separate micro-batches; the second corrects the even ids."""
+    inbox, silver = scratch_path(spark, "inbox"), scratch_path(spark, "stream-silver")
+    features, state = scratch_path(spark, "stream-ml"), scratch_path(spark, "stream-silver-state")
+    for delivery in (1, 2):
+        inputs.event_landing(spark, sf, delivery).write.mode("append").parquet(inbox)
+        run_arrivals(landing_stream(spark, inbox), silver, state, [ml_feature_writer(features)],
+                     key_method="md5").awaitTermination()
+    return silver, features
+
+
+def stream_silver(spark, sf):
+    """L1, L4: the silver table after both deliveries."""
+    silver, _ = _run_stream(spark, sf)
+    return spark.read.parquet(silver).select(
+        "id", "case_number", "primary_type", "crime_category", "community_area", "arrest",
+        F.col("date").cast("timestamp_ntz").alias("date"), F.col("updated_on").cast("timestamp_ntz").alias("updated_on"),
+        "process_date")
+
+
+STREAM_SILVER = f"""SELECT event_id AS id, 'EV' || event_id AS case_number,
+  CASE WHEN event_id % 2 = 0 THEN 'ARSON' ELSE {EVENT_KIND} END AS primary_type,
+  CASE WHEN event_id % 2 = 0 THEN 'Property' ELSE CASE event_type WHEN 'click' THEN 'Property' WHEN 'error' THEN 'Violent'
+    WHEN 'purchase' THEN 'Drug' WHEN 'signup' THEN 'Weapons' WHEN 'view' THEN 'Public order' END END AS crime_category,
+  CAST(user_id % 77 + 1 AS VARCHAR) AS community_area, value > 50 AS arrest, date_trunc('second', ts) AS "date",
+  CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2025-01-01' + to_seconds(event_id % 60)
+    ELSE date_trunc('day', ts) + INTERVAL 23 HOUR END AS updated_on,
+  CAST(ts AS DATE) AS process_date FROM events"""
+
+
+def stream_features(spark, sf):
+    """L3: what the follow-up writer left behind, counted per day, area and category."""
+    _, features = _run_stream(spark, sf)
+    return spark.read.parquet(features).groupBy("process_date", "community_area", "crime_category").agg(
+        F.count(F.lit(1)).alias("incidents"))
+
+
+STREAM_FEATURES = f"""SELECT process_date, CAST(community_area AS INTEGER) AS community_area, crime_category, count(*) AS incidents
+FROM ({STREAM_SILVER}) GROUP BY 1, 2, 3"""
+
+QUERIES = {
+    "stream_daily": (stream_daily, STREAM_DAILY),
+    "stream_silver": (stream_silver, STREAM_SILVER),
+    "stream_features": (stream_features, STREAM_FEATURES),
+}

@@ -12,7 +12,7 @@ from tallyward.operators import facts, quality
 from tallyward.operators.joins import current_rows
 from tallyward.schema import evolve
 from tallyward.session import scratch_path
-from tallyward.sources.tables import merge_slice, replace_slices, upsert, upsert_slices
+from tallyward.sources.tables import merge_slices, replace_slices, upsert, upsert_slices
 
 
 def _orders(spark, sf):
@@ -24,10 +24,10 @@ def _orders(spark, sf):
 def slice_replace(spark, sf):
     """Write all slices, rewrite the months of 1998 with doubled prices twice, read back."""
     orders, path = _orders(spark, sf), scratch_path(spark, "slices")
-    replace_slices(orders.hint("rebalance", "batch_month"), path, ["batch_month"])
+    replace_slices(orders, path, ["batch_month"])
     again = orders.filter(F.year("batch_month") == 1998).withColumn("o_totalprice", F.col("o_totalprice") * 2)
     for _ in range(2):
-        replace_slices(again.hint("rebalance", "batch_month"), path, ["batch_month"])
+        replace_slices(again, path, ["batch_month"])
     return spark.read.parquet(path).groupBy("batch_month").agg(
         F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("price"))
 
@@ -40,7 +40,7 @@ FROM orders GROUP BY 1"""
 def upsert_merge(spark, sf):
     """A21 in place: finished orders get a new status, half of them twice; other rows stay."""
     orders, path = _orders(spark, sf), scratch_path(spark, "upsert-target")
-    replace_slices(orders.hint("rebalance", "batch_month"), path, ["batch_month"])
+    replace_slices(orders, path, ["batch_month"])
     updates = orders.filter(F.col("o_orderstatus") == "F").withColumn("o_orderstatus", F.lit("X"))
     upsert_slices(spark, path, updates, ["o_orderkey"], "batch_month")
     upsert_slices(spark, path, updates.filter(F.col("o_orderkey") % 2 == 0), ["o_orderkey"], "batch_month")
@@ -65,16 +65,16 @@ UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT
 
 
 def staging_merge(spark, sf):
-    """Staging holds every line twice; each order year is promoted, the first one again."""
+    """Staging holds every line twice; all ship years are promoted, 1998 once more."""
     lines = inputs.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.year("l_shipdate").alias("process_year"))
     lines = lines.groupBy("process_year", "l_orderkey", "l_linenumber").agg(
         F.max("l_partkey").alias("l_partkey"), F.max("l_quantity").alias("l_quantity"))
     staging, final = scratch_path(spark, "staging"), scratch_path(spark, "final")
     replace_slices(lines.unionByName(lines), staging, ["process_year"])
-    years = [r[0] for r in spark.read.parquet(staging).select("process_year").distinct().orderBy("process_year").collect()]
-    for year in [*years, years[0]]:
-        merge_slice(spark, staging, final, year, ["l_orderkey", "l_linenumber"], "process_year")
+    keys = ["l_orderkey", "l_linenumber"]
+    merge_slices(spark, staging, final, keys, partition_col="process_year")
+    merge_slices(spark, staging, final, keys, [1998], "process_year")
     return spark.read.parquet(final).groupBy("process_year").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("l_partkey").alias("part_sum"),
         F.sum("l_quantity").alias("quantity"))
@@ -90,8 +90,8 @@ def schema_evolve(spark, sf):
     events = inputs.table(spark, sf, "events").select("event_id", "event_type", "value", F.to_date("ts").alias("day"))
     path = scratch_path(spark, "evolve")
     old = events.filter(F.col("day") < "2024-01-15").select("event_id", "day")
-    replace_slices(old.hint("rebalance", "day"), path, ["day"])
-    replace_slices(events.filter(F.col("day") >= "2024-01-15").hint("rebalance", "day"), path, ["day"])
+    replace_slices(old, path, ["day"])
+    replace_slices(events.filter(F.col("day") >= "2024-01-15"), path, ["day"])
     table = spark.read.option("mergeSchema", "true").parquet(path)
     return evolve(table, "event_type string, value double, note string").select("event_id", "event_type", "value", "note", "day")
 

@@ -43,9 +43,9 @@ def incidents(source: DataFrame) -> DataFrame:
     return keep_latest(source.filter(F.col("case_number").isNotNull()), ["case_number"], [*lead, *rest])
 
 
-def crime_nodes(rows: DataFrame) -> DataFrame:
-    """14 properties."""
-    return rows.select("case_number", "primary_type", "description", "crime_category", "crime_offense_group",
+def crime_nodes(rows: DataFrame, *extra: str) -> DataFrame:
+    """14 properties, and any ``extra`` columns."""
+    return rows.select(*extra, "case_number", "primary_type", "description", "crime_category", "crime_offense_group",
                        "crime_offense_subtype", "arrest", "domestic", *_place_columns(), "district_name",
                        "community_area_name")
 
@@ -73,14 +73,15 @@ def crime_type_nodes(source: DataFrame) -> DataFrame:
     return keep_one(rows, ["crime_type_key"])
 
 
-def edges(rows: DataFrame) -> DataFrame:
+def edges(rows: DataFrame, *extra: str) -> DataFrame:
     """Three edges per incident row, unfolded in place. Rows are unique per case number already."""
     links = F.array(
         F.struct(F.lit(OCCURRED_ON).alias("type"), F.col("date_label").alias("dst")),
         F.struct(F.lit(OCCURRED_AT).alias("type"), F.col("location_text_key").alias("dst")),
         F.struct(F.lit(IS_OF_TYPE).alias("type"), F.col("crime_type_key").cast("string").alias("dst")),
     )
-    out = rows.select(F.col("case_number").alias("src"), F.explode(links).alias("e")).select("src", "e.type", "e.dst")
+    out = rows.select(*extra, F.col("case_number").alias("src"), F.explode(links).alias("e")).select(
+        *extra, "src", "e.type", "e.dst")
     return out.filter(F.col("dst").isNotNull())
 
 

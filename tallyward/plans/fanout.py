@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyward.operators import graph
+from tallyward.operators.dedupe import keep_latest
 from tallyward.operators.features import LOOKAHEAD_DAYS, LOOKBACK_DAYS, area_features
-from tallyward.operators.graph import build_graph
+from tallyward.operators.quality import NODE_KEYS
 from tallyward.plans.star import build_dimensions, build_facts, write_star
 from tallyward.sources.tables import replace_slices
 
@@ -52,14 +54,41 @@ def area_feature_writer(silver_path: str, path: str):
 
 
 def graph_writer(base: str, key_method: str = "xxhash64"):
-    """Node and edge rows of the changed days, one slice per incident day."""
+    """Node and edge rows of the changed days, one slice per incident day and table.
+
+    ``read_graph`` gives the current graph: the newest slice wins per node key.
+    """
 
     def write(changed: DataFrame) -> None:
-        graph = build_graph(changed, key_method)
-        days = changed.select("case_number", F.to_date("date").alias("batch_date")).distinct()
-        crimes = graph["Crime"].join(days, "case_number")
-        replace_slices(crimes, f"{base}/Crime", ["batch_date"])
-        edge_days = days.withColumnRenamed("case_number", "src")
-        replace_slices(graph["edges"].join(edge_days, "src"), f"{base}/edges", ["batch_date"])
+        source = graph.graph_source(changed, key_method).withColumn("batch_date", F.to_date("date"))
+        source = source.filter(F.col("batch_date").isNotNull())
+        rows = graph.incidents(source)
+        tables = {
+            "Crime": graph.crime_nodes(rows, "batch_date"),
+            "Date": graph.date_nodes(rows).withColumn("batch_date", F.col("full_date")),
+            "Location": _per_day(source, graph.location_nodes, "location_text_key"),
+            "CrimeType": _per_day(source, graph.crime_type_nodes, "crime_type_key"),
+            "edges": graph.edges(rows, "batch_date"),
+        }
+        for name, df in tables.items():
+            replace_slices(df, f"{base}/{name}", ["batch_date"])
 
     return write
+
+
+def _per_day(source: DataFrame, build, key: str) -> DataFrame:
+    """Nodes of every key, attached to each day on which the key occurs."""
+    return build(source).join(source.select(key, "batch_date").distinct(), key)
+
+
+def read_graph(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The stored graph: latest slice per node key, distinct edges of the latest slice per incident."""
+    out = {}
+    for name, key in NODE_KEYS.items():
+        stored = spark.read.parquet(f"{base}/{name}")
+        rest = [c for c in stored.columns if c not in (key, "batch_date")]
+        order = [F.desc("batch_date"), *[F.asc_nulls_last(c) for c in rest]]
+        out[name] = keep_latest(stored, [key], order).drop("batch_date")
+    stored = spark.read.parquet(f"{base}/edges")
+    out["edges"] = keep_latest(stored, ["src", "type"], [F.desc("batch_date"), F.asc("dst")]).drop("batch_date")
+    return out

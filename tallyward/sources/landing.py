@@ -26,8 +26,7 @@ def day_slice(df: DataFrame, ts_col: str, day: date) -> DataFrame:
 def write_landing(df: DataFrame, path: str, ts_col: str = "date") -> None:
     """A2: overwrite the day folders present in ``df``; days without rows get no folder.
 
-    ``df`` may span any number of days; rows are first brought together by day so that a day does
-    not end up in one small file per task. AQE splits a day that outgrows a partition.
+    ``df`` may span any number of days.
     """
     day = F.col(ts_col).cast("string")
     parts = df.withColumns({
@@ -35,7 +34,7 @@ def write_landing(df: DataFrame, path: str, ts_col: str = "date") -> None:
         "landing_month": F.substring(day, 6, 2),
         "landing_day": F.substring(day, 9, 2),
     })
-    replace_slices(parts.hint("rebalance", *PARTITIONS), path, PARTITIONS)
+    replace_slices(parts, path, PARTITIONS)
 
 
 def read_landing(spark: SparkSession, path: str, day: date | None = None) -> DataFrame | None:

@@ -49,13 +49,17 @@ def add_missing_columns(spark: SparkSession, name: str, optional: str) -> list[s
     return [f.name for f in missing]
 
 
-def replace_slices(df: DataFrame, path: str, partition_cols: Sequence[str], fmt: str = "parquet") -> None:
+def replace_slices(df: DataFrame, path: str, partition_cols: Sequence[str], fmt: str = "parquet",
+                   gather: bool = True) -> None:
     """Overwrite only the partitions present in ``df``; a rerun changes nothing.
 
-    An empty frame leaves the table as it is.
+    An empty frame leaves the table as it is. ``gather`` brings the rows of a slice together first, so
+    that a slice does not end up as one small file per task; a slice that outgrows a partition is
+    split by adaptive execution, so a day holding a third of all rows is still written in parallel.
     """
-    (df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*partition_cols).save(path))
+    rows = df.hint("rebalance", *partition_cols) if gather else df
+    (rows.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*partition_cols).save(path))
 
 
 def replace_table_slices(df: DataFrame, name: str) -> None:
@@ -106,11 +110,16 @@ def upsert_edges(edges: DataFrame, updates: DataFrame) -> DataFrame:
     return edges.unionByName(updates).dropDuplicates(["src", "type", "dst"])
 
 
-def merge_slice(spark: SparkSession, staging_path: str, final_path: str, batch, keys: Sequence[str],
-                partition_col: str = "process_date") -> None:
-    """Promote one batch from staging: dedupe by key, then replace that slice."""
-    batch_rows = spark.read.parquet(staging_path).filter(F.col(partition_col) == F.lit(batch))
-    replace_slices(keep_one(batch_rows, keys), final_path, [partition_col])
+def merge_slices(spark: SparkSession, staging_path: str, final_path: str, keys: Sequence[str],
+                 batches: Sequence | None = None, partition_col: str = "process_date") -> None:
+    """Promote the given batches (default: all that are staged) in one job.
+
+    Rows are deduplicated by key within their batch, then each staged slice replaces its final one.
+    """
+    rows = spark.read.parquet(staging_path)
+    if batches is not None:
+        rows = rows.filter(F.col(partition_col).isin(list(batches)))
+    replace_slices(keep_one(rows, [partition_col, *keys]), final_path, [partition_col])
 
 
 def replace_batch_jdbc(df: DataFrame, url: str, table: str, batch, properties: dict[str, str],
