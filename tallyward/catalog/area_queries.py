@@ -10,6 +10,7 @@ from tallyward.catalog import inputs
 from tallyward.catalog.oracle_blocks import FIRST_DAY, LAST_DAY, with_silver
 from tallyward.operators.features import COUNTS, area_daily_counts, area_features
 from tallyward.operators.horizon import LABEL_COLUMN, expand_horizons, split_sizes, split_windows
+from tallyward.operators.layout import stage
 from tallyward.operators.monitoring import drift, evaluate
 from tallyward.operators.scoring import finish_predictions, scoring_frame
 
@@ -129,18 +130,18 @@ def stand_in_predictions(features, version: str = "1", process_date: date | None
 
 
 def _recent_features(spark, sf):
+    """Stored features of the last batches; scoring and monitoring read them several times."""
     run = run_date(spark, sf)
-    return area_features(inputs.silver(spark, sf), run - timedelta(days=BATCH_DAYS), run)
+    return stage(area_features(inputs.silver(spark, sf), run - timedelta(days=BATCH_DAYS), run), "features")
 
 
-def recent_predictions(spark, sf):
-    """Both stand-in models over the batches of the last forty days."""
-    features = _recent_features(spark, sf)
+def recent_predictions(features):
+    """Both stand-in models over the given batches."""
     return stand_in_predictions(features, "1").unionByName(stand_in_predictions(features, "2"))
 
 
 def score_batch(spark, sf):
-    return recent_predictions(spark, sf).drop("created_at")
+    return recent_predictions(_recent_features(spark, sf)).drop("created_at")
 
 
 def _prediction_sql(version: str) -> str:
@@ -179,7 +180,8 @@ def _rounded(df, *names):
 
 def evaluate_window(spark, sf, per_model=False):
     run = run_date(spark, sf)
-    rows = evaluate(recent_predictions(spark, sf), _recent_features(spark, sf), run - timedelta(days=7),
+    features = _recent_features(spark, sf)
+    rows = evaluate(stage(recent_predictions(features), "predictions"), features, run - timedelta(days=7),
                     run - timedelta(days=1), run, per_model=per_model)
     return _rounded(rows.drop("created_at"), "rmse", "mae", "r2")
 
@@ -202,7 +204,8 @@ EVALUATE_PER_MODEL = with_predictions(f"""SELECT model_name, model_version, {_ME
 
 def drift_metrics(spark, sf):
     run = run_date(spark, sf)
-    rows = drift(_recent_features(spark, sf), recent_predictions(spark, sf), run - timedelta(days=1), run)
+    features = _recent_features(spark, sf)
+    rows = drift(features, recent_predictions(features), run - timedelta(days=1), run)
     return _rounded(rows.drop("created_at"), "ref_mean", "ref_std", "cur_mean", "drift_score")
 
 

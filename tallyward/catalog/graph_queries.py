@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tallyward.catalog import inputs
 from tallyward.catalog.oracle_blocks import LAST_DAY, with_silver
+from tallyward.functions.taxonomy import TAXONOMY_COLUMNS
 from tallyward.operators import graph as g
+from tallyward.operators.layout import stage
 
 RETENTION = 1500
 TREND_START = "1997-03-01"
@@ -20,6 +22,15 @@ def build(spark, sf):
     return g.build_graph(inputs.silver(spark, sf, located=True), "md5")
 
 
+def stored(spark, sf):
+    """The graph as stored tables: the located incidents are computed once, each table is written once."""
+    silver = stage(inputs.silver(spark, sf, located=True).select(
+        "id", "case_number", "date", "block", "primary_type", "description", "location_description", "arrest", "domestic",
+        "beat", "district", "ward", "community_area", "community_area_name", "district_name", "latitude", "longitude",
+        "updated_on", *TAXONOMY_COLUMNS), "silver")
+    return {name: stage(df, name) for name, df in g.build_graph(silver, "md5").items()}
+
+
 def crime_nodes(spark, sf):
     return build(spark, sf)["Crime"]
 
@@ -76,8 +87,9 @@ def _today(spark, sf):
 
 def pruned(spark, sf):
     """Prune, then drop what dangles; rows left per table plus what was deleted."""
-    before = build(spark, sf)
+    before = stored(spark, sf)
     after = g.prune(before, _today(spark, sf), RETENTION)
+    after = {**after, "edges": stage(after["edges"], "edges")}
     cleaned, deleted = g.drop_dangling(after)
 
     def size(kind, name, df):
@@ -93,12 +105,12 @@ def pruned(spark, sf):
 
 def pruned_edges(spark, sf):
     """The edges that survive, as rows."""
-    return g.prune(build(spark, sf), _today(spark, sf), RETENTION)["edges"]
+    return g.prune(stored(spark, sf), _today(spark, sf), RETENTION)["edges"]
 
 
 def dangling_nodes(spark, sf):
     """C19 after a prune, as rows."""
-    return g.dangling(g.prune(build(spark, sf), _today(spark, sf), RETENTION))
+    return g.dangling(g.prune(stored(spark, sf), _today(spark, sf), RETENTION))
 
 
 _PRUNE_CTES = [
@@ -119,15 +131,15 @@ UNION ALL SELECT 'deleted', label, count(*) FROM lost GROUP BY label""", _PRUNE_
 
 
 def violent_count(spark, sf):
-    return g.violent_between(build(spark, sf), *VIOLENT_RANGE)
+    return g.violent_between(stored(spark, sf), *VIOLENT_RANGE)
 
 
 def area_group_count(spark, sf):
-    return g.group_in_area(build(spark, sf), AREA_TEXT, OFFENSE)
+    return g.group_in_area(stored(spark, sf), AREA_TEXT, OFFENSE)
 
 
 def month_trend(spark, sf):
-    return g.month_trend(build(spark, sf), TREND_START)
+    return g.month_trend(stored(spark, sf), TREND_START)
 
 
 def coverage(spark, sf):
@@ -142,7 +154,7 @@ def edge_upsert(spark, sf):
     """Loading the same batch twice leaves nodes and edges as they were."""
     from tallyward.sources.tables import upsert, upsert_edges
 
-    graph = build(spark, sf)
+    graph = stored(spark, sf)
     twice = upsert_edges(graph["edges"], graph["edges"])
     nodes = upsert(graph["CrimeType"], graph["CrimeType"], ["crime_type_key"])
     return twice.groupBy("type").agg(F.count(F.lit(1)).alias("rows")).unionByName(

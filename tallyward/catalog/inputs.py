@@ -10,6 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyward.operators.layout import spread
 from tallyward.plans.silver import build_silver
 from tallyward.sources.boundaries import boundary_layer
 
@@ -112,7 +113,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landing records (all text) from every lineitem row; repeated order lines are repeated ids."""
-    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {c}" for c, e in LANDING_EXPRESSIONS.items()])
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(*[f"{e} as {c}" for c, e in LANDING_EXPRESSIONS.items()])
 
 
 def raw_boundary(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from tallyward.catalog import inputs
 from tallyward.catalog.oracle_blocks import EVENT_KIND, classified, hits_cte, layer_ctes, with_landing, with_silver
 from tallyward.functions.taxonomy import FLAG_CATEGORY, TAXONOMY_COLUMNS, ensure_taxonomy
 from tallyward.operators.dedupe import dedupe_landing, full_order, keep_latest
+from tallyward.operators.layout import spread
 from tallyward.operators.spatial import locate
 from tallyward.session import scratch_path
 from tallyward.sources.boundaries import boundary_layer, normalize_features
@@ -76,7 +77,7 @@ TAXONOMY = with_silver(f"""SELECT primary_type, description, iucr, {_TAX}, count
 
 def pip_join(spark, sf):
     """Every lineitem's point against overlapping shapes with holes and parts, all matches kept."""
-    points = inputs.table(spark, sf, "lineitem").selectExpr(
+    points = spread(inputs.table(spark, sf, "lineitem")).selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         f"{inputs.LANDING_EXPRESSIONS['longitude']} as longitude",
         f"{inputs.LANDING_EXPRESSIONS['latitude']} as latitude")
@@ -86,7 +87,7 @@ def pip_join(spark, sf):
 
 def pip_join_many(spark, sf):
     """C2 with one polygon per supplier, on the salted cell join that large polygon tables take."""
-    points = inputs.table(spark, sf, "lineitem").selectExpr(
+    points = spread(inputs.table(spark, sf, "lineitem")).selectExpr(
         "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as pid",
         "l_orderkey", "l_partkey", f"{inputs.LANDING_EXPRESSIONS['longitude']} as longitude",
         f"{inputs.LANDING_EXPRESSIONS['latitude']} as latitude")

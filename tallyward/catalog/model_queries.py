@@ -8,6 +8,7 @@ from tallyward.catalog import inputs
 from tallyward.catalog.area_queries import run_date
 from tallyward.operators.features import area_features
 from tallyward.operators.horizon import split_windows
+from tallyward.operators.layout import stage
 from tallyward.operators.registry import promotion, resolve_model
 from tallyward.operators.training import finite_only, load_model, regression_metrics, save_model, train
 from tallyward.plans.area_risk import score_batch
@@ -21,10 +22,7 @@ def train_score(spark, sf):
     """Fit on the training window, save, load, score the run date."""
     run = run_date(spark, sf)
     windows = split_windows(run)
-    features = area_features(inputs.silver(spark, sf), windows["train"][0], run)
-    staged = scratch_path(spark, "features")
-    features.write.parquet(staged)
-    features = spark.read.parquet(staged)
+    features = stage(area_features(inputs.silver(spark, sf), windows["train"][0], run), "features")
     model, metrics = train(features, windows, params=ROUNDS)
     path = scratch_path(spark, "model")
     save_model(model, path)

@@ -11,13 +11,14 @@ from tallyward.catalog.area_queries import RUN, run_date, stand_in_predictions,
 from tallyward.catalog.oracle_blocks import with_silver
 from tallyward.operators import serving
 from tallyward.operators.features import area_features
+from tallyward.operators.layout import stage
 
 BATCHES = 3
 
 
-def ml_features(spark, sf):
+def ml_features(silver):
     """Incident-level rows the snapshot counts categories from."""
-    return inputs.silver(spark, sf).select(
+    return silver.select(
         F.to_date("process_date").alias("process_date"), F.col("community_area").try_cast("int").alias("community_area"),
         "crime_category")
 
@@ -31,14 +32,17 @@ def names(spark, sf):
 def snapshot_table(spark, sf):
     """The snapshot after three consecutive batches."""
     run = run_date(spark, sf)
-    features = area_features(inputs.silver(spark, sf), run - timedelta(days=BATCHES - 1), run)
-    predictions = stand_in_predictions(features)
-    incidents = ml_features(spark, sf)
+    silver = stage(inputs.silver(spark, sf).select(
+        "date", "process_date", "community_area", "crime_category", "arrest", "domestic", "violent_crime_flag",
+        "property_crime_flag", "drug_crime_flag", "weapon_crime_flag"), "silver")
+    features = stage(area_features(silver, run - timedelta(days=BATCHES - 1), run), "features")
+    predictions = stage(stand_in_predictions(features), "predictions")
+    incidents = ml_features(silver)
     out = None
     for back in range(BATCHES):
         part = serving.build_snapshot(predictions, incidents, features, run - timedelta(days=back), names(spark, sf))
         out = part if out is None else out.unionByName(part)
-    return out
+    return stage(out, "snapshot")
 
 
 def snapshot(spark, sf):
@@ -71,7 +75,7 @@ def with_snapshot(body: str, extra: list[str] | None = None) -> str:
 def top3_categories(spark, sf):
     """D6, D7, E7 over the whole history."""
     first, last = inputs.first_last_day(spark, sf)
-    return serving.top_categories(ml_features(spark, sf), first, last)
+    return serving.top_categories(ml_features(inputs.silver(spark, sf)), first, last)
 
 
 TOP3 = with_silver("""SELECT area_id, max(CASE WHEN rn = 1 THEN c END) AS top_crime_1, max(CASE WHEN rn = 2 THEN c END) AS top_crime_2,

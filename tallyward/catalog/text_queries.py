@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyward.catalog import inputs
 from tallyward.operators import messages
+from tallyward.operators.layout import spread
 
 # One logged query per document, in SQL that both engines read. Every text is part of its query.
 _NEWLINE = "chr(10)"
@@ -18,7 +19,7 @@ QUERY_TEXT = f"""case
 
 
 def textlog_guardrails(spark, sf):
-    log = inputs.table(spark, sf, "documents").selectExpr("doc_id", f"{QUERY_TEXT} as query")
+    log = spread(inputs.table(spark, sf, "documents")).selectExpr("doc_id", f"{QUERY_TEXT} as query")
     return messages.guard_queries(log).drop("query")
 
 
@@ -51,7 +52,7 @@ RESULT_TEXT = """case when doc_id % 13 = 0 then '  ' when doc_id % 7 = 0 then '
 
 
 def result_summary(spark, sf):
-    log = inputs.table(spark, sf, "documents").selectExpr("doc_id", f"{RESULT_TEXT} as content")
+    log = spread(inputs.table(spark, sf, "documents")).selectExpr("doc_id", f"{RESULT_TEXT} as content")
     return messages.summarize_results(log).drop("content")
 
 
@@ -66,7 +67,7 @@ FROM (SELECT doc_id, {_strip('content')} AS t FROM (SELECT doc_id, {RESULT_TEXT}
 def message_log(spark, sf):
     """Assistant turns as tool messages: web results, graph results and an unnamed tool that also
     returns web results; user turns stay as they are."""
-    turns = inputs.table(spark, sf, "conversations")
+    turns = spread(inputs.table(spark, sf, "conversations"))
     conv, turn = F.col("conv_id"), F.col("turn")
     kind = (conv + turn) % 4
     first = F.struct(

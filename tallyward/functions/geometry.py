@@ -2,7 +2,8 @@
 
 A polygon, whatever its text or binary form, becomes one flat list of edges over all its rings.
 Even-odd crossing counts over that list handle holes and multi-part shapes alike. Horizontal edges
-can never be crossed by a horizontal ray, so they are dropped, which also keeps the slope finite.
+bound a polygon but can never be crossed by a horizontal ray: ``crossable`` leaves them out, which
+also keeps the slope finite.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def _wkb_geometry(data: bytes, pos: int) -> tuple[list, int]:
 
 
 def edges_from_rings(rings: Column) -> Column:
-    """array<struct<x1,y1,x2,y2>>; each ring is closed, horizontal and incomplete edges dropped."""
+    """array<struct<x1,y1,x2,y2>>; each ring is closed, rings without an area dropped."""
 
     def ring_edges(ring: Column) -> Column:
         points = F.filter(ring, lambda p: p.getItem(0).isNotNull() & p.getItem(1).isNotNull())
@@ -103,7 +104,12 @@ def edges_from_rings(rings: Column) -> Column:
         )
 
     usable = F.filter(rings, lambda r: F.size(r) >= 3)
-    return F.filter(F.flatten(F.transform(usable, ring_edges)), lambda e: e["y1"] != e["y2"])
+    return F.flatten(F.transform(usable, ring_edges))
+
+
+def crossable(edges: Column) -> Column:
+    """The edges a horizontal ray can cross."""
+    return F.filter(edges, lambda e: e["y1"] != e["y2"])
 
 
 def edge_extent(edges: Column) -> dict[str, Column]:
@@ -120,7 +126,7 @@ def edge_extent(edges: Column) -> dict[str, Column]:
 
 
 def contains_point(edges: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule: an odd number of edges lies to the right of the point."""
+    """Even-odd rule over crossable edges: an odd number of them lies to the right of the point."""
 
     def crossed(e: Column) -> Column:
         spans = (e["y1"] > y) != (e["y2"] > y)

@@ -5,6 +5,8 @@ Java patterns carry ``(?U)`` where Unicode word and space classes matter.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------------------------
 WRITE_KEYWORDS = ["CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP"]
 PROCEDURE_CALL = r"\bcall\s+db\."
-STRING_OPERATORS = r"\bCONTAINS\b|\bSTARTS\s+WITH\b|\bENDS\s+WITH\b"
+STRING_OPERATORS = ["CONTAINS", r"STARTS\s+WITH", r"ENDS\s+WITH"]
 FLAG_NAME = r"([\w]+(?:\.[\w]+)*)"
 INTERNAL_WORDS = ["neo4j", "cypher", "gql_status", "clienterror", "syntaxerror", "database",
                   "read_neo4j_cypher", "traceback", "exception"]
@@ -39,18 +41,39 @@ def strip_comments(query: Column) -> Column:
     return strip_unicode(q)
 
 
+def _from_word_start(keyword: str) -> str:
+    """The keyword, required to begin a word. The boundary is tested behind its first word, so that
+    most positions of a long text fail on the first letter already."""
+    head = re.match(r"[A-Z]+", keyword).group()
+    return rf"{head}(?<=\b{head}){keyword[len(head):]}"
+
+
 def repair_apostrophes(query: Column) -> Column:
-    """M2: escape a quote that closes a literal too early, at most five times."""
-    pattern = rf"(?iU)({STRING_OPERATORS})\s*'([^']*)'([A-Za-z][^']*)'"
-    for _ in range(APOSTROPHE_PASSES):
-        query = F.regexp_replace(query, pattern, r"$1 '$2\\'$3'")
-    return query
+    """M2: escape a quote that closes a literal too early, at most five times.
+
+    The passes stop at the first one that finds nothing, so an intact text is scanned once.
+    """
+    operators = "|".join(_from_word_start(k) for k in STRING_OPERATORS)
+    pattern = rf"(?iU)({operators})\s*'([^']*)'([A-Za-z][^']*)'"
+
+    def one_pass(state: Column, _: Column) -> Column:
+        fixed = F.regexp_replace(state["q"], pattern, r"$1 '$2\\'$3'")
+        again = state["open"] & state["q"].rlike(pattern)
+        return F.when(again, _state(fixed, True)).otherwise(_state(state["q"], False))
+
+    passes = F.sequence(F.lit(1), F.lit(APOSTROPHE_PASSES))
+    return F.aggregate(passes, _state(query, True), one_pass, lambda state: state["q"])
+
+
+def _state(query: Column, is_open: bool) -> Column:
+    return F.struct(query.alias("q"), F.lit(is_open).alias("open"))
 
 
 def repair_flag_tests(query: Column) -> Column:
     """M3: a bare flag in CASE WHEN becomes a comparison; the negated form first."""
-    q = F.regexp_replace(query, rf"(?iU)\bWHEN\s+NOT\s+{FLAG_NAME}\s+THEN\b", "WHEN $1 <> 1 THEN")
-    return F.regexp_replace(q, rf"(?iU)\bWHEN\s+{FLAG_NAME}\s+THEN\b", "WHEN $1 = 1 THEN")
+    when = _from_word_start("WHEN")
+    q = F.regexp_replace(query, rf"(?iU){when}\s+NOT\s+{FLAG_NAME}\s+THEN\b", "WHEN $1 <> 1 THEN")
+    return F.regexp_replace(q, rf"(?iU){when}\s+{FLAG_NAME}\s+THEN\b", "WHEN $1 = 1 THEN")
 
 
 def query_class(query: Column) -> Column:

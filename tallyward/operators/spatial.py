@@ -1,9 +1,10 @@
 """Point-in-polygon enrichment.
 
 Both sides are assigned to square cells and joined on the cell, never pairwise. A polygon goes to
-every cell its box covers and takes along only the edges that can matter there: a horizontal ray
-to the right from a point in the cell meets no edge outside the cell's band or left of it. Cells
-that keep no edge lie outside the polygon and are dropped.
+every cell its box covers. Where no edge of it comes near the cell, the whole cell is inside or
+outside: outside cells are dropped and inside cells need no further test. In the other cells the
+polygon takes along only the edges that can matter there: a horizontal ray to the right from a
+point in the cell meets no edge outside the cell's band or left of it.
 
 Two exact join forms follow, chosen by the measured size of the polygon side:
 
@@ -18,28 +19,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.functions.geometry import contains_point, edge_extent
+from tallyward.functions.geometry import contains_point, crossable, edge_extent
 
 MAX_BROADCAST_CELLS = 200_000
 MAX_BROADCAST_EDGES = 1_000_000
 SALT = 16
-CELLS_PER_SIDE = 4
-MAX_CELLS_PER_SIDE = 64
+# Cells along the side of an average polygon, and the most along the side of the largest one.
+MIN_CELLS_PER_SIDE, MAX_CELLS_PER_SIDE = 4, 16
+MAX_CELLS_OF_LARGEST = 128
+# Tolerance around a cell, as a share of its side: covers rounding in the cell index.
+CELL_MARGIN = 1e-3
 
 
 def cell_size_for(layer: DataFrame) -> float:
-    """Cell edge: a quarter of the average polygon side, but no polygon may cover more than
-    MAX_CELLS_PER_SIDE squared cells. Reads the polygon side once."""
+    """Cell side from one pass over the polygon side.
+
+    The more cells, the more of them lie wholly inside a polygon; their number is kept within half
+    the broadcast bound where that allows at least MIN_CELLS_PER_SIDE per average polygon side.
+    """
     box = layer.select(*[c.alias(n) for n, c in edge_extent(F.col("edges")).items()])
     side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    row = box.agg(F.avg(side).alias("mean"), F.max(side).alias("top")).first()
+    row = box.agg(F.count(side).alias("n"), F.avg(side).alias("mean"), F.max(side).alias("top")).first()
     if not row["top"]:
         return 1.0
-    return float(max(row["mean"] / CELLS_PER_SIDE, row["top"] / MAX_CELLS_PER_SIDE))
+    affordable = (MAX_BROADCAST_CELLS / 2 / row["n"]) ** 0.5
+    per_side = min(max(affordable, MIN_CELLS_PER_SIDE), MAX_CELLS_PER_SIDE)
+    return float(max(row["mean"] / per_side, row["top"] / MAX_CELLS_OF_LARGEST))
 
 
 def polygon_cells(layer: DataFrame, size: float) -> DataFrame:
-    """(cell_x, cell_y, poly_id, poly_name, edges): the polygon pieces each cell needs."""
+    """(cell_x, cell_y, poly_id, poly_name, whole, edges): the polygon pieces each cell needs."""
     boxed = layer.select("poly_id", "poly_name", "edges", *[
         c.alias(n) for n, c in edge_extent(F.col("edges")).items()]).filter(F.col("min_x").isNotNull())
     cells = (
@@ -47,20 +56,29 @@ def polygon_cells(layer: DataFrame, size: float) -> DataFrame:
         .withColumn("cell_x", F.explode(F.sequence(_cell(F.col("min_x"), size), _cell(F.col("max_x"), size))))
         .withColumn("cell_y", F.explode(F.sequence(_cell(F.col("min_y"), size), _cell(F.col("max_y"), size))))
     )
-    # One spare cell around the exact bounds keeps rounding of the cell index harmless.
-    low_y, high_y = (F.col("cell_y") - 1) * size, (F.col("cell_y") + 2) * size
-    low_x = (F.col("cell_x") - 1) * size
+    low_x, high_x = (F.col("cell_x") - CELL_MARGIN) * size, (F.col("cell_x") + 1 + CELL_MARGIN) * size
+    low_y, high_y = (F.col("cell_y") - CELL_MARGIN) * size, (F.col("cell_y") + 1 + CELL_MARGIN) * size
     local = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low_y)
                      & (F.least(e["y1"], e["y2"]) <= high_y)
                      & (F.greatest(e["x1"], e["x2"]) >= low_x))
-    return (cells.select("cell_x", "cell_y", "poly_id", "poly_name", local.alias("edges"))
-            .filter(F.size("edges") > 0))
+    near = F.exists(local, lambda e: F.least(e["x1"], e["x2"]) <= high_x)
+    pieces = cells.select("cell_x", "cell_y", "poly_id", "poly_name", (~near).alias("whole"),
+                          crossable(local).alias("edges"))
+    centre = contains_point(F.col("edges"), (F.col("cell_x") + 0.5) * size, (F.col("cell_y") + 0.5) * size)
+    judged = pieces.filter(~F.col("whole") | centre)
+    kept_edges = F.when(F.col("whole"), F.slice("edges", 1, 0)).otherwise(F.col("edges"))
+    return judged.select("cell_x", "cell_y", "poly_id", "poly_name", "whole", kept_edges.alias("edges"))
 
 
 def _cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(size)).cast("bigint")
 
 
+def _holds(whole: Column, edges: Column) -> Column:
+    """Whether a polygon piece holds the point of its row."""
+    return whole | contains_point(edges, F.col("_x"), F.col("_y"))
+
+
 def locate(points: DataFrame, layer: DataFrame, lon: str = "longitude", lat: str = "latitude",
            on_overlap: str = "first", point_id: str | None = "id", size: float | None = None,
            max_broadcast_cells: int = MAX_BROADCAST_CELLS,
@@ -89,10 +107,10 @@ def locate(points: DataFrame, layer: DataFrame, lon: str = "longitude", lat: str
 
 def _locate_bounded(placed: DataFrame, cells: DataFrame, on_overlap: str) -> DataFrame:
     per_cell = F.broadcast(cells.groupBy("cell_x", "cell_y").agg(
-        F.collect_list(F.struct("poly_id", "poly_name", "edges")).alias("_candidates")))
+        F.collect_list(F.struct("poly_id", "poly_name", "whole", "edges")).alias("_candidates")))
     joined = placed.join(per_cell, (F.col("_cx") == F.col("cell_x")) & (F.col("_cy") == F.col("cell_y")), "left")
     hits = F.transform(
-        F.filter("_candidates", lambda c: contains_point(c["edges"], F.col("_x"), F.col("_y"))),
+        F.filter("_candidates", lambda c: _holds(c["whole"], c["edges"])),
         lambda c: F.struct(c["poly_id"].alias("poly_id"), c["poly_name"].alias("poly_name")),
     )
     base = joined.withColumn("_hits", hits).drop("cell_x", "cell_y", "_candidates")
@@ -110,7 +128,7 @@ def _locate_large(placed: DataFrame, cells: DataFrame, on_overlap: str, point_id
     copies = cells.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
     pairs = salted.join(copies, (F.col("_cx") == F.col("cell_x")) & (F.col("_cy") == F.col("cell_y"))
                         & (F.col("_salt") == F.col("_copy")))
-    matches = pairs.filter(contains_point(F.col("edges"), F.col("_x"), F.col("_y")))
+    matches = pairs.filter(_holds(F.col("whole"), F.col("edges")))
     hits = matches.select("_pid", F.struct("poly_id", "poly_name").alias("_hit"))
     if on_overlap == "first":
         hits = hits.groupBy("_pid").agg(F.min("_hit").alias("_hit"))
