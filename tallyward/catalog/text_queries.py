@@ -23,6 +23,12 @@ def textlog_guardrails(spark, sf):
     return messages.guard_queries(log).drop("query")
 
 
+def textlog_literal_passes(spark, sf):
+    """The same log with the five plain passes, which escape a repaired quote again."""
+    log = spread(inputs.table(spark, sf, "documents")).selectExpr("doc_id", f"{QUERY_TEXT} as query")
+    return messages.guard_queries(log, literal_passes=True).drop("query")
+
+
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 
 
@@ -30,21 +36,22 @@ def _strip(text: str) -> str:
     return rf"regexp_replace({text}, '\A{_WS}+|{_WS}+\z', '', 'g')"
 
 
-def _guarded(query: str) -> str:
+def _guarded(query: str, content: str) -> str:
     q = rf"regexp_replace({query}, '(?s)/\*.*?\*/', '', 'g')"
     q = rf"regexp_replace({q}, '--[^\n]*', '', 'g')"
     q = _strip(rf"regexp_replace({q}, '\n{_WS}*\n', chr(10), 'g')")
     for _ in range(5):
-        q = (rf"regexp_replace({q}, '(?i)(\bCONTAINS\b|\bSTARTS\s+WITH\b|\bENDS\s+WITH\b)\s*''([^'']*)''([A-Za-z][^'']*)''', "
+        q = (rf"regexp_replace({q}, '(?i)(\bCONTAINS\b|\bSTARTS\s+WITH\b|\bENDS\s+WITH\b)\s*''({content})''([A-Za-z][^'']*)''', "
              rf"'\1 ''\2\\''\3''', 'g')")
     q = rf"regexp_replace({q}, '(?i)\bWHEN\s+NOT\s+([\w]+(?:\.[\w]+)*)\s+THEN\b', 'WHEN \1 <> 1 THEN', 'g')"
     return rf"regexp_replace({q}, '(?i)\bWHEN\s+([\w]+(?:\.[\w]+)*)\s+THEN\b', 'WHEN \1 = 1 THEN', 'g')"
 
 
-GUARDRAILS = rf"""SELECT doc_id, normalized_query, CASE WHEN {_strip('normalized_query')} = '' THEN 'empty'
+def _guard_sql(content: str) -> str:
+    return rf"""SELECT doc_id, normalized_query, CASE WHEN {_strip('normalized_query')} = '' THEN 'empty'
   WHEN regexp_matches(normalized_query, '(?i)\b(CREATE|MERGE|DELETE|DETACH|SET|REMOVE|DROP)\b|\bcall\s+db\.') THEN 'write'
   ELSE 'read_only' END AS query_class
-FROM (SELECT doc_id, {_guarded('query')} AS normalized_query FROM (SELECT doc_id, {QUERY_TEXT} AS query FROM documents))"""
+FROM (SELECT doc_id, {_guarded('query', content)} AS normalized_query FROM (SELECT doc_id, {QUERY_TEXT} AS query FROM documents))"""
 
 # Tool results: plain texts, JSON arrays, blanks and error messages.
 RESULT_TEXT = """case when doc_id % 13 = 0 then '  ' when doc_id % 7 = 0 then ' ["' || source || '","' || lang || '",' || cast(doc_id as string) || '] '
@@ -123,7 +130,8 @@ SELECT thread_id, call_id, coalesce(tool, 'unknown_tool') AS tool_name FROM last
 AND NOT EXISTS (SELECT 1 FROM answers a WHERE a.thread_id = l.thread_id AND a.call_id = l.call_id AND a.p > l.p)"""
 
 QUERIES = {
-    "textlog_guardrails": (textlog_guardrails, GUARDRAILS),
+    "textlog_guardrails": (textlog_guardrails, _guard_sql(r"(?:[^''\\]|\\[\s\S])*")),
+    "textlog_literal_passes": (textlog_literal_passes, _guard_sql("[^'']*")),
     "result_summary": (result_summary, RESULT_SUMMARY),
     "citations": (citations, CITATIONS),
     "dangling_calls": (dangling_calls, DANGLING_CALLS),

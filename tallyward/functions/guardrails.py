@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WRITE_KEYWORDS = ["CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP"]
 PROCEDURE_CALL = r"\bcall\s+db\."
 STRING_OPERATORS = ["CONTAINS", r"STARTS\s+WITH", r"ENDS\s+WITH"]
-FLAG_NAME = r"([\w]+(?:\.[\w]+)*)"
+FLAG_NAME = r"([\w]++(?:\.[\w]++)*+)"
 INTERNAL_WORDS = ["neo4j", "cypher", "gql_status", "clienterror", "syntaxerror", "database",
                   "read_neo4j_cypher", "traceback", "exception"]
 EMPTY_RESULT = "No results returned."
@@ -29,8 +29,11 @@ _SPACE = r"[\s\x{1c}-\x{1f}]"
 
 
 def strip_unicode(text: Column) -> Column:
-    """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    """Trim every kind of white space at both ends.
+
+    The trailing run is only tried from its first character, so long inner runs stay linear.
+    """
+    return F.regexp_replace(text, rf"(?U)\A{_SPACE}++|{_SPACE}(?<!{_SPACE}{_SPACE}){_SPACE}*+\z", "")
 
 
 def strip_comments(query: Column) -> Column:
@@ -48,13 +51,16 @@ def _from_word_start(keyword: str) -> str:
     return rf"{head}(?<=\b{head}){keyword[len(head):]}"
 
 
-def repair_apostrophes(query: Column) -> Column:
+def repair_apostrophes(query: Column, literal_passes: bool = False) -> Column:
     """M2: escape a quote that closes a literal too early, at most five times.
 
-    The passes stop at the first one that finds nothing, so an intact text is scanned once.
+    The passes stop at the first one that finds nothing, so an intact text is scanned once. A quote
+    behind a backslash counts as escaped. ``literal_passes=True`` ignores backslashes as the plain
+    rule does: it then finds each repaired quote again and adds a backslash in every pass.
     """
     operators = "|".join(_from_word_start(k) for k in STRING_OPERATORS)
-    pattern = rf"(?iU)({operators})\s*'([^']*)'([A-Za-z][^']*)'"
+    content = r"[^']*" if literal_passes else r"[^'\\]*+(?:\\[\s\S][^'\\]*+)*+"
+    pattern = rf"(?iU)({operators})\s*'({content})'([A-Za-z][^']*)'"
 
     def one_pass(state: Column, _: Column) -> Column:
         fixed = F.regexp_replace(state["q"], pattern, r"$1 '$2\\'$3'")
@@ -83,9 +89,9 @@ def query_class(query: Column) -> Column:
             .when(query.rlike(forbidden), "write").otherwise("read_only"))
 
 
-def normalize_query(query: Column) -> Column:
+def normalize_query(query: Column, literal_passes: bool = False) -> Column:
     """M1, M2 and M3 in that order."""
-    return repair_flag_tests(repair_apostrophes(strip_comments(query)))
+    return repair_flag_tests(repair_apostrophes(strip_comments(query), literal_passes))
 
 
 def result_summary(content: Column) -> Column:

@@ -21,9 +21,9 @@ GRAPH_TITLE = "Crime Knowledge Graph"
 GRAPH_EMPTY_DETAIL = "Queried the crime knowledge graph."
 
 
-def guard_queries(df: DataFrame, query_col: str = "query") -> DataFrame:
+def guard_queries(df: DataFrame, query_col: str = "query", literal_passes: bool = False) -> DataFrame:
     """M1-M4: add ``normalized_query`` and ``query_class``."""
-    out = df.withColumn("normalized_query", normalize_query(F.col(query_col)))
+    out = df.withColumn("normalized_query", normalize_query(F.col(query_col), literal_passes))
     return out.withColumn("query_class", query_class(F.col("normalized_query")))
 
 
