@@ -10,6 +10,7 @@ from tallyward.catalog.star_queries import FACT_ROWS, PLACE_ROWS, TYPE_ROWS
 from tallyward.operators import dimensions as dim
 from tallyward.operators import facts, quality
 from tallyward.operators.joins import current_rows
+from tallyward.operators.layout import stage
 from tallyward.schema import evolve
 from tallyward.session import scratch_path
 from tallyward.sources.tables import merge_slices, replace_slices, upsert, upsert_slices
@@ -103,7 +104,7 @@ SCHEMA_EVOLVE = """SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN
 def dimension_current(spark, sf):
     """The location dimension appended by two batches, written twice, cut to current rows."""
     first, last = inputs.first_last_day(spark, sf)
-    silver, path = inputs.silver(spark, sf), scratch_path(spark, "dim-location")
+    silver, path = stage(inputs.silver(spark, sf), "silver"), scratch_path(spark, "dim-location")
     for batch in (first, last, last):
         replace_slices(dim.location_dimension(silver, batch, "md5"), path, ["updated_date"])
     stored = spark.read.parquet(path)
@@ -118,7 +119,7 @@ FROM ({PLACE_ROWS})""")
 def quality_suites(spark, sf):
     """Landing, silver and star suites over the whole history."""
     first, last = inputs.first_last_day(spark, sf)
-    silver = inputs.silver(spark, sf)
+    silver = stage(inputs.silver(spark, sf), "silver")
     dims = {
         "dim_date": dim.date_dimension_for(spark, last), "dim_time_of_day": dim.time_of_day_dimension(spark, last),
         "dim_location": dim.location_dimension(silver, last, "md5"),

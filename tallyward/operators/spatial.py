@@ -16,6 +16,8 @@ Two exact join forms follow, chosen by the measured size of the polygon side:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,20 +33,38 @@ MAX_CELLS_OF_LARGEST = 128
 CELL_MARGIN = 1e-3
 
 
-def cell_size_for(layer: DataFrame) -> float:
-    """Cell side from one pass over the polygon side.
+@dataclass(frozen=True)
+class CellPlan:
+    """Cell side, and upper bounds on what the polygon side becomes with it."""
+
+    size: float
+    cells: float
+    edges: float
+
+
+def plan_cells(layer: DataFrame, size: float | None = None) -> CellPlan:
+    """One pass over the polygon side.
 
     The more cells, the more of them lie wholly inside a polygon; their number is kept within half
-    the broadcast bound where that allows at least MIN_CELLS_PER_SIDE per average polygon side.
+    the broadcast bound where that allows at least MIN_CELLS_PER_SIDE per average polygon side. A box
+    of width w and height h touches at most (w / size + 2) * (h / size + 2) cells, each holding at
+    most all edges of its polygon; the sums of these terms do not depend on the size.
     """
-    box = layer.select(*[c.alias(n) for n, c in edge_extent(F.col("edges")).items()])
-    side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    row = box.agg(F.count(side).alias("n"), F.avg(side).alias("mean"), F.max(side).alias("top")).first()
-    if not row["top"]:
-        return 1.0
-    affordable = (MAX_BROADCAST_CELLS / 2 / row["n"]) ** 0.5
-    per_side = min(max(affordable, MIN_CELLS_PER_SIDE), MAX_CELLS_PER_SIDE)
-    return float(max(row["mean"] / per_side, row["top"] / MAX_CELLS_OF_LARGEST))
+    box = layer.select(F.size("edges").alias("e"), *[c.alias(n) for n, c in edge_extent(F.col("edges")).items()])
+    w, h, e = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.col("e")
+    side = F.greatest(w, h)
+    s = box.filter(F.col("min_x").isNotNull()).agg(
+        F.count(side).alias("n"), F.avg(side).alias("mean"), F.max(side).alias("top"),
+        F.sum(w * h).alias("wh"), F.sum(w + h).alias("wph"), F.sum(w * h * e).alias("whe"),
+        F.sum((w + h) * e).alias("wphe"), F.sum(e).alias("e")).first()
+    if not s["top"]:
+        return CellPlan(size or 1.0, 0, 0)
+    if size is None:
+        affordable = (MAX_BROADCAST_CELLS / 2 / s["n"]) ** 0.5
+        per_side = min(max(affordable, MIN_CELLS_PER_SIDE), MAX_CELLS_PER_SIDE)
+        size = float(max(s["mean"] / per_side, s["top"] / MAX_CELLS_OF_LARGEST))
+    return CellPlan(size, s["wh"] / size ** 2 + 2 * s["wph"] / size + 4 * s["n"],
+                    s["whe"] / size ** 2 + 2 * s["wphe"] / size + 4 * s["e"])
 
 
 def polygon_cells(layer: DataFrame, size: float) -> DataFrame:
@@ -91,12 +111,12 @@ def locate(points: DataFrame, layer: DataFrame, lon: str = "longitude", lat: str
     """
     if on_overlap not in ("first", "all"):
         raise ValueError("on_overlap is 'first' or 'all'")
-    size = size or cell_size_for(layer)
+    plan = plan_cells(layer, size)
+    size = plan.size
     cells = polygon_cells(layer, size)
     x, y = F.col(lon).try_cast("double"), F.col(lat).try_cast("double")
     placed = points.withColumns({"_x": x, "_y": y, "_cx": _cell(x, size), "_cy": _cell(y, size)})
-    weight = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.size("edges")).alias("edges")).first()
-    if weight["cells"] <= max_broadcast_cells and (weight["edges"] or 0) <= max_broadcast_edges:
+    if _fits(plan, cells, max_broadcast_cells, max_broadcast_edges):
         found = _locate_bounded(placed, cells, on_overlap)
     else:
         if point_id is None:
@@ -105,6 +125,16 @@ def locate(points: DataFrame, layer: DataFrame, lon: str = "longitude", lat: str
     return found.drop("_x", "_y", "_cx", "_cy")
 
 
+def _fits(plan: CellPlan, cells: DataFrame, max_cells: int, max_edges: int) -> bool:
+    """Whether the polygon side may be broadcast: by its bounds, else by counting it."""
+    if plan.cells <= max_cells and plan.edges <= max_edges:
+        return True
+    if max_cells <= 0:
+        return False
+    weight = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.size("edges")).alias("edges")).first()
+    return weight["cells"] <= max_cells and (weight["edges"] or 0) <= max_edges
+
+
 def _locate_bounded(placed: DataFrame, cells: DataFrame, on_overlap: str) -> DataFrame:
     per_cell = F.broadcast(cells.groupBy("cell_x", "cell_y").agg(
         F.collect_list(F.struct("poly_id", "poly_name", "whole", "edges")).alias("_candidates")))

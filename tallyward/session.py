@@ -20,6 +20,13 @@ SQL_SETTINGS = {
 }
 
 
+def shuffle_partitions(input_bytes: int, cores: int, target_bytes: int = 256 * 1024 * 1024,
+                       most: int = 50_000) -> int:
+    """Initial shuffle partitions for a job over ``input_bytes``: about ``target_bytes`` each, at least
+    two per core, and no more than a driver can track. AQE merges the ones that turn out small."""
+    return int(min(max(2 * cores, -(-input_bytes // target_bytes)), most))
+
+
 def build_session(app_name: str = "tallyward", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session with the settings above; ``conf`` entries win."""
     builder = SparkSession.builder.appName(app_name)

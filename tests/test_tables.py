@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyward.operators import quality
 from tallyward.schema import EVALUATION_DDL, OPTIONAL_COLUMNS, SILVER_DDL, enforce, evolve, struct_of
-from tallyward.session import scratch_path
+from tallyward.session import scratch_path, shuffle_partitions
 from tallyward.sources import tables
 
 D = date(2026, 3, 15)
@@ -106,6 +106,12 @@ def test_scratch_follows_the_session_setting(spark, tmp_path, monkeypatch):
     assert path != scratch_path(spark, "x")
 
 
+def test_shuffle_partitions_grow_with_the_input():
+    assert shuffle_partitions(10 ** 7, 8) == 16
+    assert shuffle_partitions(10 ** 12, 8) == 3726
+    assert shuffle_partitions(10 ** 14, 4000) == 50_000
+
+
 def test_quality_checks(spark):
     df = spark.createDataFrame([(1, "Violent", 5.0, D), (1, "Odd", 500.0, D), (None, None, None, D)],
                                "id int, crime_category string, latitude double, process_date date")

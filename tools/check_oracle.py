@@ -60,8 +60,7 @@ def connect(sf_dir: str):
     return con
 
 
-def compare(spark, con, sf_dir: str, query, sql: str | None) -> tuple[bool, str]:
-    df = query(spark, sf_dir)
+def compare(con, df, sql: str | None) -> tuple[bool, str]:
     got = rows_of(df.columns, df.collect())
     if sql is None:
         return len(got) > 0, f"{len(got)} rows (no oracle)"
@@ -105,7 +104,7 @@ def main() -> int:
             continue
         start = time.time()
         try:
-            ok, note = compare(spark, con, sf_dir, query, sql)
+            ok, note = compare(con, query(spark, sf_dir), sql)
         except Exception as exc:  # report and go on
             ok, note = False, f"{type(exc).__name__}: {str(exc)[:1500]}"
         bad += not ok
