@@ -38,7 +38,7 @@ def snap(spark):
     names = spark.createDataFrame([("1.0", "Uptown")], "area_num_1 string, name string")
     newer = serving.build_snapshot(preds, ml, feats, P, names)
     older = serving.build_snapshot(preds, ml, feats, P - timedelta(days=1))
-    return newer.unionByName(older).cache()
+    return newer.unionByName(older)
 
 
 def test_snapshot_columns_and_defaults(snap):
