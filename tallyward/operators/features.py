@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,16 +41,23 @@ LABELS = [
 ]
 
 
-def source_window(silver: DataFrame, start: date, end: date) -> DataFrame:
+def source_window(silver: DataFrame, start: date, end: date, by_slice: bool = False) -> DataFrame:
     """Silver rows that features for [start, end] can see, as a range on the raw time column.
 
     A plain comparison reaches the scan; wrapping the column in a date function would not.
+    ``by_slice`` adds the same range on the slice date ``process_date``, so that only those folders are
+    listed and read. It needs a table whose slice date is the incident day.
     """
     low = start - timedelta(days=LOOKBACK_DAYS)
     high = end + timedelta(days=LOOKAHEAD_DAYS + 1)
-    kind = dict(silver.dtypes)["date"]
-    return silver.filter((F.col("date") >= F.lit(low.isoformat()).cast(kind))
-                         & (F.col("date") < F.lit(high.isoformat()).cast(kind)))
+    kinds = dict(silver.dtypes)
+
+    def within(column: str) -> Column:
+        lower, upper = F.lit(low.isoformat()), F.lit(high.isoformat())
+        return (F.col(column) >= lower.cast(kinds[column])) & (F.col(column) < upper.cast(kinds[column]))
+
+    rows = silver.filter(within("date"))
+    return rows.filter(within("process_date")) if by_slice else rows
 
 
 def area_daily_counts(silver: DataFrame, area_type: str = "community_area") -> DataFrame:
@@ -107,18 +114,19 @@ def active_grid(daily: DataFrame, keys: Sequence[str] = ("area_type", "area_id")
 
 def area_features(silver: DataFrame, start: date, end: date | None = None,
                   area_type: str = "community_area", label_fill: str = "zero",
-                  roster: DataFrame | None = None) -> DataFrame:
+                  roster: DataFrame | None = None, by_slice: bool = False) -> DataFrame:
     """Feature rows for every process date in [start, end] in one job.
 
     Incidents without an area form one null-area row per day whose counts are all zero.
     ``label_fill="null"`` leaves labels null for days after the last silver day of the window, where
     "no incident" cannot be told from "not loaded yet". ``roster`` (column area_id) adds zero rows for
-    areas without any incident in the window.
+    areas without any incident in the window. ``by_slice`` prunes the slices of a stored table (see
+    ``source_window``).
     """
     end = end or start
     if start > end:
         raise ValueError(f"start {start} is after end {end}")
-    source = source_window(silver, start, end)
+    source = source_window(silver, start, end, by_slice)
     daily = area_daily_counts(source, area_type)
     known = F.col("area_id").isNotNull()
     daily = daily.withColumns({c: F.when(known, F.col(c)).otherwise(0) for c in COUNTS})

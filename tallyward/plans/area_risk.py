@@ -20,9 +20,12 @@ from tallyward.sources.tables import replace_slices
 EVAL_FIRST, EVAL_LAST = 7, 1
 
 
-def write_features(silver: DataFrame, path: str, start: date, end: date | None = None) -> None:
-    """Daily run or backfill: one job whatever the number of dates."""
-    replace_slices(area_features(silver, start, end), path, ["process_date"])
+def write_features(silver: DataFrame, path: str, start: date, end: date | None = None, by_slice: bool = True) -> None:
+    """Daily run or backfill: one job whatever the number of dates.
+
+    Stored silver is sliced by incident day, so only the slices of the window are read.
+    """
+    replace_slices(area_features(silver, start, end, by_slice=by_slice), path, ["process_date"])
 
 
 def score_batch(features: DataFrame, model: PipelineModel, process_date: date, model_name: str | None,

@@ -48,7 +48,7 @@ def area_feature_writer(silver_path: str, path: str):
         silver = changed.sparkSession.read.parquet(silver_path)
         start, end = span["a"] - timedelta(days=LOOKAHEAD_DAYS), span["b"] + timedelta(days=LOOKBACK_DAYS)
         newest = silver.agg(F.max("process_date")).first()[0]
-        replace_slices(area_features(silver, start, min(end, newest)), path, ["process_date"])
+        replace_slices(area_features(silver, start, min(end, newest), by_slice=True), path, ["process_date"])
 
     return write
 

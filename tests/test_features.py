@@ -4,12 +4,14 @@ import random
 from datetime import date, timedelta
 
 import pytest
-from helpers import by, dicts
+from helpers import by
 from pyspark.sql import functions as F
 
 from tallyward.operators.features import area_daily_counts, area_features
 from tallyward.operators.horizon import expand_horizons, split_rows, split_sizes, split_windows
+from tallyward.plans.area_risk import write_features
 from tallyward.schema import FEATURE_DDL, struct_of
+from tallyward.sources.tables import replace_slices
 
 D = date(2026, 3, 15)
 
@@ -103,6 +105,21 @@ def test_backfill_plan_has_one_exchange_per_step(spark):
     assert "Join" not in plan and "Cartesian" not in plan
 
 
+def test_feature_window_prunes_slices_and_is_pushed_down(spark, folder):
+    silver = silver_frame(spark, [(str(i % 3 + 1), i, True, 1) for i in range(60)]).withColumn("process_date", F.to_date("date"))
+    replace_slices(silver, folder, ["process_date"])
+    stored = spark.read.parquet(folder)
+    df = area_features(stored, D - timedelta(days=5), D - timedelta(days=3), by_slice=True)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date" in plan and "LessThan(date" in plan
+    assert "PartitionFilters: [isnotnull(process_date" in plan
+    assert "crime_type_key" not in plan[plan.index("ReadSchema"):]
+    write_features(stored, f"{folder}-features", D - timedelta(days=5), D - timedelta(days=3))
+    key = ["area_id", "date", "count_1d", "count_14d", "label_next_day_count"]
+    got = sorted(map(tuple, spark.read.parquet(f"{folder}-features").select(key).collect()))
+    assert got == sorted(map(tuple, area_features(silver, D - timedelta(days=5), D - timedelta(days=3)).select(key).collect()))
+
+
 def test_bad_arguments(spark):
     df = silver_frame(spark, [("1", 0, True, 1)])
     with pytest.raises(ValueError):
