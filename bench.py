@@ -17,10 +17,9 @@ from tallyward.catalog import registered  # noqa: E402
 from tallyward.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "dedupe_latest", "silver_incidents", "silver_located", "pip_join", "pip_join_many", "fact_incidents", "daily_summary",
-    "star_rollup", "star_rollup_orders", "area_daily", "area_features_backfill", "horizon_expand", "score_batch",
-    "evaluate", "drift", "snapshot", "city_compare", "graph_edges", "graph_prune", "textlog_guardrails", "citations",
-    "slice_replace", "stream_daily",
+    "dedupe_latest", "silver_incidents", "silver_located", "pip_join", "daily_summary", "star_rollup",
+    "star_rollup_orders", "area_daily", "area_features_backfill", "horizon_expand", "score_batch", "drift", "snapshot",
+    "graph_edges", "textlog_guardrails", "citations", "stream_daily",
 ]
 
 

@@ -14,12 +14,17 @@ KEYS = ["area_id", "event_date"]
 
 def windowed_counts(stream: DataFrame, ts_col: str, area_col: str, measures: dict[str, Column],
                     lag_days: int = SOURCE_LAG_DAYS) -> DataFrame:
-    """Tumbling one-day counts. State of a day is dropped once the watermark passes it."""
-    return (stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    """Tumbling one-day counts. State of a day is dropped once the watermark passes it.
+
+    Windows are cut at midnight UTC; shifting the event time by the session's zone offset cuts them at
+    midnight of the session's zone instead.
+    """
+    zone = F.current_timezone()
+    return (stream.withColumn(ts_col, F.from_utc_timestamp(F.col(ts_col).cast("timestamp"), zone))
             .withWatermark(ts_col, f"{lag_days} days")
             .groupBy(F.window(ts_col, "1 day").alias("w"), F.col(area_col).alias("area_id"))
             .agg(*[c.alias(n) for n, c in measures.items()])
-            .select("area_id", F.to_date("w.start").alias("event_date"), *measures))
+            .select("area_id", F.to_date(F.to_utc_timestamp("w.start", zone)).alias("event_date"), *measures))
 
 
 def write_updates(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
