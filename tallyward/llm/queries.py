@@ -43,6 +43,12 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyward.llm.token_counts import count_tokens, over_limit
 
@@ -52,5 +58,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, OP1_SQL),
     "op6_harmonic_packing": (op6_harmonic_packing, None),
+    "op8_minhash_dedup": (op8_minhash_dedup, None),
     "op10_token_counts": (op10_token_counts, None),
 }
