@@ -37,6 +37,12 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.llm.decontaminate import find_leaks
+
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyward.llm.packing import pack_documents
 
@@ -57,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, OP1_SQL),
+    "op2_decontamination": (op2_decontamination, None),
     "op6_harmonic_packing": (op6_harmonic_packing, None),
     "op8_minhash_dedup": (op8_minhash_dedup, None),
     "op10_token_counts": (op10_token_counts, None),
