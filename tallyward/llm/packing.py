@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tallyward.llm.common import map_texts, texts
-from tallyward.llm.pretokens import ChunkCoder
+from tallyward.llm.pretokens import worker_coder
 
 PIECE_SCHEMA = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
@@ -96,7 +96,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
 
     def pack(blocks):
-        coder, bins = ChunkCoder(tokenizer_path), HarmonicBins(capacity)
+        coder, bins = worker_coder(tokenizer_path), HarmonicBins(capacity)
         base = TaskContext.get().partitionId() << 40
 
         def table(placed):
@@ -105,8 +105,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         for ids, block in blocks:
             placed = []
-            for doc, values in zip(ids, coder.chunked(block)):
-                data = b"".join(values) + end
+            for doc, t in zip(ids, block):
+                data = coder.whole(t) + end
                 n = len(data) // 4
                 for start, length in cuts(n, capacity, grain):
                     part = data[4 * start:4 * (start + length)]

@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
-
-import numpy as np
+from array import array
 
 #: White space of the splitting pattern (fixed values: the Unicode property).
-SPACE = "\t-\r \x85\xa0  -     　"
-CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A run of plain letters is a piece of its own when no further letter can follow; else all up to the next space.
+CHUNKS = re.compile(f" ?[{LETTERS}]+(?![{LETTERS}]|[^\\x00-\\x7F])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Longer chunks are encoded each time instead of being kept.
 KEEP_CHARS = 48
 
@@ -35,42 +35,48 @@ def added_strings(tokenizer) -> list[str]:
 
 
 class ChunkCoder:
-    """Maps texts to ``value(ids)`` per chunk; one per worker task."""
+    """Adds up a value per chunk: the number of ids, or the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, first_tier: dict | None = None, as_length: bool = False, limit: int = 300_000):
+    def __init__(self, path: str, first_tier: dict | None = None, as_length: bool = False, limit: int = 500_000):
         self.tokenizer = load_tokenizer(path)
         self.added = added_strings(self.tokenizer)
         self.first = first_tier or {}
         self.cache = dict(self.first)
         self.limit = limit
-        self.value = len if as_length else (lambda ids: np.asarray(ids, "<u4").tobytes())
+        self.as_length = as_length
 
     def encode(self, strings: list[str]) -> list:
-        return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def chunked(self, texts: Iterable[str]) -> list[list]:
-        """Per text the list of its chunks' values."""
-        split = [None if any(a in t for a in self.added) else CHUNKS.findall(t) for t in texts]
-        missing: set[str] = set()
-        for chunks in split:
-            if chunks:
-                missing.update(chunks)
-        missing.difference_update(self.cache)
-        once = dict(self.cache) if len(self.cache) + len(missing) > self.limit else None
-        todo = list(missing)
-        table = self.cache
-        if once is not None:  # start the second tier afresh
+        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        return [len(e.ids) for e in found] if self.as_length else [array("I", e.ids).tobytes() for e in found]
+
+    def whole(self, text: str):
+        """Length or ids of one text."""
+        if any(a in text for a in self.added):
+            return self.encode([text])[0]
+        chunks = CHUNKS.findall(text)
+        add = sum if self.as_length else b"".join
+        try:
+            return add(map(self.cache.__getitem__, chunks))
+        except KeyError:
+            missing = list(set(chunks).difference(self.cache))
+        if len(self.cache) + len(missing) > self.limit:  # start the second tier afresh
             self.cache = dict(self.first)
-            table = once
-        for at in range(0, len(todo), 20_000):
-            part = todo[at:at + 20_000]
-            table.update(zip(part, self.encode(part)))
-        out = [None if chunks is None else list(map(table.__getitem__, chunks)) for chunks in split]
-        for i, chunks in enumerate(split):
-            if chunks is None:
-                out[i] = self.encode([texts[i]])
-        if once is None:
-            for c in todo:
-                if len(c) > KEEP_CHARS:
-                    del table[c]
+            missing = list(set(chunks).difference(self.cache))
+        self.cache.update(zip(missing, self.encode(missing)))
+        out = add(map(self.cache.__getitem__, chunks))
+        for c in missing:
+            if len(c) > KEEP_CHARS:
+                del self.cache[c]
         return out
+
+
+#: One coder per worker process, tokenizer file and first tier: tasks of a worker share its cache.
+CODERS: dict[tuple, ChunkCoder] = {}
+
+
+def worker_coder(path: str, key: object = None, first_tier: dict | None = None, as_length: bool = False) -> ChunkCoder:
+    at = (path, key, as_length)
+    if at not in CODERS:
+        CODERS.clear()
+        CODERS[at] = ChunkCoder(path, first_tier, as_length)
+    return CODERS[at]

@@ -9,13 +9,14 @@ and no chunk list is shuffled; the counts are exact because the table only saves
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm.common import map_texts, texts
-from tallyward.llm.pretokens import CHUNKS, KEEP_CHARS, ChunkCoder
+from tallyward.llm.pretokens import CHUNKS, KEEP_CHARS, ChunkCoder, worker_coder
 
 TABLE_SIZE = 16_384
 CANDIDATES = 16_384
@@ -54,13 +55,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     frequent = [r["chunk"] for r in frequent_chunks(source, table_size=table_size).collect()]
     coder = ChunkCoder(tokenizer_path, as_length=True)
+    run = uuid.uuid4().hex
     table = spark.sparkContext.broadcast(dict(zip(frequent, coder.encode(frequent))))
 
     def count(blocks):
-        coder = ChunkCoder(tokenizer_path, table.value, as_length=True)
+        coder = worker_coder(tokenizer_path, run, table.value, as_length=True)
         for ids, block in blocks:
             yield {"doc_id": ids, "n_bytes": [len(t.encode()) for t in block],
-                   "n_tokens": [sum(v) for v in coder.chunked(block)]}
+                   "n_tokens": [coder.whole(t) for t in block]}
 
     id_type = source.schema["doc_id"].dataType.simpleString()
     return map_texts(source, count, f"doc_id {id_type}, n_bytes long, n_tokens long")
