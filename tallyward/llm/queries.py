@@ -43,6 +43,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.llm.toxicity import score_toxicity
+
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyward.llm.packing import pack_documents
 
@@ -64,6 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, OP1_SQL),
     "op2_decontamination": (op2_decontamination, None),
+    "op5_toxicity": (op5_toxicity, None),
     "op6_harmonic_packing": (op6_harmonic_packing, None),
     "op8_minhash_dedup": (op8_minhash_dedup, None),
     "op10_token_counts": (op10_token_counts, None),
