@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyward.llm.common import read
 
@@ -43,6 +44,69 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.llm.licenses import scan_licenses
+
+    names = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    base = F.col("base.label")
+    return scan_licenses(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"), names(base).alias("base_labels"),
+        names(F.concat(base, F.col("detections.label"))).alias("labels"), "score")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.llm.url_filter import judge_urls
+
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
+def _op4_sql() -> str:
+    from tallyward.llm.url_filter import ALPHABET, ORDER, PAD, RULES, STRENGTH
+
+    def fits(rule: str) -> str:
+        host, slash, path = rule.partition("/")
+        return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}'))"
+
+    longest = sorted(RULES, key=lambda r: -len(r[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in longest) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{v}'" for v, t in longest) + " END"
+    levels, below = [], ""
+    for n in range(ORDER + 1):
+        skip = ORDER - n
+        share = f"1.0::DOUBLE / {ALPHABET}"
+        a, b = (share, share) if n == 0 else ("s.pa", "s.pb")
+        levels.append(f"""
+c{n} AS (SELECT substring(gram, {skip + 1}, {n + 1}) AS gram, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM seen GROUP BY 1),
+t{n} AS (SELECT substring(gram, 1, {n}) AS context, sum(a) AS a, sum(b) AS b FROM c{n} GROUP BY 1),
+p{n} AS (SELECT c{n}.gram, (c{n}.a + {STRENGTH} * ({a})) / (t{n}.a + {STRENGTH}) AS pa,
+                (c{n}.b + {STRENGTH} * ({b})) / (t{n}.b + {STRENGTH}) AS pb
+         FROM c{n} JOIN t{n} ON t{n}.context = substring(c{n}.gram, 1, {n}) {below})""")
+        below = f"JOIN p{n} s ON s.gram = substring(c{n + 1}.gram, 2, {n + 1})"
+    return f"""
+WITH split AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+ruled AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM parts),
+urls AS (SELECT url, any_value(ruled) AS ruled FROM ruled WHERE url <> '' GROUP BY url),
+chars AS (SELECT url, ruled, substring(repeat('{PAD}', {ORDER}) || url, i, {ORDER + 1}) AS gram
+          FROM (SELECT url, ruled, unnest(range(1, length(url) + 1)) AS i FROM urls)),
+seen AS (SELECT gram, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM chars GROUP BY gram),
+{",".join(levels)},
+llr AS (SELECT gram, round(ln(pa / pb) * 1000000)::BIGINT AS llr FROM p{ORDER}),
+scored AS (SELECT url, any_value(ruled) AS ruled, floor(sum(llr) / count(*))::BIGINT AS score
+           FROM chars JOIN llr USING (gram) GROUP BY url),
+stats AS (SELECT avg(score) FILTER (ruled = 'allow') AS ma, stddev_pop(score) FILTER (ruled = 'allow') AS da,
+                 avg(score) FILTER (ruled = 'block') AS mb, stddev_pop(score) FILTER (ruled = 'block') AS db FROM scored),
+level AS (SELECT floor(coalesce((ma * db + mb * da) / nullif(da + db, 0), (ma + mb) / 2, 0))::BIGINT AS t FROM stats)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(ruled.ruled, CASE WHEN score >= (SELECT t FROM level) THEN 'allow' ELSE 'block' END) AS verdict, score
+FROM ruled LEFT JOIN scored USING (url)
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyward.llm.toxicity import score_toxicity
 
@@ -88,6 +152,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, OP1_SQL),
     "op2_decontamination": (op2_decontamination, None),
+    "op3_license_scan": (op3_license_scan, None),
+    "op4_url_filter": (op4_url_filter, _op4_sql()),
     "op5_toxicity": (op5_toxicity, None),
     "op6_harmonic_packing": (op6_harmonic_packing, None),
     "op7_personal_data": (op7_personal_data, None),
