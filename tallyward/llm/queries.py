@@ -149,6 +149,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over_limit(count_tokens(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, OP1_SQL),
     "op2_decontamination": (op2_decontamination, None),
@@ -160,4 +166,5 @@ QUERIES = {
     "op8_minhash_dedup": (op8_minhash_dedup, None),
     "op9_chat_examples": (op9_chat_examples, None),
     "op10_token_counts": (op10_token_counts, None),
+    "pipeline": (pipeline, None),
 }

@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,3 +278,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     scored = map_texts(source, score, f"doc_id {kind}, score double, clauses int")
     return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)").alias("held_out"),
                          "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "clauses")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score stays under ``threshold``; see ``score_toxicity``."""
+    arcs, weights = learn(texts(docs, id_col, text_col), labels)
+    shared = docs.sparkSession.sparkContext.broadcast((arcs, np.array(weights)))
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arcs, w = shared.value
+        grammar = Grammar(arcs)
+        limit = math.log(threshold / (1 - threshold)) if threshold < 1 else math.inf
+        for b in batches:
+            column = b.column(b.schema.names.index(text_col))
+            clean = [float(np.dot(grammar.features(t.as_py() or ""), w[:-1]) + w[-1]) < limit for t in column]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(select, docs.schema)
