@@ -172,7 +172,7 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK, cosine: float = 0.4,
-               cover: float = 0.6, loose_cover: float = 0.4, answer_words: int = 6, common: float = 0.05,
+               cover: float = 0.6, loose_cover: float = 0.4, answer_words: int = 4, common: float = 0.05,
                block_items: int = 1024) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, cosine, cover (share of the item's
     informative words in the longest common subsequence), answer (share of the answer's), kind (``copy`` or
@@ -180,7 +180,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     A word is informative unless it occurs in more than ``common`` of all strides; an item with fewer than four
     other words uses all of its words. A copy covers at least ``cover`` of the item; a paraphrase at least
-    ``loose_cover`` and four fifths of the answer's informative words in order. Null and wordless texts and items
+    ``loose_cover`` and four fifths of the answer, the item's last ``answer_words`` informative words, in order; both
+    share at least four informative words with it, or all of them. Null and wordless texts and items
     match nothing; equal rows give one row; equal items give a row each; other columns are ignored; an empty
     corpus or benchmark gives an empty result.
     """
@@ -244,7 +245,7 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
     for i, t in enumerate(terms):
         kept = [x for x in t if informative[x]]
         whole.append(kept)
-        answers.append(([x for x in t[-answer_words:] if informative[x]]) or kept[-1:])
+        answers.append(kept[-answer_words:])
         for at in range(0, max(1, len(t) - STRIDE), STRIDE):
             v = np.zeros(len(weight))
             np.add.at(v, [x for x in t[at:at + 2 * STRIDE] if informative[x]], 1)
@@ -284,8 +285,9 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
                         right = min(first[row + 1], passage + 2 + reach[item] // STRIDE)
                         low_at, high_at = np.searchsorted(stride, [left, right])
                         region = ids[low_at:high_at].tolist()
-                        share = common_subsequence(whole[item], region) / len(whole[item])
-                        if share < loose_cover:
+                        equal = common_subsequence(whole[item], region)
+                        share = equal / len(whole[item])
+                        if share < loose_cover or equal < min(4, len(whole[item])):
                             continue
                         answer = common_subsequence(answers[item], region) / len(answers[item])
                         if share < cover and answer < 0.8:

@@ -90,16 +90,16 @@ parts AS (
   SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
 ruled AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM parts),
-urls AS (SELECT url, any_value(ruled) AS ruled FROM ruled WHERE url <> '' GROUP BY url),
-chars AS (SELECT url, ruled, substring(repeat('{PAD}', {ORDER}) || url, i, {ORDER + 1}) AS gram
-          FROM (SELECT url, ruled, unnest(range(1, length(url) + 1)) AS i FROM urls)),
+urls AS (SELECT url, any_value(ruled) AS ruled, sha256(url)[1] IN ('0', '1', '2') AS held FROM ruled WHERE url <> '' GROUP BY url),
+chars AS (SELECT url, CASE WHEN NOT held THEN ruled END AS ruled, substring(repeat('{PAD}', {ORDER}) || url, i, {ORDER + 1}) AS gram
+          FROM (SELECT url, ruled, held, unnest(range(1, length(url) + 1)) AS i FROM urls)),
 seen AS (SELECT gram, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM chars GROUP BY gram),
 {",".join(levels)},
 llr AS (SELECT gram, round(ln(pa / pb) * 1000000)::BIGINT AS llr FROM p{ORDER}),
-scored AS (SELECT url, any_value(ruled) AS ruled, floor(sum(llr) / count(*))::BIGINT AS score
-           FROM chars JOIN llr USING (gram) GROUP BY url),
+sums AS (SELECT url, floor(sum(llr) / count(*))::BIGINT AS score FROM chars JOIN llr USING (gram) GROUP BY url),
+scored AS (SELECT * FROM urls JOIN sums USING (url)),
 stats AS (SELECT avg(score) FILTER (ruled = 'allow') AS ma, stddev_pop(score) FILTER (ruled = 'allow') AS da,
-                 avg(score) FILTER (ruled = 'block') AS mb, stddev_pop(score) FILTER (ruled = 'block') AS db FROM scored),
+                 avg(score) FILTER (ruled = 'block') AS mb, stddev_pop(score) FILTER (ruled = 'block') AS db FROM scored WHERE held),
 level AS (SELECT floor(coalesce((ma * db + mb * da) / nullif(da + db, 0), (ma + mb) / 2, 0))::BIGINT AS t FROM stats)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
        coalesce(ruled.ruled, CASE WHEN score >= (SELECT t FROM level) THEN 'allow' ELSE 'block' END) AS verdict, score

@@ -1,12 +1,13 @@
 """URL filter: host and path rules, and a character language-model ratio for the rest.
 
-URLs that a rule decides are the accepted and rejected examples. Each class gets a variable-order Markov model of
-characters: the probability of a character after its context is the interpolation of all orders,
+URLs that a rule decides are the accepted and rejected examples; three sixteenths of them, by a digest, are held out
+for calibration. Each class gets a variable-order Markov model of
+characters of its other examples: the probability of a character after its context is the interpolation of all orders,
 
     p_n(c | h) = (count(h c) + strength * p_{n-1}(c | shorter h)) / (count(h) + strength),   p_{-1} = 1 / alphabet,
 
 and a URL's score is the difference of its log-likelihoods divided by its length. The threshold is calibrated on the
-examples: between the mean scores of the two classes, at equal distance in standard deviations. Scores are integers
+held-out examples: between the mean scores of the two classes, at equal distance in standard deviations. Scores are integers
 (millionths per character) so that sums do not depend on their order.
 
 All of it is DataFrame expressions. Counts are combined per n-gram in the tasks before they are shuffled; the table of
@@ -51,10 +52,10 @@ def with_rule(frame: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def grams(urls: DataFrame, order: int) -> DataFrame:
-    """One row per character: key, ruled, gram (the character after ``order`` others, padded at the start)."""
+    """One row per character: key, ruled (null if held out), gram (the character after ``order`` others, padded at the start)."""
     text = F.concat(F.lit(PAD * order), F.col("url"))
     return urls.filter("length(url) > 0").withColumn("padded", text).select(
-        "key", "ruled", F.explode(F.expr(f"transform(sequence(1, length(url)), i -> substring(padded, i, {order + 1}))"))
+        "key", F.when(~F.col("held"), F.col("ruled")).alias("ruled"), F.explode(F.expr(f"transform(sequence(1, length(url)), i -> substring(padded, i, {order + 1}))"))
         .alias("gram"))
 
 
@@ -87,8 +88,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
                order: int = ORDER, strength: float = STRENGTH) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, score (millionths per character, null for an empty url).
 
-    A rule's verdict stands; other URLs are allowed when their score reaches the calibrated threshold. Without examples
-    of both classes the threshold is 0. A null or empty url has no host, path, rule or score and is blocked. Equal
+    A rule's verdict stands; other URLs are allowed when their score reaches the calibrated threshold. Without held-out
+    examples of both classes the threshold is 0. A null or empty url has no host, path, rule or score and is blocked. Equal
     urls are scored once and share the result; null ids stay null, repeated rows get a row each, other columns are
     ignored, an empty table gives an empty result.
     """
@@ -96,13 +97,14 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
     ruled = with_rule(with_host_and_path(source, F.col("url")), rules)
     urls = staged(ruled.filter("url is not null").groupBy("url").agg(F.first("ruled").alias("ruled"),
                                                                      F.count(F.lit(1)).alias("n"))
-                  .withColumn("key", F.sha2("url", 256)), "urls")
+                  .withColumn("key", F.sha2("url", 256))
+                  .withColumn("held", F.substring("key", 1, 1).isin("0", "1", "2")), "urls")
     chars = grams(urls, order)
     scores = gram_scores(chars, order, strength)
     sums = chars.join(scores, "gram").groupBy("key").agg(F.sum("llr").alias("llr"), F.count(F.lit(1)).alias("chars"))
     scored = staged(urls.join(sums, "key").select(
-        "url", "ruled", F.floor(F.col("llr") / F.col("chars")).cast("long").alias("score")), "scores")
-    stats = scored.agg(*[f(F.when(F.col("ruled") == v, F.col("score"))).alias(f"{name}_{v}")
+        "url", "ruled", "held", F.floor(F.col("llr") / F.col("chars")).cast("long").alias("score")), "scores")
+    stats = scored.filter("held").agg(*[f(F.when(F.col("ruled") == v, F.col("score"))).alias(f"{name}_{v}")
                          for v in ("allow", "block") for name, f in (("mean", F.avg), ("dev", F.stddev_pop))])
     even = ((F.col("mean_allow") * F.col("dev_block") + F.col("mean_block") * F.col("dev_allow"))
             / F.nullif(F.col("dev_allow") + F.col("dev_block"), F.lit(0.0)))
