@@ -99,13 +99,14 @@ def citations(spark, sf):
 CITATIONS = f"""WITH log AS (SELECT conv_id AS thread_id, turn AS "position", (conv_id + turn) % 4 AS kind, text FROM conversations
   WHERE role = 'assistant'),
 items AS (SELECT thread_id, "position", 0 AS item, 'web' AS source, 'http://site/' || ("position" % 3) AS url,
-    'name ' || "position" AS title, substring(text, 1, 2000) AS detail FROM log WHERE kind IN (0, 2)
+    'name ' || "position" AS title, text AS whole FROM log WHERE kind IN (0, 2)
   UNION ALL SELECT thread_id, "position", 1, 'web', 'http://site/' || (("position" + 1) % 3), 'title ' || "position",
-    substring(text, 1, 2000) FROM log WHERE kind IN (0, 2)
+    text FROM log WHERE kind IN (0, 2)
   UNION ALL SELECT thread_id, "position", 2147483647, 'graph', NULL, 'Crime Knowledge Graph',
-    CASE WHEN {_strip('text')} = '' THEN 'Queried the crime knowledge graph.' ELSE substring({_strip('text')}, 1, 2000) END
+    CASE WHEN {_strip('text')} = '' THEN 'Queried the crime knowledge graph.' ELSE {_strip('text')} END
     FROM log WHERE kind = 1)
-SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY thread_id, source, coalesce(url, detail)
+SELECT * EXCLUDE (rn, whole), substring(whole, 1, 2000) AS detail
+FROM (SELECT *, row_number() OVER (PARTITION BY thread_id, source, coalesce(url, whole)
   ORDER BY "position", item) AS rn FROM items) WHERE rn = 1"""
 
 

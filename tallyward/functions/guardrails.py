@@ -22,7 +22,9 @@ INTERNAL_WORDS = ["neo4j", "cypher", "gql_status", "clienterror", "syntaxerror",
 EMPTY_RESULT = "No results returned."
 RETRY_LATER = "Something went wrong on our side. Please try again after a couple of minutes."
 SUMMARY_LIMIT = 120
-APOSTROPHE_PASSES = 5
+APOSTROPHE_PASSES = 5  # of the literal rule
+BLOCK_COMMENT, LINE_COMMENT = r"(?s)/\*.*?\*/", r"--[^\n]*"
+BROKEN_LITERAL = r"\s*'({content})'([A-Za-z][^']*)'"
 # ---------------------------------------------------------------------------------------------
 
 _SPACE = r"[\s\x{1c}-\x{1f}]"
@@ -38,8 +40,8 @@ def strip_unicode(text: Column) -> Column:
 
 def strip_comments(query: Column) -> Column:
     """M1: remove block comments, then line comments, then collapse blank lines and trim."""
-    q = F.regexp_replace(query, r"(?s)/\*.*?\*/", "")
-    q = F.regexp_replace(q, r"--[^\n]*", "")
+    q = F.regexp_replace(query, BLOCK_COMMENT, "")
+    q = F.regexp_replace(q, LINE_COMMENT, "")
     q = F.regexp_replace(q, rf"(?U)\n{_SPACE}*\n", "\n")
     return strip_unicode(q)
 
@@ -51,23 +53,27 @@ def _from_word_start(keyword: str) -> str:
     return rf"{head}(?<=\b{head}){keyword[len(head):]}"
 
 
-def repair_apostrophes(query: Column, literal_passes: bool = False) -> Column:
-    """M2: escape a quote that closes a literal too early, at most five times.
+def repair_apostrophes(query: Column, literal_passes: bool = False, max_passes: int | None = None) -> Column:
+    """M2: escape a quote that closes a literal too early, until none is left or ``max_passes`` are done.
 
-    The passes stop at the first one that finds nothing, so an intact text is scanned once. A quote
-    behind a backslash counts as escaped. ``literal_passes=True`` ignores backslashes as the plain
-    rule does: it then finds each repaired quote again and adds a backslash in every pass.
+    The passes stop at the first one that finds nothing, so an intact text is scanned once; each other pass
+    escapes a quote, so a text needs no more of them than it has quotes. A quote behind a backslash counts
+    as escaped. ``literal_passes=True`` ignores backslashes as the plain rule does: it finds each
+    repaired quote again and adds a backslash in every pass, five times unless ``max_passes`` says otherwise.
     """
     operators = "|".join(_from_word_start(k) for k in STRING_OPERATORS)
     content = r"[^']*" if literal_passes else r"[^'\\]*+(?:\\[\s\S][^'\\]*+)*+"
-    pattern = rf"(?iU)({operators})\s*'({content})'([A-Za-z][^']*)'"
+    pattern = rf"(?iU)({operators})" + BROKEN_LITERAL.format(content=content)
 
     def one_pass(state: Column, _: Column) -> Column:
         fixed = F.regexp_replace(state["q"], pattern, r"$1 '$2\\'$3'")
         again = state["open"] & state["q"].rlike(pattern)
         return F.when(again, _state(fixed, True)).otherwise(_state(state["q"], False))
 
-    passes = F.sequence(F.lit(1), F.lit(APOSTROPHE_PASSES))
+    quotes = F.length(query) - F.length(F.replace(query, F.lit("'"), F.lit("")))
+    if literal_passes and max_passes is None:
+        max_passes = APOSTROPHE_PASSES
+    passes = F.sequence(F.lit(1), F.greatest(F.lit(1), quotes) if max_passes is None else F.lit(max_passes))
     return F.aggregate(passes, _state(query, True), one_pass, lambda state: state["q"])
 
 
@@ -94,13 +100,13 @@ def normalize_query(query: Column, literal_passes: bool = False) -> Column:
     return repair_flag_tests(repair_apostrophes(strip_comments(query), literal_passes))
 
 
-def result_summary(content: Column) -> Column:
-    """M7: short text shown for a tool result."""
+def result_summary(content: Column, limit: int = SUMMARY_LIMIT) -> Column:
+    """M7: short text shown for a tool result; longer texts are cut for display to ``limit`` characters."""
     text = strip_unicode(content)
     internal = rf"(?iU)({'|'.join(INTERNAL_WORDS)})"
     entries = F.when(text.startswith("["), F.json_array_length(text))
-    shortened = F.when(F.length(text) > SUMMARY_LIMIT,
-                       F.concat(F.substring(text, 1, SUMMARY_LIMIT - 3), F.lit("…"))).otherwise(text)
+    shortened = F.when(F.length(text) > limit,
+                       F.concat(F.substring(text, 1, limit - 3), F.lit("…"))).otherwise(text)
     return (F.when(F.coalesce(text, F.lit("")) == "", EMPTY_RESULT)
             .when(text.rlike(internal), RETRY_LATER)
             .when(entries.isNotNull(), F.concat(F.lit("Found "), entries.cast("string"), F.lit(" result(s).")))

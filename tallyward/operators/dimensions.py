@@ -51,9 +51,10 @@ def date_dimension(anchor: DataFrame, days_back: int = DAYS_BACK, days_ahead: in
     return _stamped(attributes, F.col("anchor")).drop("anchor")
 
 
-def date_dimension_for(spark: SparkSession, process_date: date) -> DataFrame:
-    """G1 for a constant batch date."""
-    return date_dimension(spark.range(1).select(F.lit(process_date).alias("anchor")))
+def date_dimension_for(spark: SparkSession, process_date: date, first: date | None = None) -> DataFrame:
+    """G1 for a constant batch date; the span reaches back from ``first`` when that is earlier."""
+    earlier = max((process_date - first).days, 0) if first else 0
+    return date_dimension(spark.range(1).select(F.lit(process_date).alias("anchor")), DAYS_BACK + earlier)
 
 
 def time_of_day_dimension(spark: SparkSession, batch: date | Column) -> DataFrame:

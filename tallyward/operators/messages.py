@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.functions.guardrails import normalize_query, query_class, result_summary, strip_unicode
+from tallyward.functions.guardrails import SUMMARY_LIMIT, normalize_query, query_class, result_summary, strip_unicode
 from tallyward.operators.dedupe import keep_latest
 
 # Fixed values.
@@ -27,16 +27,18 @@ def guard_queries(df: DataFrame, query_col: str = "query", literal_passes: bool
     return out.withColumn("query_class", query_class(F.col("normalized_query")))
 
 
-def summarize_results(df: DataFrame, content_col: str = "content") -> DataFrame:
+def summarize_results(df: DataFrame, content_col: str = "content", limit: int = SUMMARY_LIMIT) -> DataFrame:
     """M7: add ``summary``."""
-    return df.withColumn("summary", result_summary(F.col(content_col)))
+    return df.withColumn("summary", result_summary(F.col(content_col), limit))
 
 
 def citations(log: DataFrame, graph_title: str = GRAPH_TITLE,
-              graph_empty_detail: str = GRAPH_EMPTY_DETAIL) -> DataFrame:
+              graph_empty_detail: str = GRAPH_EMPTY_DETAIL, detail_limit: int = DETAIL_LIMIT,
+              cut_identity: bool = False) -> DataFrame:
     """M5: (thread_id, position, item, source, url, title, detail); position and item give the order.
 
-    A web result counts once per URL, a graph result once per detail text. Both rules keep the first
+    Details are cut for display to ``detail_limit`` characters. A web result counts once per URL, a graph result once
+    per whole text, or with ``cut_identity`` once per displayed text. Both rules keep the first
     occurrence only, which Spark also applies before the shuffle, so a URL that a thread repeats
     without end does not gather in one task.
     """
@@ -54,17 +56,19 @@ def citations(log: DataFrame, graph_title: str = GRAPH_TITLE,
     title, detail = _first_filled("name", "title"), _first_filled("snippet", "summary")
     web = items.select(
         "thread_id", "position", "item", F.lit("web").alias("source"), F.col("m")["url"].alias("url"),
-        title.alias("title"), F.substring(F.coalesce(detail, F.lit("")), 1, DETAIL_LIMIT).alias("detail"),
+        title.alias("title"), F.coalesce(detail, F.lit("")).alias("_whole"),
     ).filter(F.coalesce(F.col("url"), F.lit("")) != "")
 
     text = strip_unicode(F.col("_text"))
     graph = tools.filter(F.col("_tool").contains(GRAPH_TOOL)).select(
         "thread_id", "position", F.lit(2_147_483_647).alias("item"), F.lit("graph").alias("source"),
         F.lit(None).cast("string").alias("url"), F.lit(graph_title).alias("title"),
-        F.when(text == "", graph_empty_detail).otherwise(F.substring(text, 1, DETAIL_LIMIT)).alias("detail"))
+        F.when(text == "", graph_empty_detail).otherwise(text).alias("_whole"))
 
-    both = web.unionByName(graph).withColumn(
-        "_identity", F.when(F.col("source") == "web", F.col("url")).otherwise(F.col("detail")))
+    shown = F.substring("_whole", 1, detail_limit)
+    own = shown if cut_identity else F.sha2("_whole", 256)
+    both = web.unionByName(graph).withColumn("detail", shown).withColumn(
+        "_identity", F.when(F.col("source") == "web", F.col("url")).otherwise(own)).drop("_whole")
     first = keep_latest(both, ["thread_id", "source", "_identity"], [F.asc("position"), F.asc("item")])
     return first.select("thread_id", "position", "item", "source", "url", "title", "detail")
 

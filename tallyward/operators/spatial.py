@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.geometry import contains_point, crossable, edge_extent
+from tallyward.operators.layout import stage
 
 MAX_BROADCAST_CELLS = 200_000
 MAX_BROADCAST_EDGES = 1_000_000
-SALT = 16
+POINTS_PER_SALT = 100_000
 # Cells along the side of an average polygon, and the most along the side of the largest one.
 MIN_CELLS_PER_SIDE, MAX_CELLS_PER_SIDE = 4, 16
 MAX_CELLS_OF_LARGEST = 128
@@ -106,8 +107,9 @@ def locate(points: DataFrame, layer: DataFrame, lon: str = "longitude", lat: str
     """Left join of points with the polygons that hold them: adds ``poly_id`` and ``poly_name``.
 
     ``on_overlap="first"`` keeps the row count and takes the smallest poly_id; ``"all"`` gives one
-    row per holding polygon. Points without usable coordinates never match. ``point_id`` must be
-    unique; it is only needed when the polygon side is too large to broadcast.
+    row per holding polygon. Points without usable coordinates never match. ``point_id`` names a unique
+    column; without one (None) a large polygon side makes the points be written to the shared folder
+    with a generated key.
     """
     if on_overlap not in ("first", "all"):
         raise ValueError("on_overlap is 'first' or 'all'")
@@ -119,9 +121,12 @@ def locate(points: DataFrame, layer: DataFrame, lon: str = "longitude", lat: str
     if _fits(plan, cells, max_broadcast_cells, max_broadcast_edges):
         found = _locate_bounded(placed, cells, on_overlap)
     else:
+        keyed = point_id or "_point"
         if point_id is None:
-            raise ValueError("a large polygon side needs a unique point_id")
-        found = _locate_large(placed, cells, on_overlap, point_id)
+            placed = stage(placed.withColumn("_point", F.monotonically_increasing_id()), "points")
+        found = _locate_large(placed, cells, on_overlap, keyed)
+        if point_id is None:
+            found = found.drop("_point")
     return found.drop("_x", "_y", "_cx", "_cy")
 
 
@@ -153,9 +158,13 @@ def _locate_bounded(placed: DataFrame, cells: DataFrame, on_overlap: str) -> Dat
 
 
 def _locate_large(placed: DataFrame, cells: DataFrame, on_overlap: str, point_id: str) -> DataFrame:
-    salted = placed.select(F.col(point_id).alias("_pid"), "_x", "_y", "_cx", "_cy",
-                           F.pmod(F.xxhash64(point_id), F.lit(SALT)).alias("_salt"))
-    copies = cells.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+    hot = placed.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / POINTS_PER_SALT).alias("_salts")).filter("_salts > 1")
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = placed.join(hot, ["_cx", "_cy"], "left").select(
+        F.col(point_id).alias("_pid"), "_x", "_y", "_cx", "_cy", F.pmod(F.xxhash64(point_id), salts).alias("_salt"))
+    here = (F.col("cell_x") == F.col("_cx")) & (F.col("cell_y") == F.col("_cy"))
+    copies = cells.join(hot, here, "left").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_cx", "_cy", "_salts")
     pairs = salted.join(copies, (F.col("_cx") == F.col("cell_x")) & (F.col("_cy") == F.col("cell_y"))
                         & (F.col("_salt") == F.col("_copy")))
     matches = pairs.filter(_holds(F.col("whole"), F.col("edges")))

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyward.operators import graph
 from tallyward.operators.dedupe import keep_latest
 from tallyward.operators.features import LOOKAHEAD_DAYS, LOOKBACK_DAYS, area_features
+from tallyward.operators.layout import stage
 from tallyward.operators.quality import NODE_KEYS
-from tallyward.plans.star import build_dimensions, build_facts, write_star
-from tallyward.sources.tables import replace_slices
+from tallyward.plans.star import FACT_TABLES, build_dimensions, build_facts, write_star
+from tallyward.sources.tables import clear_slices, replace_slices
 
 
-def star_writer(base: str, key_method: str = "xxhash64"):
-    """Facts and dimensions of the changed days. Keys are not checked against other batches here."""
+def star_writer(silver_path: str, base: str, key_method: str = "xxhash64"):
+    """Facts of the changed days; dimensions rebuilt from the whole silver table, so that every stored fact keeps its
+    rows in them whatever arrives late. The date dimension spans all stored days."""
 
-    def write(changed: DataFrame) -> None:
-        last = changed.agg(F.max("process_date")).first()[0]
-        dims = build_dimensions(changed, last, key_method, unknown_member=True)
-        write_star(dims, build_facts(changed, dims, F.col("date"), key_method), base)
+    def write(changed: DataFrame, emptied: DataFrame) -> None:
+        spark = changed.sparkSession
+        silver = spark.read.parquet(silver_path)
+        span = silver.agg(F.min("process_date").alias("first"), F.max("process_date").alias("last")).first()
+        if span["last"] is not None:
+            dims = build_dimensions(silver, span["last"], key_method, unknown_member=True, first=span["first"])
+            facts = build_facts(changed, dims, F.col("date"), key_method)
+            write_star(dims, facts, base, whole_dimensions=True)
+        for name in FACT_TABLES:
+            clear_slices(spark, f"{base}/{name}", "process_date", emptied)
 
     return write
 
@@ -29,26 +38,40 @@ def star_writer(base: str, key_method: str = "xxhash64"):
 def ml_feature_writer(path: str):
     """Incident-level model features: process_date, numeric community_area and crime_category."""
 
-    def write(changed: DataFrame) -> None:
+    def write(changed: DataFrame, emptied: DataFrame) -> None:
         rows = changed.select(
             F.to_date("process_date").alias("process_date"),
             F.col("community_area").try_cast("int").alias("community_area"), "crime_category")
         replace_slices(rows, path, ["process_date"])
+        clear_slices(changed.sparkSession, path, "process_date", emptied)
 
     return write
 
 
+def affected_spans(days: DataFrame) -> list[tuple[date, date]]:
+    """Runs of consecutive days whose feature window holds one of ``days`` (process_date)."""
+    reach = days.select(F.explode(F.sequence(F.date_sub("process_date", LOOKAHEAD_DAYS),
+                                             F.date_add("process_date", LOOKBACK_DAYS))).alias("day")).distinct()
+    number = F.row_number().over(Window.orderBy("day"))  # one row per calendar day
+    runs = reach.withColumn("run", F.date_sub("day", number)).groupBy("run").agg(
+        F.min("day").alias("first"), F.max("day").alias("last")).orderBy("first")
+    return [(r["first"], r["last"]) for r in runs.collect()]
+
+
 def area_feature_writer(silver_path: str, path: str):
-    """Features of every day whose window holds a changed day, read from the whole silver table."""
-
-    def write(changed: DataFrame) -> None:
-        span = changed.agg(F.min("process_date").alias("a"), F.max("process_date").alias("b")).first()
-        if span["a"] is None:
-            return
-        silver = changed.sparkSession.read.parquet(silver_path)
-        start, end = span["a"] - timedelta(days=LOOKAHEAD_DAYS), span["b"] + timedelta(days=LOOKBACK_DAYS)
+    """Features of every day whose window holds a changed or emptied day, read from the whole silver table."""
+
+    def write(changed: DataFrame, emptied: DataFrame) -> None:
+        spark = changed.sparkSession
+        silver = spark.read.parquet(silver_path)
         newest = silver.agg(F.max("process_date")).first()[0]
-        replace_slices(area_features(silver, start, min(end, newest), by_slice=True), path, ["process_date"])
+        for first, last in affected_spans(changed.select("process_date").union(emptied).distinct()):
+            days = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("process_date"))
+            if newest is not None and first <= newest:
+                rows = stage(area_features(silver, first, min(last, newest), by_slice=True), "area-features")
+                replace_slices(rows, path, ["process_date"])
+                days = days.join(rows.select("process_date").distinct(), "process_date", "left_anti")
+            clear_slices(spark, path, "process_date", days)
 
     return write
 
@@ -59,7 +82,7 @@ def graph_writer(base: str, key_method: str = "xxhash64"):
     ``read_graph`` gives the current graph: the newest slice wins per node key.
     """
 
-    def write(changed: DataFrame) -> None:
+    def write(changed: DataFrame, emptied: DataFrame) -> None:
         source = graph.graph_source(changed, key_method).withColumn("batch_date", F.to_date("date"))
         source = source.filter(F.col("batch_date").isNotNull())
         rows = graph.incidents(source)
@@ -72,6 +95,7 @@ def graph_writer(base: str, key_method: str = "xxhash64"):
         }
         for name, df in tables.items():
             replace_slices(df, f"{base}/{name}", ["batch_date"])
+            clear_slices(changed.sparkSession, f"{base}/{name}", "batch_date", emptied)
 
     return write
 

@@ -13,11 +13,15 @@ from tallyward.operators.joins import require_keys, require_rows
 from tallyward.sources.tables import overwrite, replace_slices
 
 
+FACT_TABLES = ["fact_incidents", "daily_summary", "hourly_summary"]
+
+
 def build_dimensions(silver: DataFrame, batch: date, key_method: str = "xxhash64",
-                     unknown_member: bool = False) -> dict[str, DataFrame]:
+                     unknown_member: bool = False, first: date | None = None) -> dict[str, DataFrame]:
+    """The four dimensions. ``first``, the first day of the stored facts, widens the date dimension to hold it."""
     spark = silver.sparkSession
     return {
-        "dim_date": dim.date_dimension_for(spark, batch),
+        "dim_date": dim.date_dimension_for(spark, batch, first),
         "dim_time_of_day": dim.time_of_day_dimension(spark, batch),
         "dim_location": dim.location_dimension(silver, batch, key_method, unknown_member),
         "dim_crime_type": dim.crime_type_dimension(silver, batch, key_method),
@@ -38,12 +42,17 @@ def build_facts(silver_day: DataFrame, dims: dict[str, DataFrame], process_date:
     }
 
 
-def write_star(dims: dict[str, DataFrame], fact_tables: dict[str, DataFrame], base: str) -> None:
-    """Generated dimensions are replaced whole, the others by batch slice; facts by process date."""
+def write_star(dims: dict[str, DataFrame], fact_tables: dict[str, DataFrame], base: str,
+               whole_dimensions: bool = False) -> None:
+    """Generated dimensions are replaced whole, the others by batch slice, or whole too when they were built from all of
+    silver (``whole_dimensions``); facts by process date."""
     overwrite(dims["dim_date"], f"{base}/dim_date")
     overwrite(dims["dim_time_of_day"], f"{base}/dim_time_of_day")
     for name in ("dim_location", "dim_crime_type"):
-        replace_slices(dims[name], f"{base}/{name}", ["updated_date"])
+        if whole_dimensions:
+            overwrite(dims[name], f"{base}/{name}")
+        else:
+            replace_slices(dims[name], f"{base}/{name}", ["updated_date"])
     for name, df in fact_tables.items():
         replace_slices(df.withColumn("process_date", F.col("process_date").cast("date")), f"{base}/{name}",
                        ["process_date"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -40,14 +39,10 @@ def build_session(app_name: str = "tallyward", master: str | None = None, **conf
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for intermediate tables, under the folder every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local master may fall back to
-    a machine-local folder, because there is a single machine.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset, the warehouse folder is used, which
+    all executors share as well; a machine-local temporary folder never is.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="tallyward-")
+    base = spark.conf.get(CHECKPOINT_CONF, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -13,7 +13,6 @@ from tallyward.schema import (
 # Property names of boundary features, in order of preference.
 FEATURE_ID_PROPERTIES = ["area_numbe", "area_num_1", "comarea_id"]
 FEATURE_NAME_PROPERTIES = ["community", "name", "area"]
-PLACEHOLDER_MAX_FEATURES = 5
 
 FEATURE_COLLECTION = """
 type string, name string,
@@ -89,11 +88,6 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return out.select("area_id", "area_name", "kind", "coordinates", edges_from_rings(rings).alias("edges"))
 
 
-def is_placeholder(features: DataFrame) -> bool:
-    """True for a sample file with only a handful of features."""
-    return features.limit(PLACEHOLDER_MAX_FEATURES + 1).count() <= PLACEHOLDER_MAX_FEATURES
-
-
 def geojson_layer(features: DataFrame) -> DataFrame:
     """A GeoJSON table as a boundary layer."""
     return features.select(F.col("area_id").cast("string").alias("poly_id"),

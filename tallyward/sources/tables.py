@@ -62,6 +62,13 @@ def replace_slices(df: DataFrame, path: str, partition_cols: Sequence[str], fmt:
          .partitionBy(*partition_cols).save(path))
 
 
+def clear_slices(spark: SparkSession, path: str, partition_col: str, values: DataFrame) -> None:
+    """Remove the slices of the values in the one column of ``values``: those a rewrite has left without rows."""
+    for row in values.toLocalIterator():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition_col}={row[0]}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def replace_table_slices(df: DataFrame, name: str) -> None:
     """A10 on a catalog table: columns are matched by name."""
     spark = df.sparkSession
@@ -96,10 +103,9 @@ def upsert_slices(spark: SparkSession, path: str, updates: DataFrame, keys: Sequ
     Only the touched partitions are read and rewritten. The merged rows are first written to the
     shared scratch folder, because a path cannot be overwritten while it is being read.
     """
-    touched = [r[0] for r in updates.select(partition_col).distinct().collect()]  # one value per batch slice
-    if not touched:
-        return
-    current = evolve(spark.read.parquet(path), updates.schema).filter(F.col(partition_col).isin(touched))
+    touched = F.broadcast(updates.select(F.col(partition_col).alias("_slice")).distinct())  # one row per batch slice
+    stored = evolve(spark.read.parquet(path), updates.schema)
+    current = stored.join(touched, stored[partition_col] == F.col("_slice"), "left_semi")
     staged = scratch_path(spark, "upsert")
     upsert(current, updates, keys).write.parquet(staged)
     replace_slices(spark.read.parquet(staged), path, [partition_col])

@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyward.operators.dedupe import keep_latest
+from tallyward.operators.layout import stage
 from tallyward.plans.silver import build_silver
 from tallyward.schema import SILVER_DDL, landing_schema, struct_of
-from tallyward.session import scratch_path
-from tallyward.sources.tables import replace_slices
+from tallyward.sources.tables import clear_slices, replace_slices
 
 # Fixed value: days between an incident and its publication.
 SOURCE_LAG_DAYS = 10
 
-Writer = Callable[[DataFrame], None]
+#: Gets the complete rows of the changed day slices, and the days (``process_date``) left without rows.
+Writer = Callable[[DataFrame, DataFrame], None]
 
 
 def landing_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -40,24 +41,31 @@ def due_days(first: date, today: date, lag_days: int = SOURCE_LAG_DAYS) -> list[
     return [first + timedelta(days=i) for i in range((last - first).days + 1)]
 
 
-def merge_latest_silver(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    """L4: keep-latest against what is stored.
+def merge_latest_silver(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
+    """L4: keep-latest against what is stored. Returns the touched days: process_date, emptied.
 
-    Streaming ``dropDuplicates`` keeps the first record seen; here the latest ``updated_on`` per id
-    must win, so the touched day slices are read back and merged. The merged rows pass through the
-    shared scratch folder before they replace the slices.
+    Streaming ``dropDuplicates`` keeps the first record seen; here the latest ``updated_on`` per id must win, wherever
+    it is stored: a correction may move an incident to another day. So the days that hold an arriving id are
+    looked up by a scan of the two columns id and process_date, and their slices are rewritten together with the
+    arriving days; slices that lose their last row are removed. The merged rows pass through the shared scratch
+    folder before they replace the slices. A replay after a failure in between finds the same rows again.
     """
-    days = [r[0] for r in batch.select("process_date").distinct().collect()]  # one value per incident day
-    if not days:
-        return
-    stored = spark.read.schema(_stored_schema()).parquet(path).filter(F.col("process_date").isin(days)) \
-        if _exists(spark, path) else None
-    rows = batch if stored is None else stored.unionByName(batch)
+    days = batch.select("process_date").distinct()
+    rows = batch
+    if _exists(spark, path):
+        stored = spark.read.schema(_stored_schema()).parquet(path)
+        homes = stored.select("id", "process_date").join(batch.select("id").distinct(), "id", "left_semi")
+        days = stage(days.union(homes.select("process_date")).distinct(), "touched-days")
+        rows = stored.join(F.broadcast(days), "process_date", "left_semi").select(stored.columns).unionByName(batch)
     order = [F.desc_nulls_last(c) for c in ("updated_on", "date", "case_number")]
     order += [F.asc_nulls_last(c) for c in rows.columns if c not in ("updated_on", "date", "case_number", "id")]
-    staged = scratch_path(spark, "silver-merge")
-    keep_latest(rows, ["id"], order).write.parquet(staged)
-    replace_slices(spark.read.parquet(staged), path, ["process_date"])
+    merged = stage(keep_latest(rows, ["id"], order), "silver-merge")
+    filled = merged.select("process_date").distinct().withColumn("_filled", F.lit(True))
+    touched = stage(days.join(filled, "process_date", "left").select(
+        "process_date", F.col("_filled").isNull().alias("emptied")), "touched-days")
+    replace_slices(merged, path, ["process_date"])
+    clear_slices(spark, path, "process_date", touched.filter("emptied").select("process_date"))
+    return touched
 
 
 def _stored_schema():
@@ -75,23 +83,21 @@ def run_arrivals(stream: DataFrame, silver_path: str, checkpoint: str, writers:
 
     The process date of a record is its incident day. Every micro-batch may be replayed after a
     failure: the merge and the slice replacement give the same table again. The follow-up writers
-    receive the complete day slices that changed, read back from the table.
+    receive the complete day slices that changed, read back from the table, and the days that became empty.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         day = F.to_date(F.col("date").try_cast("timestamp"))
         silver = build_silver(batch, day, layers, key_method).withColumn("process_date", F.to_date("process_date"))
-        staged = scratch_path(spark, "arrivals")
-        silver.filter(F.col("process_date").isNotNull()).write.parquet(staged)
-        arrived = spark.read.parquet(staged)
-        merge_latest_silver(spark, silver_path, arrived)
-        if writers:
-            days = [r[0] for r in arrived.select("process_date").distinct().collect()]
-            if days:
-                changed = spark.read.parquet(silver_path).filter(F.col("process_date").isin(days))
-                for write in writers:
-                    write(changed)
+        arrived = stage(silver.filter(F.col("process_date").isNotNull()), "arrivals")
+        if arrived.isEmpty():
+            return
+        touched = merge_latest_silver(spark, silver_path, arrived)
+        stored = spark.read.schema(_stored_schema()).parquet(silver_path)
+        changed = stored.join(F.broadcast(touched.filter("not emptied")), "process_date", "left_semi").select(stored.columns)
+        for write in writers:
+            write(changed, touched.filter("emptied").select("process_date"))
 
     return (stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -19,16 +19,18 @@ def rows(spark):
     return spark.range(N).withColumn("hot", F.col("id") % 3 == 0)
 
 
-def test_hot_cell_is_salted(spark):
+def test_hot_cell_is_salted(spark, monkeypatch):
     layer = boundary_layer(spark.createDataFrame(
         [("1", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"), ("2", "POLYGON ((3 3, 9 3, 9 9, 3 9, 3 3))")], "ward string, geometry string"), "ward")
     points = rows(spark).select(
         "id", "hot", F.when(F.col("hot"), 3.5).otherwise(F.col("id") % 97 / 10.0).alias("longitude"),
         F.when(F.col("hot"), 3.5).otherwise(F.col("id") % 89 / 10.0).alias("latitude"))
     bounded = locate(points, layer, on_overlap="all")
+    monkeypatch.setattr("tallyward.operators.spatial.POINTS_PER_SALT", 500)
     large = locate(points, layer, on_overlap="all", max_broadcast_cells=0)
+    unnamed = locate(points, layer, on_overlap="all", point_id=None, max_broadcast_cells=0)
     count = lambda df: {(r["poly_id"], r["n"]) for r in df.groupBy("poly_id").agg(F.count("*").alias("n")).collect()}
-    assert count(bounded) == count(large)
+    assert count(bounded) == count(large) == count(unnamed)
     assert bounded.filter("hot").count() == 2 * (N // 3)
     plan = large._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in plan

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyward.operators.spatial import fill_from_layer, locate
 from tallyward.schema import pick_col, pick_label_col
-from tallyward.sources.boundaries import area_names, boundary_layer, geojson_layer, is_placeholder, read_geojson
+from tallyward.sources.boundaries import area_names, boundary_layer, geojson_layer, read_geojson
 
 
 def box(x1, y1, x2, y2):
@@ -146,7 +146,6 @@ def test_geojson_variants(spark, tmp_path):
     path.write_text(json.dumps(data))
     features = read_geojson(spark, str(path))
     assert {r["area_id"]: r["area_name"] for r in features.collect()} == {35: "DOUGLAS", 36: "OAK", 7: "7", 8: "Ready"}
-    assert is_placeholder(features)
     pts = spark.createDataFrame([("in", 0.2, 0.2), ("hole", 0.7, 0.7), ("part", 5.5, 0.5), ("gap", 4.5, 0.5)],
                                 "id string, longitude double, latitude double")
     got = {k: v["poly_id"] for k, v in by(locate(pts, geojson_layer(features)), "id").items()}

@@ -19,7 +19,7 @@ def rec(i, day, updated, kind="THEFT", area="8"):
 
 def test_arrivals_keep_latest_and_feed_all_writers(spark, tmp_path):
     inbox, silver, state, out = (str(tmp_path / n) for n in ("inbox", "silver", "state", "out"))
-    writers = [fanout.star_writer(f"{out}/star"), fanout.ml_feature_writer(f"{out}/ml"),
+    writers = [fanout.star_writer(silver, f"{out}/star"), fanout.ml_feature_writer(f"{out}/ml"),
                fanout.area_feature_writer(silver, f"{out}/area"), fanout.graph_writer(f"{out}/graph")]
 
     def deliver(rows):
@@ -44,6 +44,46 @@ def test_arrivals_keep_latest_and_feed_all_writers(spark, tmp_path):
     assert by(graph["Crime"], "case_number")["C2"]["primary_type"] == "BATTERY"
 
 
+def star_of(spark, base):
+    return {n: spark.read.parquet(f"{base}/{n}") for n in ("fact_incidents", "dim_location", "dim_date", "daily_summary")}
+
+
+def test_late_corrections_keep_every_table_whole(spark, tmp_path):
+    """An id moves to another day, a day is delivered twice, a day becomes empty, and an old day arrives late."""
+    inbox, silver, state, out = (str(tmp_path / n) for n in ("inbox", "silver", "state", "out"))
+    writers = [fanout.star_writer(silver, f"{out}/star"), fanout.ml_feature_writer(f"{out}/ml"),
+               fanout.area_feature_writer(silver, f"{out}/area"), fanout.graph_writer(f"{out}/graph")]
+
+    def deliver(rows):
+        landing_frame(spark, rows).coalesce(1).write.mode("append").parquet(inbox)
+        run_arrivals(landing_stream(spark, inbox, max_files=1), silver, state, writers).awaitTermination()
+
+    deliver([rec(1, 1, 1), rec(2, 2, 1) | {"block": "OTHER", "location_description": "HOTEL"}, rec(5, 3, 1), rec(6, 9, 1)])
+    deliver([rec(1, 2, 2), rec(2, 2, 2) | {"block": "OTHER", "location_description": "HOTEL"}, rec(6, 3, 2)])
+    deliver([rec(9, 1, 1) | {"date": "2001-03-01T10:00:00"}])
+    stored = spark.read.parquet(silver)
+    assert sorted((r["id"], str(r["process_date"])) for r in stored.collect()) == [
+        (1, "2025-06-02"), (2, "2025-06-02"), (5, "2025-06-03"), (6, "2025-06-03"), (9, "2001-03-01")]
+    star = star_of(spark, f"{out}/star")
+    facts = star["fact_incidents"]
+    assert facts.count() == 5 and spark.read.parquet(f"{out}/ml").count() == 5
+    assert facts.join(star["dim_location"], "location_key", "left_anti").count() == 0
+    assert facts.join(star["dim_date"], "date_key", "left_anti").count() == 0
+    assert star["daily_summary"].agg(F.sum("total_incidents")).first()[0] == 5
+    key = ["area_id", "date", "count_1d", "count_7d", "label_next_day_count"]
+    want = sorted(map(tuple, area_features(stored, date(2001, 1, 1), date(2025, 6, 3)).select(key).collect()))
+    got = sorted(map(tuple, spark.read.parquet(f"{out}/area").select(key).collect()))
+    assert [r for r in got if r[2] or r[3]] == [r for r in want if r[2] or r[3]]
+    graph = fanout.read_graph(spark, f"{out}/graph")
+    assert graph["Crime"].count() == 5 and graph["edges"].count() == 15
+
+
+def test_affected_spans(spark):
+    days = spark.createDataFrame([(date(2001, 1, 5),), (date(2025, 6, 1),), (date(2025, 6, 2),)], "process_date date")
+    spans = fanout.affected_spans(days)
+    assert len(spans) == 2 and spans[0][0] < date(2001, 1, 5) < spans[0][1] < spans[1][0]
+
+
 def test_day_counts_over_several_batches(spark, tmp_path):
     inbox, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = [(datetime(2026, 1, 1 + i % 5, i % 24), i % 3) for i in range(60)]

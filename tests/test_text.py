@@ -48,6 +48,12 @@ def test_repeated_apostrophes_take_several_passes(spark):
     assert apply(spark, gr.repair_apostrophes, escaped) == escaped
 
 
+def test_repairs_go_on_until_none_is_left(spark):
+    text = "CONTAINS '" + "'".join("abcdefgh") + "'"
+    assert apply(spark, gr.repair_apostrophes, text) == "CONTAINS '" + "\\'".join("abcdefgh") + "'"
+    assert apply(spark, lambda c: gr.repair_apostrophes(c, max_passes=2), text).count("\\") == 2
+
+
 def test_plain_passes_escape_again(spark):
     got = apply(spark, lambda c: gr.repair_apostrophes(c, literal_passes=True), "CONTAINS 'O'Hare'")
     assert got == "CONTAINS 'O" + 5 * "\\" + "'Hare'"
@@ -88,6 +94,15 @@ def test_citations(spark):
     assert len(got) == 7
 
 
+def test_citations_are_told_apart_by_their_whole_text(spark):
+    same = "z" * 2000
+    df = spark.createDataFrame([("t", k, "tool", "neo4j", same + end) for k, end in enumerate("aba")],
+                               "thread_id string, position int, role string, tool_name string, content string")
+    assert [(r["position"], len(r["detail"])) for r in messages.citations(df).orderBy("position").collect()] == [(0, 2000), (1, 2000)]
+    assert messages.citations(df, cut_identity=True).count() == 1
+    assert {len(r["detail"]) for r in messages.citations(df, detail_limit=7).collect()} == {7}
+
+
 def test_dangling_calls(spark):
     calls = spark.createDataFrame([("t", 1, "a", "x"), ("t", 3, "b", None), ("t", 5, "a", "x"), ("s", 1, "a", "x"), ("s", 2, "", "x")],
                                   "thread_id string, position int, call_id string, tool_name string")
