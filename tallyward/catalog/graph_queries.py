@@ -22,13 +22,14 @@ def build(spark, sf):
     return g.build_graph(inputs.silver(spark, sf, located=True), "md5")
 
 
-def stored(spark, sf):
-    """The graph as stored tables: the located incidents are computed once, each table is written once."""
-    silver = stage(inputs.silver(spark, sf, located=True).select(
+def stored(spark, sf, *names, located=True):
+    """The graph with the named tables stored: the incidents are computed once, each of these tables is written once.
+    Area and district names need the spatial step; queries that read none do without (``located=False``)."""
+    silver = stage(inputs.silver(spark, sf, located=located).select(
         "id", "case_number", "date", "block", "primary_type", "description", "location_description", "arrest", "domestic",
         "beat", "district", "ward", "community_area", "community_area_name", "district_name", "latitude", "longitude",
         "updated_on", *TAXONOMY_COLUMNS), "silver")
-    return {name: stage(df, name) for name, df in g.build_graph(silver, "md5").items()}
+    return {name: stage(df, name) if name in names else df for name, df in g.build_graph(silver, "md5").items()}
 
 
 def crime_nodes(spark, sf):
@@ -87,7 +88,7 @@ def _today(spark, sf):
 
 def pruned(spark, sf):
     """Prune, then drop what dangles; rows left per table plus what was deleted."""
-    before = stored(spark, sf)
+    before = stored(spark, sf, "Crime", "Location", "CrimeType", "edges")
     after = g.prune(before, _today(spark, sf), RETENTION)
     after = {**after, "edges": stage(after["edges"], "edges")}
     cleaned, deleted = g.drop_dangling(after)
@@ -105,12 +106,12 @@ def pruned(spark, sf):
 
 def pruned_edges(spark, sf):
     """The edges that survive, as rows."""
-    return g.prune(stored(spark, sf), _today(spark, sf), RETENTION)["edges"]
+    return g.prune(stored(spark, sf, "edges"), _today(spark, sf), RETENTION)["edges"]
 
 
 def dangling_nodes(spark, sf):
     """C19 after a prune, as rows."""
-    return g.dangling(g.prune(stored(spark, sf), _today(spark, sf), RETENTION))
+    return g.dangling(g.prune(stored(spark, sf, "edges"), _today(spark, sf), RETENTION))
 
 
 _PRUNE_CTES = [
@@ -131,7 +132,7 @@ UNION ALL SELECT 'deleted', label, count(*) FROM lost GROUP BY label""", _PRUNE_
 
 
 def violent_count(spark, sf):
-    return g.violent_between(stored(spark, sf), *VIOLENT_RANGE)
+    return g.violent_between(stored(spark, sf, "edges", located=False), *VIOLENT_RANGE)
 
 
 def area_group_count(spark, sf):
@@ -139,7 +140,7 @@ def area_group_count(spark, sf):
 
 
 def month_trend(spark, sf):
-    return g.month_trend(stored(spark, sf), TREND_START)
+    return g.month_trend(stored(spark, sf, located=False), TREND_START)
 
 
 def coverage(spark, sf):
@@ -154,7 +155,7 @@ def edge_upsert(spark, sf):
     """Loading the same batch twice leaves nodes and edges as they were."""
     from tallyward.sources.tables import upsert, upsert_edges
 
-    graph = stored(spark, sf)
+    graph = stored(spark, sf, "edges", "CrimeType")
     twice = upsert_edges(graph["edges"], graph["edges"])
     nodes = upsert(graph["CrimeType"], graph["CrimeType"], ["crime_type_key"])
     return twice.groupBy("type").agg(F.count(F.lit(1)).alias("rows")).unionByName(

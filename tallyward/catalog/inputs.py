@@ -136,7 +136,7 @@ def silver(spark: SparkSession, sf_dir: str, located: bool = False) -> DataFrame
 
 
 def first_last_day(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
-    """First and last incident day, from the file statistics of one column."""
+    """First and last incident day: a job that reads one column."""
     day = F.col("l_shipdate").cast("date")
     row = table(spark, sf_dir, "lineitem").agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
     return row["a"], row["b"]
