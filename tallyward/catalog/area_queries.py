@@ -144,7 +144,17 @@ def score_batch(spark, sf):
     return recent_predictions(_recent_features(spark, sf)).drop("created_at")
 
 
-def _prediction_sql(version: str) -> str:
+def score_history(spark, sf):
+    """Every batch of the whole history scored by both models, reported per model and batch."""
+    first, last = inputs.first_last_day(spark, sf)
+    features = stage(area_features(inputs.silver(spark, sf), first, last), "features")
+    return recent_predictions(features).groupBy("model_version", "process_date").agg(
+        F.count(F.lit(1)).alias("predictions"), F.round(F.sum("predicted_count"), 3).alias("predicted"),
+        F.round(F.sum("predicted_count_high"), 3).alias("predicted_high"), F.round(F.sum("safety_score"), 3).alias("safety"),
+        F.max("target_date").alias("last_target"))
+
+
+def _prediction_sql(version: str, where: str = "") -> str:
     formula = STAND_INS[version].replace("D", "::DOUBLE")
     return f"""pred_{version} AS (SELECT 'run-{version}' AS run_id, 'area_risk' AS model_name, '{version}' AS model_version,
   prediction_date, prediction_date + 1 AS target_date, 'total_count' AS prediction_target, area_type, area_id,
@@ -152,19 +162,23 @@ def _prediction_sql(version: str) -> str:
     SELECT f.area_type, f.area_id, f.process_date, f.count_1d, f.count_7d, f.count_14d, f.violent_count_7d,
       f.process_date + CAST(h.h AS INTEGER) AS prediction_date, h.h AS horizon,
       CASE WHEN dayofweek(f.process_date + CAST(h.h AS INTEGER)) IN (0, 6) THEN 1 ELSE 0 END AS is_weekend
-    FROM features f CROSS JOIN range(0, 11) h(h) WHERE f.process_date BETWEEN {RUN} - {BATCH_DAYS} AND {RUN})))"""
-
-
-PREDICTION_CTES = [
-    _prediction_sql("1"), _prediction_sql("2"),
-    *[f"""scored_{v} AS (SELECT p.*, round(greatest(0.0::DOUBLE, predicted_count - 1.65::DOUBLE * sqrt(predicted_count)), 1) AS predicted_count_low,
-  round(predicted_count + 1.65::DOUBLE * sqrt(predicted_count), 1) AS predicted_count_high,
-  round(100.0::DOUBLE * (1.0::DOUBLE - least(predicted_count / q.p99, 1.0::DOUBLE)), 2) AS safety_score
-  FROM pred_{v} p JOIN (SELECT process_date, CASE WHEN quantile_disc(predicted_count, 0.99) > 0
-    THEN quantile_disc(predicted_count, 0.99) ELSE 1.0 END AS p99 FROM pred_{v} GROUP BY 1) q USING (process_date))"""
-      for v in ("1", "2")],
-    "predictions AS (SELECT * FROM scored_1 UNION ALL SELECT * FROM scored_2)",
-]
+    FROM features f CROSS JOIN range(0, 11) h(h) {where})))"""
+
+
+def _prediction_ctes(where: str) -> list[str]:
+    return [
+        _prediction_sql("1", where), _prediction_sql("2", where),
+        *[f"""scored_{v} AS (SELECT p.*, round(greatest(0.0::DOUBLE, predicted_count - 1.65::DOUBLE * sqrt(predicted_count)), 1) AS predicted_count_low,
+      round(predicted_count + 1.65::DOUBLE * sqrt(predicted_count), 1) AS predicted_count_high,
+      round(100.0::DOUBLE * (1.0::DOUBLE - least(predicted_count / q.p99, 1.0::DOUBLE)), 2) AS safety_score
+      FROM pred_{v} p JOIN (SELECT process_date, CASE WHEN quantile_disc(predicted_count, 0.99) > 0
+        THEN quantile_disc(predicted_count, 0.99) ELSE 1.0 END AS p99 FROM pred_{v} GROUP BY 1) q USING (process_date))"""
+          for v in ("1", "2")],
+        "predictions AS (SELECT * FROM scored_1 UNION ALL SELECT * FROM scored_2)",
+    ]
+
+
+PREDICTION_CTES = _prediction_ctes(f"WHERE f.process_date BETWEEN {RUN} - {BATCH_DAYS} AND {RUN}")
 
 
 def with_predictions(body: str, extra: list[str] | None = None) -> str:
@@ -172,6 +186,9 @@ def with_predictions(body: str, extra: list[str] | None = None) -> str:
 
 
 SCORE_BATCH = with_predictions("SELECT * FROM predictions")
+SCORE_HISTORY = with_features("""SELECT model_version, process_date, count(*) AS predictions,
+  round(sum(predicted_count), 3) AS predicted, round(sum(predicted_count_high), 3) AS predicted_high,
+  round(sum(safety_score), 3) AS safety, max(target_date) AS last_target FROM predictions GROUP BY 1, 2""", _prediction_ctes(""))
 
 
 def _rounded(df, *names):
@@ -232,6 +249,7 @@ QUERIES = {
     "horizon_expand": (horizon_expand, HORIZON_EXPAND),
     "split_sizes": (split_counts, SPLIT_COUNTS),
     "score_batch": (score_batch, SCORE_BATCH),
+    "score_history": (score_history, SCORE_HISTORY),
     "evaluate": (evaluate_window, EVALUATE),
     "evaluate_per_model": (evaluate_per_model, EVALUATE_PER_MODEL),
     "drift": (drift_metrics, DRIFT),
