@@ -150,7 +150,7 @@ def naive_times(df: DataFrame) -> DataFrame:
 
 def event_landing(spark: SparkSession, sf_dir: str, delivery: int = 1) -> DataFrame:
     """Landing records from every event. The second delivery repeats the even ids with a later
-    ``updated_on`` and another type."""
+    ``updated_on`` and another type; the third moves every fourth id to the next day."""
     from tallyward.schema import LANDING_COLUMNS, evolve
 
     ts = F.col("ts").cast("string")
@@ -175,4 +175,8 @@ def event_landing(spark: SparkSession, sf_dir: str, delivery: int = 1) -> DataFr
             "updated_on": F.concat(F.lit("2025-01-01T00:00:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0")),
             "primary_type": F.lit("ARSON"),
         })
+    if delivery == 3:
+        later = F.date_format(F.date_add(F.to_date(F.substring("date", 1, 10)), 1), "yyyy-MM-dd")
+        rows = rows.filter(F.col("event_id") % 4 == 1).withColumns({
+            "updated_on": F.lit("2025-02-01T00:00:00"), "date": F.concat(later, F.substring("date", 11, 9))})
     return evolve(rows, ", ".join(f"{c} string" for c in LANDING_COLUMNS)).select(*LANDING_COLUMNS)

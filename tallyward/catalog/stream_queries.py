@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyward.catalog import inputs
 from tallyward.catalog.oracle_blocks import EVENT_KIND
-from tallyward.plans.fanout import ml_feature_writer
+from tallyward.plans.fanout import area_feature_writer, graph_writer, ml_feature_writer, read_graph, star_writer
 from tallyward.session import scratch_path
 from tallyward.streaming.arrivals import landing_stream, run_arrivals
 from tallyward.streaming.daily_counts import read_counts, windowed_counts, write_updates
@@ -71,7 +71,59 @@ def stream_features(spark, sf):
 STREAM_FEATURES = f"""SELECT process_date, CAST(community_area AS INTEGER) AS community_area, crime_category, count(*) AS incidents
 FROM ({STREAM_SILVER}) GROUP BY 1, 2, 3"""
 
+def _run_moved(spark, sf, follow_ups):
+    """All events, then corrections that move every fourth incident to another day."""
+    inbox, silver, out = (scratch_path(spark, n) for n in ("inbox", "stream-moved", "stream-follow-ups"))
+    state = scratch_path(spark, "stream-moved-state")
+    writers = [star_writer(silver, f"{out}/star", "md5"), area_feature_writer(silver, f"{out}/area"),
+               graph_writer(f"{out}/graph", "md5")] if follow_ups else []
+    for delivery in (1, 3):
+        inputs.event_landing(spark, sf, delivery).write.mode("append").parquet(inbox)
+        run_arrivals(landing_stream(spark, inbox), silver, state, writers, key_method="md5").awaitTermination()
+    return silver, out
+
+
+def stream_moved_day(spark, sf):
+    """L4: an incident that a correction moves to another day is stored once, on that day."""
+    silver, _ = _run_moved(spark, sf, False)
+    return spark.read.parquet(silver).select("id", "process_date", F.col("date").cast("timestamp_ntz").alias("date"))
+
+
+_MOVED = """SELECT event_id AS id, user_id % 77 + 1 AS area, CASE WHEN event_id % 4 = 1 THEN date_trunc('second', ts) + INTERVAL 1 DAY
+  ELSE date_trunc('second', ts) END AS "date" FROM events"""
+STREAM_MOVED_DAY = f"""SELECT id, CAST("date" AS DATE) AS process_date, "date" FROM ({_MOVED})"""
+
+
+def stream_follow_ups(spark, sf):
+    """L3: incidents per day in the tables of the writers, and fact rows whose dimension row is missing."""
+    _, out = _run_moved(spark, sf, True)
+    fact = spark.read.parquet(f"{out}/star/fact_incidents")
+    place, day = spark.read.parquet(f"{out}/star/dim_location"), spark.read.parquet(f"{out}/star/dim_date")
+
+    def rows(name, df, day_col, n):
+        return df.groupBy(F.col(day_col).cast("date").alias("day")).agg(n.cast("long").alias("incidents")) \
+            .select(F.lit(name).alias("part"), "day", "incidents")
+
+    one = F.count(F.lit(1))
+    graph = read_graph(spark, f"{out}/graph")
+    on_day = graph["edges"].filter("type = 'OCCURRED_ON'")
+    area = spark.read.parquet(f"{out}/area").filter("count_1d > 0")
+    parts = [rows("fact", fact, "process_date", one), rows("area", area, "process_date", F.sum("count_1d")),
+             rows("edge", on_day, "dst", one),
+             rows("no place", fact.join(place, "location_key", "left_anti"), "process_date", one),
+             rows("no date", fact.join(day, "date_key", "left_anti"), "process_date", one)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+STREAM_FOLLOW_UPS = f"""SELECT part, CAST("date" AS DATE) AS day, count(*) AS incidents
+FROM ({_MOVED}) CROSS JOIN (VALUES ('fact'), ('area'), ('edge')) p(part) GROUP BY 1, 2"""
+
 QUERIES = {
+    "stream_moved_day": (stream_moved_day, STREAM_MOVED_DAY),
+    "stream_follow_ups": (stream_follow_ups, STREAM_FOLLOW_UPS),
     "stream_daily": (stream_daily, STREAM_DAILY),
     "stream_silver": (stream_silver, STREAM_SILVER),
     "stream_features": (stream_features, STREAM_FEATURES),
