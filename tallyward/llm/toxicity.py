@@ -233,11 +233,14 @@ def learn(source: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
     size = counts.filter("arc = ''").first()
     found = {w: 2.0 for w in SEED_INSULTS}
     if size and size["plain"] and size["toxic"]:
-        share = size["plain"] / size["toxic"]
-        ratio = F.log((F.col("toxic") + 0.5) / (F.col("plain") + 0.5) * share)
+        share = size["toxic"] / (size["plain"] + size["toxic"])
+        both = F.col("toxic") + F.col("plain")
+        part = lambda c, s: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * s))).otherwise(0.0)
+        ratio = F.log((F.col("toxic") + 0.5) / (F.col("plain") + 0.5) * (1 - share) / share)
+        # w: log ratio of the rates; z: signed root of the likelihood-ratio statistic of equal rates
         kept = (counts.filter("arc <> '' and docs >= 4").withColumn("w", ratio)
-                .withColumn("z", F.col("w") / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("plain") + 0.5)))
-                .filter("w > 1 and z > 4").orderBy(F.col("z").desc(), "arc").limit(arcs))
+                .withColumn("z", F.sqrt(F.greatest(F.lit(0.0), 2 * (part("toxic", share) + part("plain", 1 - share)))))
+                .filter("w > 1.5 and z > 4.5").orderBy(F.col("z").desc(), "arc").limit(arcs))
         found |= {r["arc"]: float(r["w"]) for r in kept.collect()}
     shared = source.sparkSession.sparkContext.broadcast(found)
 
