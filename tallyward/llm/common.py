@@ -63,3 +63,25 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The two columns the text operators read; a null text becomes the empty one."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+
+
+def most_frequent(counts: DataFrame, size: int, count_col: str = "n") -> tuple[DataFrame, int]:
+    """The rows whose count reaches a cut, and the cut: the smallest one that leaves at most ``size`` rows. Found from the
+    number of rows per count (there are at most about the root of twice the total as many different counts), so that
+    no task hands the driver more than the final rows. ``counts`` is read twice."""
+    left, cut = size, None
+    sizes = counts.groupBy(F.col(count_col).alias("c")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    for r in sorted(sizes, key=lambda r: -r["c"]):
+        left -= r["rows"]
+        if left < 0:
+            break
+        cut = r["c"]
+    return counts.filter(F.lit(False) if cut is None else F.col(count_col) >= cut), cut or 0
+
+
+def likely_rows(rows: DataFrame, id_col: str, wanted: DataFrame, slots: int = 1 << 20) -> DataFrame:
+    """The rows whose id is in the one column of ``wanted``, and some others: a semi-join on a hash slot of the id, whose
+    broadcast side has at most ``slots`` rows. Put before an exact join, it keeps most other rows out of the shuffle."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
+    taken = wanted.select(slot(F.col(wanted.columns[0])).alias("slot")).distinct()
+    return rows.join(F.broadcast(taken), slot(F.col(id_col)) == F.col("slot"), "left_semi")

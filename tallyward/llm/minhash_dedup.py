@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import map_texts, staged, texts
+from tallyward.llm.common import likely_rows, map_texts, staged, texts
 from tallyward.llm.components import connected_components
 from tallyward.llm.shingles import ConsistentSampler, ShingleEncoder, idf_table, weighted_jaccard, words
 
@@ -65,9 +65,8 @@ def verified(groups: DataFrame, source: DataFrame, idf, rest: float, size: int,
     """
     spark = source.sparkSession
     table = spark.sparkContext.broadcast(idf)
-    needed = groups.select("node").distinct()
-    wanted = staged(source.join(needed, source.doc_id == needed.node, "left_semi"), "texts")
-    rows_in = (groups.join(wanted, F.col("node") == F.col("doc_id"))
+    needed = staged(groups.select("node").distinct(), "needed")
+    rows_in = (groups.join(likely_rows(source, "doc_id", needed), F.col("node") == F.col("doc_id"))
                .repartition("grp").sortWithinPartitions("grp", "kind", "node")
                .select("grp", "kind", "node", "comp", "outer", "band", "samples", "text"))
 

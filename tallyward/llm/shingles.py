@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import map_texts
+from tallyward.llm.common import map_texts, most_frequent, staged
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -45,13 +45,13 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def idf_table(docs: DataFrame, size: int = IDF_WORDS) -> tuple[dict[str, float], float]:
-    """Inverse document frequencies 1 + ln((1 + N) / (1 + n)) of the ``size`` most frequent words, and the weight
-    of all others: that of the rarest word in the table, or of a word seen once when the table holds all."""
+    """Inverse document frequencies 1 + ln((1 + N) / (1 + n)) of the most frequent words, at most ``size``, and the weight
+    of all others: that of the smallest count in the table, or of a word seen once when the table holds all."""
     total = docs.count()
-    top = document_frequencies(docs).orderBy(F.col("n").desc(), "word").limit(size + 1).collect()
+    counts = staged(document_frequencies(docs), "frequencies")
+    top, cut = most_frequent(counts, size)
     weight = lambda n: 1 + math.log((1 + total) / (1 + n))
-    rest = weight(top[size - 1]["n"]) if len(top) > size else weight(1)
-    return {r["word"]: weight(r["n"]) for r in top[:size]}, rest
+    return {r["word"]: weight(r["n"]) for r in top.collect()}, weight(max(cut, 1))
 
 
 class ShingleEncoder:

@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import map_texts, texts
+from tallyward.llm.common import map_texts, most_frequent, staged, texts
 from tallyward.llm.pretokens import CHUNKS, KEEP_CHARS, ChunkCoder, worker_coder
 
 TABLE_SIZE = 16_384
@@ -26,7 +26,8 @@ COUNTER_SIZE = 400_000
 
 
 def frequent_chunks(docs: DataFrame, candidates: int = CANDIDATES, table_size: int = TABLE_SIZE) -> DataFrame:
-    """The ``table_size`` most frequent chunks of all texts, as (chunk, n); ties go to the smaller chunk."""
+    """The most frequent chunks of all texts, as (chunk, n): all that occur as often as the last that fits into
+    ``table_size``."""
 
     def count(blocks):
         seen: Counter = Counter()
@@ -35,12 +36,12 @@ def frequent_chunks(docs: DataFrame, candidates: int = CANDIDATES, table_size: i
                 seen.update(CHUNKS.findall(t))
             if len(seen) > COUNTER_SIZE:
                 seen = Counter(dict(seen.most_common(COUNTER_SIZE // 2)))
-        top = [x for x in seen.most_common(candidates) if x[1] > 1 and len(x[0]) <= KEEP_CHARS]
+        top = [x for x in seen.most_common(candidates) if len(x[0]) <= KEEP_CHARS]
         yield {"chunk": [c for c, _ in top], "n": [n for _, n in top]}
 
     found = map_texts(docs, count, "chunk string, n long")
-    return (found.groupBy("chunk").agg(F.sum("n").alias("n"))
-            .orderBy(F.col("n").desc(), "chunk").limit(table_size))
+    counts = staged(found.groupBy("chunk").agg(F.sum("n").alias("n")), "chunks")
+    return most_frequent(counts, table_size)[0]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
