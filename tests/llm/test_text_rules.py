@@ -168,6 +168,17 @@ def test_chat_round_trip(spark):
     assert digests(chat_examples(df.limit(0))).count() == 0
 
 
+def test_turns_without_a_reply_are_written_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("tallyward.llm.chat.PART_CHARS", 50)
+    rows = [(1, k, "assistant" if k in (3, 11) else "user", f"text {k}") for k in range(14)]
+    examples = chat_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert examples.filter("loss_start is null").count() > 3
+    row, = digests(examples).collect()
+    assert tuple(row[k] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == chat_by_definition(rows)
+    last = render(examples).orderBy("example").collect()[-1]
+    assert [t for _, t in parse_turns(last["context"] + "<|im_end|>\n")] == [r[3] for r in rows[:11]] + [""]
+
+
 # --- URLs
 
 
