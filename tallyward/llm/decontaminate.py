@@ -5,9 +5,9 @@ against all rows of the corpus.
 
 1. Every text becomes the ids of its benchmark words, in order (0: another word), cut into passages of two
    neighbouring strides. The same pass counts in how many strides each word occurs.
-2. A randomised SVD of the TF-IDF matrix of all passages (corpus passages, and benchmark passages weighted to the
-   same total) gives the latent space: each pass multiplies a small basis by A^T A in the tasks that hold the
-   passages and adds up one matrix of vocabulary x rank; two passes and a Rayleigh-Ritz step give the axes.
+2. A randomised SVD of the TF-IDF matrix A of all passages (corpus passages side by side, and benchmark passages
+   weighted to the same total) gives the latent space: one pass multiplies a random basis by A^T A in the tasks that
+   hold the passages and adds up one matrix of vocabulary x sketch; the Nystrom formula gives the singular vectors.
 3. In the last pass a task projects its passages, takes those whose latent cosine with an item's passage reaches
    ``cosine``, and compares the words around them with the item: longest common subsequence of the informative
    words, and, for loose matches, of the item's answer (its last words). Nothing but hits leaves the task.
@@ -16,6 +16,7 @@ against all rows of the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from tallyward.llm.common import map_texts, staged, texts
 from tallyward.llm.shingles import words
 
 STRIDE = 32
-RANK = 128
+RANK, SKETCH = 64, 96
 ROWS_AT_ONCE = 400_000
+FAN_IN = 256
 
 
 def to_terms(source: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -43,7 +45,7 @@ def to_terms(source: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
             rows = []
             for t in block:
                 tokens = words(t)
-                row = np.fromiter((ids.get(w, 0) for w in tokens), np.uint16, len(tokens)) if tokens else \
+                row = np.fromiter(map(ids.get, tokens, repeat(0)), np.uint16, len(tokens)) if tokens else \
                     np.zeros(0, np.uint16)
                 rows.append(row.tobytes())
                 at = np.flatnonzero(row)
@@ -58,8 +60,8 @@ def to_terms(source: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
 
 def added_up(frame: DataFrame, size: int, rows: int = 1) -> np.ndarray:
-    """Element-wise sum of the double vectors in (part, v), ``rows`` parts in order. Parts are summed on the cluster;
-    the driver gets one vector per part."""
+    """Element-wise sum of the double vectors in (part, v), ``rows`` parts in order. Parts are summed on the cluster, first
+    in ``FAN_IN`` groups of tasks each and then as a whole; the driver gets one vector per part."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -70,7 +72,8 @@ def added_up(frame: DataFrame, size: int, rows: int = 1) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_pydict({"part": list(total), "v": [v.tobytes() for v in total.values()]})
 
-    found = frame.repartition("part").mapInArrow(add, "part long, v binary").collect()
+    halfway = frame.repartition("part", F.spark_partition_id() % FAN_IN).mapInArrow(add, "part long, v binary")
+    found = halfway.repartition("part").mapInArrow(add, "part long, v binary").collect()
     out = {r["part"]: np.frombuffer(r["v"]) for r in found}
     return np.concatenate([out.get(p, np.zeros(size)) for p in range(rows)])
 
@@ -106,7 +109,7 @@ def passages(per_stride: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def gram_times(encoded: DataFrame, weight: np.ndarray, basis: np.ndarray, slab: int = 256) -> np.ndarray:
-    """A^T A basis over all passages of the corpus."""
+    """A^T A basis over the corpus, cut into passages of two strides that do not overlap."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast((weight, (weight[:, None] * basis).astype(np.float32)))
     v, k = basis.shape
@@ -123,12 +126,11 @@ def gram_times(encoded: DataFrame, weight: np.ndarray, basis: np.ndarray, slab:
                     size += len(column[at])
                     at += 1
                 terms, stride, first, n = strided(column[start:at], weight)
-                y = passages(summed(scaled[terms], stride, n), first)
-                both = y.copy()
-                both[1:] += y[:-1]
-                both[first[:-1]] = y[first[:-1]]
+                row = np.searchsorted(first, stride, "right") - 1
+                passage = stride - (stride - first[row]) % 2
+                y = summed(scaled[terms], passage, n)
                 order = np.argsort(terms, kind="stable")
-                total += summed(both[stride[order]], terms[order], v)
+                total += summed(y[passage[order]], terms[order], v)
         total *= weight[:, None]
         for part in range(0, -(-v // slab)):
             rows = np.zeros((slab, k))
@@ -143,19 +145,17 @@ def gram_times(encoded: DataFrame, weight: np.ndarray, basis: np.ndarray, slab:
 
 
 def latent_axes(encoded: DataFrame, weight: np.ndarray, queries: np.ndarray, total: int, rank: int) -> np.ndarray:
-    """Leading right singular vectors (vocabulary x rank) of the TF-IDF matrix, by subspace iteration."""
-    rng = np.random.default_rng(11)
-    rank = min(rank, max(1, int((weight > 0).sum())))
-    basis = rng.standard_normal((len(weight), rank))
+    """Leading right singular vectors (vocabulary x rank) of the TF-IDF matrix, by a single-pass Nystrom sketch."""
+    size = min(max(rank, SKETCH), max(1, int((weight > 0).sum())))
+    basis = np.random.default_rng(11).standard_normal((len(weight), size))
     basis[weight == 0] = 0
+    basis, _ = np.linalg.qr(basis)
     share = max(total, 1) / max(len(queries), 1)
-    for _ in range(2):
-        basis, _ = np.linalg.qr(basis)
-        product = gram_times(encoded, weight, basis) + share * (queries.T @ (queries @ basis))
-        ritz, turn = np.linalg.eigh((basis.T @ product + product.T @ basis) / 2)
-        axes = basis @ turn[:, ::-1]
-        basis = product
-    return axes
+    product = gram_times(encoded, weight, basis) + share * (queries.T @ (queries @ basis))
+    core, turn = np.linalg.eigh((basis.T @ product + product.T @ basis) / 2)
+    good = core > 1e-9 * max(core[-1], 1e-30)
+    axes, _, _ = np.linalg.svd(product @ turn[:, good] / np.sqrt(core[good]), full_matrices=False)
+    return axes[:, :rank]
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -170,6 +170,19 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def member_counts(ids: np.ndarray, left: np.ndarray, right: np.ndarray, item: np.ndarray, members: np.ndarray,
+                  part: int = 50_000) -> np.ndarray:
+    """For each k, how many of ids[left[k]:right[k]] are words of item[k]."""
+    out = np.zeros(len(item), np.int64)
+    for low in range(0, len(item), part):
+        a, n = left[low:low + part], (right - left)[low:low + part]
+        owner = np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        hit = members[np.repeat(item[low:low + part], n), ids[at]]
+        out[low:low + part] = np.bincount(owner, hit, len(a))
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK, cosine: float = 0.4,
                cover: float = 0.6, loose_cover: float = 0.4, answer_words: int = 4, common: float = 0.05,
@@ -261,7 +274,13 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, scaled, latent, owner, item_ids, whole, answers = shared.value
-        reach = [max(3 * STRIDE, len(t)) for t in terms]
+        sizes = np.array([len(t) for t in terms])
+        back, ahead = 1 + sizes // STRIDE, 2 + np.maximum(3 * STRIDE, sizes) // STRIDE
+        lengths = np.array([len(t) for t in whole])
+        needed = np.maximum(np.ceil(loose_cover * lengths), np.minimum(4, lengths))
+        members = np.zeros((len(whole), len(weight)), bool)
+        for i, t in enumerate(whole):
+            members[i, t] = True
         for b in batches:
             docs, column = b.column(0), b.column(1).to_pylist()
             at = 0
@@ -279,12 +298,14 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
                     rows = some[low:low + 20_000]
                     near = (y[rows] @ latent) / norm[rows, None]
                     r, q = np.nonzero(near >= cosine)
-                    for passage, item, c in zip(rows[r].tolist(), owner[q].tolist(), near[r, q].tolist()):
-                        row = int(np.searchsorted(first, passage, "right")) - 1
-                        left = max(first[row], passage - 1 - len(terms[item]) // STRIDE)
-                        right = min(first[row + 1], passage + 2 + reach[item] // STRIDE)
-                        low_at, high_at = np.searchsorted(stride, [left, right])
-                        region = ids[low_at:high_at].tolist()
+                    passage, item, c = rows[r], owner[q], near[r, q]
+                    row = np.searchsorted(first, passage, "right") - 1
+                    left = np.searchsorted(stride, np.maximum(first[row], passage - back[item]))
+                    right = np.searchsorted(stride, np.minimum(first[row + 1], passage + ahead[item]))
+                    # no common subsequence is longer than the number of words around that the item has at all
+                    keep = member_counts(ids, left, right, item, members) >= needed[item]
+                    for row, item, c, left, right in zip(*(a[keep].tolist() for a in (row, item, c, left, right))):
+                        region = ids[left:right].tolist()
                         equal = common_subsequence(whole[item], region)
                         share = equal / len(whole[item])
                         if share < loose_cover or equal < min(4, len(whole[item])):
