@@ -2,9 +2,10 @@
 
 A rule is a regular expression over the word string of a text (its words, lower-cased, joined by single spaces), with a
 label, a priority and a keyword that every match contains. The rules are made from hand-written names and families of
-wordings, several hundred in all. A rule's expression runs only where its keyword occurs. Overlapping detections are
-resolved by priority: a detection is suppressed when its interval lies inside that of one with a higher priority, or
-inside a longer one of the same priority. Base phrases are reported besides and are never suppressed.
+wordings, several hundred in all. A rule's expression runs only where its keyword, and one of the other words that its
+own expression demands, occur; there is no test of the text besides. Overlapping detections are resolved by priority: a
+detection is suppressed when its interval lies inside that of one with a higher priority, or inside a longer one of the
+same priority. Base phrases are reported besides and are never suppressed.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tallyward.llm.common import map_texts, texts
 
 # Words of the scan (before A-Z is lower-cased), and the base phrases with their labels.
 SCAN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+WORD = re.compile(r"\w+")
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 #: Label -> (names of the license, versions it is cited with). Hand-written, as expressions over words.
@@ -118,6 +120,7 @@ class Rule(NamedTuple):
     keyword: str
     pattern: str
     priority: int
+    also: frozenset[str] = frozenset()  # whole words of which every match holds one; none: no such word is known
 
 
 class Detection(NamedTuple):
@@ -131,6 +134,8 @@ def rules() -> list[Rule]:
     """All rules, highest priority first: full citations (40), titles with their version (30), tags and links (20),
     bare titles (10), sentences (35)."""
     out = []
+    license = frozenset(["license", "licence"])
+    verbs = frozenset(["licensed", "licenced", "released", "distributed", "published", "available", "covered"])
     for label, (names, versions) in FAMILIES.items():
         version = rf"(?: (?:version |v)?(?:{'|'.join(sorted(versions, key=len, reverse=True))})\b)" if versions else ""
         for name in names:
@@ -139,14 +144,16 @@ def rules() -> list[Rule]:
             title = rf"{name}(?: public)?(?: licen[cs]e)?" if short else rf"{name} licen[cs]e"
             verb = r"(?:licen[cs]ed|released|distributed|published|available|covered)"
             out.append(Rule(label, word, rf"\b{verb} (?:\w+ ){{0,3}}?(?:under|by) (?:the )?(?:terms of (?:the )?)?"
-                                         rf"{title}{version}{'?' if version else ''}", 40))
+                                         rf"{title}{version}{'?' if version else ''}", 40, verbs))
             if versions:
-                out.append(Rule(label, word, rf"\b{title}{version}", 30))
-            out.append(Rule(label, word, rf"\bspdx license identifier {name}\b(?: [0-9]+)*(?: only| or later)?", 20))
+                out.append(Rule(label, word, rf"\b{title}{version}", 30, frozenset() if short else license))
+            out.append(Rule(label, word, rf"\bspdx license identifier {name}\b(?: [0-9]+)*(?: only| or later)?", 20,
+                            frozenset(["spdx"])))
             if not short or label in ("mit", "bsd", "isc", "zlib", "apache", "artistic", "unlicense", "php", "ruby"):
-                out.append(Rule(label, word, rf"\b{name} licen[cs]e\b", 10))
+                out.append(Rule(label, word, rf"\b{name} licen[cs]e\b", 10, license))
         link = re.sub(r"[^a-z0-9]+", " ", label)
-        out.append(Rule(label, link.split()[0], rf"\b(?:opensource org licenses|spdx org licenses) {link}\b", 20))
+        out.append(Rule(label, link.split()[0], rf"\b(?:opensource org licenses|spdx org licenses) {link}\b", 20,
+                        frozenset(["opensource", "spdx"])))
         if label.startswith("cc-by"):
             out.append(Rule(label, "creativecommons", rf"\bcreativecommons org licenses {label[3:].replace('-', ' ')}\b"
                                                       r"(?! (?:sa|nc|nd)\b)", 20))
@@ -167,16 +174,14 @@ def resolve(found: list[Detection]) -> list[Detection]:
 class Scanner:
     def __init__(self):
         self.rules = [(r, re.compile(r.pattern)) for r in rules()]
-        #: A text without any of these words meets no rule.
-        self.gate = re.compile(r"(?i:licen[cs]e|spdx|creativecommons|permission|redistribut|domain|reserved|warranty|released"
-                               r"|distributed|published|available|covered|proprietary|misrepresented|advertising"
-                               r"|compliance|endorse|unencumbered|mozilla)")
 
     def detect(self, line: str) -> list[Detection]:
         """Detections in a word string, by character positions."""
-        out = []
+        out, held = [], set(WORD.findall(line))
         for rule, pattern in self.rules:
-            if rule.keyword in line:
+            # a full citation may end within a word; all other rules hold their keyword as a whole word
+            if (rule.keyword in held or rule.priority == 40 and rule.keyword in line) and \
+                    not (rule.also and rule.also.isdisjoint(held)):
                 out += [Detection(*m.span(), rule.label, rule.priority) for m in pattern.finditer(line)]
         return resolve(out)
 
@@ -222,13 +227,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for t in block:
                 words = SCAN_WORD.findall(t)
                 out["n_words"].append(len(words))
-                base, found = [], []
-                if scanner.gate.search(t):
-                    line = lower_ascii(" ".join(words))
-                    base = base_places(line.split(" "))
-                    for d in scanner.detect(line):
-                        first = line.count(" ", 0, d.start)
-                        found.append((first, first + line.count(" ", d.start, d.end) + 1, d.label, d.priority))
+                line, found = lower_ascii(" ".join(words)), []
+                base = base_places(line.split(" "))
+                for d in scanner.detect(line):
+                    first = line.count(" ", 0, d.start)
+                    found.append((first, first + line.count(" ", d.start, d.end) + 1, d.label, d.priority))
                 out["base"].append([{"word": w, "label": b} for w, b in base])
                 out["detections"].append([dict(zip(("word", "end", "label", "priority"), d)) for d in found])
                 out["score"].append(max([d[3] / 40 for d in found] + [1.0 for _ in base[:1]] + [0.0]))

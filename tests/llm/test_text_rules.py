@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward.llm.chat import chat_examples, digests, escape, parse_turns, render, unescape
-from tallyward.llm.licenses import BASE, Detection, base_places, resolve, rules, scan_licenses
+from tallyward.llm.licenses import BASE, FAMILIES, Detection, Scanner, base_places, resolve, rules, scan_licenses
 from tallyward.llm.pii import KINDS, base_spans, find_personal_data, luhn, sanitised, span_digest
 from tallyward.llm.toxicity import GRAMMAR, clause_factors, compose, keep_clean, negation_machine, score_toxicity
 from tallyward.llm.url_filter import RULES, judge_urls
@@ -39,6 +39,34 @@ def test_detections(frame, text, labels):
     assert {d["label"] for d in row["detections"]} == labels
 
 
+@pytest.mark.parametrize("text,label", [
+    ("Apache 2.0", "apache"), ("This code is GPL v3.", "gpl"), ("LGPL-2.1", "lgpl"), ("CC BY-SA 4.0", "cc-by-sa"),
+    ("see XFree86 1.1", "xfree86"), ("EPL version 2.0 applies", "epl")])
+def test_titles_without_the_word_license(frame, text, label):
+    row, = scan_licenses(frame([(1, text)])).collect()
+    assert {d["label"] for d in row["detections"]} == {label} and row["score"] == 0.75
+
+
+def test_every_rule_runs_where_it_matches():
+    scanner, lines = Scanner(), []
+    for label, (names, versions) in FAMILIES.items():
+        for name in names:
+            for v in ["", *(f" {mark}{versions[-1]}" for mark in ("", "version ", "v") if versions)]:
+                lines += [f"{name}{v}", f"the {name} license{v} here", f"{name} licence{v}", f"available by {name}{v}",
+                          f"covered in all parts under the terms of the {name} licenses{v}", f"under {name}x",
+                          f"released under {name}x{v}", f"spdx license identifier {name}{v} only", f"\u2013{name}{v}\u2013"]
+        lines += [f"spdx org licenses {label.replace('-', ' ')}", f"https opensource org licenses {label.replace('-', ' ')}",
+                  f"creativecommons org licenses {label[3:].replace('-', ' ')}"]
+    lines += [re.sub(r"\(\?:([^|)]*)[^)]*\)", r"\1", r.pattern).replace(r"\b", "").replace(".{1,80}?", "any one")
+              for r in rules() if r.priority == 35]
+    met = set()
+    for line in lines:
+        want = [(r, Detection(*m.span(), r.label, r.priority)) for r, p in scanner.rules for m in p.finditer(line)]
+        met |= {r for r, _ in want}
+        assert scanner.detect(line) == resolve([d for _, d in want]), line
+    assert met == {r for r, _ in scanner.rules}
+
+
 def test_base_places_by_brute_force(frame, awkward, empty):
     rng = random.Random(3)
     pool = ["MIT", "mit", "License", "license", "apache", "general", "public", "GNU", "é", "x1", "lİcense", "licensed"]
