@@ -6,10 +6,10 @@ mentions:
 
     PMI(c; t) = ln(p(c | t) / p(c)),  IC(c) = -ln p(c),  disclosure = PMI / IC
 
-where p(c | t) is the share of t's occurrences in the corpus that stand near c and p(c) the share of all words. A
-term is taken when its disclosure reaches ``threshold`` and it stands near at least ``support`` different values of
+where p(c | t) is the share of t's occurrences in the corpus that stand near c and p(c) the share of all words, both
+over every occurrence, copies included. A term is taken when its disclosure reaches ``threshold`` and it stands near at least ``support`` different values of
 the kind (it is generalised), or near one value in at least ``support`` different surroundings (it is removed).
-Equal surroundings count once, so copies of a document prove nothing.
+For that support equal surroundings count once, so copies of a document prove nothing.
 
 Three passes over the texts: surroundings of entities; counts of the words that occur in enough of them; spans.
 Candidate words are counted through a bit table of fixed size, so no pass shuffles a text or a vocabulary.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,11 +87,20 @@ def plain_word(word: str) -> bool:
     return len(word) > 1 and word.isalpha()
 
 
-def surroundings(text: str, start: int, end: int, window: int) -> list[str]:
-    """Words near a span, lower-cased."""
-    before = WORD.findall(text[max(0, start - 60 * window):start])[-window:]
-    after = WORD.findall(text[end:end + 60 * window])[:window]
-    return [w.lower() for w in before + after if plain_word(w)]
+def surroundings(text: str, spans: list[tuple[str, int, int]], window: int) -> list[list[tuple[int, str]]]:
+    """For each span the words near it, lower-cased and with their number in the text. Words that overlap a span, its own or
+    another's, are left out, but count as words on the way."""
+    found = [m.span() for m in WORD.finditer(text)]
+    starts, ends = [s for s, _ in found], [e for _, e in found]
+    covered = bytearray(len(found))
+    sides = []
+    for _, start, end in spans:
+        left, right = bisect_right(ends, start), bisect_left(starts, end)
+        covered[left:right] = b"\1" * (right - left)
+        sides.append((left, right))
+    return [[(i, text[starts[i]:ends[i]].lower())
+             for i in (*range(max(0, left - window), left), *range(max(left, right), min(right + window, len(found))))
+             if not covered[i] and plain_word(text[starts[i]:ends[i]])] for left, right in sides]
 
 
 def digest(text: str) -> int:
@@ -98,21 +108,36 @@ def digest(text: str) -> int:
 
 
 def entity_contexts(source: DataFrame, window: int) -> DataFrame:
-    """(kind, value, context, term) of every entity mention; values and contexts as 64-bit digests."""
+    """(kind, value, context, term, near, near_kind) of every entity mention; values and contexts as 64-bit digests.
+
+    ``near`` counts the occurrences of the term that stand near the mention and near no earlier one of the same value in
+    the text, ``near_kind`` those near no earlier one of the same kind; the row with a null term counts all words so.
+    """
 
     def collect(blocks) -> Iterator[dict]:
         for _, block in blocks:
-            out: dict[str, list] = {"kind": [], "value": [], "context": [], "term": []}
+            out: dict[str, list] = {"kind": [], "value": [], "context": [], "term": [], "near": [], "near_kind": []}
             for t in block:
-                for kind, start, end in base_spans(t):
-                    near = surroundings(t, start, end, window)
-                    value, context = digest(f"{kind}:{t[start:end]}"), digest(" ".join(near))
-                    for w in set(near):
-                        for k, x in zip(out, (kind, value, context, w)):
+                spans = base_spans(t)
+                if not spans:
+                    continue
+                seen: dict[str | int, set[int]] = {}
+                for (kind, start, end), around in zip(spans, surroundings(t, spans, window)):
+                    value, context = digest(f"{kind}:{t[start:end]}"), digest(" ".join(w for _, w in around))
+                    of_value, of_kind = seen.setdefault(value, set()), seen.setdefault(kind, set())
+                    rows: dict[str | None, list[int]] = {None: [0, 0]}
+                    for i, w in around:
+                        for row in (rows[None], rows.setdefault(w, [0, 0])):
+                            row[0] += i not in of_value
+                            row[1] += i not in of_kind
+                        of_value.add(i)
+                        of_kind.add(i)
+                    for w, row in rows.items():
+                        for k, x in zip(out, (kind, value, context, w, *row)):
                             out[k].append(x)
             yield out
 
-    return map_texts(source, collect, "kind string, value long, context long, term string")
+    return map_texts(source, collect, "kind string, value long, context long, term string, near long, near_kind long")
 
 
 def word_counts(source: DataFrame, bits: bytes) -> DataFrame:
@@ -147,11 +172,13 @@ def word_counts(source: DataFrame, bits: bytes) -> DataFrame:
 def revealing_terms(source: DataFrame, threshold: float, support: int, window: int) -> DataFrame:
     """(term, action, disclosure): action ``generalise`` or ``remove``."""
     spark = source.sparkSession
-    contexts = staged(entity_contexts(source, window).distinct(), "contexts")
-    by_kind = contexts.groupBy("kind", "term", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("kind", "term").agg(
+    contexts = staged(entity_contexts(source, window).groupBy("kind", "value", "context", "term").agg(
+        F.sum("near").alias("near"), F.sum("near_kind").alias("near_kind")), "contexts")
+    named = contexts.filter("term is not null")
+    by_kind = named.groupBy("kind", "term", "value").agg(F.sum("near_kind").alias("n")).groupBy("kind", "term").agg(
         F.count(F.lit(1)).alias("support"), F.sum("n").alias("near")).withColumn("value", F.lit(None).cast("long"))
-    by_value = contexts.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("support")).withColumn(
-        "near", F.col("support"))
+    by_value = named.groupBy("kind", "value", "term").agg(
+        F.count(F.lit(1)).alias("support"), F.sum("near").alias("near"))
     candidates = staged(by_kind.unionByName(by_value).filter(F.col("support") >= support), "candidates")
 
     def place(blocks) -> Iterator[dict]:
@@ -163,13 +190,13 @@ def revealing_terms(source: DataFrame, threshold: float, support: int, window: i
     bits[[r["place"] for r in places]] = 1
     counts = staged(word_counts(source, np.packbits(bits, bitorder="little").tobytes()), "words")
     total = F.lit(max((counts.filter("term is null").first() or {"n": 0})["n"] or 0, 2))
-    mentions = contexts.select("kind", "value", "context").distinct()
-    kinds = mentions.groupBy("kind").agg(F.count(F.lit(1)).alias("mentions"))
-    values = mentions.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("mentions"))
+    every = contexts.filter("term is null")
+    kinds = every.groupBy("kind").agg(F.sum("near_kind").alias("words"))
+    values = every.groupBy("kind", "value").agg(F.sum("near").alias("words"))
     sized = candidates.filter("value is null").join(kinds, "kind").unionByName(
         candidates.filter("value is not null").join(values, ["kind", "value"]))
     # share of all words that stand near the entity
-    share = F.least(F.col("mentions") * (2 * window) / total, F.lit(0.5))
+    share = F.least(F.col("words") / total, F.lit(0.5))
     given = F.least(F.col("near") / F.col("n"), F.lit(1.0))
     scored = sized.join(counts, "term").withColumn("disclosure", F.log(given / share) / -F.log(share)) \
         .filter(F.col("disclosure") >= threshold)

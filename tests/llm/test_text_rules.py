@@ -128,6 +128,17 @@ def test_terms_that_reveal_are_found(frame):
     assert "[GENERALISE] [PHONE]" in rows[1003]["clean_text"] and "Orlo" not in rows[2003]["clean_text"]
 
 
+def test_copies_do_not_hide_a_revealing_term(frame):
+    rng = random.Random(8)
+    filler = lambda: " ".join(rng.choices(["sun", "moon", "rain", "wind", "hill", "lake"], k=40))
+    docs = [(k, filler()) for k in range(300)]
+    docs += [(1000 + k, f"{filler()} captain Orlo boss@example.com {filler()}") for k in range(5)]
+    docs += [(2000 + k, docs[300][1]) for k in range(1000)]
+    rows = {r["doc_id"]: r for r in find_personal_data(frame(docs)).collect()}
+    assert all("Orlo" not in rows[i]["clean_text"] for i in (1000, 1004, 2000, 2999))
+    assert not rows[5]["spans"]
+
+
 def test_span_digest_and_awkward_rows(frame, awkward, empty):
     text = "é x@y.zz 1.2.3.4"
     row, = span_digest(find_personal_data(frame([(1, text)]))).collect()
