@@ -7,7 +7,8 @@ mentions:
     PMI(c; t) = ln(p(c | t) / p(c)),  IC(c) = -ln p(c),  disclosure = PMI / IC
 
 where p(c | t) is the share of t's occurrences in the corpus that stand near c and p(c) the share of all words, both
-over every occurrence, copies included. A term is taken when its disclosure reaches ``threshold`` and it stands near at least ``support`` different values of
+over every occurrence, copies included. Any word outside the protected entities may be a term, numbers and names with
+digits too. A term is taken when its disclosure reaches ``threshold`` and it stands near at least ``support`` different values of
 the kind (it is generalised), or near one value in at least ``support`` different surroundings (it is removed).
 For that support equal surroundings count once, so copies of a document prove nothing.
 
@@ -83,10 +84,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def plain_word(word: str) -> bool:
-    return len(word) > 1 and word.isalpha()
-
-
 def surroundings(text: str, spans: list[tuple[str, int, int]], window: int) -> list[list[tuple[int, str]]]:
     """For each span the words near it, lower-cased and with their number in the text. Words that overlap a span, its own or
     another's, are left out, but count as words on the way."""
@@ -100,7 +97,7 @@ def surroundings(text: str, spans: list[tuple[str, int, int]], window: int) -> l
         sides.append((left, right))
     return [[(i, text[starts[i]:ends[i]].lower())
              for i in (*range(max(0, left - window), left), *range(max(left, right), min(right + window, len(found))))
-             if not covered[i] and plain_word(text[starts[i]:ends[i]])] for left, right in sides]
+             if not covered[i]] for left, right in sides]
 
 
 def digest(text: str) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyward.llm.chat import chat_examples, digests, escape, parse_turns, render, unescape
 from tallyward.llm.licenses import BASE, FAMILIES, Detection, Scanner, base_places, resolve, rules, scan_licenses
-from tallyward.llm.pii import KINDS, base_spans, find_personal_data, luhn, sanitised, span_digest
+from tallyward.llm.pii import KINDS, base_spans, find_personal_data, luhn, sanitised, span_digest, surroundings
 from tallyward.llm.toxicity import GRAMMAR, clause_factors, compose, keep_clean, negation_machine, score_toxicity
 from tallyward.llm.url_filter import RULES, judge_urls
 
@@ -139,6 +139,20 @@ def test_copies_do_not_hide_a_revealing_term(frame):
     assert not rows[5]["spans"]
 
 
+def test_terms_with_digits_and_far_neighbours(frame):
+    rng = random.Random(10)
+    filler = lambda: " ".join(rng.choices(["sun", "moon", "rain", "wind", "hill", "lake"], k=40))
+    gap = "-" * 500
+    docs = [(k, filler()) for k in range(300)]
+    docs += [(1000 + k, f"{filler()} jdoe42 j.doe@example.com {filler()}") for k in range(8)]
+    docs += [(2000 + k, f"{filler()} user_17 {gap} +1 (555) 010-9999 {gap} AB1234 {filler()}") for k in range(8)]
+    for r in find_personal_data(frame(docs)).collect():
+        assert not {"jdoe42", "user_17", "AB1234"} & set(re.findall(r"\w+", r["clean_text"]))
+    text = "aa ab b1 c@d.ee f_g 1.2.3.4 hh ii"
+    spans = base_spans(text)
+    assert [[w for _, w in near] for near in surroundings(text, spans, 2)] == [["ab", "b1", "f_g"], ["f_g", "hh", "ii"]]
+
+
 def test_span_digest_and_awkward_rows(frame, awkward, empty):
     text = "é x@y.zz 1.2.3.4"
     row, = span_digest(find_personal_data(frame([(1, text)]))).collect()
