@@ -30,17 +30,24 @@ STRIDE = 32
 RANK, SKETCH = 64, 96
 ROWS_AT_ONCE = 400_000
 FAN_IN = 256
+#: A word in no more strides than this is informative whatever the size of the table.
+FEW_STRIDES = 20
+#: Places of the table in which a task notes the surroundings of words it has seen.
+SEEN = 1 << 26
 
 
 def to_terms(source: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(doc_id, terms, counts): terms as unsigned 16-bit ids per text; in a task's last row instead the number of
-    strides that hold each id (id 0: all strides)."""
+    strides that hold each id (id 0: all strides). A word counts in a stride only between neighbours (two on each side) that
+    the task has not seen around it before, so that text repeated any number of times counts once per task; strides
+    without such a word do not count."""
     spark = source.sparkSession
     table = spark.sparkContext.broadcast(vocabulary)
 
     def encode(blocks) -> Iterator[dict]:
         ids = table.value
         counts = np.zeros(len(ids) + 1, np.int64)
+        seen = np.zeros(SEEN, bool)
         for docs, block in blocks:
             rows = []
             for t in block:
@@ -48,10 +55,16 @@ def to_terms(source: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                 row = np.fromiter(map(ids.get, tokens, repeat(0)), np.uint16, len(tokens)) if tokens else \
                     np.zeros(0, np.uint16)
                 rows.append(row.tobytes())
-                at = np.flatnonzero(row)
-                pairs = np.unique((at // STRIDE) * 65_536 + row[at])
+                if not tokens:
+                    continue
+                place = places(np.fromiter(map(hash, tokens), np.int64, len(tokens)))
+                new = np.flatnonzero(~seen[place])
+                seen[place[new]] = True
+                strides = new // STRIDE
+                counts[0] += len(np.unique(strides))
+                held = row[new] > 0
+                pairs = np.unique(strides[held] * 65_536 + row[new[held]])
                 counts += np.bincount(pairs & 65_535, minlength=len(counts))
-                counts[0] += -(-len(row) // STRIDE)
             yield {"doc_id": docs, "terms": rows, "counts": [None] * len(rows)}
         yield {"doc_id": [None], "terms": [None], "counts": [counts.tobytes()]}
 
@@ -59,6 +72,16 @@ def to_terms(source: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return map_texts(source, encode, f"doc_id {kind}, terms binary, counts binary")
 
 
+def places(hashed: np.ndarray) -> np.ndarray:
+    """Place in the table of every word with the two words before and after it."""
+    around = np.concatenate([np.zeros(2, np.uint64), hashed.astype(np.uint64), np.zeros(2, np.uint64)])
+    mixed = np.zeros(len(hashed), np.uint64)
+    for k in range(5):
+        mixed = (mixed ^ around[k:k + len(hashed)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(SEEN)).astype(np.int64)
+
+
 def added_up(frame: DataFrame, size: int, rows: int = 1) -> np.ndarray:
     """Element-wise sum of the double vectors in (part, v), ``rows`` parts in order. Parts are summed on the cluster, first
     in ``FAN_IN`` groups of tasks each and then as a whole; the driver gets one vector per part."""
@@ -191,7 +214,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     informative words in the longest common subsequence), answer (share of the answer's), kind (``copy`` or
     ``paraphrase``).
 
-    A word is informative unless it occurs in more than ``common`` of all strides; an item with fewer than four
+    A word is informative unless it occurs in more than ``common`` of all strides (repeated text counts once per task, and
+    ``FEW_STRIDES`` strides are always allowed); an item with fewer than four
     other words uses all of its words. A copy covers at least ``cover`` of the item; a paraphrase at least
     ``loose_cover`` and four fifths of the answer, the item's last ``answer_words`` informative words, in order; both
     share at least four informative words with it, or all of them. Null and wordless texts and items
@@ -245,7 +269,7 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
     total, counts = max(int(counts[0]), 1), counts.copy()
     counts[0] = 0
     weight = np.log((1 + total) / (1 + counts))
-    informative = counts <= common * total
+    informative = counts <= max(common * total, FEW_STRIDES)
     informative[0] = False
     terms = [[vocabulary[w] for w in tokens] for _, tokens in block]
     for t in terms:

@@ -69,3 +69,17 @@ def test_awkward_rows(spark, awkward, empty):
     assert got == [(4, 5), (4, 6)]
     assert find_leaks(empty, items).count() == 0
     assert find_leaks(awkward, items.limit(0)).count() == 0
+
+
+def test_repeated_paraphrase_and_one_document(spark, frame):
+    rng = random.Random(4)
+    item = [f"q{k}" for k in range(20)]
+    leak = item.copy()
+    for at in (3, 7, 11, 14):
+        leak[at] = f"r{at}"
+    hot = " ".join(passage(rng, 30).split() + leak + passage(rng, 30).split())
+    docs = [(k, hot if k % 3 == 0 else passage(rng, 90)) for k in range(600)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"] for r in find_leaks(frame(docs), benchmark).collect()}
+    assert got == {k for k in range(600) if k % 3 == 0}
+    assert [r["doc_id"] for r in find_leaks(frame(docs[:1]), benchmark).collect()] == [0]
