@@ -9,7 +9,8 @@ against all rows of the corpus.
    weighted to the same total) gives the latent space: one pass multiplies a random basis by A^T A in the tasks that
    hold the passages and adds up one matrix of vocabulary x sketch; the Nystrom formula gives the singular vectors.
 3. In the last pass a task projects its passages, takes those whose latent cosine with an item's passage reaches
-   ``cosine``, and compares the words around them with the item: longest common subsequence of the informative
+   ``cosine``, and besides all those that hold enough words of such a passage (counted exactly, so that no copy depends
+   on the rank), and compares the words around them with the item: longest common subsequence of the informative
    words, and, for loose matches, of the item's answer (its last words). Nothing but hits leaves the task.
 """
 
@@ -206,6 +207,32 @@ def member_counts(ids: np.ndarray, left: np.ndarray, right: np.ndarray, item: np
     return out
 
 
+def shared_words(ids: np.ndarray, stride: np.ndarray, first: np.ndarray, postings: tuple[np.ndarray, np.ndarray],
+                 needed: np.ndarray, at_once: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, query) pairs that share at least ``needed[query]`` words, a word counting once per stride. ``postings``: first
+    place of each word's queries, and the queries. ``stride`` ascends."""
+    begin, listed = postings
+    n, width = int(first[-1]), len(needed)
+    last = np.zeros(n + 1, bool)
+    last[first[1:] - 1] = True
+    pairs = np.unique(stride.astype(np.int64) * 65_536 + ids)
+    at, word = pairs >> 16, pairs & 65_535
+    step = max(1, at_once // max(width, 1))
+    found_p, found_q = [], []
+    for low in range(0, n, step):
+        high = min(n, low + step)
+        a, b = np.searchsorted(at, [low, high + 1])  # one stride more, for the last passage
+        size = begin[word[a:b] + 1] - begin[word[a:b]]
+        owner = np.repeat(at[a:b] - low, size)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[word[a:b]], size)
+        held = np.bincount(owner * width + listed[place], minlength=(high + 1 - low) * width).reshape(-1, width)
+        whole = held[:-1] + np.where(last[low:high, None], 0, held[1:])
+        p, q = np.nonzero(whole >= needed)
+        found_p.append(p + low)
+        found_q.append(q)
+    return (np.concatenate(found_p), np.concatenate(found_q)) if found_p else (np.zeros(0, int), np.zeros(0, int))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK, cosine: float = 0.4,
                cover: float = 0.6, loose_cover: float = 0.4, answer_words: int = 4, common: float = 0.05,
@@ -278,7 +305,7 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
     weight[~informative] = 0
     weight[informative] = np.maximum(weight[informative], 1e-3)
 
-    whole, answers, owner, vectors = [], [], [], []
+    whole, answers, owner, vectors, held = [], [], [], [], []
     for i, t in enumerate(terms):
         kept = [x for x in t if informative[x]]
         whole.append(kept)
@@ -287,17 +314,23 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
             v = np.zeros(len(weight))
             np.add.at(v, [x for x in t[at:at + 2 * STRIDE] if informative[x]], 1)
             owner.append(i)
+            held.append(np.flatnonzero(v))
             vectors.append(v * weight)
     queries = np.array(vectors)
     axes = latent_axes(encoded, weight, queries, total, rank)
     latent = queries @ axes
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    # the nearest passage of a text holds at least three quarters of an item's passage
+    least = np.array([max(min(4, len(h)), int(np.ceil(0.75 * loose_cover * len(h))), 1) for h in held])
+    order = np.argsort(np.concatenate(held), kind="stable")
+    listed = np.repeat(np.arange(len(held)), [len(h) for h in held])[order]
+    begin = np.searchsorted(np.concatenate(held)[order], np.arange(len(weight) + 1))
     shared = spark.sparkContext.broadcast(
-        (weight, (weight[:, None] * axes).astype(np.float32), latent.astype(np.float32).T, np.array(owner),
+        ((begin, listed), least, weight, (weight[:, None] * axes).astype(np.float32), latent.astype(np.float32).T, np.array(owner),
          [b[0] for b in block], whole, answers))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, scaled, latent, owner, item_ids, whole, answers = shared.value
+        postings, least, weight, scaled, latent, owner, item_ids, whole, answers = shared.value
         sizes = np.array([len(t) for t in terms])
         back, ahead = 1 + sizes // STRIDE, 2 + np.maximum(3 * STRIDE, sizes) // STRIDE
         lengths = np.array([len(t) for t in whole])
@@ -316,12 +349,19 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
                 ids, stride, first, n = strided(column[start:at], weight)
                 y = passages(summed(scaled[ids], stride, n), first)
                 norm = np.linalg.norm(y, axis=1)
-                some = np.flatnonzero(norm > 0)
+                exact_p, exact_q = shared_words(ids, stride, first, postings, least)
+                some = np.union1d(np.flatnonzero(norm > 0), exact_p).astype(np.int64)
+                norm = np.maximum(norm, 1e-12)
                 best: dict[tuple[int, int], tuple] = {}
                 for low in range(0, len(some), 20_000):
                     rows = some[low:low + 20_000]
                     near = (y[rows] @ latent) / norm[rows, None]
-                    r, q = np.nonzero(near >= cosine)
+                    candidate = near >= cosine
+                    a, b = np.searchsorted(exact_p, [rows[0], rows[-1] + 1])
+                    r = np.minimum(np.searchsorted(rows, exact_p[a:b]), len(rows) - 1)
+                    known = rows[r] == exact_p[a:b]
+                    candidate[r[known], exact_q[a:b][known]] = True
+                    r, q = np.nonzero(candidate)
                     passage, item, c = rows[r], owner[q], near[r, q]
                     row = np.searchsorted(first, passage, "right") - 1
                     left = np.searchsorted(stride, np.maximum(first[row], passage - back[item]))

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from tallyward.llm.decontaminate import common_subsequence, find_leaks
+from tallyward.llm.decontaminate import common_subsequence, find_leaks, shared_words, strided
 
 VOCABULARY = [f"w{k}" for k in range(3000)]
 COMMON = ["the", "of", "and", "to"]
@@ -83,3 +84,35 @@ def test_repeated_paraphrase_and_one_document(spark, frame):
     got = {r["doc_id"] for r in find_leaks(frame(docs), benchmark).collect()}
     assert got == {k for k in range(600) if k % 3 == 0}
     assert [r["doc_id"] for r in find_leaks(frame(docs[:1]), benchmark).collect()] == [0]
+
+
+def test_copies_do_not_depend_on_the_latent_space(spark, frame):
+    rng = random.Random(5)
+    items = [(k, passage(rng, rng.randrange(16, 60))) for k in range(1024)]
+    docs = [(k, f"{passage(rng, rng.randrange(0, 90))} {items[k % 1024][1]} {passage(rng, 60)}") for k in range(1200)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for cosine in (0.4, 1.1):  # no cosine reaches 1.1
+        got = {(r["doc_id"], r["item_id"]) for r in find_leaks(frame(docs), benchmark, cosine=cosine).collect()}
+        assert {(k, k % 1024) for k in range(1200)} <= got
+
+
+def test_shared_words_by_brute_force():
+    rng = np.random.default_rng(6)
+    queries = [np.unique(rng.integers(1, 40, 9)) for _ in range(30)]
+    texts = [rng.integers(1, 40, n) for n in (0, 5, 31, 32, 33, 64, 200)]
+    flat, owner = np.concatenate(queries), np.repeat(np.arange(30), [len(q) for q in queries])
+    order = np.argsort(flat, kind="stable")
+    postings = np.searchsorted(flat[order], np.arange(41)), owner[order]
+    ids, stride, first, n = strided([t.astype(np.uint16).tobytes() for t in texts], np.ones(40))
+    needed = rng.integers(4, 16, 30)
+    want, base = set(), 0
+    for t in texts:
+        parts = [set(t[at:at + 32].tolist()) for at in range(0, max(1, len(t)), 32)]
+        for k in range(len(parts)):
+            for q, words in enumerate(queries):
+                if sum(len(p & set(words.tolist())) for p in parts[k:k + 2]) >= needed[q]:
+                    want.add((base + k, q))
+        base += len(parts)
+    for at_once in (1, 90, 4_000_000):
+        p, q = shared_words(ids, stride, first, postings, needed, at_once)
+        assert base == n and want and set(zip(p.tolist(), q.tolist())) == want and (np.diff(p) >= 0).all()
