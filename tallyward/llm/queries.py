@@ -149,6 +149,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over_limit(count_tokens(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.llm.repair import repair_conversations
+
+    return repair_conversations(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -166,5 +172,6 @@ QUERIES = {
     "op8_minhash_dedup": (op8_minhash_dedup, None),
     "op9_chat_examples": (op9_chat_examples, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op13_conversation_repair": (op13_conversation_repair, None),
     "pipeline": (pipeline, None),
 }
