@@ -149,6 +149,50 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over_limit(count_tokens(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.llm.mixing import mix_sources
+
+    return mix_sources(read(spark, sf_dir, "documents"))
+
+
+def _op11_sql() -> str:
+    from tallyward.llm.mixing import BLOCK, DOCS, MOST, SHARE, WEIGHTS, WORD
+
+    weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
+    return f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+         md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS mark FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS size, count(*) AS n FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM sums),
+src AS (SELECT *, {MOST} * size AS cap, CASE rank % {len(WEIGHTS)} {weight} END AS w,
+               ceil(n / {DOCS}.0)::BIGINT AS shards FROM ranked),
+mix AS (SELECT {SHARE}::DOUBLE * sum(size)::BIGINT AS total FROM src),
+capped AS (SELECT a.source, sum(CASE WHEN b.cap * a.w <= a.cap * b.w THEN b.cap ELSE 0 END)::BIGINT AS full,
+                  sum(CASE WHEN b.cap * a.w > a.cap * b.w THEN b.w ELSE 0 END)::BIGINT AS free FROM src a, src b GROUP BY a.source
+           UNION ALL SELECT NULL, 0, sum(w)::BIGINT FROM src WHERE cap > 0),
+level AS (SELECT max((total - "full") / free) AS v FROM capped, mix WHERE free > 0),
+aim AS (SELECT *, least(cap::DOUBLE, w * v) AS target FROM src, level),
+dealt AS (SELECT d.doc_id, d.source, d.size, mark, rank, t.size AS source_size, target,
+                 ('0x' || substring(mark, 17, 8))::BIGINT % shards AS shard
+          FROM sized d JOIN aim t ON d.source IS NOT DISTINCT FROM t.source),
+cells AS (SELECT rank, shard, sum(size)::BIGINT AS words,
+                 CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(size)::BIGINT / any_value(source_size) ELSE 0 END AS votes
+          FROM dealt GROUP BY 1, 2),
+blocks AS (SELECT floor(total / {BLOCK} + 0.5)::BIGINT AS m FROM mix),
+claims AS (SELECT rank, shard, votes / (k + 0.5) AS quotient FROM cells, blocks, mix,
+           unnest(range((votes / total * m)::BIGINT + (SELECT count(*) FROM cells) + 2)) AS u(k) WHERE votes > 0),
+won AS (SELECT rank, shard, count(*) AS quota FROM (
+          SELECT *, row_number() OVER (ORDER BY quotient DESC, rank, shard) AS nth FROM claims), blocks WHERE nth <= m GROUP BY 1, 2),
+taking AS (SELECT rank, shard, words, least(coalesce(quota, 0) * {BLOCK}, {MOST} * words) AS take
+           FROM cells LEFT JOIN won USING (rank, shard)),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY rank, shard ORDER BY substring(mark, 1, 16), doc_id NULLS FIRST, size
+                                     ROWS UNBOUNDED PRECEDING) AS finish FROM dealt JOIN taking USING (rank, shard))
+SELECT doc_id, size::BIGINT AS size, source_size, target, source,
+       (CASE WHEN words > 0 THEN take // words * size + greatest(least(finish, take % words) - (finish - size), 0) ELSE 0 END)::BIGINT AS taken
+FROM placed"""
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyward.llm.repair import repair_conversations
 
@@ -172,6 +216,7 @@ QUERIES = {
     "op8_minhash_dedup": (op8_minhash_dedup, None),
     "op9_chat_examples": (op9_chat_examples, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_source_mix": (op11_source_mix, _op11_sql()),
     "op13_conversation_repair": (op13_conversation_repair, None),
     "pipeline": (pipeline, None),
 }

@@ -23,11 +23,14 @@ CONTRACTS = {
     "op8": ("documents", "doc_id class_id kept"),
     "op9": (None, "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars"),
     "op10": ("documents", "doc_id n_bytes n_tokens over_limit"),
+    "op11": ("documents", "doc_id size source_size target taken"),
+    "op12": ("documents", "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"),
+    "op13": (None, "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256"),
 }
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert sorted({n.split("_")[0] for n in QUERIES}) == sorted([*(f"op{k}" for k in range(1, 11)), "pipeline"])
+def test_all_operators_and_the_pipeline_are_registered():
+    assert sorted({n.split("_")[0] for n in QUERIES}) == sorted([*(f"op{k}" for k in range(1, 14)), "pipeline"])
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] in CONTRACTS])
