@@ -147,27 +147,24 @@ def damaged(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     ).drop("copy")
 
 
-def marked_rows(rows: DataFrame) -> DataFrame:
-    """``rows`` with the digest of role and text, and whether an earlier turn of the conversation said the same (``again``). Equal
-    rows of one turn stand side by side later and are told there."""
-    digest = F.md5(F.concat_ws(":", F.length("role").cast("string"), "role", "text").cast("binary"))
-    rows = rows.withColumn("digest", F.unhex(digest))
+def judged_rows(rows: DataFrame) -> DataFrame:
+    """Per row, without its text: conv_id, turn, initial, digest (of role and text), again (an earlier turn of the conversation said
+    the same; equal rows of one turn stand side by side later and are told there), dropped, blank, cut_off."""
+    slim = rows.select(
+        "conv_id", "turn", F.substring("role", 1, 1).alias("initial"), "digest", "dropped",
+        (~F.col("text").rlike(f"[^{SPACES}]")).alias("blank"),
+        (~F.col("text").rlike(f"[.!?][{SPACES}]*\\z")).alias("cut_off"))
     said = rows.filter("not dropped").groupBy(F.col("conv_id").alias("c"), F.col("digest").alias("d")).agg(
         F.count(F.lit(1)).alias("times"), F.min("turn").alias("first"), F.max(F.col("turn").isNull()).alias("unplaced"))
     said = said.filter("times > 1").drop("times")
     again = F.col("turn").isNotNull() & (F.col("unplaced") | (F.col("turn") > F.col("first")))
-    return rows.join(said, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("digest") == F.col("d")), "left").select(
-        *rows.columns, F.coalesce(again, F.lit(False)).alias("again"))
+    return slim.join(said, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("digest") == F.col("d")), "left").select(
+        "conv_id", "turn", "initial", "digest", F.coalesce(again, F.lit(False)).alias("again"), "dropped", "blank", "cut_off")
 
 
-def plan_repairs(rows: DataFrame) -> DataFrame:
-    """One row per conversation of ``marked_rows``: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit. Texts
-    are not shuffled."""
-    slim = rows.select(
-        "conv_id", "turn", F.substring("role", 1, 1).alias("initial"), "digest", "again", "dropped",
-        (~F.col("text").rlike(f"[^{SPACES}]")).alias("blank"),
-        (~F.col("text").rlike(f"[.!?][{SPACES}]*\\z")).alias("cut_off"))
-    slim = slim.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "digest")
+def plan_repairs(judged: DataFrame) -> DataFrame:
+    """One row per conversation of ``judged_rows``: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit."""
+    slim = judged.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "digest")
     names = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
     legal = {"su", "ua", "au"}
 
@@ -208,7 +205,7 @@ def plan_repairs(rows: DataFrame) -> DataFrame:
             done(out)
         yield out
 
-    kind = rows.schema["conv_id"].dataType.simpleString()
+    kind = judged.schema["conv_id"].dataType.simpleString()
     return map_texts(slim, plan, f"conv_id {kind}, gaps long, blank long, duplicate long, truncated long, illegal long, "
                      "cost long, audit string", text_at=3)
 
@@ -248,9 +245,10 @@ def repair_conversations(conversations: DataFrame, conv_col: str = "conv_id", tu
         F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"),
         *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(" ")).alias(n) for c, n in ((role_col, "role"), (text_col, "text"))],
         F.lit(False).alias("dropped"))
-    rows = marked_rows(rows)
+    digest_of = F.md5(F.concat_ws(":", F.length("role").cast("string"), "role", "text").cast("binary"))
+    rows = rows.withColumn("digest", F.unhex(digest_of))
     counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
-    plans = plan_repairs(rows).select(
+    plans = plan_repairs(judged_rows(rows)).select(
         "conv_id", F.lit(0).alias("part"), F.lit(None).cast(rows.schema["turn"].dataType).alias("turn"),
         F.lit(None).cast("binary").alias("digest"), F.lit("").alias("role"), F.col("audit").alias("text"), *counts)
     # the audit stands before the rows of its conversation
