@@ -193,6 +193,12 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, source,
 FROM placed"""
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyward.llm.alignment import align_tokens
+
+    return align_tokens(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyward.llm.repair import repair_conversations
 
@@ -217,6 +223,7 @@ QUERIES = {
     "op9_chat_examples": (op9_chat_examples, None),
     "op10_token_counts": (op10_token_counts, None),
     "op11_source_mix": (op11_source_mix, _op11_sql()),
+    "op12_token_alignment": (op12_token_alignment, None),
     "op13_conversation_repair": (op13_conversation_repair, None),
     "pipeline": (pipeline, None),
 }
