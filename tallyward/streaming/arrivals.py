@@ -18,13 +18,14 @@ from tallyward.operators.dedupe import keep_latest
 from tallyward.operators.layout import stage
 from tallyward.plans.silver import build_silver
 from tallyward.schema import SILVER_DDL, landing_schema, struct_of
+from tallyward.sources.bucket_log import BUCKETS, BucketLog
 from tallyward.sources.tables import clear_slices, replace_slices
 
 # Fixed value: days between an incident and its publication.
 SOURCE_LAG_DAYS = 10
 
-#: Gets the complete rows of the changed day slices, and the days (``process_date``) left without rows.
-Writer = Callable[[DataFrame, DataFrame], None]
+#: Gets the complete rows of the changed day slices, the days (``process_date``) left without rows, and the batch number.
+Writer = Callable[[DataFrame, DataFrame, int], None]
 
 
 def landing_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -41,22 +42,40 @@ def due_days(first: date, today: date, lag_days: int = SOURCE_LAG_DAYS) -> list[
     return [first + timedelta(days=i) for i in range((last - first).days + 1)]
 
 
-def merge_latest_silver(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
+def id_index(spark: SparkSession, silver_path: str, buckets: int = BUCKETS) -> BucketLog:
+    """Which day slices an id was ever stored in, beside the silver table. An entry may outlive the row it speaks of, but no stored
+    row is without one: entries are logged before the slices are written."""
+    return BucketLog(spark, f"{silver_path.rstrip('/')}_ids", "id bigint, process_date date", "id", buckets)
+
+
+def merge_latest_silver(spark: SparkSession, path: str, batch: DataFrame, batch_id: int | None = None,
+                        buckets: int = BUCKETS) -> DataFrame:
     """L4: keep-latest against what is stored. Returns the touched days: process_date, emptied.
 
     Streaming ``dropDuplicates`` keeps the first record seen; here the latest ``updated_on`` per id must win, wherever
-    it is stored: a correction may move an incident to another day. So the days that hold an arriving id are
-    looked up by a scan of the two columns id and process_date, and their slices are rewritten together with the
-    arriving days; slices that lose their last row are removed. The merged rows pass through the shared scratch
-    folder before they replace the slices. A replay after a failure in between finds the same rows again.
+    it is stored: a correction may move an incident to another day. The days that hold an arriving id come from the id index,
+    of which only the buckets of the arriving ids are read; their slices are rewritten together with the
+    arriving days, and slices that lose their last row are removed. A table stored without an index gets one from a scan of two
+    columns, once. The merged rows pass through the shared scratch folder before they replace the slices. A
+    replay after a failure in between finds the same rows again.
     """
+    index = id_index(spark, path, buckets)
     days = batch.select("process_date").distinct()
-    rows = batch
+    known = index.parts()
+    if batch_id is None:
+        batch_id = known[-1][0] + 1 if known else 0
     if _exists(spark, path):
         stored = spark.read.schema(_stored_schema()).parquet(path)
-        homes = stored.select("id", "process_date").join(batch.select("id").distinct(), "id", "left_semi")
+        if not known:
+            index.append(stored.select("id", "process_date").filter("id is not null").distinct(), -1)
+        index.compact(lambda rows: rows.distinct(), before=batch_id)
+        ids = batch.select("id").filter("id is not null").distinct()
+        homes = index.read(index.touched(ids)).join(ids, "id", "left_semi")
         days = stage(days.union(homes.select("process_date")).distinct(), "touched-days")
-        rows = stored.join(F.broadcast(days), "process_date", "left_semi").select(stored.columns).unionByName(batch)
+        rows = stored.join(days, "process_date", "left_semi").select(stored.columns).unionByName(batch)
+    else:
+        days, rows = stage(days, "touched-days"), batch
+    index.append(batch.select("id", "process_date").filter("id is not null").distinct(), batch_id)
     order = [F.desc_nulls_last(c) for c in ("updated_on", "date", "case_number")]
     order += [F.asc_nulls_last(c) for c in rows.columns if c not in ("updated_on", "date", "case_number", "id")]
     merged = stage(keep_latest(rows, ["id"], order), "silver-merge")
@@ -78,7 +97,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def run_arrivals(stream: DataFrame, silver_path: str, checkpoint: str, writers: Sequence[Writer] = (),
-                 layers: dict[str, DataFrame] | None = None, key_method: str = "xxhash64") -> StreamingQuery:
+                 layers: dict[str, DataFrame] | None = None, key_method: str = "xxhash64",
+                 buckets: int = BUCKETS) -> StreamingQuery:
     """L1, L3, L4: start the job; the caller awaits it.
 
     The process date of a record is its incident day. Every micro-batch may be replayed after a
@@ -93,11 +113,11 @@ def run_arrivals(stream: DataFrame, silver_path: str, checkpoint: str, writers:
         arrived = stage(silver.filter(F.col("process_date").isNotNull()), "arrivals")
         if arrived.isEmpty():
             return
-        touched = merge_latest_silver(spark, silver_path, arrived)
+        touched = merge_latest_silver(spark, silver_path, arrived, batch_id, buckets)
         stored = spark.read.schema(_stored_schema()).parquet(silver_path)
-        changed = stored.join(F.broadcast(touched.filter("not emptied")), "process_date", "left_semi").select(stored.columns)
+        changed = stored.join(touched.filter("not emptied"), "process_date", "left_semi").select(stored.columns)
         for write in writers:
-            write(changed, touched.filter("emptied").select("process_date"))
+            write(changed, touched.filter("emptied").select("process_date"), batch_id)
 
     return (stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -1,13 +1,16 @@
 """Incremental jobs."""
 
+import random
 from datetime import date, datetime
 
 from helpers import by, dicts, landing_frame
 from pyspark.sql import functions as F
 
+from tallyward.operators.dimensions import crime_type_dimension, location_dimension
 from tallyward.operators.features import area_features
 from tallyward.plans import fanout
-from tallyward.streaming.arrivals import due_days, landing_stream, run_arrivals
+from tallyward.sources.bucket_log import BucketLog
+from tallyward.streaming.arrivals import due_days, id_index, landing_stream, merge_latest_silver, run_arrivals
 from tallyward.streaming.daily_counts import read_counts, windowed_counts, write_updates
 
 
@@ -78,10 +81,101 @@ def test_late_corrections_keep_every_table_whole(spark, tmp_path):
     assert graph["Crime"].count() == 5 and graph["edges"].count() == 15
 
 
-def test_affected_spans(spark):
+def test_affected_days(spark):
     days = spark.createDataFrame([(date(2001, 1, 5),), (date(2025, 6, 1),), (date(2025, 6, 2),)], "process_date date")
-    spans = fanout.affected_spans(days)
-    assert len(spans) == 2 and spans[0][0] < date(2001, 1, 5) < spans[0][1] < spans[1][0]
+    got = sorted(r[0] for r in fanout.affected_days(days).collect())
+    assert got[0] == date(2001, 1, 4) and date(2025, 5, 31) in got and len(got) == len(set(got))
+    window = {r[0] for r in fanout.affected_days(fanout.affected_days(days), 1, 14).collect()}
+    assert set(got) <= window
+
+
+def test_bucket_log(spark, folder):
+    log = BucketLog(spark, folder, "k bigint, n bigint", "k", buckets=16)
+    frame = lambda rows: spark.createDataFrame(rows, "k bigint, n bigint")
+    assert log.parts() == [] and log.read().count() == 0 and not log.has(0)
+    log.append(frame([(1, 1), (2, 5)]), 0)
+    log.append(frame([(1, 2)]), 1)
+    log.append(frame([(1, 3)]), 1)  # the same batch again
+    log.append(frame([]), 2)
+    total = lambda: sorted((r["k"], r["n"]) for r in log.read().groupBy("k").agg(F.sum("n").alias("n")).collect())
+    assert total() == [(1, 4), (2, 5)] and log.has(2) and not log.has(3)
+    near = log.touched(frame([(1, 0)]).select("k"))
+    scan = log.read(near)
+    assert {r["k"] for r in scan.collect()} == {1} and len(near) == 1
+    merge = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
+    assert log.compact(merge, before=2, parts=1) and total() == [(1, 4), (2, 5)]
+    assert [name for _, name in log.parts()] == ["part=1-b", "part=2-d"] and log.has(0)
+    log.append(frame([(9, 9)]), 1)  # a replay of a folded batch changes nothing
+    assert total() == [(1, 4), (2, 5)] and not log.compact(merge, before=3, parts=5)
+
+
+def silver_frame(spark, rows):
+    """Silver rows from landing-like dicts, as the arrival job makes them."""
+    from tallyward.plans.silver import build_silver
+
+    built = build_silver(landing_frame(spark, rows), F.to_date(F.col("date").try_cast("timestamp")))
+    return built.withColumn("process_date", F.to_date("process_date"))
+
+
+def test_merge_reads_the_buckets_of_its_ids_only(spark, folder):
+    merge_latest_silver(spark, folder, silver_frame(spark, [rec(i, 1 + i % 9, 1) for i in range(300)]), 0)
+    index = id_index(spark, folder)
+    near = index.touched(spark.createDataFrame([(5,)], "id bigint"))
+    plan = index.read(near)._jdf.queryExecution().executedPlan().toString()
+    assert len(near) == 1 and "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert index.read(near).count() < 40
+    touched = merge_latest_silver(spark, folder, silver_frame(spark, [rec(5, 20, 2)]), 1)
+    assert {str(r["process_date"]) for r in touched.collect()} == {"2025-06-06", "2025-06-20"}
+    rows = spark.read.parquet(folder)
+    assert rows.count() == 300 and rows.filter("id = 5").first()["process_date"] == date(2025, 6, 20)
+
+
+def test_merge_indexes_a_table_without_one_and_survives_replay(spark, folder):
+    from tallyward.sources.tables import replace_slices
+
+    replace_slices(silver_frame(spark, [rec(1, 1, 1), rec(2, 2, 1)]), folder, ["process_date"])
+    for _ in range(2):  # the second run is a replay
+        merge_latest_silver(spark, folder, silver_frame(spark, [rec(1, 3, 2), rec(3, 3, 1)]), 0)
+        assert sorted((r["id"], r["process_date"].day) for r in spark.read.parquet(folder).collect()) == [(1, 3), (2, 2), (3, 3)]
+
+
+def test_dimensions_follow_counts_through_random_corrections(spark, tmp_path):
+    """Kept-up dimensions equal dimensions built from all of silver, also when a batch dies between its steps and runs again."""
+    rng = random.Random(3)
+    silver, base = str(tmp_path / "silver"), str(tmp_path / "star")
+    write = fanout.star_writer(silver, base, buckets=8)
+
+    def run(batch_id, rows, stop_after=None):
+        touched = merge_latest_silver(spark, silver, silver_frame(spark, rows), batch_id, 8)
+        stored = spark.read.parquet(silver)
+        changed = stored.join(touched.filter("not emptied"), "process_date", "left_semi").select(stored.columns)
+        emptied = touched.filter("emptied").select("process_date")
+        if stop_after:
+            for name in fanout.MEMBERS:
+                kept = fanout.MemberCounts(spark, base, name, "xxhash64", 8)
+                kept.update(changed, emptied, batch_id)
+                if stop_after == "counts":
+                    return
+        write(changed, emptied, batch_id)
+
+    for batch_id in range(4):
+        rows = [rec(rng.randrange(25), rng.randrange(1, 5), batch_id + 1, kind=rng.choice(["THEFT", "ARSON", "BATTERY"]),
+                    area=str(rng.randrange(4))) | {"block": rng.choice("XYZ"), "ward": rng.choice(["1", "2", None])}
+                for _ in range(12 if batch_id else 40)]
+        if batch_id in (1, 3):
+            run(batch_id, rows, stop_after="counts")
+        run(batch_id, rows)
+        stored = spark.read.parquet(silver)
+        want = {"dim_location": location_dimension(stored, date(2025, 1, 1), unknown_member=True),
+                "dim_crime_type": crime_type_dimension(stored, date(2025, 1, 1))}
+        for name, dim in want.items():
+            skip = {"created_date", "updated_date", "bucket"}
+            columns = [c for c in dim.columns if c not in skip]
+            got = spark.read.parquet(f"{base}/{name}")
+            assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, dim.select(columns).collect())), (batch_id, name)
+        facts = spark.read.parquet(f"{base}/fact_incidents")
+        assert facts.count() == stored.count()
+        assert facts.join(spark.read.parquet(f"{base}/dim_date"), "date_key", "left_anti").count() == 0
 
 
 def test_day_counts_over_several_batches(spark, tmp_path):
