@@ -165,7 +165,7 @@ def _prediction_sql(version: str, where: str = "") -> str:
     FROM features f CROSS JOIN range(0, 11) h(h) {where})))"""
 
 
-def _prediction_ctes(where: str) -> list[str]:
+def prediction_ctes(where: str) -> list[str]:
     return [
         _prediction_sql("1", where), _prediction_sql("2", where),
         *[f"""scored_{v} AS (SELECT p.*, round(greatest(0.0::DOUBLE, predicted_count - 1.65::DOUBLE * sqrt(predicted_count)), 1) AS predicted_count_low,
@@ -178,7 +178,7 @@ def _prediction_ctes(where: str) -> list[str]:
     ]
 
 
-PREDICTION_CTES = _prediction_ctes(f"WHERE f.process_date BETWEEN {RUN} - {BATCH_DAYS} AND {RUN}")
+PREDICTION_CTES = prediction_ctes(f"WHERE f.process_date BETWEEN {RUN} - {BATCH_DAYS} AND {RUN}")
 
 
 def with_predictions(body: str, extra: list[str] | None = None) -> str:
@@ -188,7 +188,7 @@ def with_predictions(body: str, extra: list[str] | None = None) -> str:
 SCORE_BATCH = with_predictions("SELECT * FROM predictions")
 SCORE_HISTORY = with_features("""SELECT model_version, process_date, count(*) AS predictions,
   round(sum(predicted_count), 3) AS predicted, round(sum(predicted_count_high), 3) AS predicted_high,
-  round(sum(safety_score), 3) AS safety, max(target_date) AS last_target FROM predictions GROUP BY 1, 2""", _prediction_ctes(""))
+  round(sum(safety_score), 3) AS safety, max(target_date) AS last_target FROM predictions GROUP BY 1, 2""", prediction_ctes(""))
 
 
 def _rounded(df, *names):

@@ -7,13 +7,13 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tallyward.catalog import inputs
-from tallyward.catalog.area_queries import RUN, run_date, stand_in_predictions, with_predictions
+from tallyward.catalog.area_queries import RUN, prediction_ctes, run_date, stand_in_predictions, with_features
 from tallyward.catalog.oracle_blocks import with_silver
 from tallyward.operators import serving
 from tallyward.operators.features import area_features
 from tallyward.operators.layout import stage
-
-BATCHES = 3
+from tallyward.session import scratch_path
+from tallyward.sources.tables import replace_slices
 
 
 def ml_features(silver):
@@ -29,47 +29,62 @@ def names(spark, sf):
         (F.col("n_nationkey") + 1).cast("string").alias("area_numbe"), F.col("n_name").alias("community"))
 
 
-def snapshot_table(spark, sf):
-    """The snapshot after three consecutive batches."""
-    run = run_date(spark, sf)
+def snapshot_rows(spark, sf):
+    """The snapshot of every batch of the whole history."""
+    first, last = inputs.first_last_day(spark, sf)
     silver = stage(inputs.silver(spark, sf).select(
         "date", "process_date", "community_area", "crime_category", "arrest", "domestic", "violent_crime_flag",
         "property_crime_flag", "drug_crime_flag", "weapon_crime_flag"), "silver")
-    features = stage(area_features(silver, run - timedelta(days=BATCHES - 1), run), "features")
-    predictions = stage(stand_in_predictions(features), "predictions")
-    incidents = ml_features(silver)
-    out = None
-    for back in range(BATCHES):
-        part = serving.build_snapshot(predictions, incidents, features, run - timedelta(days=back), names(spark, sf))
-        out = part if out is None else out.unionByName(part)
-    return stage(out, "snapshot")
+    features = stage(area_features(silver, first, last), "features")
+    return serving.build_snapshots(stand_in_predictions(features), ml_features(silver), features, names(spark, sf))
+
+
+def snapshot_table(spark, sf):
+    """The same, stored by batch as it is served."""
+    path = scratch_path(spark, "snapshot")
+    replace_slices(snapshot_rows(spark, sf), path, ["process_date"])
+    return spark.read.parquet(path)
 
 
 def snapshot(spark, sf):
-    return snapshot_table(spark, sf).drop("source_prediction_ts")
+    """All snapshot rows, reported per batch and area: the day-independent columns, and what the predicted days sum up to."""
+    return snapshot_rows(spark, sf).groupBy(
+        "process_date", "area_type", "area_id", "area_name", "top_crime_1", "top_crime_2", "top_crime_3", "count_7d",
+        "violent_count_7d", "model_name", "model_version", "run_id").agg(
+        F.count(F.lit(1)).alias("predicted_days"), F.min("prediction_date").alias("first_prediction"),
+        F.max("target_date").alias("last_target"), F.round(F.sum("predicted_count"), 3).alias("predicted_count"),
+        F.round(F.sum("predicted_count_low"), 3).alias("predicted_count_low"),
+        F.round(F.sum("predicted_count_high"), 3).alias("predicted_count_high"),
+        F.round(F.sum("safety_score"), 3).alias("safety_score"))
 
 
-_BATCH_LIST = f"(SELECT CAST({RUN} - CAST(k AS INTEGER) AS DATE) AS pd FROM range({BATCHES}) t(k))"
 SNAPSHOT_CTES = [
-    f"""counted AS (SELECT b.pd, TRY_CAST(community_area AS INTEGER) AS area_id, crime_category, count(*) AS cnt
-  FROM silver s JOIN {_BATCH_LIST} b ON CAST(s.process_date AS DATE) BETWEEN b.pd - 90 AND b.pd
-  WHERE TRY_CAST(community_area AS INTEGER) > 0 GROUP BY 1, 2, 3)""",
+    """daily_categories AS (SELECT CAST(process_date AS DATE) AS d, TRY_CAST(community_area AS INTEGER) AS area_id, crime_category,
+  count(*) AS n FROM silver WHERE TRY_CAST(community_area AS INTEGER) > 0 GROUP BY 1, 2, 3)""",
+    """counted AS (SELECT d + CAST(k AS INTEGER) AS pd, area_id, crime_category, sum(n) AS cnt
+  FROM daily_categories, range(0, 91) r(k) GROUP BY 1, 2, 3)""",
     """ranked AS (SELECT *, row_number() OVER (PARTITION BY pd, area_id ORDER BY cnt DESC, crime_category NULLS LAST) AS rn FROM counted)""",
     """tops AS (SELECT pd, area_id, max(CASE WHEN rn = 1 THEN crime_category END) AS top_crime_1,
   max(CASE WHEN rn = 2 THEN crime_category END) AS top_crime_2, max(CASE WHEN rn = 3 THEN crime_category END) AS top_crime_3
   FROM ranked WHERE rn <= 3 GROUP BY 1, 2)""",
-    f"""snapshot AS (SELECT p.area_type, p.area_id, n.n_name AS area_name, p.predicted_count, p.predicted_count_low,
+    """snapshot AS (SELECT p.area_type, p.area_id, n.n_name AS area_name, p.predicted_count, p.predicted_count_low,
   p.predicted_count_high, p.safety_score, t.top_crime_1, t.top_crime_2, t.top_crime_3, f.count_7d, f.violent_count_7d,
   p.prediction_date, p.target_date, p.process_date, p.model_name, p.model_version, p.run_id
-  FROM scored_1 p JOIN {_BATCH_LIST} b ON p.process_date = b.pd
-  LEFT JOIN tops t ON t.pd = p.process_date AND t.area_id = p.area_id
+  FROM scored_1 p LEFT JOIN tops t ON t.pd = p.process_date AND t.area_id = p.area_id
   LEFT JOIN features f ON f.process_date = p.process_date AND f.area_id = p.area_id
   LEFT JOIN nation n ON n.n_nationkey + 1 = p.area_id)""",
 ]
 
 
 def with_snapshot(body: str, extra: list[str] | None = None) -> str:
-    return with_predictions(body, [*SNAPSHOT_CTES, *(extra or [])])
+    return with_features(body, [*prediction_ctes(""), *SNAPSHOT_CTES, *(extra or [])])
+
+
+SNAPSHOT = with_snapshot("""SELECT process_date, area_type, area_id, area_name, top_crime_1, top_crime_2, top_crime_3, count_7d,
+  violent_count_7d, model_name, model_version, run_id, count(*) AS predicted_days, min(prediction_date) AS first_prediction,
+  max(target_date) AS last_target, round(sum(predicted_count), 3) AS predicted_count,
+  round(sum(predicted_count_low), 3) AS predicted_count_low, round(sum(predicted_count_high), 3) AS predicted_count_high,
+  round(sum(safety_score), 3) AS safety_score FROM snapshot GROUP BY ALL""")
 
 
 def top3_categories(spark, sf):
@@ -162,7 +177,7 @@ GROUP BY 1 ORDER BY 1 DESC LIMIT 2""")
 
 QUERIES = {
     "top3_categories": (top3_categories, TOP3),
-    "snapshot": (snapshot, with_snapshot("SELECT * FROM snapshot")),
+    "snapshot": (snapshot, SNAPSHOT),
     "areas_latest": (areas_latest, AREAS_LATEST),
     "areas_on_date": (areas_on_date, AREAS_ON_DATE),
     "city_summary": (city_summary, CITY_SUMMARY),

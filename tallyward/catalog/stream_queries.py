@@ -12,6 +12,10 @@ from tallyward.streaming.arrivals import landing_stream, run_arrivals
 from tallyward.streaming.daily_counts import read_counts, windowed_counts, write_updates
 
 
+#: Of the id index and the dimensions; enough for tables of this size.
+BUCKETS = 8
+
+
 def stream_daily(spark, sf):
     """Tumbling day counts per user with a ten-day watermark; equals the batch result."""
     schema = inputs.table(spark, sf, "events").schema
@@ -38,7 +42,7 @@ def _run_stream(spark, sf):
     for delivery in (1, 2):
         inputs.event_landing(spark, sf, delivery).write.mode("append").parquet(inbox)
         run_arrivals(landing_stream(spark, inbox), silver, state, [ml_feature_writer(features)],
-                     key_method="md5").awaitTermination()
+                     key_method="md5", buckets=BUCKETS).awaitTermination()
     return silver, features
 
 
@@ -75,11 +79,11 @@ def _run_moved(spark, sf, follow_ups):
     """All events, then corrections that move every fourth incident to another day."""
     inbox, silver, out = (scratch_path(spark, n) for n in ("inbox", "stream-moved", "stream-follow-ups"))
     state = scratch_path(spark, "stream-moved-state")
-    writers = [star_writer(silver, f"{out}/star", "md5"), area_feature_writer(silver, f"{out}/area"),
+    writers = [star_writer(f"{out}/star", "md5", BUCKETS), area_feature_writer(silver, f"{out}/area"),
                graph_writer(f"{out}/graph", "md5")] if follow_ups else []
     for delivery in (1, 3):
         inputs.event_landing(spark, sf, delivery).write.mode("append").parquet(inbox)
-        run_arrivals(landing_stream(spark, inbox), silver, state, writers, key_method="md5").awaitTermination()
+        run_arrivals(landing_stream(spark, inbox), silver, state, writers, key_method="md5", buckets=BUCKETS).awaitTermination()
     return silver, out
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyward.functions.measures import ranked_labels, safety_band, trend_direction
 from tallyward.operators.dedupe import keep_latest_ties, keep_top
+from tallyward.operators.features import active_grid
 from tallyward.schema import SNAPSHOT_DDL, enforce, evolve
 from tallyward.sources.boundaries import area_names
 
@@ -19,6 +21,19 @@ AREA_TYPE = "community_area"
 TOP_COLUMNS = ["top_crime_1", "top_crime_2", "top_crime_3"]
 
 
+def _area_categories(incidents: DataFrame, area_col: str, category_col: str, *more: str) -> DataFrame:
+    """Incident counts per area above zero and category (and more columns)."""
+    rows = incidents.withColumn("area_id", F.col(area_col).try_cast("int")).filter(F.col("area_id") > 0)
+    return rows.groupBy(*more, "area_id", F.col(category_col).alias("category")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _ranked_columns(counts: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """top_crime_1.. per key; equal counts rank by name."""
+    ranked = keep_top(counts, keys, [F.desc("cnt"), F.asc_nulls_last("category")], n)
+    return ranked.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("rn") == k, F.col("category"))).alias(f"top_crime_{k}") for k in range(1, n + 1)])
+
+
 def top_categories(incidents: DataFrame, start: date, end: date, area_col: str = "community_area",
                    category_col: str = "crime_category", day_col: str = "process_date", n: int = TOP_N) -> DataFrame:
     """The most frequent categories per area, one row per area.
@@ -26,29 +41,35 @@ def top_categories(incidents: DataFrame, start: date, end: date, area_col: str =
     Only areas above zero count. Equal counts rank by name.
     """
     window = incidents.filter(F.col(day_col).between(F.lit(start), F.lit(end)))
-    counts = (window.withColumn("area_id", F.col(area_col).try_cast("int")).filter(F.col("area_id") > 0)
-              .groupBy("area_id", F.col(category_col).alias("category")).agg(F.count(F.lit(1)).alias("cnt")))
-    ranked = keep_top(counts, ["area_id"], [F.desc("cnt"), F.asc_nulls_last("category")], n)
-    return ranked.groupBy("area_id").agg(
-        *[F.max(F.when(F.col("rn") == k, F.col("category"))).alias(f"top_crime_{k}") for k in range(1, n + 1)])
+    return _ranked_columns(_area_categories(window, area_col, category_col), ["area_id"], n)
 
 
-def build_snapshot(predictions: DataFrame, ml_features: DataFrame, area_features: DataFrame, process_date: date,
-                   names: DataFrame | None = None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
-    """K1: 19 columns per predicted area and day of one batch.
+def sliding_top_categories(incidents: DataFrame, lookback_days: int = LOOKBACK_DAYS, area_col: str = "community_area",
+                           category_col: str = "crime_category", day_col: str = "process_date",
+                           n: int = TOP_N) -> DataFrame:
+    """``top_categories`` of the window [day - lookback, day] for every day in one plan: process_date, area_id, top_crime_1..
 
-    The joined sides have one row per area. Which of them to broadcast is left to adaptive
-    execution, which knows their real size.
+    Incidents are combined per day first. A category stays in an area's list until ``lookback_days`` after its last incident; its
+    count on each of these days is a RANGE frame over the day number. What is ranked so grows with days, areas and
+    categories, not with incidents.
     """
-    pred = evolve(predictions, "safety_score double, predicted_count_low double, predicted_count_high double")
-    pred = pred.filter((F.col("process_date") == F.lit(process_date)) & (F.col("area_type") == AREA_TYPE))
-    top = top_categories(ml_features, process_date - timedelta(days=lookback_days), process_date)
-    week = (area_features.filter((F.col("process_date") == F.lit(process_date)) & (F.col("area_type") == AREA_TYPE))
-            .select("area_id", "count_7d", "violent_count_7d"))
-    named = area_names(names) if names is not None else None
-    joined = pred.join(top, "area_id", "left").join(week, "area_id", "left")
-    if named is not None:
-        joined = joined.join(named, "area_id", "left")
+    keys = ["area_id", "category"]
+    daily = _area_categories(incidents, area_col, category_col, day_col).withColumnRenamed(day_col, "process_date")
+    grid = active_grid(daily, keys, "process_date", ("cnt",), back=lookback_days)
+    frame = W.partitionBy(*keys).orderBy("_day_no").rangeBetween(-lookback_days, 0)
+    counts = grid.withColumn("_day_no", F.datediff("process_date", F.lit(date(1970, 1, 1)))) \
+        .withColumn("cnt", F.sum("cnt").over(frame)).filter("cnt > 0")
+    return _ranked_columns(counts, ["process_date", "area_id"], n)
+
+
+def _served(predictions: DataFrame, top: DataFrame, area_features: DataFrame, names: DataFrame | None,
+            keys: list[str]) -> DataFrame:
+    """The snapshot columns of the predictions; the other sides have one row per key, and which of them to broadcast is
+    left to adaptive execution, which knows their real size."""
+    week = area_features.filter(F.col("area_type") == AREA_TYPE).select(*keys, "count_7d", "violent_count_7d")
+    joined = predictions.join(top, keys, "left").join(week, keys, "left")
+    if names is not None:
+        joined = joined.join(area_names(names), "area_id", "left")
     else:
         joined = joined.withColumn("area_name", F.lit(None).cast("string"))
     return enforce(joined.withColumns({
@@ -59,6 +80,26 @@ def build_snapshot(predictions: DataFrame, ml_features: DataFrame, area_features
     }), SNAPSHOT_DDL)
 
 
+def _area_predictions(predictions: DataFrame) -> DataFrame:
+    pred = evolve(predictions, "safety_score double, predicted_count_low double, predicted_count_high double")
+    return pred.filter(F.col("area_type") == AREA_TYPE)
+
+
+def build_snapshot(predictions: DataFrame, ml_features: DataFrame, area_features: DataFrame, process_date: date,
+                   names: DataFrame | None = None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """K1: 19 columns per predicted area and day of one batch."""
+    pred = _area_predictions(predictions).filter(F.col("process_date") == F.lit(process_date))
+    top = top_categories(ml_features, process_date - timedelta(days=lookback_days), process_date)
+    return _served(pred, top, area_features.filter(F.col("process_date") == F.lit(process_date)), names, ["area_id"])
+
+
+def build_snapshots(predictions: DataFrame, ml_features: DataFrame, area_features: DataFrame,
+                    names: DataFrame | None = None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """K1 for all batches of ``predictions`` in one plan: what ``build_snapshot`` gives for each of them."""
+    top = sliding_top_categories(ml_features, lookback_days)
+    return _served(_area_predictions(predictions), top, area_features, names, ["process_date", "area_id"])
+
+
 def latest_batch(snapshot: DataFrame, before: Column | None = None) -> Column:
     """Newest process date (before the given one) as a scalar subquery.
 

@@ -90,7 +90,7 @@ class MemberCounts:
             clear_slices(self.spark, f"{self.base}/{self.name}", "bucket", self.spark.createDataFrame([(b,) for b in empty], "bucket int"))
 
 
-def star_writer(silver_path: str, base: str, key_method: str = "xxhash64", buckets: int = BUCKETS):
+def star_writer(base: str, key_method: str = "xxhash64", buckets: int = BUCKETS):
     """Facts of the changed days and the dimension rows whose members came or went with them; silver is not read again.
 
     Dimensions are stored in buckets of their key and only the buckets of changed members are replaced, first with the members of

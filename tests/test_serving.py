@@ -1,5 +1,6 @@
 """Snapshot and read queries."""
 
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -53,6 +54,21 @@ def test_snapshot_columns_and_defaults(snap):
     assert two["count_7d"] is None and two["area_name"] is None
 
 
+def test_all_batches_at_once_equal_one_by_one(spark):
+    rng = random.Random(6)
+    days = [P - timedelta(days=b) for b in range(0, 120, 7)]
+    preds = prediction_rows(spark, [(a, d, d + timedelta(days=h), 1.0 + (a or 0), None, 2.0, 50.0) for a in (1, 2, 3, None) for d in days
+                                    for h in (0, 1)])
+    ml = spark.createDataFrame([(P - timedelta(days=rng.randrange(-3, 240)), rng.choice([0, 1, 2, 2, 2, None]),
+                                 rng.choice(["Drug", "Violent", "Other", "Property", "Weapons", None])) for _ in range(400)],
+                               "process_date date, community_area int, crime_category string")
+    feats = spark.createDataFrame([("community_area", 1, d, 7, 3) for d in days[::2]],
+                                  "area_type string, area_id int, process_date date, count_7d int, violent_count_7d int")
+    want = [tuple(r) for d in days for r in serving.build_snapshot(preds, ml, feats, d).collect()]
+    got = [tuple(r) for r in serving.build_snapshots(preds, ml, feats).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 4 * len(days) * 2
+
+
 def test_list_areas(spark, snap):
     names = spark.createDataFrame([(2, "West Ridge")], "area_id int, area_name string")
     rows = dicts(serving.list_areas(snap, names=names))
