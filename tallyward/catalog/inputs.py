@@ -104,6 +104,13 @@ LAYERS = {
     "community_areas": ("nation", "AREA_NUMBE", "COMMUNITY_NAME", _text("n_nationkey + 1"), "n_name",
                         "'POLYGON (' || " + _ring(_NX, _NY, _box(13000, 8500)) + " || ')'"),
 }
+# A further layer: diamonds whose extents are 1 to 1,024, on places that do not repeat as suppliers are added.
+_REACH = "(cast(pow(2, s_suppkey % 11) as int) * 40)"
+MORE_LAYERS = {
+    "diamonds": ("supplier", "BEAT_NUM", "BEAT_LABEL", _text("s_suppkey"), "s_name", "'POLYGON (' || " + _ring(
+        "(600013 + s_suppkey * 7919 % 139999)", "(903013 + s_suppkey * 15485 % 93997)",
+        [(f"{_REACH}", 0), (0, f"{_REACH}"), (f"- {_REACH}", 0), (0, f"- {_REACH}")]) + " || ')'"),
+}
 ROLE_OF_LAYER = {"districts": "district", "beats": "beat", "wards": "ward", "community_areas": "community_area"}
 
 
@@ -118,7 +125,7 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_boundary(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A boundary table with WKT geometry and column names that must be found by role."""
-    source, id_col, label_col, id_expr, label_expr, wkt = LAYERS[name]
+    source, id_col, label_col, id_expr, label_expr, wkt = (LAYERS | MORE_LAYERS)[name]
     columns = [f"{id_expr} as {id_col}", f"{wkt} as THE_GEOM"]
     if label_col:
         columns.append(f"{label_expr} as {label_col}")

@@ -9,7 +9,7 @@ from tallyward.catalog.oracle_blocks import EVENT_KIND, classified, hits_cte, la
 from tallyward.functions.taxonomy import FLAG_CATEGORY, TAXONOMY_COLUMNS, ensure_taxonomy
 from tallyward.operators.dedupe import dedupe_landing, full_order, keep_latest
 from tallyward.operators.layout import spread
-from tallyward.operators.spatial import locate
+from tallyward.operators.spatial import locate, locate_layers
 from tallyward.session import scratch_path
 from tallyward.sources.boundaries import boundary_layer, normalize_features
 from tallyward.sources.landing import read_landing, write_landing
@@ -96,6 +96,34 @@ def pip_join_many(spark, sf):
     return _per_polygon(locate(points, layer, on_overlap="all", point_id="pid", max_broadcast_cells=0))
 
 
+def silver_located_many(spark, sf):
+    """C2, C4 at size: shapes of 1 to 1,024 times the extent and the districts, both in one pass of the shuffled form."""
+    points = spread(inputs.table(spark, sf, "lineitem")).selectExpr(
+        "to_json(struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)) as pid",
+        "l_orderkey", "l_partkey", f"{inputs.LANDING_EXPRESSIONS['longitude']} as longitude",
+        f"{inputs.LANDING_EXPRESSIONS['latitude']} as latitude")
+    layers = {name: boundary_layer(inputs.raw_boundary(spark, sf, name), role)
+              for name, role in (("diamonds", "beat"), ("districts", "district"))}
+    found = locate_layers(points, layers, point_id="pid", max_broadcast_cells=0)
+    return found.groupBy(
+        F.col("_in_diamonds.poly_id").alias("diamond"), F.col("_in_diamonds.poly_name").alias("diamond_name"),
+        F.col("_in_districts.poly_id").alias("district")).agg(
+        F.count(F.lit(1)).alias("points"), F.sum("l_orderkey").alias("order_sum"), F.sum("l_partkey").alias("part_sum"))
+
+
+def _located_many_sql() -> str:
+    return f"""WITH pts AS (SELECT row_number() OVER () AS id, l_orderkey, l_partkey,
+  CAST({inputs.LANDING_EXPRESSIONS['longitude']} AS DOUBLE) AS px,
+  CAST({inputs.LANDING_EXPRESSIONS['latitude']} AS DOUBLE) AS py FROM lineitem),
+{layer_ctes('diamonds')},
+{hits_cte('diamonds', 'pts')},
+{layer_ctes('districts')},
+{hits_cte('districts', 'pts')}
+SELECT a.poly_id AS diamond, a.poly_name AS diamond_name, b.poly_id AS district, count(*) AS points,
+  CAST(sum(p.l_orderkey) AS BIGINT) AS order_sum, CAST(sum(p.l_partkey) AS BIGINT) AS part_sum
+FROM pts p LEFT JOIN first_diamonds a ON a.id = p.id LEFT JOIN first_districts b ON b.id = p.id GROUP BY 1, 2, 3"""
+
+
 def _per_polygon(located):
     return located.groupBy("poly_id", "poly_name").agg(
         F.count(F.lit(1)).alias("points"), F.sum("l_orderkey").alias("order_sum"), F.sum("l_partkey").alias("part_sum"))
@@ -135,6 +163,7 @@ QUERIES = {
     "landing_days": (landing_days, LANDING_DAYS),
     "silver_incidents": (silver_incidents, with_silver("SELECT * FROM silver")),
     "silver_located": (silver_located, with_silver("SELECT * FROM silver", located=True)),
+    "silver_located_many": (silver_located_many, _located_many_sql()),
     "taxonomy": (taxonomy, TAXONOMY),
     "pip_join": (pip_join, _pip_sql("districts")),
     "pip_join_many": (pip_join_many, _pip_sql("beats")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyward.catalog.inputs import LANDING_EXPRESSIONS, LAYERS
+from tallyward.catalog.inputs import LANDING_EXPRESSIONS, LAYERS, MORE_LAYERS
 
 LANDING = "SELECT " + ",\n  ".join(f'{e} AS "{c}"' for c, e in LANDING_EXPRESSIONS.items()) + " FROM lineitem"
 
@@ -101,7 +101,7 @@ def typed(source: str) -> str:
 
 def layer_ctes(name: str) -> str:
     """poly_<name>(poly_id, poly_name, wkt) and edge_<name>, every edge of every ring."""
-    source, _, _, id_expr, label_expr, wkt = LAYERS[name]
+    source, _, _, id_expr, label_expr, wkt = (LAYERS | MORE_LAYERS)[name]
     return f"""poly_{name} AS (SELECT {id_expr} AS poly_id, {label_expr} AS poly_name, {wkt} AS wkt FROM {source}),
 ring_{name} AS (SELECT poly_id, poly_name,
   list_transform(string_split(unnest(regexp_extract_all(wkt, '\\(([^()]+)\\)', 1)), ', '), lambda p: string_split(p, ' ')) AS pts

@@ -1,22 +1,27 @@
 """Point-in-polygon enrichment.
 
-Both sides are assigned to square cells and joined on the cell, never pairwise. A polygon goes to
-every cell its box covers. Where no edge of it comes near the cell, the whole cell is inside or
+Both sides are assigned to square cells and joined on the cell, never pairwise. Cells have sides of powers of two, and a
+polygon goes to the grid that fits its own extent, to about ``per_side`` cells along its longer side: so a polygon makes a bounded
+number of cells whatever its size, and one large polygon does not make the cells of the others large. A point is looked
+up once per grid that is in use. Where no edge of a polygon comes near a cell, the whole cell is inside or
 outside: outside cells are dropped and inside cells need no further test. In the other cells the
 polygon takes along only the edges that can matter there: a horizontal ray to the right from a
 point in the cell meets no edge outside the cell's band or left of it.
 
-Two exact join forms follow, chosen by the measured size of the polygon side:
+The cells of all layers stand in one table, keyed by layer, grid and cell. It is written once, and two exact join forms follow, chosen
+by its measured size:
 
-* bounded: one row per cell holding its candidates, broadcast. Points are neither shuffled nor
-  multiplied.
-* large: cell rows are shuffled with a salt, so that a cell holding a third of all points is spread
-  over many tasks; matches are then reduced per point.
+* bounded: one row per cell holding its candidates, broadcast per grid. Points are neither shuffled nor
+  multiplied, and all layers are looked up in one pass over them.
+* large: points are reduced to key and place, unfolded over the grids and shuffled once with a salt, so that a cell holding a
+  third of all points is spread over many tasks; matches are reduced to one row per point with a column per layer, and
+  joined back once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,51 +32,28 @@ from tallyward.operators.layout import stage
 MAX_BROADCAST_CELLS = 200_000
 MAX_BROADCAST_EDGES = 1_000_000
 POINTS_PER_SALT = 100_000
-# Cells along the side of an average polygon, and the most along the side of the largest one.
+# Cells along the longer side of a polygon: as many as the broadcast bound affords, within these.
 MIN_CELLS_PER_SIDE, MAX_CELLS_PER_SIDE = 4, 16
-MAX_CELLS_OF_LARGEST = 128
 # Tolerance around a cell, as a share of its side: covers rounding in the cell index.
 CELL_MARGIN = 1e-3
 
+Grid = tuple[str, int]  # layer, level: cells of side 2 ** level
 
-@dataclass(frozen=True)
-class CellPlan:
-    """Cell side, and upper bounds on what the polygon side becomes with it."""
 
-    size: float
-    cells: float
-    edges: float
+def cells_per_side(layers: Mapping[str, DataFrame]) -> int:
+    """From the number of polygons of all layers: the more cells, the more of them lie wholly inside a polygon."""
+    n = reduce(DataFrame.unionByName, [layer.select("poly_id") for layer in layers.values()]).count()
+    return int(min(max((MAX_BROADCAST_CELLS / 2 / max(n, 1)) ** 0.5, MIN_CELLS_PER_SIDE), MAX_CELLS_PER_SIDE))
 
 
-def plan_cells(layer: DataFrame, size: float | None = None) -> CellPlan:
-    """One pass over the polygon side.
-
-    The more cells, the more of them lie wholly inside a polygon; their number is kept within half
-    the broadcast bound where that allows at least MIN_CELLS_PER_SIDE per average polygon side. A box
-    of width w and height h touches at most (w / size + 2) * (h / size + 2) cells, each holding at
-    most all edges of its polygon; the sums of these terms do not depend on the size.
-    """
-    box = layer.select(F.size("edges").alias("e"), *[c.alias(n) for n, c in edge_extent(F.col("edges")).items()])
-    w, h, e = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.col("e")
-    side = F.greatest(w, h)
-    s = box.filter(F.col("min_x").isNotNull()).agg(
-        F.count(side).alias("n"), F.avg(side).alias("mean"), F.max(side).alias("top"),
-        F.sum(w * h).alias("wh"), F.sum(w + h).alias("wph"), F.sum(w * h * e).alias("whe"),
-        F.sum((w + h) * e).alias("wphe"), F.sum(e).alias("e")).first()
-    if not s["top"]:
-        return CellPlan(size or 1.0, 0, 0)
-    if size is None:
-        affordable = (MAX_BROADCAST_CELLS / 2 / s["n"]) ** 0.5
-        per_side = min(max(affordable, MIN_CELLS_PER_SIDE), MAX_CELLS_PER_SIDE)
-        size = float(max(s["mean"] / per_side, s["top"] / MAX_CELLS_OF_LARGEST))
-    return CellPlan(size, s["wh"] / size ** 2 + 2 * s["wph"] / size + 4 * s["n"],
-                    s["whe"] / size ** 2 + 2 * s["wphe"] / size + 4 * s["e"])
-
-
-def polygon_cells(layer: DataFrame, size: float) -> DataFrame:
-    """(cell_x, cell_y, poly_id, poly_name, whole, edges): the polygon pieces each cell needs."""
+def polygon_cells(layer: DataFrame, per_side: int) -> DataFrame:
+    """(level, cell_x, cell_y, poly_id, poly_name, whole, edges): the polygon pieces each cell needs."""
     boxed = layer.select("poly_id", "poly_name", "edges", *[
         c.alias(n) for n, c in edge_extent(F.col("edges")).items()]).filter(F.col("min_x").isNotNull())
+    side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    boxed = boxed.withColumn("side", side).filter("side > 0").withColumn(
+        "level", F.ceil(F.log2(F.col("side") / per_side)).cast("int")).withColumn("size", F.pow(F.lit(2.0), F.col("level")))
+    size = F.col("size")
     cells = (
         boxed
         .withColumn("cell_x", F.explode(F.sequence(_cell(F.col("min_x"), size), _cell(F.col("max_x"), size))))
@@ -83,16 +65,16 @@ def polygon_cells(layer: DataFrame, size: float) -> DataFrame:
                      & (F.least(e["y1"], e["y2"]) <= high_y)
                      & (F.greatest(e["x1"], e["x2"]) >= low_x))
     near = F.exists(local, lambda e: F.least(e["x1"], e["x2"]) <= high_x)
-    pieces = cells.select("cell_x", "cell_y", "poly_id", "poly_name", (~near).alias("whole"),
+    pieces = cells.select("level", "size", "cell_x", "cell_y", "poly_id", "poly_name", (~near).alias("whole"),
                           crossable(local).alias("edges"))
     centre = contains_point(F.col("edges"), (F.col("cell_x") + 0.5) * size, (F.col("cell_y") + 0.5) * size)
     judged = pieces.filter(~F.col("whole") | centre)
     kept_edges = F.when(F.col("whole"), F.slice("edges", 1, 0)).otherwise(F.col("edges"))
-    return judged.select("cell_x", "cell_y", "poly_id", "poly_name", "whole", kept_edges.alias("edges"))
+    return judged.select("level", "cell_x", "cell_y", "poly_id", "poly_name", "whole", kept_edges.alias("edges"))
 
 
-def _cell(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(size)).cast("bigint")
+def _cell(value: Column, size: Column) -> Column:
+    return F.floor(value / size).cast("bigint")
 
 
 def _holds(whole: Column, edges: Column) -> Column:
@@ -100,80 +82,100 @@ def _holds(whole: Column, edges: Column) -> Column:
     return whole | contains_point(edges, F.col("_x"), F.col("_y"))
 
 
-def locate(points: DataFrame, layer: DataFrame, lon: str = "longitude", lat: str = "latitude",
-           on_overlap: str = "first", point_id: str | None = "id", size: float | None = None,
-           max_broadcast_cells: int = MAX_BROADCAST_CELLS,
-           max_broadcast_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
-    """Left join of points with the polygons that hold them: adds ``poly_id`` and ``poly_name``.
+def locate_layers(points: DataFrame, layers: Mapping[str, DataFrame], lon: str = "longitude", lat: str = "latitude",
+                  on_overlap: str = "first", point_id: str | None = "id",
+                  max_broadcast_cells: int = MAX_BROADCAST_CELLS,
+                  max_broadcast_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
+    """Left join of points with the polygons of several layers that hold them: adds a struct ``_in_<layer>`` of ``poly_id`` and
+    ``poly_name`` per layer, null where none does.
 
     ``on_overlap="first"`` keeps the row count and takes the smallest poly_id; ``"all"`` gives one
-    row per holding polygon. Points without usable coordinates never match. ``point_id`` names a unique
+    row per combination of holding polygons. Points without usable coordinates never match. ``point_id`` names a unique
     column; without one (None) a large polygon side makes the points be written to the shared folder
     with a generated key.
     """
     if on_overlap not in ("first", "all"):
         raise ValueError("on_overlap is 'first' or 'all'")
-    plan = plan_cells(layer, size)
-    size = plan.size
-    cells = polygon_cells(layer, size)
-    x, y = F.col(lon).try_cast("double"), F.col(lat).try_cast("double")
-    placed = points.withColumns({"_x": x, "_y": y, "_cx": _cell(x, size), "_cy": _cell(y, size)})
-    if _fits(plan, cells, max_broadcast_cells, max_broadcast_edges):
-        found = _locate_bounded(placed, cells, on_overlap)
+    per_side = cells_per_side(layers)
+    cells = stage(reduce(DataFrame.unionByName, [
+        polygon_cells(layer, per_side).withColumn("layer", F.lit(name)) for name, layer in layers.items()]), "cells")
+    weight = cells.groupBy("layer", "level").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum(F.size("edges")).alias("edges")).orderBy("layer", "level").collect()
+    grids = [(r["layer"], r["level"]) for r in weight]
+    small = not grids or (max_broadcast_cells > 0 and sum(r["cells"] for r in weight) <= max_broadcast_cells
+                          and sum(r["edges"] or 0 for r in weight) <= max_broadcast_edges)
+    placed = points.withColumns({"_x": F.col(lon).try_cast("double"), "_y": F.col(lat).try_cast("double")})
+    if small:
+        found = _locate_bounded(placed, cells, grids, list(layers), on_overlap)
     else:
         keyed = point_id or "_point"
         if point_id is None:
             placed = stage(placed.withColumn("_point", F.monotonically_increasing_id()), "points")
-        found = _locate_large(placed, cells, on_overlap, keyed)
+        found = _locate_large(placed, cells, grids, list(layers), on_overlap, keyed)
         if point_id is None:
             found = found.drop("_point")
-    return found.drop("_x", "_y", "_cx", "_cy")
-
-
-def _fits(plan: CellPlan, cells: DataFrame, max_cells: int, max_edges: int) -> bool:
-    """Whether the polygon side may be broadcast: by its bounds, else by counting it."""
-    if plan.cells <= max_cells and plan.edges <= max_edges:
-        return True
-    if max_cells <= 0:
-        return False
-    weight = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.size("edges")).alias("edges")).first()
-    return weight["cells"] <= max_cells and (weight["edges"] or 0) <= max_edges
-
-
-def _locate_bounded(placed: DataFrame, cells: DataFrame, on_overlap: str) -> DataFrame:
-    per_cell = F.broadcast(cells.groupBy("cell_x", "cell_y").agg(
-        F.collect_list(F.struct("poly_id", "poly_name", "whole", "edges")).alias("_candidates")))
-    joined = placed.join(per_cell, (F.col("_cx") == F.col("cell_x")) & (F.col("_cy") == F.col("cell_y")), "left")
-    hits = F.transform(
-        F.filter("_candidates", lambda c: _holds(c["whole"], c["edges"])),
-        lambda c: F.struct(c["poly_id"].alias("poly_id"), c["poly_name"].alias("poly_name")),
-    )
-    base = joined.withColumn("_hits", hits).drop("cell_x", "cell_y", "_candidates")
-    if on_overlap == "first":
-        chosen = base.withColumn("_hit", F.array_min("_hits"))
-    else:
-        chosen = base.withColumn("_hit", F.explode_outer("_hits"))
-    return (chosen.withColumn("poly_id", F.col("_hit.poly_id")).withColumn("poly_name", F.col("_hit.poly_name"))
-            .drop("_hits", "_hit"))
+    return found.drop("_x", "_y")
 
 
-def _locate_large(placed: DataFrame, cells: DataFrame, on_overlap: str, point_id: str) -> DataFrame:
-    hot = placed.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / POINTS_PER_SALT).alias("_salts")).filter("_salts > 1")
+def locate(points: DataFrame, layer: DataFrame, lon: str = "longitude", lat: str = "latitude",
+           on_overlap: str = "first", point_id: str | None = "id",
+           max_broadcast_cells: int = MAX_BROADCAST_CELLS,
+           max_broadcast_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
+    """``locate_layers`` with one layer: adds ``poly_id`` and ``poly_name``."""
+    found = locate_layers(points, {"layer": layer}, lon, lat, on_overlap, point_id, max_broadcast_cells, max_broadcast_edges)
+    return found.withColumns({"poly_id": F.col("_in_layer.poly_id"), "poly_name": F.col("_in_layer.poly_name")}).drop("_in_layer")
+
+
+def _locate_bounded(placed: DataFrame, cells: DataFrame, grids: Sequence[Grid], names: Sequence[str],
+                    on_overlap: str) -> DataFrame:
+    columns, lists = placed.columns, {name: [] for name in names}
+    for k, (name, level) in enumerate(grids):
+        size = F.lit(2.0 ** level)
+        per_cell = F.broadcast(cells.filter((F.col("layer") == name) & (F.col("level") == level)).groupBy("cell_x", "cell_y").agg(
+            F.collect_list(F.struct("poly_id", "poly_name", "whole", "edges")).alias(f"_near_{k}")))
+        placed = placed.join(per_cell, (_cell(F.col("_x"), size) == F.col("cell_x"))
+                             & (_cell(F.col("_y"), size) == F.col("cell_y")), "left").drop("cell_x", "cell_y")
+        hits = F.transform(F.filter(F.col(f"_near_{k}"), lambda c: _holds(c["whole"], c["edges"])),
+                           lambda c: F.struct(c["poly_id"].alias("poly_id"), c["poly_name"].alias("poly_name")))
+        lists[name].append(hits)
+    none = F.lit(None).cast("struct<poly_id: string, poly_name: string>")
+    if on_overlap == "first":
+        # the smallest of a grid's smallest; least skips nulls
+        firsts = {name: [F.array_min(hits) for hits in found] for name, found in lists.items()}
+        return placed.select(*columns, *[
+            (F.least(*f) if len(f) > 1 else f[0] if f else none).alias(f"_in_{name}") for name, f in firsts.items()])
+    empty = F.array().cast("array<struct<poly_id: string, poly_name: string>>")
+    for name, found in lists.items():
+        every = F.concat(*[F.coalesce(hits, empty) for hits in found]) if found else empty
+        placed = placed.withColumn(f"_in_{name}", F.explode_outer(every))
+    return placed.select(*columns, *[f"_in_{name}" for name in names])
+
+
+def _locate_large(placed: DataFrame, cells: DataFrame, grids: Sequence[Grid], names: Sequence[str], on_overlap: str,
+                  point_id: str) -> DataFrame:
+    used = F.array(*[F.struct(F.lit(name).alias("layer"), F.lit(level).alias("level")) for name, level in grids])
+    size = F.pow(F.lit(2.0), F.col("_grid.level"))
+    key = ["_layer", "_level", "_cx", "_cy"]
+    narrow = placed.filter("_x is not null and _y is not null").select(
+        F.col(point_id).alias("_pid"), "_x", "_y", F.explode(used).alias("_grid")).select(
+        "_pid", "_x", "_y", F.col("_grid.layer").alias("_layer"), F.col("_grid.level").alias("_level"),
+        _cell(F.col("_x"), size).alias("_cx"), _cell(F.col("_y"), size).alias("_cy"))
+    hot = narrow.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / POINTS_PER_SALT).alias("_salts")).filter("_salts > 1")
     salts = F.coalesce("_salts", F.lit(1))
-    salted = placed.join(hot, ["_cx", "_cy"], "left").select(
-        F.col(point_id).alias("_pid"), "_x", "_y", "_cx", "_cy", F.pmod(F.xxhash64(point_id), salts).alias("_salt"))
-    here = (F.col("cell_x") == F.col("_cx")) & (F.col("cell_y") == F.col("_cy"))
-    copies = cells.join(hot, here, "left").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_cx", "_cy", "_salts")
-    pairs = salted.join(copies, (F.col("_cx") == F.col("cell_x")) & (F.col("_cy") == F.col("cell_y"))
-                        & (F.col("_salt") == F.col("_copy")))
-    matches = pairs.filter(_holds(F.col("whole"), F.col("edges")))
-    hits = matches.select("_pid", F.struct("poly_id", "poly_name").alias("_hit"))
+    salted = narrow.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64("_pid"), salts)).drop("_salts")
+    pieces = cells.withColumnsRenamed({"layer": "_layer", "level": "_level", "cell_x": "_cx", "cell_y": "_cy"})
+    copies = pieces.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_salts")
+    matches = salted.join(copies, [*key, "_salt"]).filter(_holds(F.col("whole"), F.col("edges")))
+    hits = matches.select("_pid", "_layer", F.struct("poly_id", "poly_name").alias("_hit"))
     if on_overlap == "first":
-        hits = hits.groupBy("_pid").agg(F.min("_hit").alias("_hit"))
-    out = placed.join(hits, placed[point_id].eqNullSafe(hits["_pid"]), "left")
-    return (out.withColumn("poly_id", F.col("_hit.poly_id")).withColumn("poly_name", F.col("_hit.poly_name"))
-            .drop("_pid", "_hit"))
+        hits = hits.groupBy("_pid").agg(*[
+            F.min(F.when(F.col("_layer") == name, F.col("_hit"))).alias(f"_in_{name}") for name in names])
+        return placed.join(hits, placed[point_id].eqNullSafe(hits["_pid"]), "left").drop("_pid")
+    for name in names:
+        own = hits.filter(F.col("_layer") == name).select(F.col("_pid"), F.col("_hit").alias(f"_in_{name}"))
+        placed = placed.join(own, F.col(point_id).eqNullSafe(F.col("_pid")), "left").drop("_pid")
+    return placed
 
 
 def source_or_boundary(source: Column, boundary: Column) -> Column:
@@ -181,11 +183,19 @@ def source_or_boundary(source: Column, boundary: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(source), F.lit("")), boundary)
 
 
+def fill_from_layers(df: DataFrame, layers: Mapping[str, tuple[DataFrame, str, str | None]], **locate_options) -> DataFrame:
+    """Fill ``id_col`` (and ``name_col``) of each layer, given as name -> (layer, id_col, name_col), from the polygon that holds the
+    point; all layers in one pass over the points."""
+    located = locate_layers(df, {name: layer for name, (layer, _, _) in layers.items()}, **locate_options)
+    filled = {}
+    for name, (_, id_col, name_col) in layers.items():
+        filled[id_col] = source_or_boundary(F.col(id_col), F.col(f"_in_{name}.poly_id"))
+        if name_col:
+            filled[name_col] = source_or_boundary(F.col(name_col), F.col(f"_in_{name}.poly_name"))
+    return located.withColumns(filled).select(*df.columns)
+
+
 def fill_from_layer(df: DataFrame, layer: DataFrame, id_col: str, name_col: str | None = None,
                     **locate_options) -> DataFrame:
-    """One enrichment step: fill ``id_col`` (and ``name_col``) from the polygon that holds the point."""
-    located = locate(df, layer, **locate_options)
-    filled = {id_col: source_or_boundary(F.col(id_col), F.col("poly_id"))}
-    if name_col:
-        filled[name_col] = source_or_boundary(F.col(name_col), F.col("poly_name"))
-    return located.withColumns(filled).select(*df.columns)
+    """One enrichment step."""
+    return fill_from_layers(df, {"layer": (layer, id_col, name_col)}, **locate_options)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.taxonomy import add_taxonomy
 from tallyward.operators.dedupe import dedupe_silver
-from tallyward.operators.spatial import fill_from_layer
+from tallyward.operators.spatial import fill_from_layers
 from tallyward.schema import LANDING_COLUMNS, SILVER_DDL, enforce, evolve, lower_columns
 from tallyward.sources.tables import replace_slices
 
@@ -42,10 +42,10 @@ def build_silver(
         "district_name": F.lit(None).cast("string"),
         "community_area_name": F.lit(None).cast("string"),
     })
-    for layer_name, id_col, name_col in LAYERS:
-        layer = (layers or {}).get(layer_name)
-        if layer is not None:
-            df = fill_from_layer(df, layer, id_col, name_col, on_overlap=on_overlap)
+    given = {name: (layers[name], id_col, name_col) for name, id_col, name_col in LAYERS
+             if layers and layers.get(name) is not None}
+    if given:
+        df = fill_from_layers(df, given, on_overlap=on_overlap)
     return enforce(add_taxonomy(df, key_method=key_method), SILVER_DDL)
 
 

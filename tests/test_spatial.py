@@ -8,7 +8,7 @@ import pytest
 from helpers import by, dicts
 from pyspark.sql import functions as F
 
-from tallyward.operators.spatial import fill_from_layer, locate
+from tallyward.operators.spatial import fill_from_layer, locate, locate_layers, polygon_cells
 from tallyward.schema import pick_col, pick_label_col
 from tallyward.sources.boundaries import area_names, boundary_layer, geojson_layer, read_geojson
 
@@ -109,6 +109,29 @@ def test_random_shapes_against_brute_force(spark, encoding, large):
     assert got == want and len(want) > 300
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_extents_far_apart_and_several_layers(spark, large):
+    """Shapes of 1 to 2,000 times the extent do not set each other's cells; two layers in one pass; cells stay bounded."""
+    rng = random.Random(7)
+    shapes = {f"{i:03d}": (rng.uniform(0, 40), rng.uniform(0, 40), 0.01 * 2 ** (i % 12)) for i in range(60)}
+    raw = [(k, f"POLYGON ({ring_text(box(x - r, y - r, x + r, y + r))})") for k, (x, y, r) in shapes.items()]
+    layer = boundary_layer(spark.createDataFrame(raw, "ward string, geometry string"), "ward")
+    half = boundary_layer(spark.createDataFrame([("w", f"POLYGON ({ring_text(box(-50, -50, 20, 90))})")],
+                                                "ward string, geometry string"), "ward")
+    spread = [(f"i{i}", rng.uniform(-5, 45), rng.uniform(-5, 45)) for i in range(800)]
+    near = [(f"n{k}{j}", x + r * rng.uniform(-1.2, 1.2), y + r * rng.uniform(-1.2, 1.2)) for k, (x, y, r) in shapes.items() for j in range(5)]
+    frame = spark.createDataFrame(spread + near + [("none", None, None)], "id string, longitude double, latitude double")
+    limits = {"max_broadcast_cells": 0} if large else {}
+    got = {r["id"]: (r["_in_a"] and r["_in_a"]["poly_id"], r["_in_b"] and r["_in_b"]["poly_id"])
+           for r in locate_layers(frame, {"a": layer, "b": half}, **limits).collect()}
+    want = {i: (min((k for k, (x, y, r) in shapes.items() if inside([box(x - r, y - r, x + r, y + r)], px, py)), default=None),
+                "w" if inside([box(-50, -50, 20, 90)], px, py) else None) for i, px, py in spread + near} | {"none": (None, None)}
+    assert got == want and len({a for a, _ in want.values()}) > 20
+    cells = polygon_cells(layer, 8)
+    assert cells.groupBy("poly_id").count().agg(F.max("count")).first()[0] <= 100
+    assert cells.select("level").distinct().count() >= 11
+
+
 def test_no_nested_loop_join(areas, points):
     for limits in ({}, {"max_broadcast_cells": 0}):
         plan = locate(points, areas, **limits)._jdf.queryExecution().executedPlan().toString()
