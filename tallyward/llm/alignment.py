@@ -6,8 +6,7 @@ an open suffix. ``compose`` joins the fragments of neighbouring ranges and is as
 document are encoded in tasks of their own and reduced in a tree. Each tokenizer's share of a chunk begins at the first place of
 the chunk where that tokenizer can be restarted, which is not the same for both, so groups do reach across chunks.
 
-Texts up to ``CHUNK`` characters are encoded in blocks: units between places where both can be restarted are looked up in a worker's
-bounded cache, and the groups of a block are found with array operations.
+Texts up to ``CHUNK`` characters are encoded whole, and the groups of a block of them are found with array operations.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm.common import map_texts, staged, texts
-from tallyward.llm.pretokens import SPACE, load_tokenizer
+from tallyward.llm.pretokens import SPACE, ChunkCoder
 
 #: Longer texts are cut into chunks of so many characters.
 CHUNK = 65_536
@@ -34,21 +33,10 @@ CHUNK = 65_536
 FAN = 16
 #: Pairs whose counts are broadcast (12 bytes each); the others are joined.
 TABLE_SIZE = 1 << 20
-#: Bytes of cached units a worker holds.
-CACHE_BYTES = 64 << 20
+#: Pre-tokens of the first tokenizer whose ids a worker keeps (about 200 bytes each).
+CACHED = 300_000
 MARK = "▁"
 
-WHOLE = re.compile("(?s).+")
-
-
-def unit_pattern(glue: str) -> re.Pattern:
-    """A word with the one space before it, a line end alone, or a longer stretch of white space with the word after it. White space
-    that begins with a character of ``glue`` stays with the word before it."""
-    word = f"[^{SPACE}]"
-    on = f"(?:[{re.escape(glue)}][{SPACE}]*{word}*)*" if glue else ""
-    return re.compile(f" ?{word}+{on}|\n(?= ?{word})|[{SPACE}]+{word}*{on}")
-
-
 #: Where the first tokenizer's splitting pattern always ends a piece, and where the second one's pieces always begin.
 RESTART_A = re.compile(f"(?<=[A-Za-z])(?=[.,;:!?])|(?<=[^{SPACE}])(?=[{SPACE}])")
 RESTART_B = re.compile("(?<=[^ ])(?= )")
@@ -133,12 +121,14 @@ BYTE_OF = _byte_characters()
 
 
 class Pair:
-    """Both tokenizers, their tokens' bytes, and a worker's cache of units."""
+    """Both tokenizers and their tokens' bytes."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a = load_tokenizer(a_path)
+        self.coder = ChunkCoder(a_path, limit=CACHED)
+        self.coder.added = []
+        self.a = self.coder.tokenizer
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         if max(self.a.get_vocab_size(), self.b.get_piece_size()) > 1 << 16:
@@ -150,59 +140,43 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
                         for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes))
-        # a unit may only be encoded alone if no piece reaches over its ends and the splitting pattern is the known one
-        plain = [p.lstrip(MARK) for i, p in enumerate(pieces) if not self.b.is_byte(i)]
-        glue = "".join(sorted(set(re.findall(f"[{SPACE}]", "".join(p for p in plain if len(p) > 1)))))
+        # parts of a text may only be encoded alone if the splitting pattern is the known one and no piece reaches into a space
         split = json.loads(self.a.to_str())
-        known = split["normalizer"] is None and split["pre_tokenizer"] == {
+        self.known = split["normalizer"] is None and split["pre_tokenizer"] == {
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.cuttable = known and not set(" \n") & set(glue) and not any(MARK in p for p in plain)
-        self.unit = unit_pattern(glue) if self.cuttable else WHOLE
+        self.cuttable = self.known and not any(
+            MARK in p.lstrip(MARK) for i, p in enumerate(pieces) if not self.b.is_byte(i))
         self.lead = len(self.b.encode("\n"))
-        self.a_of: dict[str, bytes] = {}
-        self.b_of: dict[str, bytes] = {}
-        self.unequal: set[str] = set()
-        self.held = 0
         words = [[f"{i}{end}" for i in range(n) for end in ends]
                  for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;"))]
         self.words, self.b_words = words[0] + words[1], len(words[0])
 
-    def encode_a(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def encode_b(self, parts: list[str]) -> list[list[int]]:
-        """Ids of parts as they are: the space the library adds stands for a leading one, or a line end is put before the part
-        (also before a lone space, as nothing is added to an empty text)."""
-        spaced = [p[0] == " " and p != " " for p in parts]
-        found = self.b.encode([p[1:] if s else "\n" + p for p, s in zip(parts, spaced)], num_threads=1)
-        return [ids if s else ids[self.lead:] for s, ids in zip(spaced, found)]
-
-    def learn(self, units: set[str]) -> None:
-        new = list(units)
-        for u, a, b in zip(new, self.encode_a(new), self.encode_b(new)):
-            data = u.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
-                self.unequal.add(u)
-            self.a_of[u], self.b_of[u] = np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()
-            self.held += 4 * len(data) + 2 * (len(a) + len(b)) + 250
-
-    def ids(self, text: str) -> tuple[bytes, bytes] | None:
-        """Both tokenizers' ids of a text that begins with a space; None where the bytes differ."""
-        units = self.unit.findall(text)
-        try:
-            a = b"".join(map(self.a_of.__getitem__, units))
-        except KeyError:
-            if self.held > CACHE_BYTES:
-                self.a_of, self.b_of, self.unequal, self.held = {}, {}, set(), 0
-            self.learn(set(units).difference(self.a_of))
-            a = b"".join(map(self.a_of.__getitem__, units))
-        if self.unequal and not self.unequal.isdisjoint(units):
-            return None
-        return a, b"".join(map(self.b_of.__getitem__, units))
-
-    def aligned(self, found: list[tuple[bytes, bytes]]) -> list[tuple]:
+    def encode_a(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.coder.whole(text) if self.known else self.coder.encode([text])[0], "<u4")
+
+    def encode_b(self, part: str) -> np.ndarray:
+        """Ids of a part of a text as it is: the space the library adds stands for a leading one, or a line end is put before the
+        part (also before a lone space, as nothing is added to an empty text)."""
+        if part[0] == " " and part != " ":
+            return np.array(self.b.encode(part[1:]), "<u4")
+        return np.array(self.b.encode("\n" + part)[self.lead:], "<u4")
+
+    def equal(self, a: np.ndarray, a_text: str, b: np.ndarray, b_text: str) -> bool:
+        """Whether the tokens' bytes are those of the texts."""
+        return (b"".join(map(self.a_bytes.__getitem__, a.tolist())) == a_text.encode()
+                and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == b_text.encode())
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Both tokenizers' ids of texts that begin with a space; None where the bytes differ."""
+        out = []
+        for text, b in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1)):
+            pair = self.encode_a(text), np.array(b, "<u4")
+            out.append(pair if self.equal(pair[0], text, pair[1], text) else None)
+        return out
+
+    def aligned(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
         """Per text: n_a, n_b, n_groups, groups as text, link keys."""
-        a, b = (np.frombuffer(b"".join(side), "<u2") for side in zip(*found))
+        a, b = (np.concatenate(side) for side in zip(*found))
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         a_at, b_at = a_end - self.a_len[a], b_end - self.b_len[b]
         place = np.searchsorted(b_at, a_at)
@@ -210,8 +184,8 @@ class Pair:
         b_cut = np.zeros(len(b), bool)
         b_cut[place[a_cut]] = True
         inner = np.flatnonzero(~b_cut)
-        a_keys = a.astype("<u4") << 16 | b[place - ~a_cut]
-        b_keys = a[np.searchsorted(a_at, b_at[inner]) - 1].astype("<u4") << 16 | b[inner]
+        a_keys = a << 16 | b[place - ~a_cut]
+        b_keys = a[np.searchsorted(a_at, b_at[inner]) - 1] << 16 | b[inner]
         # where each token stands in the text of the groups
         a_first, b_first = np.flatnonzero(a_cut), np.flatnonzero(b_cut)
         a_group, b_group = np.cumsum(a_cut) - 1, np.cumsum(b_cut) - 1
@@ -219,7 +193,7 @@ class Pair:
         codes[np.arange(len(a)) + b_first[a_group]] = 2 * a.astype(np.int64) + np.append(a_cut[1:], True)
         codes[np.arange(len(b)) + np.append(a_first[1:], len(a))[b_group]] = (
             self.b_words + 2 * b.astype(np.int64) + np.append(b_cut[1:], True))
-        sizes = np.cumsum([(0, 0), *((len(x) // 2, len(y) // 2) for x, y in found)], axis=0)
+        sizes = np.cumsum([(0, 0), *((len(x), len(y)) for x, y in found)], axis=0)
         inner_at = np.searchsorted(inner, sizes[:, 1])
         groups = np.append(0, np.cumsum(a_cut))[sizes[:, 0]]
         out = []
@@ -277,12 +251,13 @@ def encode_documents(source: DataFrame, a_path: str, b_path: str, chunk: int) ->
         pair = worker_pair(a_path, b_path)
         number = TaskContext.get().partitionId() << 40
         for ids, block in blocks:
-            rows, found = [], []
+            rows, block = [], [" " + t if t else "" for t in block]
+            short = iter(pair.ids([t for t in block if 0 < len(t) <= chunk]))
+            found = []
             for doc, text in zip(ids, block):
                 number += 1
-                text = " " + text if text else ""
                 if len(text) <= chunk:
-                    got = pair.ids(text) if text else None
+                    got = next(short) if text else None
                     rows.append((doc, number, -1, *((0, 0, 0, "", b"") if got is None else (None,) * 5), None, 0, None, 0))
                     found += [] if got is None else [got]
                     continue
@@ -304,18 +279,18 @@ def chunk_fragments(cut: DataFrame, a_path: str, b_path: str) -> DataFrame:
     names = ("key", "no", "first", "equal", "n_a", "n_b", "open", "place", "groups", "links")
 
     def tokens(ids, lengths, at):
-        starts = at + np.cumsum([0, *lengths[ids]])[:-1] if ids else []
-        return list(zip(ids, map(int, starts)))
+        sizes = lengths[ids]
+        return list(zip(ids.tolist(), (at + np.cumsum(sizes) - sizes).tolist()))
 
     def run(blocks):
         pair = worker_pair(a_path, b_path)
         for block in blocks:
             out = {k: [] for k in names}
             for key, no, a_text, a_at, b_text, b_at in zip(*block):
-                a = pair.encode_a([a_text])[0] if a_text else []
-                b = pair.encode_b([b_text])[0] if b_text else []
-                equal = (b"".join(pair.a_bytes[i] for i in a) == a_text.encode()
-                         and b"".join(pair.b_bytes[i] for i in b) == b_text.encode())
+                none = np.zeros(0, "<u4")
+                a = pair.encode_a(a_text) if a_text else none
+                b = pair.encode_b(b_text) if b_text else none
+                equal = pair.equal(a, a_text, b, b_text)
                 made = fragment(tokens(a, pair.a_len, a_at), tokens(b, pair.b_len, b_at)) if equal else EMPTY
                 groups, keys = made.closed[0] if made.closed else (None, None)
                 for name, x in zip(names, (key, no, no, equal, len(a), len(b), pickle.dumps(made._replace(closed=[])), 2 * no,
