@@ -1,7 +1,8 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
 1. Word document frequencies over all texts give the weights; a shingle of five words weighs its count times
-   the mean inverse document frequency of its words, which needs no table of shingles.
+   the mean inverse document frequency of its words, which needs no table of shingles. Frequencies are kept for all
+   words, in a table of fixed size by the words' hashes.
 2. Texts with the same words are one class (its smallest id), found by a 128-bit digest. Each class gets
    ``bands * rows`` samples; two classes with weighted Jaccard similarity s share a band with
    probability 1 - (1 - s^rows)^bands (0.999 at 0.8).
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyward.llm.common import likely_rows, map_texts, staged, texts
 from tallyward.llm.components import connected_components
-from tallyward.llm.shingles import ConsistentSampler, ShingleEncoder, idf_table, weighted_jaccard, words
+from tallyward.llm.shingles import ConsistentSampler, ShingleEncoder, WordWeights, weighted_jaccard, word_weights, words
 
 BANDS, ROWS = 10, 3
 #: Pairs with fewer equal samples than this share are not verified. At similarity 0.8 a pair falls below it with
@@ -35,13 +36,13 @@ LEAST_EQUAL = 0.6
 BLOCK, MEMBERS = 256, 1000
 
 
-def sketches(source: DataFrame, idf, rest: float, size: int, bands: int, rows: int) -> DataFrame:
+def sketches(source: DataFrame, idf: WordWeights, size: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, print, samples): digest of the words, and the samples; texts without words are left out."""
     spark = source.sparkSession
     table = spark.sparkContext.broadcast(idf)
 
     def sketch(blocks) -> Iterator[dict]:
-        encoder, sampler = ShingleEncoder(table.value, rest, size), ConsistentSampler(bands * rows)
+        encoder, sampler = ShingleEncoder(table.value, size=size), ConsistentSampler(bands * rows)
         for ids, block in blocks:
             out: dict[str, list] = {"doc_id": [], "print": [], "samples": []}
             for i, t in zip(ids, block):
@@ -56,7 +57,7 @@ def sketches(source: DataFrame, idf, rest: float, size: int, bands: int, rows: i
     return map_texts(source, sketch, f"doc_id {kind}, print binary, samples binary")
 
 
-def verified(groups: DataFrame, source: DataFrame, idf, rest: float, size: int, threshold: float, bands: int,
+def verified(groups: DataFrame, source: DataFrame, idf: WordWeights, size: int, threshold: float, bands: int,
              rows: int) -> DataFrame:
     """Links (a, b) between the kind 0 and kind 1 rows of each group.
 
@@ -71,7 +72,7 @@ def verified(groups: DataFrame, source: DataFrame, idf, rest: float, size: int,
                .select("grp", "kind", "node", "comp", "outer", "band", "samples", "text"))
 
     def compare(blocks) -> Iterator[dict]:
-        encoder = ShingleEncoder(table.value, rest, size)
+        encoder = ShingleEncoder(table.value, size=size)
         least = LEAST_EQUAL * bands * rows
         at = None
         heads: list = []
@@ -123,8 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id belong to one node. Other columns are ignored; an empty table gives an empty result.
     """
     source = texts(docs, id_col, text_col)
-    idf, rest = idf_table(source)
-    settings = idf, rest, size
+    settings = word_weights(source), size
     sketch = staged(sketches(source, *settings, bands, rows), "sketches")
     classes = staged(sketch.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("samples").alias("samples")),
                      "classes")

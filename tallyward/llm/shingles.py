@@ -11,14 +11,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import map_texts, most_frequent, staged
+from tallyward.llm.common import map_texts
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
-#: Document frequencies of so many words are handed to every task; rarer words share the weight of the
-#: rarest of them, so the table's size is fixed and every word has a defined weight.
-IDF_WORDS = 65_536
+#: Slots of the table of document frequencies that every task gets (4 bytes each). A word counts in two of them and its frequency
+#: is read as the smaller one: exact unless other words fall on both, whatever the number of words.
+SLOTS = 1 << 21
 #: Partial counts of a task are handed on and dropped beyond so many different words.
 FLUSH_WORDS = 300_000
 
@@ -27,38 +27,72 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(word, n): in how many rows of (doc_id, text) a word occurs; partial counts are made map-side."""
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
+class WordWeights:
+    """Inverse document frequencies 1 + ln((1 + N) / (1 + n)) of all words, from hashed counts."""
+
+    def __init__(self, counts: np.ndarray, total: int):
+        self.counts, self.total, self.mask = counts, total, len(counts) - 1
+
+    def frequency(self, word: str) -> int:
+        h = word_hash(word)
+        return min(int(self.counts[h & self.mask]), int(self.counts[(h >> 32) & self.mask]))
+
+    def get(self, word: str, rest: float | None = None) -> float:
+        return 1 + math.log((1 + self.total) / (1 + max(self.frequency(word), 1)))
+
+
+def slot_counts(seen: dict[str, int], slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, n) of counted words; each adds to its two slots, or to one if they are the same."""
+    h = np.fromiter(map(word_hash, seen), np.uint64, len(seen))
+    n = np.fromiter(seen.values(), np.int64, len(seen))
+    first, second = (h & np.uint64(slots - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(slots - 1)).astype(np.int64)
+    other = first != second
+    at = np.concatenate([first, second[other]])
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], np.concatenate([n, n[other]])[order]
+    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+    return at[start], np.add.reduceat(n, start) if len(at) else n
+
+
+def document_frequencies(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(slot, n): in how many rows of (doc_id, text) the words of a slot occur; partial counts are made map-side."""
 
     def count(blocks) -> Iterator[dict]:
         seen: dict[str, int] = {}
+
+        def handed():
+            at, n = slot_counts(seen, slots)
+            return {"slot": at.astype(np.int32), "n": n}
+
         for _, block in blocks:
             for t in block:
                 for w in set(words(t)):
                     seen[w] = seen.get(w, 0) + 1
             if len(seen) > FLUSH_WORDS:
-                yield {"word": list(seen), "n": list(seen.values())}
-                seen = {}
-        yield {"word": list(seen), "n": list(seen.values())}
+                yield handed()
+                seen.clear()
+        yield handed()
 
-    return map_texts(docs, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_texts(docs, count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
 
 
-def idf_table(docs: DataFrame, size: int = IDF_WORDS) -> tuple[dict[str, float], float]:
-    """Inverse document frequencies 1 + ln((1 + N) / (1 + n)) of the most frequent words, at most ``size``, and the weight
-    of all others: that of the smallest count in the table, or of a word seen once when the table holds all."""
-    total = docs.count()
-    counts = staged(document_frequencies(docs), "frequencies")
-    top, cut = most_frequent(counts, size)
-    weight = lambda n: 1 + math.log((1 + total) / (1 + n))
-    return {r["word"]: weight(r["n"]) for r in top.collect()}, weight(max(cut, 1))
+def word_weights(docs: DataFrame, slots: int = SLOTS) -> WordWeights:
+    """The weights of all words of (doc_id, text). The driver gets at most ``slots`` rows of two numbers."""
+    found = document_frequencies(docs, slots).toArrow()
+    counts = np.zeros(slots, np.uint32)
+    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), (1 << 32) - 1)
+    return WordWeights(counts, docs.count())
 
 
 class ShingleEncoder:
     """Turns texts into sorted shingle hashes and weights (count times the mean inverse document frequency of the
     shingle's words). A text of fewer words than a shingle is one shingle; a text without words has none."""
 
-    def __init__(self, idf: dict[str, float], rest: float, size: int = 5, limit: int = 400_000):
+    def __init__(self, idf: WordWeights | dict[str, float], rest: float = 1.0, size: int = 5, limit: int = 200_000):
         self.idf, self.rest, self.size, self.limit = idf, rest, size, limit
         self.clear()
 
@@ -72,7 +106,7 @@ class ShingleEncoder:
         if at == len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
             self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
-        self.hashes[at] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        self.hashes[at] = word_hash(word)
         self.weights[at] = self.idf.get(word, self.rest)
         return at
 

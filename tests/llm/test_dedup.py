@@ -8,7 +8,7 @@ import pytest
 from tallyward.llm.components import connected_components
 from tallyward.llm.embedding_dedup import near_duplicate_vectors
 from tallyward.llm.minhash_dedup import near_duplicates
-from tallyward.llm.shingles import ConsistentSampler, ShingleEncoder, weighted_jaccard, words
+from tallyward.llm.shingles import ConsistentSampler, ShingleEncoder, weighted_jaccard, word_weights, words
 
 
 def components_of(nodes, links):
@@ -127,6 +127,27 @@ def test_a_large_group_is_whole(frame, monkeypatch):
     assert got == classes_by_brute_force(docs)
 
 
+def test_weights_of_more_words_than_65536(spark, frame):
+    """Rare words keep their own weight whatever the number of words; frequencies do not depend on the partitions."""
+    docs = [(k, " ".join(f"b{j}" for j in range(10)) + " " + " ".join(f"u{k}x{j}" for j in range(60))) for k in range(1200)]
+    docs += [(2000 + k, f"twice thrice{k // 3}") for k in range(6)]
+    source = frame(docs).select("doc_id", "text")
+    seen = Counter(w for _, t in docs for w in set(words(t)))
+    assert len(seen) > 72_000
+    for parts in (1, 7):
+        weights = word_weights(source.repartition(parts))
+        off = [w for w, n in seen.items() if weights.frequency(w) != n]
+        assert len(off) < 0.01 * len(seen) and all(weights.frequency(w) >= n for w, n in seen.items())
+        assert abs(weights.get("b0") - (1 + math.log(1207 / 1201))) < 1e-9
+
+
+def test_boilerplate_does_not_merge_different_documents(frame):
+    """Documents that share 60 of 80 words stay apart when the others are rare, however many words there are."""
+    base = " ".join(f"b{j}" for j in range(60))
+    docs = [(k, base + " " + " ".join(f"u{k}x{j}" for j in range(20))) for k in range(400)]
+    assert all(r["kept"] for r in near_duplicates(frame(docs)).collect())
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     got = [tuple(r) for r in near_duplicates(awkward).collect()]
     assert Counter(got) == Counter([(i, i, True) for i in (1, 2, 3, 5, 6, 7, 8, 9)] + [(4, 4, True)] * 2 + [(None, None, True)])
