@@ -4,7 +4,7 @@ The benchmark is a stated query set: it is read in blocks of ``block_items`` ite
 against all rows of the corpus.
 
 1. Every text becomes the ids of its benchmark words, in order (0: another word), cut into passages of two
-   neighbouring strides. The same pass counts in how many strides each word occurs.
+   neighbouring strides. In how many different strides each word occurs is counted over the whole corpus, by the strides' digests.
 2. A randomised SVD of the TF-IDF matrix A of all passages (corpus passages side by side, and benchmark passages
    weighted to the same total) gives the latent space: one pass multiplies a random basis by A^T A in the tasks that
    hold the passages and adds up one matrix of vocabulary x sketch; the Nystrom formula gives the singular vectors.
@@ -17,6 +17,7 @@ against all rows of the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
@@ -31,56 +32,62 @@ STRIDE = 32
 RANK, SKETCH = 64, 96
 ROWS_AT_ONCE = 400_000
 FAN_IN = 256
-#: A word in no more strides than this is informative whatever the size of the table.
-FEW_STRIDES = 20
-#: Places of the table in which a task notes the surroundings of words it has seen.
-SEEN = 1 << 26
+#: Strides without a word that are added to every table's before a word's share of them is judged.
+PRIOR_STRIDES = 400
 
 
 def to_terms(source: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """(doc_id, terms, counts): terms as unsigned 16-bit ids per text; in a task's last row instead the number of
-    strides that hold each id (id 0: all strides). A word counts in a stride only between neighbours (two on each side) that
-    the task has not seen around it before, so that text repeated any number of times counts once per task; strides
-    without such a word do not count."""
+    """(doc_id, terms, prints): terms as unsigned 16-bit ids per text, and a 64-bit digest of the words of each stride."""
     spark = source.sparkSession
     table = spark.sparkContext.broadcast(vocabulary)
 
     def encode(blocks) -> Iterator[dict]:
         ids = table.value
-        counts = np.zeros(len(ids) + 1, np.int64)
-        seen = np.zeros(SEEN, bool)
         for docs, block in blocks:
-            rows = []
+            rows, prints = [], []
             for t in block:
                 tokens = words(t)
                 row = np.fromiter(map(ids.get, tokens, repeat(0)), np.uint16, len(tokens)) if tokens else \
                     np.zeros(0, np.uint16)
                 rows.append(row.tobytes())
-                if not tokens:
-                    continue
-                place = places(np.fromiter(map(hash, tokens), np.int64, len(tokens)))
-                new = np.flatnonzero(~seen[place])
-                seen[place[new]] = True
-                strides = new // STRIDE
-                counts[0] += len(np.unique(strides))
-                held = row[new] > 0
-                pairs = np.unique(strides[held] * 65_536 + row[new[held]])
-                counts += np.bincount(pairs & 65_535, minlength=len(counts))
-            yield {"doc_id": docs, "terms": rows, "counts": [None] * len(rows)}
-        yield {"doc_id": [None], "terms": [None], "counts": [counts.tobytes()]}
+                prints.append(b"".join(blake2b(" ".join(tokens[at:at + STRIDE]).encode(), digest_size=8).digest()
+                                       for at in range(0, len(tokens), STRIDE)))
+            yield {"doc_id": docs, "terms": rows, "prints": prints}
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return map_texts(source, encode, f"doc_id {kind}, terms binary, counts binary")
+    return map_texts(source, encode, f"doc_id {kind}, terms binary, prints binary")
 
 
-def places(hashed: np.ndarray) -> np.ndarray:
-    """Place in the table of every word with the two words before and after it."""
-    around = np.concatenate([np.zeros(2, np.uint64), hashed.astype(np.uint64), np.zeros(2, np.uint64)])
-    mixed = np.zeros(len(hashed), np.uint64)
-    for k in range(5):
-        mixed = (mixed ^ around[k:k + len(hashed)]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return (mixed % np.uint64(SEEN)).astype(np.int64)
+def stride_counts(encoded: DataFrame, size: int) -> np.ndarray:
+    """In how many different strides of the corpus each id occurs (id 0: all different strides). A text repeated any number of
+    times counts once, however the rows are dealt to tasks: strides are told apart by their digests, over the whole corpus."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, prints = (c.to_pylist() for c in b.columns)
+            flat = np.frombuffer(b"".join(terms), np.uint16)
+            sizes = np.array([len(t) // 2 for t in terms])
+            strides = -(-sizes // STRIDE)
+            first = np.cumsum(strides) - strides
+            within = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            stride = np.repeat(first, sizes) + within // STRIDE
+            pairs = np.unique(stride[flat > 0] * 65_536 + flat[flat > 0])
+            data = (pairs & 65_535).astype(np.uint16)
+            at = np.searchsorted(pairs >> 16, np.arange(int(strides.sum()) + 1))
+            digest, seen = np.unique(np.frombuffer(b"".join(prints), np.int64), return_index=True)
+            held = [data[at[k]:at[k + 1]].tobytes() for k in seen.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(held, pa.binary())], names=["digest", "held"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            ids = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint16)
+            total += np.bincount(ids, minlength=size)
+            total[0] += b.num_rows
+        yield pa.RecordBatch.from_pydict({"part": [0], "v": [total.tobytes()]})
+
+    strides = encoded.select("terms", "prints").mapInArrow(cut, "digest long, held binary").dropDuplicates(["digest"])
+    return added_up(strides.select("held").mapInArrow(add, "part long, v binary"), size)
 
 
 def added_up(frame: DataFrame, size: int, rows: int = 1) -> np.ndarray:
@@ -163,7 +170,7 @@ def gram_times(encoded: DataFrame, weight: np.ndarray, basis: np.ndarray, slab:
             yield pa.RecordBatch.from_pydict({"part": [part], "v": [rows.tobytes()]})
 
     parts = -(-v // slab)
-    sums = added_up(encoded.filter("terms is not null").select("terms").mapInArrow(multiply, "part long, v binary"),
+    sums = added_up(encoded.select("terms").mapInArrow(multiply, "part long, v binary"),
                     slab * k, parts)
     return sums.reshape(-1, k)[:v]
 
@@ -241,9 +248,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     informative words in the longest common subsequence), answer (share of the answer's), kind (``copy`` or
     ``paraphrase``).
 
-    A word is informative unless it occurs in more than ``common`` of all strides (repeated text counts once per task, and
-    ``FEW_STRIDES`` strides are always allowed); an item with fewer than four
-    other words uses all of its words. A copy covers at least ``cover`` of the item; a paraphrase at least
+    A word is informative unless it occurs in more than ``common`` of all different strides, ``PRIOR_STRIDES`` without it added
+    (repeated text counts once); an item with fewer than four other words uses all of its words. A copy covers at least ``cover`` of the item; a paraphrase at least
     ``loose_cover`` and four fifths of the answer, the item's last ``answer_words`` informative words, in order; both
     share at least four informative words with it, or all of them. Null and wordless texts and items
     match nothing; equal rows give one row; equal items give a row each; other columns are ignored; an empty
@@ -285,18 +291,11 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
     vocabulary = {w: i + 1 for i, w in enumerate(names)}
     encoded = staged(to_terms(source, vocabulary), "terms")
 
-    def as_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict(
-                    {"part": [0], "v": [np.frombuffer(c, np.int64).astype(float).tobytes()]})
-
-    counts = added_up(encoded.filter("counts is not null").select("counts").mapInArrow(as_part, "part long, v binary"),
-                      len(names) + 1)
+    counts = stride_counts(encoded, len(names) + 1)
     total, counts = max(int(counts[0]), 1), counts.copy()
     counts[0] = 0
     weight = np.log((1 + total) / (1 + counts))
-    informative = counts <= max(common * total, FEW_STRIDES)
+    informative = counts <= common * (total + PRIOR_STRIDES)
     informative[0] = False
     terms = [[vocabulary[w] for w in tokens] for _, tokens in block]
     for t in terms:
@@ -389,5 +388,5 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
                         pa.array(["copy" if x[0] >= cover else "paraphrase" for x in best.values()])],
                         names=["doc_id", "item_id", "cosine", "cover", "answer", "kind"])
 
-    return (encoded.filter("terms is not null and doc_id is not null").select("doc_id", "terms")
+    return (encoded.filter("doc_id is not null").select("doc_id", "terms")
             .mapInArrow(search, schema))
