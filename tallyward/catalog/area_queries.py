@@ -11,7 +11,7 @@ from tallyward.catalog.oracle_blocks import FIRST_DAY, LAST_DAY, with_silver
 from tallyward.operators.features import COUNTS, area_daily_counts, area_features
 from tallyward.operators.horizon import LABEL_COLUMN, expand_horizons, split_sizes, split_windows
 from tallyward.operators.layout import stage
-from tallyward.operators.monitoring import drift, evaluate
+from tallyward.operators.monitoring import DRIFT_FEATURES, daily_moments, drift, drift_history, evaluate
 from tallyward.operators.scoring import finish_predictions, scoring_frame
 
 RUN_LAG = 30  # the run date lies this many days before the newest incident day
@@ -219,10 +219,50 @@ EVALUATE_PER_MODEL = with_predictions(f"""SELECT model_name, model_version, {_ME
                                       [_PAIRS])
 
 
+def predicted_counts(features):
+    """What drift reads of both stand-in models' predictions: day and count, without intervals and scores."""
+    frame = scoring_frame(features)
+    parts = [frame.select(F.col("event_date").alias("prediction_date"), F.expr(e).cast("double").alias("predicted_count"))
+             for e in STAND_INS.values()]
+    return parts[0].unionByName(parts[1])
+
+
+def drift_days(spark, sf):
+    """D10, D11 for every day of the whole history, from day states of features and predictions."""
+    first, last = inputs.first_last_day(spark, sf)
+    features = stage(area_features(inputs.silver(spark, sf), first, last), "features")
+    states = stage(daily_moments(features, "date", DRIFT_FEATURES), "moments")
+    predicted = stage(daily_moments(predicted_counts(features), "prediction_date", ["predicted_count"]), "moments")
+    rows = drift_history(states, predicted).drop("created_at")
+    # means of short decimals lie on half a digit at times: both engines are moved off it
+    return rows.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("ref_mean", "ref_std", "cur_mean", "drift_score")})
+
+
+def _drift_days_sql() -> str:
+    def states(column: str, source: str, day: str) -> str:
+        v = f"CAST({column} AS DOUBLE)"
+        return f"""SELECT '{column.strip('"')}' AS field_name, {day} AS d, count({v}) AS n, sum({v}) AS s, sum({v} * {v}) AS q FROM {source} GROUP BY 2"""
+
+    fields = [*DRIFT_FEATURES[:9], '"month"', *DRIFT_FEATURES[10:]]
+    return with_features(f"""SELECT metric_name, field_name, d - 30 AS ref_start, d - 1 AS ref_end, d AS eval_date,
+  round(rm + 1e-9, 6) AS ref_mean, round(rs + 1e-9, 6) AS ref_std, round(cm + 1e-9, 6) AS cur_mean,
+  round(abs(cm - rm) / (rs + 1e-9) + 1e-9, 6) AS drift_score, d + 1 AS process_date
+FROM (SELECT c.field_name, c.d, c.s / c.n AS cm, coalesce(sum(r.s) / sum(r.n), 'nan'::DOUBLE) AS rm,
+    CASE WHEN sum(r.n) > 0 THEN sqrt(greatest(sum(r.q) / sum(r.n) - (sum(r.s) / sum(r.n)) ** 2, 0)) ELSE 'nan'::DOUBLE END AS rs,
+    sum(r.n) AS rn,
+    CASE WHEN c.field_name = 'predicted_count' THEN 'prediction_mean_z' ELSE 'feature_mean_z' END AS metric_name
+  FROM states c LEFT JOIN states r ON r.field_name = c.field_name AND r.d BETWEEN c.d - 30 AND c.d - 1 GROUP BY c.field_name, c.d, c.s, c.n)
+WHERE metric_name = 'feature_mean_z' OR (rn > 0 AND d IN (SELECT d FROM states WHERE field_name = 'count_1d'))""", [
+        *prediction_ctes("")[:2],
+        "states AS (" + "\nUNION ALL ".join([
+            *[states(c, "features", '"date"') for c in fields],
+            states("predicted_count", "(SELECT * FROM pred_1 UNION ALL SELECT * FROM pred_2)", "prediction_date")]) + ")"])
+
+
 def drift_metrics(spark, sf):
     run = run_date(spark, sf)
     features = _recent_features(spark, sf)
-    rows = drift(features, recent_predictions(features), run - timedelta(days=1), run)
+    rows = drift(features, predicted_counts(features), run - timedelta(days=1), run)
     return _rounded(rows.drop("created_at"), "ref_mean", "ref_std", "cur_mean", "drift_score")
 
 
@@ -253,4 +293,5 @@ QUERIES = {
     "evaluate": (evaluate_window, EVALUATE),
     "evaluate_per_model": (evaluate_per_model, EVALUATE_PER_MODEL),
     "drift": (drift_metrics, DRIFT),
+    "drift_days": (drift_days, _drift_days_sql()),
 }

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyward.operators.training import regression_metrics
@@ -128,3 +129,53 @@ def drift(features: DataFrame, predictions: DataFrame | None, eval_date: date, p
     return enforce(out.withColumns({
         "process_date": F.lit(process_date), "created_at": F.current_timestamp(),
     }), DRIFT_DDL)
+
+
+def daily_moments(df: DataFrame, day_col: str, columns: Sequence[str]) -> DataFrame:
+    """Mergeable state per day and column: day, field_name, row_count, n (not null), total, squares.
+
+    Stored by day, it lets any window be read as a sum of day states, without the rows behind them; states of one day
+    from several loads add up (``merged_moments``).
+    """
+    def state(c: str) -> Column:
+        value = F.col(c).cast("double")
+        return F.struct(F.lit(c).alias("field_name"), F.count(value).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"),
+                        F.coalesce(F.sum(value * value), F.lit(0.0)).alias("squares"))
+
+    days = df.groupBy(F.to_date(day_col).alias("day")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.array(*[state(c) for c in columns]).alias("s"))
+    return days.filter("day is not null").select("day", F.explode("s").alias("s"), "row_count").select("day", "s.field_name", "row_count", "s.n",
+                                                                              "s.total", "s.squares")
+
+
+def merged_moments(moments: DataFrame) -> DataFrame:
+    return moments.groupBy("day", "field_name").agg(*[F.sum(c).alias(c) for c in ("row_count", "n", "total", "squares")])
+
+
+def shifts_of_days(moments: DataFrame, metric_name: str, reference_days: int = REFERENCE_DAYS) -> DataFrame:
+    """``mean_shift`` for every day of ``moments`` in one plan; the reference of a day is a RANGE frame over day states."""
+    frame = W.partitionBy("field_name").orderBy(F.datediff("day", F.lit(date(1970, 1, 1)))).rangeBetween(-reference_days, -1)
+    sums = moments.withColumns({f"_{c}": F.sum(c).over(frame) for c in ("row_count", "n", "total", "squares")})
+    nan = F.lit(float("nan"))
+    mean = F.when(F.col("_n") > 0, F.col("_total") / F.col("_n")).otherwise(nan)
+    spread = F.greatest(F.col("_squares") / F.col("_n") - F.col("ref_mean") * F.col("ref_mean"), F.lit(0.0))
+    rows = sums.withColumn("ref_mean", mean).withColumns({
+        "ref_std": F.when(F.col("_n") > 0, F.sqrt(spread)).otherwise(nan),
+        "cur_mean": F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(nan)})
+    score = F.when(F.isnan("ref_std"), nan).otherwise(
+        F.abs(F.col("cur_mean") - F.col("ref_mean")) / (F.col("ref_std") + SPREAD_EPS))
+    return rows.select(
+        F.lit(metric_name).alias("metric_name"), "field_name", F.date_sub("day", reference_days).alias("ref_start"),
+        F.date_sub("day", 1).alias("ref_end"), F.col("day").alias("eval_date"), "ref_mean", "ref_std", "cur_mean",
+        score.alias("drift_score"), F.coalesce("_row_count", F.lit(0)).alias("_n_ref"), F.col("row_count").alias("_n_cur"))
+
+
+def drift_history(feature_moments: DataFrame, prediction_moments: DataFrame | None,
+                  reference_days: int = REFERENCE_DAYS) -> DataFrame:
+    """D10, D11 for every day that has features, from stored day states; the process date is the day after."""
+    out = shifts_of_days(feature_moments, "feature_mean_z", reference_days)
+    if prediction_moments is not None:
+        shift = shifts_of_days(prediction_moments, "prediction_mean_z", reference_days).filter("_n_ref > 0 and _n_cur > 0")
+        days = feature_moments.select(F.col("day").alias("eval_date")).distinct()
+        out = out.unionByName(shift.join(days, "eval_date", "left_semi").select(out.columns))
+    return enforce(out.withColumns({"process_date": F.date_add("eval_date", 1), "created_at": F.current_timestamp()}), DRIFT_DDL)

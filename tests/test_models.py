@@ -1,6 +1,7 @@
 """Scoring arithmetic, metrics, drift, registry, training."""
 
 import math
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.measures import poisson_high, poisson_low, safety_score
 from tallyward.operators.horizon import split_windows
-from tallyward.operators.monitoring import actual_column, drift, evaluate, mean_shift
+from tallyward.operators.monitoring import (
+    actual_column, daily_moments, drift, evaluate, mean_shift, merged_moments, shifts_of_days,
+)
 from tallyward.operators.registry import has_production, promote, promotion, resolve_model
 from tallyward.operators.scoring import finish_predictions, scoring_frame
 from tallyward.operators.training import (
@@ -90,6 +93,23 @@ def test_evaluation(spark):
     assert actual_column("drug") == "drug_count_1d"
 
 
+def test_drift_of_all_days_equals_day_by_day(spark):
+    rng = random.Random(2)
+    days = [D - timedelta(days=b) for b in range(0, 80) if b % 7 != 3]
+    rows = [(d, rng.choice([None, rng.random() * 10]), rng.randrange(5)) for d in days for _ in range(rng.randrange(1, 5))]
+    df = spark.createDataFrame(rows, "date date, x double, k int")
+    halves = [daily_moments(df.filter(c), "date", ["x", "k"]) for c in ("k < 2", "k >= 2")]
+    states = merged_moments(halves[0].unionByName(halves[1]))
+    got = {(r["eval_date"], r["field_name"]): r for r in shifts_of_days(states, "m").collect()}
+    for d in days[::9]:
+        for want in mean_shift(df, "date", ["x", "k"], d, 30, "m").collect():
+            have = got[d, want["field_name"]]
+            assert (have["_n_ref"], have["_n_cur"], have["ref_start"], have["ref_end"]) == (
+                want["_n_ref"], want["_n_cur"], want["ref_start"], want["ref_end"])
+            for c in ("ref_mean", "ref_std", "cur_mean", "drift_score"):
+                assert have[c] == pytest.approx(want[c], rel=1e-9, nan_ok=True)
+
+
 def test_drift(spark):
     df = spark.createDataFrame([(D - timedelta(days=2), 1.0), (D - timedelta(days=1), 3.0), (D, 5.0), (D - timedelta(days=40), 99.0)],
                                "date date, x double")
