@@ -17,13 +17,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def registered() -> dict[str, tuple[Query, str | None]]:
     """name -> (query, oracle SQL or None)."""
     from tallyward.catalog import (
-        area_queries, graph_queries, landing_queries, model_queries, serving_queries, star_queries, stream_queries,
+        area_queries, contract_queries, graph_queries, landing_queries, model_queries, serving_queries, star_queries, stream_queries,
         table_queries, text_queries,
     )
 
     out: dict[str, tuple[Query, str | None]] = {}
     for module in (landing_queries, star_queries, area_queries, model_queries, serving_queries, graph_queries,
-                   table_queries, text_queries, stream_queries):
+                   table_queries, text_queries, stream_queries, contract_queries):
         clash = out.keys() & module.QUERIES.keys()
         if clash:
             raise ValueError(f"query registered twice: {sorted(clash)}")

@@ -82,7 +82,7 @@ def pip_join(spark, sf):
         f"{inputs.LANDING_EXPRESSIONS['longitude']} as longitude",
         f"{inputs.LANDING_EXPRESSIONS['latitude']} as latitude")
     layer = boundary_layer(inputs.raw_boundary(spark, sf, "districts"), "district")
-    return _per_polygon(locate(points, layer, on_overlap="all", point_id=None))
+    return per_polygon(locate(points, layer, on_overlap="all", point_id=None))
 
 
 def pip_join_many(spark, sf):
@@ -93,7 +93,7 @@ def pip_join_many(spark, sf):
         f"{inputs.LANDING_EXPRESSIONS['latitude']} as latitude")
     points = points.withColumn("pid", F.to_json("pid"))
     layer = boundary_layer(inputs.raw_boundary(spark, sf, "beats"), "beat")
-    return _per_polygon(locate(points, layer, on_overlap="all", point_id="pid", max_broadcast_cells=0))
+    return per_polygon(locate(points, layer, on_overlap="all", point_id="pid", max_broadcast_cells=0))
 
 
 def silver_located_many(spark, sf):
@@ -124,7 +124,7 @@ SELECT a.poly_id AS diamond, a.poly_name AS diamond_name, b.poly_id AS district,
 FROM pts p LEFT JOIN first_diamonds a ON a.id = p.id LEFT JOIN first_districts b ON b.id = p.id GROUP BY 1, 2, 3"""
 
 
-def _per_polygon(located):
+def per_polygon(located):
     return located.groupBy("poly_id", "poly_name").agg(
         F.count(F.lit(1)).alias("points"), F.sum("l_orderkey").alias("order_sum"), F.sum("l_partkey").alias("part_sum"))
 

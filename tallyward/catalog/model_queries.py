@@ -46,7 +46,7 @@ def registry(spark, sf):
         F.date_add(F.lit("2024-01-01").cast("date"), label).alias("created_at"))
 
 
-_REGISTRY = """registry AS (SELECT 'model_' || (label % 3) AS model_name, label AS version, 'run-' || label AS run_id,
+REGISTRY_CTE = """registry AS (SELECT 'model_' || (label % 3) AS model_name, label AS version, 'run-' || label AS run_id,
   's3://models/' || label AS model_path, CASE WHEN label % 4 <> 3 THEN rmse END AS metric,
   CASE WHEN label BETWEEN 2 AND 3 THEN 'Production' ELSE 'None' END AS stage,
   DATE '2024-01-01' + CAST(label AS INTEGER) AS created_at
@@ -58,7 +58,7 @@ def registry_promote(spark, sf):
     return promotion(registry(spark, sf))
 
 
-REGISTRY_PROMOTE = f"""WITH {_REGISTRY},
+REGISTRY_PROMOTE = f"""WITH {REGISTRY_CTE},
 newest AS (SELECT model_name, arg_max(version, created_at) AS nv, coalesce(arg_max(coalesce(metric, 'inf'::DOUBLE), created_at), 'inf'::DOUBLE) AS nm
   FROM registry GROUP BY 1),
 prod AS (SELECT model_name, arg_max(version, created_at) AS pv, arg_max(coalesce(metric, 'inf'::DOUBLE), created_at) AS pm
@@ -99,7 +99,7 @@ def finite_metrics(spark, sf):
         dropped.select("metric", F.lit(None).cast("double").alias("value"), F.lit(False).alias("kept")))
 
 
-FINITE_METRICS = f"""WITH {_REGISTRY} SELECT run_id AS metric, metric AS value, metric IS NOT NULL AS kept FROM registry"""
+FINITE_METRICS = f"""WITH {REGISTRY_CTE} SELECT run_id AS metric, metric AS value, metric IS NOT NULL AS kept FROM registry"""
 
 QUERIES = {
     "train_score": (train_score, None),

@@ -132,44 +132,46 @@ def quality_suites(spark, sf):
             .withColumn("observed", F.round("observed", 6)))
 
 
-def _check(layer: str, name: str, observed: str, threshold: float, source: str, op: str = "<=") -> str:
+def check_sql(layer: str, name: str, observed: str, threshold: float, source: str, op: str = "<=") -> str:
     return (f"SELECT '{layer}' AS layer, '{name}' AS \"check\", o {op} {threshold} AS passed, round(o, 6) AS observed, "
             f"{threshold}::DOUBLE AS threshold FROM (SELECT CAST({observed} AS DOUBLE) AS o FROM {source})")
 
 
-def _null_rate(column: str) -> str:
+def null_rate_sql(column: str) -> str:
     return f"avg(CASE WHEN {column} IS NULL THEN 1.0 ELSE 0.0 END)"
 
 
-QUALITY = with_silver("\nUNION ALL ".join([
-    _check("bronze", "row_count>=1", "count(*)", 1.0, "landing", ">="),
-    _check("bronze", "null_rate(id)", _null_rate("id"), 0.0, "landing"),
-    _check("bronze", "null_rate(date)", _null_rate('"date"'), 0.0, "landing"),
-    _check("bronze", "null_rate(latitude)", _null_rate("latitude"), 0.5, "landing"),
-    _check("bronze", "schema(3 columns)", "0", 0.0, "(SELECT 1)"),
-    _check("bronze", "unique(id)", "count(*)", 0.0, "(SELECT id FROM landing GROUP BY id HAVING count(*) > 1)"),
-    _check("silver", "row_count>=1", "count(*)", 1.0, "silver", ">="),
-    _check("silver", "null_rate(id)", _null_rate("id"), 0.0, "silver"),
-    _check("silver", "null_rate(date)", _null_rate('"date"'), 0.0, "silver"),
-    _check("silver", "null_rate(crime_category)", _null_rate("crime_category"), 0.0, "silver"),
-    _check("silver", "accepted_values(crime_category)", "0", 0.0, "(SELECT 1)"),
-    _check("silver", "range(latitude)", "count(CASE WHEN NOT latitude BETWEEN -90 AND 90 THEN 1 END)", 0.0, "silver"),
-    _check("silver", "range(longitude)", "count(CASE WHEN NOT longitude BETWEEN -180 AND 180 THEN 1 END)", 0.0, "silver"),
-    _check("silver", "freshness(process_date)",
+QUALITY_CHECKS = [
+    check_sql("bronze", "row_count>=1", "count(*)", 1.0, "landing", ">="),
+    check_sql("bronze", "null_rate(id)", null_rate_sql("id"), 0.0, "landing"),
+    check_sql("bronze", "null_rate(date)", null_rate_sql('"date"'), 0.0, "landing"),
+    check_sql("bronze", "null_rate(latitude)", null_rate_sql("latitude"), 0.5, "landing"),
+    check_sql("bronze", "schema(3 columns)", "0", 0.0, "(SELECT 1)"),
+    check_sql("bronze", "unique(id)", "count(*)", 0.0, "(SELECT id FROM landing GROUP BY id HAVING count(*) > 1)"),
+    check_sql("silver", "row_count>=1", "count(*)", 1.0, "silver", ">="),
+    check_sql("silver", "null_rate(id)", null_rate_sql("id"), 0.0, "silver"),
+    check_sql("silver", "null_rate(date)", null_rate_sql('"date"'), 0.0, "silver"),
+    check_sql("silver", "null_rate(crime_category)", null_rate_sql("crime_category"), 0.0, "silver"),
+    check_sql("silver", "accepted_values(crime_category)", "0", 0.0, "(SELECT 1)"),
+    check_sql("silver", "range(latitude)", "count(CASE WHEN NOT latitude BETWEEN -90 AND 90 THEN 1 END)", 0.0, "silver"),
+    check_sql("silver", "range(longitude)", "count(CASE WHEN NOT longitude BETWEEN -180 AND 180 THEN 1 END)", 0.0, "silver"),
+    check_sql("silver", "freshness(process_date)",
            "date_diff('day', CAST(max(process_date) AS DATE), (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem))", 0.0, "silver"),
-    _check("silver", "unique(id)", "count(*)", 0.0, "(SELECT id FROM silver GROUP BY id HAVING count(*) > 1)"),
-    _check("gold", "row_count>=1", "count(*)", 1.0, "fact", ">="),
-    _check("gold", "null_rate(incident_id)", _null_rate("incident_id"), 0.0, "fact"),
-    _check("gold", "null_rate(date_key)", _null_rate("date_key"), 0.0, "fact"),
-    _check("gold", "null_rate(beat)", _null_rate("beat"), 0.5, "fact"),
-    _check("gold", "reference(date_key)", "count(DISTINCT date_key)", 0.0,
+    check_sql("silver", "unique(id)", "count(*)", 0.0, "(SELECT id FROM silver GROUP BY id HAVING count(*) > 1)"),
+    check_sql("gold", "row_count>=1", "count(*)", 1.0, "fact", ">="),
+    check_sql("gold", "null_rate(incident_id)", null_rate_sql("incident_id"), 0.0, "fact"),
+    check_sql("gold", "null_rate(date_key)", null_rate_sql("date_key"), 0.0, "fact"),
+    check_sql("gold", "null_rate(beat)", null_rate_sql("beat"), 0.5, "fact"),
+    check_sql("gold", "reference(date_key)", "count(DISTINCT date_key)", 0.0,
            f"(SELECT date_key FROM fact WHERE process_date NOT BETWEEN {LAST_DAY} - 1825 AND {LAST_DAY} + 365)"),
-    _check("gold", "reference(location_key)", "count(DISTINCT location_key)", 0.0,
+    check_sql("gold", "reference(location_key)", "count(DISTINCT location_key)", 0.0,
            "(SELECT location_key FROM fact WHERE location_key NOT IN (SELECT location_key FROM places))"),
-    _check("gold", "reference(crime_type_key)", "count(DISTINCT crime_type_key)", 0.0,
+    check_sql("gold", "reference(crime_type_key)", "count(DISTINCT crime_type_key)", 0.0,
            "(SELECT crime_type_key FROM fact WHERE crime_type_key NOT IN (SELECT crime_type_key FROM types))"),
-    _check("gold", "reference(time_of_day_key)", "0", 0.0, "(SELECT 1)"),
-]), extra=[f"fact AS ({FACT_ROWS})", f"places AS ({PLACE_ROWS})", f"types AS ({TYPE_ROWS})"])
+    check_sql("gold", "reference(time_of_day_key)", "0", 0.0, "(SELECT 1)"),
+]
+QUALITY_CTES = [f"fact AS ({FACT_ROWS})", f"places AS ({PLACE_ROWS})", f"types AS ({TYPE_ROWS})"]
+QUALITY = with_silver("\nUNION ALL ".join(QUALITY_CHECKS), extra=QUALITY_CTES)
 
 
 def unique_keys(spark, sf):
