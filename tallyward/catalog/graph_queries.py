@@ -15,6 +15,11 @@ from tallyward.operators.layout import stage
 RETENTION = 1500
 TREND_START = "1997-03-01"
 VIOLENT_RANGE = ("1998-01-01", "1999-12-31")
+#: What the graph reads of silver.
+SILVER_COLUMNS = [
+    "id", "case_number", "date", "block", "primary_type", "description", "location_description", "arrest", "domestic",
+    "beat", "district", "ward", "community_area", "community_area_name", "district_name", "latitude", "longitude",
+    "updated_on", *TAXONOMY_COLUMNS]
 AREA_TEXT, OFFENSE = "nation_1", "Theft"
 
 
@@ -25,10 +30,7 @@ def build(spark, sf):
 def stored(spark, sf, *names, located=True):
     """The graph with the named tables stored: the incidents are computed once, each of these tables is written once.
     Area and district names need the spatial step; queries that read none do without (``located=False``)."""
-    silver = stage(inputs.silver(spark, sf, located=located).select(
-        "id", "case_number", "date", "block", "primary_type", "description", "location_description", "arrest", "domestic",
-        "beat", "district", "ward", "community_area", "community_area_name", "district_name", "latitude", "longitude",
-        "updated_on", *TAXONOMY_COLUMNS), "silver")
+    silver = stage(inputs.silver(spark, sf, located=located).select(*SILVER_COLUMNS), "silver")
     return {name: stage(df, name) if name in names else df for name, df in g.build_graph(silver, "md5").items()}
 
 
@@ -55,7 +57,7 @@ def edges(spark, sf):
 _TEXT_KEY = ("concat_ws('|', coalesce(trim(community_area_name), 'Unknown'), coalesce(trim(district_name), 'Unknown'), "
              "coalesce(trim(block), 'Unknown'), coalesce(trim(location_description), 'Unknown'))")
 GRAPH_CTES = [
-    f"""src AS (SELECT *, {_TEXT_KEY} AS location_text_key, strftime("date", '%Y-%m-%d') AS date_label FROM silver)""",
+    f"""src AS MATERIALIZED (SELECT *, {_TEXT_KEY} AS location_text_key, strftime("date", '%Y-%m-%d') AS date_label FROM silver)""",
     """crime AS (SELECT case_number, primary_type, description, crime_category, crime_offense_group, crime_offense_subtype,
   arrest, domestic, beat AS beat_id, district AS district_id, ward AS ward_id, community_area AS community_area_id,
   district_name, community_area_name FROM src)""",
@@ -104,6 +106,21 @@ def pruned(spark, sf):
     return out
 
 
+def pruned_by_days(spark, sf):
+    """J6, J7, C19 by days and degrees: what ``graph_prune`` reports, without comparing all edges with the removed incidents."""
+    silver = stage(inputs.silver(spark, sf, located=True).select(*SILVER_COLUMNS), "silver")
+    graph = {name: stage(df, name) if name in ("Crime", "Location", "CrimeType", "edges") else df
+             for name, df in g.dated_graph(silver, "md5").items()}
+    degrees = stage(g.node_degrees(graph), "degrees")
+    cleaned, _, deleted = g.prune_days(graph, degrees, _today(spark, sf), RETENTION)
+    sizes = [cleaned[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit("left").alias("kind"), F.lit(name).alias("name"), "n")
+             for name in ("Crime", "Date", "Location", "CrimeType", "edges")]
+    out = deleted.groupBy(F.col("label").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("deleted").alias("kind"), "name", "n")
+    for part in sizes:
+        out = out.unionByName(part)
+    return out
+
+
 def pruned_edges(spark, sf):
     """The edges that survive, as rows."""
     return g.prune(stored(spark, sf, "edges"), _today(spark, sf), RETENTION)["edges"]
@@ -116,14 +133,15 @@ def dangling_nodes(spark, sf):
 
 _PRUNE_CTES = [
     f"cutoff AS (SELECT strftime({LAST_DAY} - {RETENTION}, '%Y-%m-%d') AS c)",
-    """gone AS (SELECT src FROM edges WHERE "type" = 'OCCURRED_ON' AND dst < (SELECT c FROM cutoff))""",
-    "kept AS (SELECT * FROM edges WHERE src NOT IN (SELECT src FROM gone))",
+    "stored AS MATERIALIZED (SELECT * FROM edges)",
+    """gone AS MATERIALIZED (SELECT DISTINCT src FROM stored, cutoff WHERE "type" = 'OCCURRED_ON' AND dst < c)""",
+    "kept AS MATERIALIZED (SELECT e.* FROM stored e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.src = e.src))",
     """lost AS (SELECT 'Location' AS label, location_text_key AS key FROM places
-    WHERE location_text_key NOT IN (SELECT dst FROM kept WHERE "type" = 'OCCURRED_AT')
+    WHERE NOT EXISTS (SELECT 1 FROM kept WHERE "type" = 'OCCURRED_AT' AND dst = location_text_key)
   UNION ALL SELECT 'CrimeType', CAST(crime_type_key AS VARCHAR) FROM types
-    WHERE CAST(crime_type_key AS VARCHAR) NOT IN (SELECT dst FROM kept WHERE "type" = 'IS_OF_TYPE'))""",
+    WHERE NOT EXISTS (SELECT 1 FROM kept WHERE "type" = 'IS_OF_TYPE' AND dst = CAST(crime_type_key AS VARCHAR)))""",
 ]
-PRUNED = with_graph("""SELECT 'left' AS kind, 'Crime' AS name, count(*) AS n FROM crime WHERE case_number NOT IN (SELECT src FROM gone)
+PRUNED = with_graph("""SELECT 'left' AS kind, 'Crime' AS name, count(*) AS n FROM crime WHERE NOT EXISTS (SELECT 1 FROM gone WHERE src = case_number)
 UNION ALL SELECT 'left', 'Date', count(*) FROM dates WHERE date_label >= (SELECT c FROM cutoff)
 UNION ALL SELECT 'left', 'Location', (SELECT count(*) FROM places) - count(*) FROM lost WHERE label = 'Location'
 UNION ALL SELECT 'left', 'CrimeType', (SELECT count(*) FROM types) - count(*) FROM lost WHERE label = 'CrimeType'
@@ -169,6 +187,7 @@ QUERIES = {
     "graph_type_nodes": (crime_type_nodes, with_graph("SELECT * FROM types")),
     "graph_edges": (edges, with_graph("SELECT * FROM edges")),
     "graph_prune": (pruned, PRUNED),
+    "graph_prune_days": (pruned_by_days, PRUNED),
     "graph_pruned_edges": (pruned_edges, with_graph("SELECT * FROM kept", _PRUNE_CTES)),
     "graph_dangling": (dangling_nodes, with_graph("SELECT * FROM lost", _PRUNE_CTES)),
     "graph_violent_count": (violent_count, with_graph(f"""SELECT count(*) AS n FROM edges o

@@ -149,6 +149,62 @@ def drop_dangling(graph: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], Da
     return cleaned, lost.groupBy("label").agg(F.count(F.lit(1)).alias("deleted_nodes"))
 
 
+def dated_graph(silver: DataFrame, key_method: str = "xxhash64") -> dict[str, DataFrame]:
+    """``build_graph`` with the incident day (``batch_date``) on Crime nodes and edges, the column their tables are sliced by."""
+    source = graph_source(silver, key_method).withColumn("batch_date", F.to_date("date"))
+    rows = incidents(source)
+    return {
+        "Crime": crime_nodes(rows, "batch_date"), "Date": date_nodes(rows), "Location": location_nodes(source),
+        "CrimeType": crime_type_nodes(source), "edges": edges(rows, "batch_date"),
+    }
+
+
+LINKED = {OCCURRED_AT: ("Location", "location_text_key"), IS_OF_TYPE: ("CrimeType", "crime_type_key")}
+
+
+def _linked_counts(edge_rows: DataFrame) -> DataFrame:
+    """(label, key, n): how many of the edges end in each Location and CrimeType node; combined map-side, so a node with a third of
+    all edges is one row per task."""
+    label = F.create_map(*[F.lit(x) for kind, (name, _) in LINKED.items() for x in (kind, name)])[F.col("type")]
+    return (edge_rows.filter(F.col("type").isin(*LINKED)).groupBy(label.alias("label"), F.col("dst").alias("key"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def node_degrees(graph: dict[str, DataFrame]) -> DataFrame:
+    """(label, key, degree) of every Location and CrimeType node, 0 without an edge: the table kept beside the edges."""
+    nodes = [graph[name].select(F.lit(name).alias("label"), F.col(key).cast("string").alias("key")) for name, key in LINKED.values()]
+    return nodes[0].unionByName(nodes[1]).join(_linked_counts(graph["edges"]), ["label", "key"], "left").select(
+        "label", "key", F.coalesce("n", F.lit(0)).alias("degree"))
+
+
+def changed_degrees(degrees: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """The degree table after edges came and went; only these edges are read. Nodes the table lacks come in with their first edge."""
+    changes = [_linked_counts(rows).withColumn("n", F.col("n") * sign) for rows, sign in ((added, 1), (removed, -1)) if rows is not None]
+    total = degrees.withColumnRenamed("degree", "n")
+    for change in changes:
+        total = total.unionByName(change)
+    return total.groupBy("label", "key").agg(F.sum("n").alias("degree"))
+
+
+def prune_days(graph: dict[str, DataFrame], degrees: DataFrame, today: date,
+               retention_days: int = RETENTION_DAYS) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """J6, J7, C19 on a ``dated_graph`` with its degree table: (graph, degrees, deleted). What ``prune`` and ``drop_dangling`` leave, but
+    the days of incidents and edges are compared with the cutoff, so only slices before it are read to see what goes, and
+    dangling nodes are those whose degree reaches zero. ``deleted`` has the (label, key) of the nodes dropped."""
+    cutoff = F.lit(today - timedelta(days=retention_days))
+    stays = F.coalesce(F.col("batch_date") >= cutoff, F.lit(True))
+    removed = graph["edges"].filter(F.col("batch_date") < cutoff)
+    labels = removed.filter(F.col("type") == OCCURRED_ON).select(F.col("dst").alias("date_label")).distinct()
+    left = changed_degrees(degrees, removed=removed)
+    deleted = left.filter("degree <= 0").select("label", "key")
+    kept = {**graph, "edges": graph["edges"].filter(stays), "Crime": graph["Crime"].filter(stays),
+            "Date": graph["Date"].join(labels, "date_label", "left_anti")}
+    for name, key in LINKED.values():
+        gone = deleted.filter(F.col("label") == name).select(F.col("key").alias("_gone"))
+        kept[name] = graph[name].join(gone, F.col(key).cast("string") == F.col("_gone"), "left_anti")
+    return kept, left.filter("degree > 0"), deleted
+
+
 def clamp_coverage(df: DataFrame, day_col: str, today: date, start: date = COVERAGE_START,
                    lag_days: int = COVERAGE_LAG_DAYS) -> DataFrame:
     """Only the days that may be asked for."""

@@ -59,6 +59,25 @@ def test_prune_is_strict_and_cleans_dangling(graph):
     assert g.dangling(cleaned).count() == 0
 
 
+def test_prune_by_days_and_degrees_leaves_the_same(spark):
+    rows = [rec(1, CUTOFF), rec(2, CUTOFF - timedelta(days=1), block="OLD"), rec(3, CUTOFF - timedelta(days=400), kind="ROBBERY"),
+            rec(4, TODAY, kind="BATTERY"), rec(5, TODAY, case="C4", kind="ROBBERY"), rec(6, CUTOFF - timedelta(days=9), block="OLD")]
+    rows.append(rec(7, TODAY, kind="ARSON") | {"date": None})
+    silver = build_silver(landing_frame(spark, rows), TODAY)
+    plain, dated = g.build_graph(silver, "md5"), g.dated_graph(silver, "md5")
+    degrees = g.node_degrees(dated)
+    assert {r["degree"] for r in degrees.filter("key like '%OLD%'").collect()} == {2}
+    want, _ = g.drop_dangling(g.prune(plain, TODAY))
+    got, left, deleted = g.prune_days(dated, degrees, TODAY)
+    for name, df in want.items():
+        assert sorted(map(str, got[name].select(df.columns).collect())) == sorted(map(str, df.collect())), name
+    lost = g.dangling(g.prune(plain, TODAY))
+    assert sorted(map(tuple, deleted.collect())) == sorted(map(tuple, lost.collect())) and deleted.count() > 0
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, g.node_degrees(got).collect()))
+    back = g.changed_degrees(left, added=dated["edges"].join(got["edges"], ["src", "type", "dst"], "left_anti"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, degrees.filter("degree > 0").collect()))
+
+
 def test_prune_in_steps_reaches_the_same_end(graph):
     step = graph
     for _ in range(2):
