@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tallyward.catalog import inputs
 from tallyward.catalog.oracle_blocks import EVENT_KIND
 from tallyward.plans.fanout import area_feature_writer, graph_writer, ml_feature_writer, read_graph, star_writer
 from tallyward.session import scratch_path
-from tallyward.streaming.arrivals import landing_stream, run_arrivals
-from tallyward.streaming.daily_counts import read_counts, windowed_counts, write_updates
+from tallyward.streaming.arrivals import SOURCE_LAG_DAYS, landing_stream, run_arrivals
+from tallyward.streaming.daily_counts import close_days, read_counts, released, windowed_counts, write_updates
 
 
 #: Of the id index and the dimensions; enough for tables of this size.
 BUCKETS = 8
 
 
-def stream_daily(spark, sf):
-    """Tumbling day counts per user with a ten-day watermark; equals the batch result."""
+COUNTS_DDL = "area_id bigint, event_date date, count_1d bigint, errors bigint, purchases bigint"
+
+
+def _count_days(spark, sf):
     schema = inputs.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     counts = windowed_counts(events, "ts", "user_id", {
@@ -26,8 +30,26 @@ def stream_daily(spark, sf):
         "purchases": F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)),
     })
     path = scratch_path(spark, "stream-daily")
-    write_updates(counts, path, scratch_path(spark, "stream-daily-state")).awaitTermination()
-    return read_counts(spark, path)
+    counts = counts.withColumn("area_id", F.col("area_id").cast("bigint"))
+    write_updates(counts, path, scratch_path(spark, "stream-daily-state"), BUCKETS).awaitTermination()
+    return path
+
+
+def stream_daily(spark, sf):
+    """Tumbling day counts per user with a ten-day watermark; equals the batch result."""
+    return read_counts(spark, _count_days(spark, sf), COUNTS_DDL, BUCKETS)
+
+
+def stream_due(spark, sf):
+    """Days that the watermark has passed are closed, twice, and the days due by the newest event are released."""
+    path = _count_days(spark, sf)
+    newest = inputs.table(spark, sf, "events").agg(F.to_date(F.max("ts"))).first()[0]
+    for _ in range(2):
+        close_days(spark, path, COUNTS_DDL, newest - timedelta(days=SOURCE_LAG_DAYS - 1), BUCKETS)
+    open_days = read_counts(spark, path, COUNTS_DDL, BUCKETS).groupBy("event_date").agg(F.sum("count_1d").alias("counted"))
+    due = released(spark, path, COUNTS_DDL, newest).groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("areas"), F.sum("count_1d").alias("events"))
+    return open_days.join(due, "event_date", "left")
 
 
 STREAM_DAILY = """SELECT user_id AS area_id, CAST(ts AS DATE) AS event_date, count(*) AS count_1d,
@@ -35,6 +57,11 @@ STREAM_DAILY = """SELECT user_id AS area_id, CAST(ts AS DATE) AS event_date, cou
   CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS purchases FROM events GROUP BY 1, 2"""
 
 
+STREAM_DUE = f"""SELECT event_date, counted, CASE WHEN due THEN areas END AS areas, CASE WHEN due THEN counted END AS events FROM (
+  SELECT CAST(ts AS DATE) AS event_date, CAST(count(*) AS BIGINT) AS counted, count(DISTINCT user_id) AS areas,
+    CAST(ts AS DATE) <= (SELECT CAST(max(ts) AS DATE) - {SOURCE_LAG_DAYS} FROM events) AS due FROM events GROUP BY 1)"""
+
+
 def _run_stream(spark, sf):
     """Two deliveries as separate micro-batches; the second corrects the even ids."""
     inbox, silver = scratch_path(spark, "inbox"), scratch_path(spark, "stream-silver")
@@ -128,6 +155,7 @@ FROM ({_MOVED}) CROSS JOIN (VALUES ('fact'), ('area'), ('edge')) p(part) GROUP B
 QUERIES = {
     "stream_moved_day": (stream_moved_day, STREAM_MOVED_DAY),
     "stream_follow_ups": (stream_follow_ups, STREAM_FOLLOW_UPS),
+    "stream_due": (stream_due, STREAM_DUE),
     "stream_daily": (stream_daily, STREAM_DAILY),
     "stream_silver": (stream_silver, STREAM_SILVER),
     "stream_features": (stream_features, STREAM_FEATURES),

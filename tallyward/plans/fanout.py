@@ -63,7 +63,7 @@ class MemberCounts:
                 delta = delta.unionByName(before.select(*self.members, (-F.col("n")).alias("n")))
             delta = delta.groupBy(*self.members).agg(F.sum("n").alias("n")).filter("n <> 0")
             self.log.append(self.keyed(delta), batch_id)
-        self.log.compact(lambda rows: rows.groupBy(*[c for c in rows.columns if c != "n"]).agg(F.sum("n").alias("n"))
+        self.log.compact(lambda rows: rows.groupBy(*[c for c in rows.columns if c not in ("n", "batch")]).agg(F.sum("n").alias("n"))
                          .filter("n <> 0"), before=batch_id)
         replace_slices(after, days_path, ["process_date"])
         clear_slices(self.spark, days_path, "process_date", emptied)

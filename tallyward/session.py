@@ -39,10 +39,14 @@ def build_session(app_name: str = "tallyward", master: str | None = None, **conf
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for intermediate tables, under the folder every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset, the warehouse folder is used, which
-    all executors share as well; a machine-local temporary folder never is.
+    The cluster names that folder in ``spark.checkpoint.dir`` and has to: its warehouse may be a folder of the driver's machine.
+    Only a session in one process (``local``) falls back to the warehouse folder; a temporary folder is never used.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    base = spark.conf.get(CHECKPOINT_CONF, None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} has to name a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -76,18 +76,18 @@ class BucketLog:
                 .parquet(*[f"{self.path}/{name}" for name in names]))
         if buckets is not None:
             rows = rows.filter(F.col("bucket").isin(list(buckets)))
-        return rows.withColumn("batch", F.regexp_extract("part", r"^(-?\d+)-", 1).cast("long")).drop("part")
+        return _with_batch(rows)
 
     def compact(self, merge: Callable[[DataFrame], DataFrame], before: int, parts: int = 64) -> bool:
-        """Fold all parts before a batch into a base once there are more than ``parts`` of them. ``merge`` gets their rows and gives
-        the rows that say the same, in the columns of the schema."""
+        """Fold all parts before a batch into a base once there are more than ``parts`` of them. ``merge`` gets their rows with their
+        ``batch`` and gives the rows that say the same, in the columns of the schema."""
         old = [(number, name) for number, name in self.parts() if number < before]
         if len(old) <= parts:
             return False
         rows = (self.spark.read.schema(f"{self.schema}, part string, bucket int").option("basePath", self.path)
-                .parquet(*[f"{self.path}/{name}" for _, name in old]).drop("part", "bucket"))
+                .parquet(*[f"{self.path}/{name}" for _, name in old]).drop("bucket"))
         base = f"part={old[-1][0]}-b"
-        self._write(merge(rows), base)
+        self._write(merge(_with_batch(rows)).drop("batch"), base)
         for _, name in old:
             if name != base:
                 self._remove(name)
@@ -96,3 +96,7 @@ class BucketLog:
     def _remove(self, name: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _with_batch(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("batch", F.regexp_extract("part", r"^(-?\d+)-", 1).cast("long")).drop("part")

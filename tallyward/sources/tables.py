@@ -103,7 +103,9 @@ def upsert_slices(spark: SparkSession, path: str, updates: DataFrame, keys: Sequ
     Only the touched partitions are read and rewritten. The merged rows are first written to the
     shared scratch folder, because a path cannot be overwritten while it is being read.
     """
-    touched = F.broadcast(updates.select(F.col(partition_col).alias("_slice")).distinct())  # one row per batch slice
+    slices = scratch_path(spark, "slices")
+    updates.select(F.col(partition_col).alias("_slice")).distinct().write.parquet(slices)
+    touched = spark.read.parquet(slices)  # stored, so that its size is known when the join is planned
     stored = evolve(spark.read.parquet(path), updates.schema)
     current = stored.join(touched, stored[partition_col] == F.col("_slice"), "left_semi")
     staged = scratch_path(spark, "upsert")

@@ -68,7 +68,7 @@ def merge_latest_silver(spark: SparkSession, path: str, batch: DataFrame, batch_
         stored = spark.read.schema(_stored_schema()).parquet(path)
         if not known:
             index.append(stored.select("id", "process_date").filter("id is not null").distinct(), -1)
-        index.compact(lambda rows: rows.distinct(), before=batch_id)
+        index.compact(lambda rows: rows.drop("batch").distinct(), before=batch_id)
         ids = batch.select("id").filter("id is not null").distinct()
         homes = index.read(index.touched(ids)).join(ids, "id", "left_semi")
         days = stage(days.union(homes.select("process_date")).distinct(), "touched-days")

@@ -11,7 +11,7 @@ from tallyward.operators.features import area_features
 from tallyward.plans import fanout
 from tallyward.sources.bucket_log import BucketLog
 from tallyward.streaming.arrivals import due_days, id_index, landing_stream, merge_latest_silver, run_arrivals
-from tallyward.streaming.daily_counts import read_counts, windowed_counts, write_updates
+from tallyward.streaming.daily_counts import close_days, counts_log, read_counts, released, windowed_counts, write_updates
 
 
 def rec(i, day, updated, kind="THEFT", area="8"):
@@ -193,6 +193,27 @@ def test_day_counts_over_several_batches(spark, tmp_path):
     assert {(r["area_id"], r["event_date"]): r["n"] for r in dicts(read_counts(spark, out))} == want
 
 
+def test_closed_days_keep_their_counts(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    ddl = "area_id bigint, event_date date, n bigint"
+    log = counts_log(spark, path, ddl, 4)
+    day = lambda k: date(2026, 1, k)
+    log.append(spark.createDataFrame([(1, day(1), 5), (1, day(2), 1), (2, day(1), 7)], ddl), 0)
+    log.append(spark.createDataFrame([(1, day(2), 4), (1, day(3), 2)], ddl), 1)
+    want = {(1, day(1), 5), (2, day(1), 7), (1, day(2), 4), (1, day(3), 2)}
+    got = lambda: {tuple(r) for r in read_counts(spark, path, ddl, 4).select("area_id", "event_date", "n").collect()}
+    assert got() == want
+    for _ in range(2):
+        close_days(spark, path, ddl, day(3), 4)
+        assert got() == want
+    assert {r["event_date"] for r in log.read().collect()} == {day(3)}
+    log.append(spark.createDataFrame([(1, day(3), 9)], ddl), 2)
+    assert got() == want - {(1, day(3), 2)} | {(1, day(3), 9)}
+    assert {r["event_date"] for r in released(spark, path, ddl, day(12)).collect()} == {day(1), day(2)}
+    assert {r["event_date"] for r in released(spark, path, ddl, day(11)).collect()} == {day(1)}
+    assert released(spark, path, ddl, day(5)).count() == 0
+
+
 def test_due_days():
     assert due_days(date(2026, 1, 1), date(2026, 1, 13)) == [date(2026, 1, 1), date(2026, 1, 2), date(2026, 1, 3)]
     assert due_days(date(2026, 1, 10), date(2026, 1, 13)) == []
