@@ -38,6 +38,17 @@ def crime_nodes(spark, sf):
     return build(spark, sf)["Crime"]
 
 
+def case_nodes(spark, sf):
+    """F6 on repeated case numbers: the lines of an order share one, the newest incident makes the node."""
+    silver = inputs.silver(spark, sf).withColumn("case_number", F.concat(F.lit("CASE"), (F.col("id") / 8).cast("bigint").cast("string")))
+    return g.build_graph(silver, "md5")["Crime"].select("case_number", "primary_type", "beat_id", "ward_id", "arrest")
+
+
+CASE_NODES = with_silver("""SELECT case_number, primary_type, beat AS beat_id, ward AS ward_id, arrest FROM (
+  SELECT *, row_number() OVER (PARTITION BY case_number ORDER BY "date" DESC NULLS LAST, id DESC) AS rn FROM (
+    SELECT * REPLACE ('CASE' || (id // 8) AS case_number) FROM silver)) WHERE rn = 1""")
+
+
 def date_nodes(spark, sf):
     return build(spark, sf)["Date"]
 
@@ -182,6 +193,7 @@ def edge_upsert(spark, sf):
 
 QUERIES = {
     "graph_crime_nodes": (crime_nodes, with_graph("SELECT * FROM crime")),
+    "graph_case_nodes": (case_nodes, CASE_NODES),
     "graph_date_nodes": (date_nodes, with_graph("SELECT * FROM dates")),
     "graph_location_nodes": (location_nodes, with_graph("SELECT * FROM places")),
     "graph_type_nodes": (crime_type_nodes, with_graph("SELECT * FROM types")),

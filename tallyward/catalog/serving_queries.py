@@ -87,6 +87,24 @@ SNAPSHOT = with_snapshot("""SELECT process_date, area_type, area_id, area_name,
   round(sum(safety_score), 3) AS safety_score FROM snapshot GROUP BY ALL""")
 
 
+def snapshot_defaults(spark, sf):
+    """The batch of the run date with predictions that lack bounds and scores for some areas."""
+    run = run_date(spark, sf)
+    features = stage(area_features(inputs.silver(spark, sf), run), "features")
+    lacks = lambda k, c: F.when(F.col("area_id") % 3 != k, F.col(c)).alias(c)
+    odd = {"predicted_count_low": 0, "predicted_count_high": 1, "safety_score": 2}
+    predictions = stand_in_predictions(features)
+    predictions = predictions.select(*[lacks(odd[c], c) if c in odd else F.col(c) for c in predictions.columns])
+    return serving.build_snapshot(predictions, ml_features(inputs.silver(spark, sf)), features, run, names(spark, sf)).drop(
+        "source_prediction_ts")
+
+
+SNAPSHOT_DEFAULTS = with_snapshot(f"""SELECT * REPLACE (
+  CASE WHEN area_id % 3 <> 0 THEN predicted_count_low ELSE 0 END AS predicted_count_low,
+  CASE WHEN area_id % 3 <> 1 THEN predicted_count_high ELSE predicted_count END AS predicted_count_high,
+  CASE WHEN area_id % 3 <> 2 THEN safety_score ELSE 0 END AS safety_score) FROM snapshot WHERE process_date = {RUN}""")
+
+
 def top3_categories(spark, sf):
     """D6, D7, E7 over the whole history."""
     first, last = inputs.first_last_day(spark, sf)
@@ -178,6 +196,7 @@ GROUP BY 1 ORDER BY 1 DESC LIMIT 2""")
 QUERIES = {
     "top3_categories": (top3_categories, TOP3),
     "snapshot": (snapshot, SNAPSHOT),
+    "snapshot_defaults": (snapshot_defaults, SNAPSHOT_DEFAULTS),
     "areas_latest": (areas_latest, AREAS_LATEST),
     "areas_on_date": (areas_on_date, AREAS_ON_DATE),
     "city_summary": (city_summary, CITY_SUMMARY),

@@ -12,6 +12,7 @@ from tallyward.catalog.oracle_blocks import (
 from tallyward.functions import location as loc
 from tallyward.operators import dimensions as dim
 from tallyward.operators import facts
+from tallyward.operators.dedupe import dedupe_fact
 from tallyward.operators.joins import missing_keys, small_side
 from tallyward.operators.layout import stage
 
@@ -147,6 +148,32 @@ FACT_ROWS = f"""SELECT CAST(id AS VARCHAR) AS incident_id, case_number, {DATE_KE
 FACT_INCIDENTS = with_silver(FACT_ROWS)
 
 
+def fact_dedupe(spark, sf):
+    """E3 on repeated incidents: each fact row comes with an older version of itself that says otherwise."""
+    fact = facts.incident_fact(_stored(spark, sf), F.col("process_date"), "md5")
+    older = fact.withColumns({"incident_datetime": F.col("incident_datetime") - F.expr("interval 1 day"),
+                              "crime_type": F.lit("OLD"), "arrest_flag": 1 - F.col("arrest_flag")})
+    return inputs.naive_times(dedupe_fact(older.unionByName(fact)))
+
+
+def _dense(silver):
+    """Incidents moved to few days, places and types, so that summaries have many of them per group."""
+    none = F.lit(None).cast("string")
+    return silver.withColumns({
+        "date": F.date_trunc("quarter", "date") + F.make_dt_interval(hours=F.hour("date")), "beat": none, "ward": none,
+        "community_area": none, "block": none, "location_description": none, "crime_type_key": F.col("violent_crime_flag")})
+
+
+def daily_summary_dense(spark, sf):
+    """D2, B31 with groups of many incidents: rates between 0 and 100."""
+    return facts.daily_summary(facts.summary_input(_dense(_silver(spark, sf)), "md5"))
+
+
+def hourly_summary_dense(spark, sf):
+    """D3 with groups of many incidents."""
+    return facts.hourly_summary(facts.summary_input(_dense(_silver(spark, sf)), "md5"))
+
+
 def daily_summary(spark, sf):
     return facts.daily_summary(facts.summary_input(_silver(spark, sf), "md5"))
 
@@ -154,23 +181,28 @@ def daily_summary(spark, sf):
 _PREPARED = f"""prepared AS (SELECT {DATE_KEY} AS date_key, {LOCATION_KEY} AS location_key, crime_type_key,
   TRY_CAST(district AS INTEGER) AS district, CAST("date" AS DATE) AS process_date, hour("date") AS h,
   CASE WHEN arrest THEN 1 ELSE 0 END AS a, CASE WHEN domestic THEN 1 ELSE 0 END AS m, violent_crime_flag AS v FROM silver)"""
-DAILY_SUMMARY = with_silver("""SELECT date_key, location_key, crime_type_key, district, process_date,
+_DENSE = """dense AS (SELECT * REPLACE (date_trunc('quarter', "date") + to_hours(hour("date")) AS "date", CAST(NULL AS VARCHAR) AS beat,
+  CAST(NULL AS VARCHAR) AS ward, CAST(NULL AS VARCHAR) AS community_area, CAST(NULL AS VARCHAR) AS block,
+  CAST(NULL AS VARCHAR) AS location_description, violent_crime_flag AS crime_type_key) FROM silver)"""
+_DENSELY = [_DENSE, _PREPARED.replace("FROM silver)", "FROM dense)")]
+_DAILY = """SELECT date_key, location_key, crime_type_key, district, process_date,
   count(*) AS total_incidents, CAST(sum(a) AS BIGINT) AS total_arrests, CAST(sum(m) AS BIGINT) AS total_domestic,
   CAST(sum(v) AS BIGINT) AS total_violent_crimes, count(*) AS incident_count_check,
   CAST(sum(a) AS DOUBLE) / count(*) * 100.0::DOUBLE AS arrest_rate,
   CAST(sum(m) AS DOUBLE) / count(*) * 100.0::DOUBLE AS domestic_rate,
   CAST(sum(v) AS DOUBLE) / count(*) * 100.0::DOUBLE AS violent_crime_rate, 'daily' AS summary_type
-FROM prepared GROUP BY 1, 2, 3, 4, 5""", extra=[_PREPARED])
+FROM prepared GROUP BY 1, 2, 3, 4, 5"""
+DAILY_SUMMARY = with_silver(_DAILY, extra=[_PREPARED])
 
 
 def hourly_summary(spark, sf):
     return facts.hourly_summary(facts.summary_input(_silver(spark, sf), "md5"))
 
 
-HOURLY_SUMMARY = with_silver(f"""SELECT date_key, CAST(h AS INTEGER) AS time_of_day_key, district, process_date,
+_HOURLY = f"""SELECT date_key, CAST(h AS INTEGER) AS time_of_day_key, district, process_date,
   count(*) AS hourly_incidents, CAST(sum(a) AS BIGINT) AS hourly_arrests, CAST(sum(v) AS BIGINT) AS hourly_violent_crimes,
-  {TIME_PERIOD.format(h='h')} AS time_period, 'hourly' AS summary_type FROM prepared GROUP BY date_key, h, district, process_date""",
-                             extra=[_PREPARED])
+  {TIME_PERIOD.format(h='h')} AS time_period, 'hourly' AS summary_type FROM prepared GROUP BY date_key, h, district, process_date"""
+HOURLY_SUMMARY = with_silver(_HOURLY, extra=[_PREPARED])
 
 
 def summary_reconciled(spark, sf):
@@ -260,6 +292,9 @@ QUERIES = {
     "dim_crime_type": (dim_crime_type, DIM_CRIME_TYPE),
     "dim_location": (dim_location, DIM_LOCATION),
     "fact_incidents": (fact_incidents, FACT_INCIDENTS),
+    "fact_dedupe": (fact_dedupe, FACT_INCIDENTS),
+    "daily_summary_dense": (daily_summary_dense, with_silver(_DAILY, extra=_DENSELY)),
+    "hourly_summary_dense": (hourly_summary_dense, with_silver(_HOURLY, extra=_DENSELY)),
     "daily_summary": (daily_summary, DAILY_SUMMARY),
     "hourly_summary": (hourly_summary, HOURLY_SUMMARY),
     "summary_reconciled": (summary_reconciled, SUMMARY_RECONCILED),

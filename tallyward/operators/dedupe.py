@@ -55,11 +55,12 @@ def dedupe_silver(df: DataFrame) -> DataFrame:
     return keep_latest(df, ["id"], full_order(df, lead, skip=["id", "updated_on", "date", "case_number"]))
 
 
-def dedupe_fact(df: DataFrame) -> DataFrame:
-    """Latest per incident_id by time, date key and case number."""
+def dedupe_fact(df: DataFrame, key: str = "incident_id") -> DataFrame:
+    """Latest per incident by time, date key and case number. ``key`` may name the untouched source id: rows that are
+    already dealt by it are not shuffled again."""
     used = ["incident_datetime", "date_key", "case_number"]
     lead = [F.desc_nulls_last(c) for c in used]
-    return keep_latest(df, ["incident_id"], full_order(df, lead, skip=["incident_id", *used]))
+    return keep_latest(df, [key], full_order(df, lead, skip=["incident_id", key, *used]))
 
 
 def keep_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:

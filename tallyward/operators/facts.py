@@ -23,6 +23,7 @@ def incident_fact(silver: DataFrame, process_date: date | Column, key_method: st
     stamp = process_date if isinstance(process_date, Column) else F.lit(process_date)
     flags = ["violent_crime_flag", "property_crime_flag", "drug_crime_flag", "weapon_crime_flag"]
     fact = df.select(
+        F.col("id").alias("_source_id"),
         F.col("id").cast("string").alias("incident_id"),
         "case_number",
         date_key(ts).alias("date_key"),
@@ -54,7 +55,7 @@ def incident_fact(silver: DataFrame, process_date: date | Column, key_method: st
         incident_risk(F.col("location_description")).alias("location_risk_category"),
         stamp.cast("date").alias("process_date"),
     )
-    return dedupe_fact(fact)
+    return dedupe_fact(fact, "_source_id").drop("_source_id")
 
 
 def summary_input(silver: DataFrame, key_method: str = "xxhash64") -> DataFrame:
