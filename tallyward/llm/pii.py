@@ -9,7 +9,7 @@ mentions:
 where p(c | t) is the share of t's occurrences in the corpus that stand near c and p(c) the share of all words, both
 over every occurrence, copies included. Any word outside the protected entities may be a term, numbers and names with
 digits too. A term is taken when its disclosure reaches ``threshold`` and it stands near at least ``support`` different values of
-the kind (it is generalised), or near one value in at least ``support`` different surroundings (it is removed).
+the kind (it is generalised to that kind), or near one value in at least ``support`` different surroundings (it is removed).
 For that support equal surroundings count once, so copies of a document prove nothing.
 
 Three passes over the texts: surroundings of entities; counts of the words that occur in enough of them; spans.
@@ -167,7 +167,8 @@ def word_counts(source: DataFrame, bits: bytes) -> DataFrame:
 
 
 def revealing_terms(source: DataFrame, threshold: float, support: int, window: int) -> DataFrame:
-    """(term, action, disclosure): action ``generalise`` or ``remove``."""
+    """(term, action, disclosure): action ``remove``, or ``generalise_<kind>`` with the kind that the term reveals most (of equals
+    the first by name)."""
     spark = source.sparkSession
     contexts = staged(entity_contexts(source, window).groupBy("kind", "value", "context", "term").agg(
         F.sum("near").alias("near"), F.sum("near_kind").alias("near_kind")), "contexts")
@@ -198,8 +199,9 @@ def revealing_terms(source: DataFrame, threshold: float, support: int, window: i
     scored = sized.join(counts, "term").withColumn("disclosure", F.log(given / share) / -F.log(share)) \
         .filter(F.col("disclosure") >= threshold)
     return scored.groupBy("term").agg(
-        F.max("disclosure").alias("disclosure"), F.max(F.col("value").isNotNull()).alias("one")).select(
-        "term", F.when(F.col("one"), "remove").otherwise("generalise").alias("action"), "disclosure")
+        F.max("disclosure").alias("disclosure"), F.max(F.col("value").isNotNull()).alias("one"),
+        F.min(F.struct(-F.col("disclosure"), "kind")).alias("most")).select(
+        "term", F.when(F.col("one"), "remove").otherwise(F.concat(F.lit("generalise_"), "most.kind")).alias("action"), "disclosure")
 
 
 def term_spans(text: str, terms: dict[str, str]) -> list[tuple[str, int, int]]:
@@ -209,12 +211,12 @@ def term_spans(text: str, terms: dict[str, str]) -> list[tuple[str, int, int]]:
 
 
 def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """Text with spans replaced: base spans and generalised terms by their kind, removed terms by nothing. Of
+    """Text with spans replaced: base spans by their kind, generalised terms by the kind they reveal, removed terms by nothing. Of
     overlapping spans the one that starts first, then the longer one, is replaced."""
     out, at = [], 0
     for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
         if start >= at:
-            out += [text[at:start], "" if kind == "remove" else f"[{kind.upper()}]"]
+            out += [text[at:start], "" if kind == "remove" else f"[{kind.removeprefix('generalise_').upper()}]"]
             at = end
     return "".join(out) + text[at:]
 
@@ -222,7 +224,7 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75,
                        support: int = 4, window: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, text, spans (array of kind, start, end; base kinds in the order of ``KINDS``, then
-    ``generalise`` and ``remove``, each by start), clean_text, and the columns named in ``keep``.
+    ``generalise_<kind>`` and ``remove``, each by start), clean_text, and the columns named in ``keep``.
 
     Positions are code points, end exclusive. A null text counts as empty and a null id stays null; repeated rows
     get a row each; other columns are ignored unless kept (a kept column must not have one of the names above);
