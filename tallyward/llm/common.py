@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyward.session import scratch_path
 
+#: Rows of an Arrow batch at most: batches lie in memory on both sides, whole.
+BATCH_ROWS = 1_000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Texts are handed to a Python function in blocks of about this many characters, so that its
 #: working set does not depend on the number of rows in an Arrow batch.
 BLOCK_CHARS = 2_000_000
@@ -41,10 +44,18 @@ def blocks(batches: Iterable[pa.RecordBatch], text_at: int, chars: int = BLOCK_C
             yield [c.to_pylist() for c in batch.slice(start).columns]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``: the default of 10,000 rows of long texts takes hundreds of MB in
+    an executor and its workers."""
+    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def map_texts(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[dict]], schema: str,
               text_at: int = 1) -> DataFrame:
     """``mapInArrow`` over blocks: ``fn`` gets lists of columns and yields dicts of columns."""
     spark = df.sparkSession
+    small_batches(spark)
     fields = spark.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import map_texts, texts
+from tallyward.llm.common import map_texts, small_batches, texts
 
 #: Labelled rows used at most: toxic and other ones.
 TRAIN = (4000, 8000)
@@ -287,6 +287,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score stays under ``threshold``; see ``score_toxicity``."""
     arcs, weights = learn(texts(docs, id_col, text_col), labels)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((arcs, np.array(weights)))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

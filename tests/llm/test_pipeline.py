@@ -80,3 +80,23 @@ def test_stages_of_an_empty_table(spark, folder):
     for _, stage in cp.STAGES:
         docs = cp.staged(stage(spark, docs, path), "empty")
         assert docs.count() == 0
+
+
+def test_rows_without_id_and_texts_that_share_one(spark, folder):
+    """Stages judge rows: two texts under one id, copies and leaks without an id."""
+    path = folder[0]
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choices("bcdfgklmnprstaeiou", k=6)) for _ in range(n))
+    first, second, loose = prose(60), prose(60), prose(60)
+    leak = spark.read.parquet(f"{path}/benchmark.parquet").first()["text"]
+    rows = [(7, first), (7, second), (9, second.upper()), (8, first), (None, loose), (None, loose), (None, f"{prose(30)} {leak}"),
+            (7, f"{prose(30)} {leak}"), (3, loose), (None, None), (None, None)]
+    docs = cp.staged(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row_key string"), "shared")
+    kept = cp.staged(cp.near_duplicate_groups(spark, docs, path), "kept")
+    assert kept.columns == docs.columns
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect())
+    want = [(7, first), (7, second), (3, loose), rows[6], rows[7], (None, ""), (None, "")]
+    assert got == sorted((str(i), t or "") for i, t in want)
+    clean = cp.decontamination(spark, kept, path)
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in clean.collect()) == sorted(
+        (str(i), t or "") for i, t in want if leak not in (t or ""))
