@@ -1,8 +1,8 @@
 """From raw documents to packed sequences: five stages, each on all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns a frame; ``run`` writes each result to the shared folder as Parquet and
-reads it back. All stages but the last return the columns of ``docs``. Null texts count as empty throughout; rows with
-a null id pass the stages that decide by id.
+reads it back. All stages but the last return the columns of ``docs``. Null texts count as empty throughout; every row is judged
+by its own text, whatever its id.
 """
 
 from __future__ import annotations
@@ -27,19 +27,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_clean(docs, read(spark, sf_dir, "labels"))
 
 
+def keyed(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own per row, stored so that it stays the same, and the number's column."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    return staged(docs.withColumn(key, F.monotonically_increasing_id()), label), key
+
+
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; of rows that share an id, one stays."""
-    gone = staged(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    named = docs.filter("doc_id is not null")
-    kept = named.join(gone, named["doc_id"] == gone["gone_id"], "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near-duplicate rows stays: that of the smallest id, null last, and of rows that tie on the id the
+    first as read. Rows are compared by their texts alone, so different texts under one id are judged apart, and
+    rows without an id like any others."""
+    rows, key = keyed(docs, "rows")
+    groups = near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("k"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(key).alias("k"))
+    first = rows.select(key, order.alias("o")).join(groups, F.col(key) == F.col("k")).groupBy("class_id").agg(F.min("o").alias("o"))
+    kept = staged(first.select(F.col("o.k").alias("kept_key")), "kept")
+    return rows.join(kept, rows[key] == kept["kept_key"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = staged(find_leaks(docs, read(spark, sf_dir, "benchmark")), "leaks")
-    gone = leaks.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Rows that hold a benchmark item go, each judged by its own text, with or without an id."""
+    rows, key = keyed(docs, "rows")
+    leaks = staged(find_leaks(rows, read(spark, sf_dir, "benchmark"), id_col=key), "leaks")
+    gone = leaks.select(F.col("doc_id").alias("gone_key")).distinct()
+    return rows.join(gone, rows[key] == gone["gone_key"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
