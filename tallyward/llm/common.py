@@ -66,6 +66,8 @@ def map_texts(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[dict]
             if len(next(iter(out.values()))):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        # workers live on between tasks and stages: what a task freed goes back
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
