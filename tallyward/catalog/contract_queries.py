@@ -60,7 +60,8 @@ def table_columns(spark, sf):
     return out
 
 
-_KINDS = ", ".join(f"('{kind}', {len(struct_of(columns).fields)})" for kind, columns in OPTIONAL_COLUMNS.items())
+# simple types only, so that commas part the columns (no session is needed to import this module)
+_KINDS = ", ".join(f"('{kind}', {len(columns.split(','))})" for kind, columns in OPTIONAL_COLUMNS.items())
 TABLE_COLUMNS = f"""SELECT kind, d AS process_date, e AS events, CASE WHEN d >= DATE '{CHANGE_DAY}' THEN v * n ELSE 0 END AS filled,
   n AS added, 0 AS added_again, true AS tolerates_absence
 FROM (VALUES {_KINDS}) k(kind, n), (SELECT CAST(ts AS DATE) AS d, count(*) AS e, count(value) AS v FROM events GROUP BY 1)"""
