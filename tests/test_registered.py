@@ -2,6 +2,8 @@
 
 import importlib
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -35,3 +37,9 @@ def test_driver_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     core = {name for name in entry.queries() if name in registered()}
     assert core - set(entry.oracle_sql()) == {"train_score"}
+
+
+def test_catalog_needs_no_session():
+    """The driver reads the registered names before it makes a session."""
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= 90 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
