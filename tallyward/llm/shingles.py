@@ -42,7 +42,12 @@ class WordWeights:
         return min(int(self.counts[h & self.mask]), int(self.counts[(h >> 32) & self.mask]))
 
     def get(self, word: str, rest: float | None = None) -> float:
-        return 1 + math.log((1 + self.total) / (1 + max(self.frequency(word), 1)))
+        return float(self.of_hashes(np.array([word_hash(word)], np.uint64))[0])
+
+    def of_hashes(self, hashes: np.ndarray) -> np.ndarray:
+        mask = np.uint64(self.mask)
+        n = np.minimum(self.counts[hashes & mask], self.counts[(hashes >> np.uint64(32)) & mask])
+        return 1 + np.log((1 + self.total) / (1 + np.maximum(n, 1).astype(float)))
 
 
 def slot_counts(seen: dict[str, int], slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +97,7 @@ class ShingleEncoder:
     """Turns texts into sorted shingle hashes and weights (count times the mean inverse document frequency of the
     shingle's words). A text of fewer words than a shingle is one shingle; a text without words has none."""
 
-    def __init__(self, idf: WordWeights | dict[str, float], rest: float = 1.0, size: int = 5, limit: int = 200_000):
+    def __init__(self, idf: WordWeights | dict[str, float], rest: float = 1.0, size: int = 5, limit: int = 400_000):
         self.idf, self.rest, self.size, self.limit = idf, rest, size, limit
         self.clear()
 
@@ -101,14 +106,16 @@ class ShingleEncoder:
         self.hashes = np.zeros(1024, np.uint64)
         self.weights = np.zeros(1024)
 
-    def add(self, word: str) -> int:
-        at = self.index[word] = len(self.index)
-        if at == len(self.hashes):
+    def add(self, new: list[str]) -> None:
+        start, end = len(self.index), len(self.index) + len(new)
+        while end > len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
             self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
-        self.hashes[at] = word_hash(word)
-        self.weights[at] = self.idf.get(word, self.rest)
-        return at
+        h = np.fromiter(map(word_hash, new), np.uint64, len(new))
+        self.hashes[start:end] = h
+        self.weights[start:end] = self.idf.of_hashes(h) if isinstance(self.idf, WordWeights) else \
+            [self.idf.get(w, self.rest) for w in new]
+        self.index.update(zip(new, range(start, end)))
 
     def features(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.limit:
@@ -117,8 +124,7 @@ class ShingleEncoder:
         try:
             ids = list(map(index.__getitem__, tokens))
         except KeyError:
-            for w in set(tokens).difference(index):
-                self.add(w)
+            self.add(list(set(tokens).difference(index)))
             ids = list(map(index.__getitem__, tokens))
         h, w = self.hashes[ids], self.weights[ids]
         size = min(self.size, len(ids))
