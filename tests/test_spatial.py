@@ -8,7 +8,7 @@ import pytest
 from helpers import by, dicts
 from pyspark.sql import functions as F
 
-from tallyward.operators.spatial import fill_from_layer, locate, locate_layers, polygon_cells
+from tallyward.operators.spatial import CROWD, fill_from_layer, first_cells, locate, locate_layers, polygon_cells, polygon_pieces
 from tallyward.schema import pick_col, pick_label_col
 from tallyward.sources.boundaries import area_names, boundary_layer, geojson_layer, read_geojson
 
@@ -132,6 +132,29 @@ def test_extents_far_apart_and_several_layers(spark, large):
     assert cells.select("level").distinct().count() >= 11
 
 
+def diamond(x, y, r):
+    return [(x + r, y), (x, y + r), (x - r, y), (x, y - r), (x + r, y)]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_candidates_do_not_grow_with_shapes_on_top_of_each_other(spark, large):
+    """Slanted shapes of several sizes, copies among them: a cell holds few candidates however many shapes cover it."""
+    rng = random.Random(11)
+    shapes = {f"{i:04d}": (rng.uniform(0, 10), rng.uniform(0, 10), 0.5 * 2 ** (i % 5)) for i in range(600)}
+    shapes |= {f"copy{i}": (5.03, 5.07, 0.7) for i in range(100)}
+    raw = [(k, f"POLYGON ({ring_text(diamond(*v))})") for k, v in shapes.items()] + [(None, f"POLYGON ({ring_text(diamond(1, 1, 1.3))})")]
+    layer = boundary_layer(spark.createDataFrame(raw, "ward string, geometry string"), "ward")
+    pieces = polygon_pieces(layer, 4).withColumn("layer", F.lit("a"))
+    crowd = first_cells(pieces, len(raw)).groupBy("layer", "level", "cell_x", "cell_y").count().agg(F.max("count")).first()[0]
+    assert crowd <= CROWD + 1 < pieces.groupBy("level", "cell_x", "cell_y").count().agg(F.max("count")).first()[0] / 4
+    pts = [(f"i{i}", rng.uniform(-3, 13), rng.uniform(-3, 13)) for i in range(1500)] + [("i0", 5.03, 5.07), (None, 5.5, 5.2)]
+    got = sorted(((r["id"] or "", r["longitude"], r["poly_id"] or "") for r in locate(
+        spark.createDataFrame(pts, "id string, longitude double, latitude double"), layer,
+        **({"max_broadcast_cells": 0} if large else {})).collect()))
+    held = lambda x, y: [k or "" for k, v in [*shapes.items(), (None, (1, 1, 1.3))] if inside([diamond(*v)], x, y)]
+    assert got == sorted((i or "", x, min(held(x, y), default="")) for i, x, y in pts)
+
+
 def test_no_nested_loop_join(areas, points):
     for limits in ({}, {"max_broadcast_cells": 0}):
         plan = locate(points, areas, **limits)._jdf.queryExecution().executedPlan().toString()
