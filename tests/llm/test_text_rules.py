@@ -221,6 +221,28 @@ def test_chat_round_trip(spark):
     assert digests(chat_examples(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("limit", [8_192, 300, 0])
+def test_every_example_is_written_with_its_context(spark, monkeypatch, limit):
+    """By definition: the formatted turns before the example's own; long ones from a row on, with the example before it in front."""
+    monkeypatch.setattr("tallyward.llm.chat.CONTEXT_CHARS", limit)
+    rows = [(c, k, "assistant" if k % 2 else "user", f"<|im_end|> {c} {k} " * (k % 4)) for c in (1, 2, None) for k in range(12)]
+    examples = chat_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    at = {(r["conv_id"], r["example"]): r for r in examples.collect()}
+    contexts = {}
+    for (conv, k), r in sorted(at.items(), key=lambda x: (x[0][0] or 0, x[0][1])):
+        head = contexts[conv, r["context_from"] - 1] + at[conv, r["context_from"] - 1]["text"] if r["context_from"] else ""
+        contexts[conv, k] = head + r["context"]
+        own = [x for x in rows if x[0] == conv]
+        assert parse_turns(contexts[conv, k]) == [(x[2], x[3]) for x in own[:2 * k]] and len(contexts[conv, k]) == r["context_chars"]
+        assert len(r["context"]) <= limit and (limit < 8_192 or not r["context_from"])
+    for r in digests(examples).collect():
+        conv = r["conv_id"]
+        whole = b"".join(hashlib.sha256(contexts[conv, k].encode()).digest() for k in range(6))
+        assert r["contexts_sha256"] == hashlib.sha256(whole).hexdigest() and r["n_examples"] == 6
+        assert tuple(r[k] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == chat_by_definition(
+            [x for x in rows if x[0] == conv])
+
+
 def test_turns_without_a_reply_are_written_in_parts(spark, monkeypatch):
     monkeypatch.setattr("tallyward.llm.chat.PART_CHARS", 50)
     rows = [(1, k, "assistant" if k in (3, 11) else "user", f"text {k}") for k in range(14)]
