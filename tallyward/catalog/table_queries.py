@@ -125,7 +125,8 @@ def quality_suites(spark, sf):
         "dim_location": dim.location_dimension(silver, last, "md5"),
         "dim_crime_type": dim.crime_type_dimension(silver, last, "md5"),
     }
-    fact = facts.incident_fact(silver, F.col("process_date"), "md5")
+    # every check of a suite reads its table
+    fact = stage(facts.incident_fact(silver, F.col("process_date"), "md5"), "fact")
     return (quality.run_suite("bronze_parquet", last, inputs.landing(spark, sf))
             .unionByName(quality.run_suite("silver_iceberg", first, silver))
             .unionByName(quality.run_suite("gold_bi", last, fact, dims))
