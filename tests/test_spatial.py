@@ -155,6 +155,20 @@ def test_candidates_do_not_grow_with_shapes_on_top_of_each_other(spark, large):
     assert got == sorted((i or "", x, min(held(x, y), default="")) for i, x, y in pts)
 
 
+@pytest.mark.parametrize("point_id", ["id", None])
+def test_points_that_share_an_id_or_a_busy_place_keep_their_own_matches(spark, areas, monkeypatch, point_id):
+    """Every row counts once per polygon that holds it, also where ids repeat or lack and a place has more points than a salt takes."""
+    monkeypatch.setattr("tallyward.operators.spatial.POINTS_PER_SALT", 5)
+    rows = [("x", -87.68, 42.0)] * 40 + [("x", -87.655, 42.0), (None, -87.70, 42.0), (None, None, 42.0), ("x", None, None), ("y", 0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "id string, longitude double, latitude double")
+    held = lambda x, y: sorted(k for k, r in BOXES.items() if x is not None and inside([r], x, y))
+    for overlap in ("all", "first"):
+        got = locate(frame, areas, on_overlap=overlap, point_id=point_id, max_broadcast_cells=0)
+        want = [(i or "", x or 0, k or "") for i, x, y in rows for k in (held(x, y) or [None])[:None if overlap == "all" else 1]]
+        assert got.columns == ["id", "longitude", "latitude", "poly_id", "poly_name"]
+        assert sorted((r["id"] or "", r["longitude"] or 0, r["poly_id"] or "") for r in got.collect()) == sorted(want)
+
+
 def test_no_nested_loop_join(areas, points):
     for limits in ({}, {"max_broadcast_cells": 0}):
         plan = locate(points, areas, **limits)._jdf.queryExecution().executedPlan().toString()
