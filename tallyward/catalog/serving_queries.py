@@ -29,12 +29,17 @@ def names(spark, sf):
         (F.col("n_nationkey") + 1).cast("string").alias("area_numbe"), F.col("n_name").alias("community"))
 
 
+def _stored(spark, sf):
+    """What features and snapshots read of silver, as a stored table."""
+    return stage(inputs.silver(spark, sf).select(
+        "date", "process_date", "community_area", "crime_category", "arrest", "domestic", "violent_crime_flag",
+        "property_crime_flag", "drug_crime_flag", "weapon_crime_flag"), "silver")
+
+
 def snapshot_rows(spark, sf):
     """The snapshot of every batch of the whole history."""
     first, last = inputs.first_last_day(spark, sf)
-    silver = stage(inputs.silver(spark, sf).select(
-        "date", "process_date", "community_area", "crime_category", "arrest", "domestic", "violent_crime_flag",
-        "property_crime_flag", "drug_crime_flag", "weapon_crime_flag"), "silver")
+    silver = _stored(spark, sf)
     features = stage(area_features(silver, first, last), "features")
     return serving.build_snapshots(stand_in_predictions(features), ml_features(silver), features, names(spark, sf))
 
@@ -90,12 +95,13 @@ SNAPSHOT = with_snapshot("""SELECT process_date, area_type, area_id, area_name,
 def snapshot_defaults(spark, sf):
     """The batch of the run date with predictions that lack bounds and scores for some areas."""
     run = run_date(spark, sf)
-    features = stage(area_features(inputs.silver(spark, sf), run), "features")
+    silver = _stored(spark, sf)
+    features = stage(area_features(silver, run), "features")
     lacks = lambda k, c: F.when(F.col("area_id") % 3 != k, F.col(c)).alias(c)
     odd = {"predicted_count_low": 0, "predicted_count_high": 1, "safety_score": 2}
     predictions = stand_in_predictions(features)
     predictions = predictions.select(*[lacks(odd[c], c) if c in odd else F.col(c) for c in predictions.columns])
-    return serving.build_snapshot(predictions, ml_features(inputs.silver(spark, sf)), features, run, names(spark, sf)).drop(
+    return serving.build_snapshot(predictions, ml_features(silver), features, run, names(spark, sf)).drop(
         "source_prediction_ts")
 
 
