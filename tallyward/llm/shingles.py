@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from tallyward.llm.common import map_texts
 
 WORD = re.compile(r"\w+")
+#: ASCII characters that are no word characters become spaces.
+WORD_CHARS = "".join(chr(c) if WORD.match(chr(c)) else " " for c in range(128))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Slots of the table of document frequencies that every task gets (4 bytes each). A word counts in two of them and its frequency
@@ -24,7 +28,8 @@ FLUSH_WORDS = 300_000
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    text = text.lower()
+    return text.translate(WORD_CHARS).split() if text.isascii() else WORD.findall(text)
 
 
 def word_hash(word: str) -> int:
@@ -67,7 +72,7 @@ def document_frequencies(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(slot, n): in how many rows of (doc_id, text) the words of a slot occur; partial counts are made map-side."""
 
     def count(blocks) -> Iterator[dict]:
-        seen: dict[str, int] = {}
+        seen: Counter[str] = Counter()
 
         def handed():
             at, n = slot_counts(seen, slots)
@@ -75,8 +80,7 @@ def document_frequencies(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
         for _, block in blocks:
             for t in block:
-                for w in set(words(t)):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(set(words(t)))
             if len(seen) > FLUSH_WORDS:
                 yield handed()
                 seen.clear()
@@ -121,12 +125,13 @@ class ShingleEncoder:
         if len(self.index) > self.limit:
             self.clear()
         index = self.index
-        try:
-            ids = list(map(index.__getitem__, tokens))
-        except KeyError:
-            self.add(list(set(tokens).difference(index)))
-            ids = list(map(index.__getitem__, tokens))
-        h, w = self.hashes[ids], self.weights[ids]
+        ids = np.fromiter(map(index.get, tokens, repeat(-1)), np.int64, len(tokens))
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            new = [tokens[k] for k in unknown.tolist()]
+            self.add(list(dict.fromkeys(new)))
+            ids[unknown] = [index[w] for w in new]
+        h, w = self.hashes.take(ids), self.weights.take(ids)
         size = min(self.size, len(ids))
         if not size:
             return np.zeros(0, np.uint64), np.zeros(0)
@@ -175,10 +180,15 @@ class ConsistentSampler:
         best = None
         for at in range(0, len(keys), part):
             k, log_w = keys[at:at + part], np.log(weights[at:at + part]).astype(np.float32)
-            draw = ((k * self.odd) >> self.shift).astype(np.int32)
-            r = self.r[draw]
-            t = np.floor(log_w / r + self.b[draw])
-            a = self.c[draw] - r * (t - self.b[draw] + 1)
+            draw = ((k * self.odd) >> self.shift).view(np.int64)
+            r, b, a = self.r.take(draw), self.b.take(draw), self.c.take(draw)
+            t = log_w / r
+            t += b
+            np.floor(t, out=t)
+            step = t - b
+            step += 1
+            step *= r
+            a -= step
             low = a.argmin(axis=1)
             rows = np.arange(len(low))
             found = a[rows, low], k[low], t[rows, low]

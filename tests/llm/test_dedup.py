@@ -8,7 +8,7 @@ import pytest
 from tallyward.llm.components import connected_components
 from tallyward.llm.embedding_dedup import near_duplicate_vectors
 from tallyward.llm.minhash_dedup import near_duplicates
-from tallyward.llm.shingles import ConsistentSampler, ShingleEncoder, weighted_jaccard, word_weights, words
+from tallyward.llm.shingles import WORD, ConsistentSampler, ShingleEncoder, weighted_jaccard, word_weights, words
 
 
 def components_of(nodes, links):
@@ -162,3 +162,16 @@ def test_samples_estimate_weighted_jaccard():
     share = (sampler.sample(keys[:300], a[:300]) == sampler.sample(keys[100:], b[100:])).mean()
     assert abs(share - weighted_jaccard((keys[:300], a[:300]), (keys[100:], b[100:]))) < 0.04
     assert (sampler.sample(keys, a) == sampler.sample(keys, a, part=37)).all()
+
+
+def test_words_and_features_of_texts_in_any_order():
+    """Words are runs of word characters, with and without other letters; new words meet known ones in the index."""
+    texts = ["A-b_c 9\t\x1cZ\x7f", "".join(map(chr, range(128))), "É-b ß", "", "a b a c a b", "q a q b q"]
+    for t in texts:
+        assert words(t) == WORD.findall(t.lower())
+    shared, weight = ShingleEncoder({"a": 2.0}, 3.0, size=2), {"a": 2.0}
+    for t in texts * 2:
+        apart = ShingleEncoder(weight, 3.0, size=2)
+        for x, y in zip(shared.features(words(t)), apart.features(words(t))):
+            assert (x == y).all()
+    assert sorted(shared.index) == sorted({w for t in texts for w in words(t)})
