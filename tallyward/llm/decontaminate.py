@@ -189,15 +189,22 @@ def latent_axes(encoded: DataFrame, weight: np.ndarray, queries: np.ndarray, tot
     return axes[:, :rank]
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, bit-parallel over ``a``."""
+def word_places(a: list[int]) -> dict[int, int]:
+    """Where each word stands in ``a``, as bits."""
     place: dict[int, int] = {}
     for i, x in enumerate(a):
         place[x] = place.get(x, 0) | 1 << i
+    return place
+
+
+def common_subsequence(a: list[int], b: list[int], place: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, bit-parallel over ``a``; ``place`` is ``word_places`` of ``a``, if at hand."""
+    place = word_places(a) if place is None else place
     full = row = (1 << len(a)) - 1
     for x in b:
-        u = row & place.get(x, 0)
-        row = (row + u | row - u) & full
+        if x in place:
+            u = row & place[x]
+            row = (row + u | row - u) & full
     return len(a) - row.bit_count()
 
 
@@ -214,6 +221,29 @@ def member_counts(ids: np.ndarray, left: np.ndarray, right: np.ndarray, item: np
     return out
 
 
+def bags(words_of: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(item * 65,536 + word, times the item has it), ascending."""
+    keys = [np.array(t, np.int64) + i * 65_536 for i, t in enumerate(words_of)]
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
+def bag_overlap(ids: np.ndarray, left: np.ndarray, right: np.ndarray, item: np.ndarray, bag: tuple[np.ndarray, np.ndarray],
+                members: np.ndarray, part: int = 50_000) -> np.ndarray:
+    """For each k, how many words of item[k] can be matched with one of ids[left[k]:right[k]] each: no common subsequence is longer."""
+    keys, times = bag
+    out = np.zeros(len(item), np.int64)
+    for low in range(0, len(item), part):
+        a, n, own = left[low:low + part], (right - left)[low:low + part], item[low:low + part]
+        owner = np.repeat(np.arange(len(a)), n)
+        word = ids[np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)].astype(np.int64)
+        hit = members[own[owner], word]
+        found, held = np.unique(owner[hit] * 65_536 + word[hit], return_counts=True)
+        owner, word = found >> 16, found & 65_535
+        most = times[np.searchsorted(keys, own[owner] * 65_536 + word)]
+        out[low:low + part] = np.bincount(owner, np.minimum(held, most), len(a))
+    return out
+
+
 def shared_words(ids: np.ndarray, stride: np.ndarray, first: np.ndarray, postings: tuple[np.ndarray, np.ndarray],
                  needed: np.ndarray, at_once: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """(passage, query) pairs that share at least ``needed[query]`` words, a word counting once per stride. ``postings``: first
@@ -337,6 +367,8 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
         members = np.zeros((len(whole), len(weight)), bool)
         for i, t in enumerate(whole):
             members[i, t] = True
+        bag = bags(whole)
+        places, answer_places = [word_places(t) for t in whole], [word_places(t) for t in answers]
         for b in batches:
             docs, column = b.column(0), b.column(1).to_pylist()
             at = 0
@@ -366,14 +398,15 @@ def search_block(source: DataFrame, block: list[tuple], schema: str, rank: int,
                     left = np.searchsorted(stride, np.maximum(first[row], passage - back[item]))
                     right = np.searchsorted(stride, np.minimum(first[row + 1], passage + ahead[item]))
                     # no common subsequence is longer than the number of words around that the item has at all
-                    keep = member_counts(ids, left, right, item, members) >= needed[item]
+                    keep = np.flatnonzero(member_counts(ids, left, right, item, members) >= needed[item])
+                    keep = keep[bag_overlap(ids, left[keep], right[keep], item[keep], bag, members) >= needed[item[keep]]]
                     for row, item, c, left, right in zip(*(a[keep].tolist() for a in (row, item, c, left, right))):
                         region = ids[left:right].tolist()
-                        equal = common_subsequence(whole[item], region)
+                        equal = common_subsequence(whole[item], region, places[item])
                         share = equal / len(whole[item])
                         if share < loose_cover or equal < min(4, len(whole[item])):
                             continue
-                        answer = common_subsequence(answers[item], region) / len(answers[item])
+                        answer = common_subsequence(answers[item], region, answer_places[item]) / len(answers[item])
                         if share < cover and answer < 0.8:
                             continue
                         old = best.get((row, item))

@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from tallyward.llm.decontaminate import common_subsequence, find_leaks, shared_words, strided
+from tallyward.llm.decontaminate import bag_overlap, bags, common_subsequence, find_leaks, shared_words, strided, word_places
 
 VOCABULARY = [f"w{k}" for k in range(3000)]
 COMMON = ["the", "of", "and", "to"]
@@ -120,3 +121,22 @@ def test_shared_words_by_brute_force():
     for at_once in (1, 90, 4_000_000):
         p, q = shared_words(ids, stride, first, postings, needed, at_once)
         assert base == n and want and set(zip(p.tolist(), q.tolist())) == want and (np.diff(p) >= 0).all()
+
+
+def test_bag_overlap_bounds_the_common_subsequence():
+    """Words that come again around a place count no more often than the item has them."""
+    rng = np.random.default_rng(8)
+    items = [rng.integers(1, 30, n).tolist() for n in (1, 4, 9, 25, 9)]
+    members = np.zeros((len(items), 30), bool)
+    for i, t in enumerate(items):
+        members[i, t] = True
+    ids = rng.integers(1, 30, 500).astype(np.uint16)
+    left = rng.integers(0, 500, 200)
+    right, item = np.minimum(left + rng.integers(0, 90, 200), 500), rng.integers(0, len(items), 200)
+    regions = [ids[a:b].tolist() for a, b in zip(left, right)]
+    want = [sum((Counter(r) & Counter(items[i])).values()) for r, i in zip(regions, item)]
+    for part in (3, 50_000):
+        assert bag_overlap(ids, left, right, item, bags(items), members, part).tolist() == want
+    assert all(plain_lcs(items[i], r) <= n for r, i, n in zip(regions, item, want))
+    assert any(n < members[i][r].sum() for r, i, n in zip(regions, item, want))
+    assert all(common_subsequence(items[i], r, word_places(items[i])) == plain_lcs(items[i], r) for r, i in zip(regions, item))
