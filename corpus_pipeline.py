@@ -18,6 +18,8 @@ from tallyward.llm.pii import find_personal_data
 from tallyward.llm.queries import tokenizer_path
 from tallyward.llm.toxicity import keep_clean
 
+#: Numbers per bitmap of ``marked``: those of Spark's bitmap functions.
+MARKS = 32_768
 #: SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
 
@@ -35,6 +37,18 @@ def keyed(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     return staged(docs.withColumn(key, F.monotonically_increasing_id()), label), key
 
 
+def marked(rows: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """The rows whose number, not below 0, is in the one column of ``kept``, with one bit per number instead of a join, so that no text
+    is shuffled. Broadcast are bitmaps of 4 KB: one per 32,768 rows, and at most one more per task that numbered them."""
+    number = F.col(kept.columns[0])
+    maps = staged(kept.groupBy(F.floor(number / MARKS).alias("group")).agg(
+        F.bitmap_construct_agg(F.pmod(number, F.lit(MARKS))).alias("bits")), "marks")
+    place = F.pmod(rows[key], F.lit(MARKS)).cast("int")
+    byte = F.conv(F.hex(F.substring(maps["bits"], F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(maps), F.floor(rows[key] / MARKS) == maps["group"])
+    return found.filter(F.getbit(byte, place % 8) == 1).select(*[rows[f"`{c}`"] for c in rows.columns])
+
+
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicate rows stays: that of the smallest id, null last, and of rows that tie on the id the
     first as read. Rows are compared by their texts alone, so different texts under one id are judged apart, and
@@ -43,8 +57,7 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("k"), "class_id")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(key).alias("k"))
     first = rows.select(key, order.alias("o")).join(groups, F.col(key) == F.col("k")).groupBy("class_id").agg(F.min("o").alias("o"))
-    kept = staged(first.select(F.col("o.k").alias("kept_key")), "kept")
-    return rows.join(kept, rows[key] == kept["kept_key"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked(rows, key, first.select(F.col("o.k"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

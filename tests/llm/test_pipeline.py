@@ -100,3 +100,21 @@ def test_rows_without_id_and_texts_that_share_one(spark, folder):
     clean = cp.decontamination(spark, kept, path)
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in clean.collect()) == sorted(
         (str(i), t or "") for i, t in want if leak not in (t or ""))
+
+
+def test_marked_rows_shuffle_no_text(spark):
+    """Exact for numbers far apart, as monotonically increasing ones are; rows meet broadcast bitmaps."""
+    rng = random.Random(6)
+    numbers = sorted({part << 33 | at for part in (0, 1, 7) for at in rng.sample(range(100_000), 400)} | {0, 32_767, 32_768, 65_536})
+    chosen = set(rng.sample(numbers, 500)) | {0, 32_767}
+    rows = spark.createDataFrame([(n, f"t{n}") for n in numbers], "n long, bits string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = cp.marked(rows, "n", spark.createDataFrame([(n,) for n in chosen], "k long"))
+        assert {tuple(r) for r in found.collect()} == {(n, f"t{n}") for n in chosen}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert cp.marked(rows, "n", spark.createDataFrame([], "k long")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
