@@ -43,6 +43,32 @@ def test_rows_alone_under_their_key_are_not_shuffled(spark, tmp_path):
     assert "Window" not in d.dedupe_silver(alone)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_dropping_older_rows_keeps_the_rows_of_one_window(spark, monkeypatch):
+    """Ties, nulls, null keys and keys of many rows, whatever bits collide."""
+    monkeypatch.setattr(d, "MANY_ROWS", 1, raising=False)
+    df = versions(spark, 1_500).withColumn("version", F.when(F.col("v") % 7 > 0, F.col("version")))
+    order = [F.desc_nulls_last("version"), F.asc("v")]
+    want = rows(d.keep_latest(df, ["k"], order))
+    for bits, least, hot in ((8, 2 ** 15, 10_000), (1, 64, 10_000), (8, 2 ** 15, 2)):
+        monkeypatch.setattr(d, "BITS_PER_KEY", bits)
+        monkeypatch.setattr(d, "MIN_BITS", least)
+        monkeypatch.setattr(d, "HOT_ROWS", hot)
+        assert rows(d.keep_latest_repeated(df, ["k"], order, newest="version")) == want
+
+
+def test_older_rows_of_many_repeated_facts_are_not_shuffled_whole(spark, monkeypatch):
+    monkeypatch.setattr(d, "MANY_ROWS", 1, raising=False)
+    whole, window = [], d.keep_latest
+    monkeypatch.setattr(d, "keep_latest", lambda df, keys, order: whole.append(df.count()) or window(df, keys, order))
+    now = F.timestamp_seconds(F.col("id") * 1_000)
+    fact = spark.range(2_000).select(F.col("id").cast("string").alias("incident_id"), F.lit("c").alias("case_number"),
+                                     F.lit(1).alias("date_key"), now.alias("incident_datetime"), F.lit("new").alias("crime_type"))
+    older = fact.withColumns({"incident_datetime": F.col("incident_datetime") - F.expr("interval 1 day"), "crime_type": F.lit("OLD")})
+    out = d.dedupe_fact(older.unionByName(fact))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, fact.collect()))
+    assert sum(whole) < 400
+
+
 def test_keep_one_takes_nulls_last_and_prunes(spark):
     """The row that an ordered window would keep; where only keys are used, the plan has neither a sort nor other columns."""
     rng = random.Random(3)
