@@ -243,6 +243,28 @@ def test_every_example_is_written_with_its_context(spark, monkeypatch, limit):
             [x for x in rows if x[0] == conv])
 
 
+@pytest.mark.parametrize("part", [1_000_000, 2_500])
+def test_long_contexts_are_written_whole(spark, monkeypatch, part):
+    monkeypatch.setattr("tallyward.llm.chat.PART_CHARS", part)
+    rows = [(c, k, "assistant" if k % 4 == 3 else "user", f"<|im_end|> {c} {k} " * 60) for c in (1, 2, None) for k in range(62)]
+    examples = chat_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    digest = {c: hashlib.sha256() for c in (1, 2, None)}
+    for r in sorted(examples.filter("loss_start is not null").collect(), key=lambda r: (r["conv_id"] or 0, r["example"])):
+        own = [x for x in rows if x[0] == r["conv_id"]]
+        k = next(i for i, x in enumerate(own) if x[3] == unescape(r["text"][r["loss_start"]:r["loss_end"]]))
+        assert parse_turns(r["context"] + r["text"]) == [(x[2], x[3]) for x in own[:k + 1]] and len(r["context"]) == r["context_chars"]
+        digest[r["conv_id"]].update(hashlib.sha256(r["context"].encode()).digest())
+    got = {r["conv_id"]: r for r in digests(examples, standing=True).collect()}
+    assert got == {r["conv_id"]: r for r in digests(examples).collect()}
+    for conv, r in got.items():
+        own = [x for x in rows if x[0] == conv]
+        assert tuple(r[k] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == chat_by_definition(own)
+        assert r["n_examples"] == 15 and r["contexts_sha256"] == digest[conv].hexdigest()
+        assert r["expanded_chars"] > 10 * 8_192
+    last = render(examples).filter("conv_id = 2").orderBy("example").collect()[-1]
+    assert [t for _, t in parse_turns(last["context"] + "<|im_end|>\n")] == [x[3] for x in rows[62:62 + 59]] + [""]
+
+
 def test_turns_without_a_reply_are_written_in_parts(spark, monkeypatch):
     monkeypatch.setattr("tallyward.llm.chat.PART_CHARS", 50)
     rows = [(1, k, "assistant" if k in (3, 11) else "user", f"text {k}") for k in range(14)]
